@@ -28,17 +28,26 @@ class Quantile:
     fraction: float
 
 
-def quantile_row(
+def quantile_exprs(
     df: DataFrame, wanted: list[Quantile], in_memory: int = EXACT_IN_MEMORY, rows: int | None = None
-) -> DataFrame:
-    """One-row DataFrame with an exact quantile per entry of ``wanted``."""
+) -> list[Column]:
+    """Exact quantiles of ``df`` as columns usable in one of its aggregates.
+
+    They join the caller's other aggregates in the same scan while the table is
+    small enough; for a larger one they are literals found beforehand.
+    """
+    if not wanted:
+        return []
     rows = df.count() if rows is None else rows
     if rows <= in_memory:
-        return df.agg(*[F.percentile(q.value.cast("double"), q.fraction).alias(q.name) for q in wanted])
+        return [F.percentile(q.value.cast("double"), q.fraction).alias(q.name) for q in wanted]
     values = _narrowed(df, wanted)
-    return df.sparkSession.range(1).select(
-        *[F.lit(values[q.name]).cast("double").alias(q.name) for q in wanted]
-    )
+    return [F.lit(values[q.name]).cast("double").alias(q.name) for q in wanted]
+
+
+def quantile_row(df: DataFrame, wanted: list[Quantile], in_memory: int = EXACT_IN_MEMORY) -> DataFrame:
+    """One-row DataFrame with an exact quantile per entry of ``wanted``."""
+    return df.agg(*quantile_exprs(df, wanted, in_memory))
 
 
 def _narrowed(df: DataFrame, wanted: list[Quantile]) -> dict[str, float | None]:

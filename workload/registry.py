@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kpi",)
+MODULES = ("kpi", "charts", "profiling")
 
 
 def _merged(attribute: str) -> dict:
