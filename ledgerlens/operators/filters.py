@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import ratio
 from ledgerlens.functions.text import heading_text
-from ledgerlens.plans.catalog import columns_of, distinct_counts, frequencies, numeric_names
+from ledgerlens.plans.catalog import columns_of, distinct_counts, frequencies, lane_text, numeric_names
 
 # Names that mark a column as the target or as no feature.
 TARGET_NAMES = ("target", "label", "y", "actual", "class", "id", "index")
@@ -41,7 +41,7 @@ def slicer_options(df: DataFrame, columns: list[str] | None = None, below: int =
     grows with the data.
     """
     infos = [c for c in columns_of(df) if (columns is None or c.name in columns) and c.kind != "nested"]
-    counted = frequencies(df, infos, whole_text=False)
+    counted = frequencies(df, infos, readable=True)
     few = (
         counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
         .where((F.col("distinct") > 1) & (F.col("distinct") < below))
@@ -51,7 +51,7 @@ def slicer_options(df: DataFrame, columns: list[str] | None = None, below: int =
     pos = F.element_at(F.create_map(*[F.lit(v) for kv in position.items() for v in kv]), F.col("ordinal"))
     return (
         counted.join(F.broadcast(few), "ordinal").withColumn("pos", pos)
-        .select(names.alias("column"), F.col("value").alias("option"))
+        .select(names.alias("column"), lane_text().alias("option"))
     )
 
 

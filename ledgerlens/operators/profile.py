@@ -6,8 +6,6 @@ shared scans whatever the number of columns.  Everything else here projects it.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import (
@@ -16,7 +14,7 @@ from ledgerlens.functions.numbers import (
 from ledgerlens.functions.text import contains_any, looks_like_date
 from ledgerlens.operators.charts import histogram
 from ledgerlens.plans.catalog import (
-    ColumnInfo, columns_of, facts, frequencies, modes, numeric_names, safe_corr, text_of, value_key,
+    ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, value_key,
     with_distinct,
 )
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
@@ -124,7 +122,8 @@ def date_shares(df: DataFrame, order_by: str, n: int = 10) -> DataFrame:
 
 def column_catalog(df: DataFrame, order_by: str) -> DataFrame:
     """One row per column as the loader records it."""
-    table = with_distinct(facts(df), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
+    want = ("mean", "variance", "min", "max", "sum", "median")
+    table = with_distinct(facts(df, want=want), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
     c = F.col
     number = [rounded(finite_or_zero(c(k)), 4) for k in ("min", "max", "mean", "median", "std", "sum")]
     numeric = c("kind") == "numeric"
@@ -142,7 +141,7 @@ def missing_severity(pct: Column) -> Column:
 def missing(df: DataFrame) -> DataFrame:
     """Null count, percentage and severity per column."""
     pct = ratio(F.col("nulls"), F.col("rows")) * 100
-    return facts(df).select(
+    return facts(df, want=()).select(
         F.col("name").alias("column"), F.col("nulls").alias("missing"), rounded(pct, 2).alias("percentage"),
         missing_severity(pct).alias("severity"),
     )
@@ -177,7 +176,8 @@ def missing_patterns(df: DataFrame, order_by: str, columns: list[str] | None = N
 def numeric_stats(df: DataFrame) -> DataFrame:
     """Location and spread of every numeric column, rounded to 4 decimals."""
     infos = columns_of(df, "numeric")
-    table = facts(df, infos).join(F.broadcast(modes(df, infos)), "ordinal", "left")
+    want = ("mean", "variance", "min", "max", "sum", "q1", "median", "q3")
+    table = facts(df, infos, want).join(F.broadcast(modes(df, infos)), "ordinal", "left")
     return table.select(
         F.col("name").alias("column"),
         *[rounded(F.col(k), 4).alias(k) for k in ("mean", "median")],
@@ -195,7 +195,7 @@ def shape_text(skew: Column, kurt: Column) -> Column:
 def shape(df: DataFrame) -> DataFrame:
     """Biased skewness and excess kurtosis with their wording."""
     skew, kurt = finite_or_zero(F.col("skew")), finite_or_zero(F.col("kurt"))
-    return facts(df, columns_of(df, "numeric")).select(
+    return facts(df, columns_of(df, "numeric"), ("skew", "kurt")).select(
         F.col("name").alias("column"), rounded(skew, 4).alias("skewness"), rounded(kurt, 4).alias("kurtosis"),
         shape_text(skew, kurt).alias("interpretation"),
     )
@@ -209,7 +209,7 @@ def _adjusted() -> tuple[Column, Column]:
 def shape_adjusted(df: DataFrame) -> DataFrame:
     """Sample-adjusted skewness and kurtosis with the skew wording."""
     skew, kurt = _adjusted()
-    return facts(df, columns_of(df, "numeric")).select(
+    return facts(df, columns_of(df, "numeric"), ("skew", "kurt")).select(
         F.col("name").alias("column"), rounded(skew, 4).alias("skewness"), rounded(kurt, 4).alias("kurtosis"),
         F.when(F.abs(skew) < 0.5, SYMMETRIC).when(skew > 0, POSITIVE_SKEW).otherwise(NEGATIVE_SKEW).alias("skew_interpretation"),
     )
@@ -220,7 +220,7 @@ def normality(df: DataFrame) -> DataFrame:
     n = F.col("rows") - F.col("nulls")
     k2 = k_squared(n, F.col("skew"), F.col("kurt"))
     p = F.exp(-k2 / 2)
-    return facts(df, columns_of(df, "numeric")).select(
+    return facts(df, columns_of(df, "numeric"), ("skew", "kurt")).select(
         F.col("name").alias("column"), rounded(k2, 4).alias("statistic"), rounded(p, 4).alias("p_value"),
         (p > 0.05).alias("is_normal"),
     )
@@ -230,7 +230,7 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
     """Count, share, bounds and severity of values beyond 1.5 interquartile ranges."""
     filled = F.col("rows") - F.col("nulls")
     pct = ratio(F.col("outliers"), filled) * 100
-    return facts(df, columns_of(df, "numeric"), outliers=True).select(
+    return facts(df, columns_of(df, "numeric"), (), outliers=True).select(
         F.col("name").alias("column"), F.col("outliers").alias("count"), rounded(pct, 2).alias("percentage"),
         rounded(F.col("lower"), 4).alias("lower_bound"), rounded(F.col("upper"), 4).alias("upper_bound"),
         F.when(pct > 5, "warning").when(F.col("outliers") > 0, "info").otherwise("ok").alias("severity"),
@@ -250,7 +250,7 @@ def skew_issues(df: DataFrame) -> DataFrame:
     """Columns with a skewness beyond 1."""
     skew = finite_or_zero(F.col("skew"))
     return (
-        facts(df, columns_of(df, "numeric")).where(F.abs(rounded(skew, 4)) > 1)
+        facts(df, columns_of(df, "numeric"), ("skew", "kurt")).where(F.abs(rounded(skew, 4)) > 1)
         .select(F.col("name").alias("column"), rounded(skew, 4).alias("skewness"),
                 F.when(skew > 0, "Right (Positive)").otherwise("Left (Negative)").alias("direction"),
                 F.when(F.abs(rounded(skew, 4)) > 3, "warning").otherwise("info").alias("severity"))
@@ -260,10 +260,10 @@ def skew_issues(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, n: int = 10) -> DataFrame:
     """The most frequent values of every non-numeric column and its cardinality flag."""
     infos = [c for c in columns_of(df) if c.kind in ("string", "temporal")]
-    counted = frequencies(df, infos, whole_text=True)
+    counted = frequencies(df, infos, readable=True).withColumn("value", lane_text())
     order = Window.partitionBy("ordinal").orderBy(F.col("n").desc(), "value")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    cards = with_distinct(facts(df, infos), df, infos).select("ordinal", "name", "rows", "distinct")
+    cards = with_distinct(facts(df, infos, ()), df, infos).select("ordinal", "name", "rows", "distinct")
     return top.join(F.broadcast(cards), "ordinal").select(
         F.col("name").alias("column"), "rank", "value", F.col("n").alias("count"),
         rounded(ratio(F.col("n"), F.col("rows")) * 100, 2).alias("percentage"),
@@ -273,7 +273,7 @@ def top_values(df: DataFrame, n: int = 10) -> DataFrame:
 
 def semantic_types(df: DataFrame, order_by: str) -> DataFrame:
     """Both semantic types of every column."""
-    table = with_distinct(facts(df), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
+    table = with_distinct(facts(df, want=()), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
     c = F.col
     return table.select(
         "ordinal", c("name").alias("column"),
@@ -282,16 +282,6 @@ def semantic_types(df: DataFrame, order_by: str) -> DataFrame:
     )
 
 
-def _pairwise(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, x, y, r) for every pair of columns from one scan."""
-    pairs = list(combinations(range(len(names)), 2))
-    wide = df.agg(*[safe_corr(F.col(f"`{names[i]}`"), F.col(f"`{names[j]}`")).alias(f"r{i}_{j}") for i, j in pairs])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"),
-                 F.col(f"r{i}_{j}").alias("r")) for i, j in pairs
-    ])))
-
-
 def correlations(df: DataFrame, floor: float = 0.3) -> DataFrame:
     """Pairs of numeric columns correlated beyond ``floor``, strongest first."""
     r = F.col("r")
@@ -303,7 +293,7 @@ def correlations(df: DataFrame, floor: float = 0.3) -> DataFrame:
         .otherwise("negligible")
     )
     return (
-        _pairwise(df, numeric_names(df)).where(size > floor)
+        pairwise_correlations(df, numeric_names(df)).where(size > floor)
         .select(F.col("x").alias("column1"), F.col("y").alias("column2"), rounded(r, 4).alias("correlation"), band.alias("strength"))
         .orderBy(F.abs("correlation").desc(), "column1", "column2")
     )
@@ -312,9 +302,9 @@ def correlations(df: DataFrame, floor: float = 0.3) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: int = 20, digits: int = 4) -> DataFrame:
     """Full matrix in long form (x, y, value)."""
     names = (columns or numeric_names(df))[:most]
-    half = _pairwise(df, names)
+    half = pairwise_correlations(df, names)
     ones = df.agg(*[
-        F.when(F.stddev_pop(F.col(f"`{c}`").cast("double")) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(names)
+        F.when(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`")), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(names)
     ]).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"d{i}").alias("value")) for i, c in enumerate(names)
     ])))
@@ -329,7 +319,7 @@ def strong_correlations(df: DataFrame, first: int = 10) -> DataFrame:
     """Up to ten pairs correlated beyond 0.5 among the first twenty numeric columns."""
     size = F.abs("r")
     return (
-        _pairwise(df, numeric_names(df)[:20]).where(size > 0.5)
+        pairwise_correlations(df, numeric_names(df)[:20]).where(size > 0.5)
         .select(F.col("x").alias("var1"), F.col("y").alias("var2"), rounded(F.col("r"), 4).alias("correlation"),
                 F.when(size > 0.7, "strong").otherwise("moderate").alias("strength"))
         .orderBy(F.abs("correlation").desc(), "var1", "var2").limit(first)
@@ -352,9 +342,9 @@ def _groupable(c: ColumnInfo) -> Column:
     return col.alias(c.name)
 
 
-def _table_level(df: DataFrame) -> tuple[DataFrame, Column]:
+def _table_level(df: DataFrame, want: tuple[str, ...] = (), outliers: bool = True) -> tuple[DataFrame, Column]:
     """Facts with distinct counts, outliers and semantic types; and the duplicate row as a scalar struct."""
-    table = with_distinct(facts(df, outliers=True), df)
+    table = with_distinct(facts(df, want=want, outliers=outliers), df)
     typed = table.withColumn(
         "semantic", profile_type(F.col("name"), F.col("kind"), F.col("distinct"), F.col("rows"))
     )
@@ -414,7 +404,7 @@ def issues(df: DataFrame) -> DataFrame:
         fixes("Skewed Distribution", "any"),
     ))
     return (
-        facts(df, outliers=True)
+        facts(df, want=("skew",), outliers=True)
         .select("ordinal", c("name").alias("column"), F.explode(F.array_compact(F.array(gaps, outs, skews))).alias("i"))
         .select("ordinal", "column", "i.*")
     )
@@ -477,7 +467,7 @@ def overview(df: DataFrame) -> DataFrame:
     """Rows, columns per kind, share of missing cells and duplicate rows."""
     infos = columns_of(df)
     dup = duplicates(df).select("count").scalar()
-    sums = facts(df).agg(F.max("rows").alias("rows"), F.sum("nulls").alias("nulls"),
+    sums = facts(df, want=()).agg(F.max("rows").alias("rows"), F.sum("nulls").alias("nulls"),
                          *[F.count_if(F.col("kind") == k).alias(k) for k in ("numeric", "string", "temporal")])
     cells = F.col("rows") * len(infos)
     return sums.select(
@@ -490,7 +480,7 @@ def overview(df: DataFrame) -> DataFrame:
 def feature_table(df: DataFrame, most: int = 20) -> DataFrame:
     """Type, gaps, distinct values, mean and spread of the first numeric columns."""
     infos = columns_of(df, "numeric")[:most]
-    return with_distinct(facts(df, infos), df, infos).select(
+    return with_distinct(facts(df, infos, ("mean", "variance")), df, infos).select(
         F.col("name").alias("feature"), "dtype", rounded(ratio(F.col("nulls"), F.col("rows")) * 100, 2).alias("missing_pct"),
         F.col("distinct").alias("unique"), rounded(F.col("mean"), 4).alias("mean"), rounded(F.col("std"), 4).alias("std"),
     )
@@ -502,7 +492,7 @@ TARGET_WORDS = ("target", "label", "class", "y")
 
 def ml_readiness(df: DataFrame) -> DataFrame:
     """100 less penalties for missing cells, id-like strings and duplicate rows."""
-    typed, dup = _table_level(df)
+    typed, dup = _table_level(df, outliers=False)
     high = (F.col("kind") == "string") & (F.col("distinct") > F.col("rows") * 0.5)
     sums = typed.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("cols"), F.sum("nulls").alias("nulls"),
                      F.count_if(high).alias("wide"), F.max(contains_any(F.lower("name"), F.array(*[F.lit(w) for w in TARGET_WORDS]))).alias("has_target"))
@@ -519,7 +509,7 @@ def data_insights(df: DataFrame, first: int = 5) -> DataFrame:
     """Warnings for columns with more than a fifth of their values missing."""
     pct = ratio(F.col("nulls"), F.col("rows")) * 100
     return (
-        facts(df).where(pct > 20).orderBy("ordinal").limit(first)
+        facts(df, want=()).where(pct > 20).orderBy("ordinal").limit(first)
         .select(F.lit("warning").alias("type"), F.concat(F.lit("High Missing Values in "), F.col("name")).alias("title"),
                 F.concat(plain_text(rounded(pct, 1), 1), F.lit("% missing")).alias("description"), F.col("name").alias("column"))
     )
@@ -527,7 +517,7 @@ def data_insights(df: DataFrame, first: int = 5) -> DataFrame:
 
 def describe(df: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column."""
-    return facts(df, columns_of(df, "numeric")).select(
+    return facts(df, columns_of(df, "numeric"), ("mean", "variance", "min", "max", "q1", "median", "q3")).select(
         F.col("name").alias("column"), (F.col("rows") - F.col("nulls")).alias("count"),
         *[rounded(F.col(k), 4).alias(k) for k in ("mean", "std", "min", "q1", "median", "q3", "max")],
     )
@@ -536,7 +526,7 @@ def describe(df: DataFrame) -> DataFrame:
 def distinct_per_column(df: DataFrame) -> DataFrame:
     """(column, unique, percentage) for every column, nulls ignored."""
     infos = columns_of(df)
-    return with_distinct(facts(df, infos), df, infos).select(
+    return with_distinct(facts(df, infos, ()), df, infos).select(
         F.col("name").alias("column"), F.col("distinct").alias("unique"),
         rounded(ratio(F.col("distinct"), F.col("rows")) * 100, 2).alias("percentage"),
     )
@@ -545,7 +535,7 @@ def distinct_per_column(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column with everything the profiler reports about it."""
     infos = columns_of(df)
-    typed, _ = _table_level(df)
+    typed, _ = _table_level(df, ALL_FACTS)
     table = typed.join(F.broadcast(modes(df, infos)), "ordinal", "left")
     c = F.col
     numeric = c("kind") == "numeric"

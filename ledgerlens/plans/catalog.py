@@ -60,72 +60,92 @@ def value_key(info: ColumnInfo) -> Column:
     return text
 
 
-def frequencies(df: DataFrame, infos: list[ColumnInfo], whole_text: bool = False) -> DataFrame:
-    """(ordinal, value, n): how often each non-null value occurs in each column.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_REAL = ("float", "double")
+
+
+def _lanes(c: ColumnInfo, readable: bool) -> Column:
+    """A value in the lane of its type, so that numbers are grouped as numbers.
+
+    Unless the value must stay readable, times travel as microseconds and long
+    text as a digest.
+    """
+    col = F.col(f"`{c.name}`")
+    whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if c.dtype in _WHOLE:
+        whole = col.cast("bigint")
+    elif c.dtype in _REAL:
+        real = col.cast("double")
+    elif c.kind == "temporal" and not readable:
+        whole = F.unix_micros(col.cast("timestamp"))
+    else:
+        text = text_of(c) if readable else value_key(c)
+    return F.struct(F.lit(c.ordinal).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text"))
+
+
+def frequencies(df: DataFrame, infos: list[ColumnInfo], readable: bool = False) -> DataFrame:
+    """(ordinal, whole, real, text, n): how often each non-null value occurs in each column.
 
     One scan for all columns; equal values are combined before the shuffle.
     """
-    pairs = [
-        F.struct(F.lit(c.ordinal).alias("ordinal"), (text_of(c) if whole_text else value_key(c)).alias("value"))
-        for c in infos
-    ]
     return (
-        df.select(F.explode(F.array(*pairs)).alias("p"))
-        .select("p.ordinal", "p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("ordinal", "value")
+        df.select(F.inline(F.array(*[_lanes(c, readable) for c in infos])))
+        .where(F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False)))
+        .groupBy("ordinal", "whole", "real", "text")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def lane_text() -> Column:
+    """The value of a frequencies row as text."""
+    return F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("real").cast("string"))
+
+
 def distinct_counts(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     """(ordinal, distinct) ignoring nulls; columns without values have no row."""
     return frequencies(df, infos).groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
 
 
 def modes(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
-    """(ordinal, mode): the most frequent value, the smallest one on ties, as text.
-
-    Numbers and text are ordered by their own type.
-    """
-    counted = frequencies(df, infos, whole_text=True)
-    best = counted.groupBy("ordinal").agg(F.max("n").alias("most"))
+    """(ordinal, mode): the most frequent value, the smallest one on ties, as text."""
+    ranked = F.struct((-F.col("n")).alias("n"), "whole", "real", "text")
     return (
-        counted.join(F.broadcast(best), "ordinal")
-        .where(F.col("n") == F.col("most"))
-        .groupBy("ordinal")
-        .agg(F.min(F.struct(F.col("value").try_cast("double").alias("number"), F.col("value"))).alias("m"))
-        .select("ordinal", F.col("m.value").alias("mode"))
+        frequencies(df, infos, readable=True)
+        .groupBy("ordinal").agg(F.min(ranked).alias("m"))
+        .select("ordinal", F.coalesce("m.text", F.col("m.whole").cast("string"), F.col("m.real").cast("string")).alias("mode"))
     )
 
 
-_NUMERIC_FACTS = {
-    "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum,
-    "skew": F.skewness, "kurt": F.kurtosis,
+_MOMENTS = {
+    "mean": F.avg, "variance": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum, "skew": F.skewness, "kurt": F.kurtosis,
 }
 _FRACTIONS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+ALL_FACTS = ("mean", "variance", "min", "max", "sum", "skew", "kurt", "q1", "median", "q3")
 
 
-def facts(df: DataFrame, infos: list[ColumnInfo] | None = None, outliers: bool = False,
-          in_memory: int = EXACT_IN_MEMORY) -> DataFrame:
-    """One row per column: rows, nulls and, for numbers, moments and quartiles.
+def facts(df: DataFrame, infos: list[ColumnInfo] | None = None, want: tuple[str, ...] = ALL_FACTS,
+          outliers: bool = False, in_memory: int = EXACT_IN_MEMORY) -> DataFrame:
+    """One row per column: rows, nulls and, for numbers, the wanted moments and quartiles.
 
-    Columns: ordinal, name, dtype, kind, rows, nulls, mean, std, variance, min,
-    max, sum, skew (g1), kurt (excess g2), q1, median, q3 and with ``outliers``
-    also lower, upper and outliers (values beyond 1.5 interquartile ranges).
-    The table is scanned once per block of columns, twice with ``outliers``.
+    Columns: ordinal, name, dtype, kind, rows, nulls, the names in ``want``, std
+    (with variance), and with ``outliers`` also lower, upper and outliers (values
+    beyond 1.5 interquartile ranges).  The table is scanned once per block of
+    columns, twice with ``outliers``.
     """
     infos = columns_of(df) if infos is None else infos
-    rows = df.count()
+    if outliers:
+        want = tuple(dict.fromkeys((*want, "q1", "q3")))
+    rows = df.count() if set(want) & set(_FRACTIONS) else 0
     blocks = [infos[i:i + COLUMNS_PER_SCAN] for i in range(0, len(infos), COLUMNS_PER_SCAN)]
-    parts = [_facts_block(df, block, outliers, in_memory, rows) for block in blocks]
+    parts = [_facts_block(df, block, want, outliers, in_memory, rows) for block in blocks]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _facts_block(df: DataFrame, infos: list[ColumnInfo], outliers: bool, in_memory: int, rows: int) -> DataFrame:
+def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...], outliers: bool, in_memory: int,
+                 rows: int) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     quantiles: list[Quantile] = []
     for c in infos:
@@ -133,8 +153,8 @@ def _facts_block(df: DataFrame, infos: list[ColumnInfo], outliers: bool, in_memo
         aggs.append(F.count(col).alias(f"{c.ordinal}_filled"))
         if c.kind == "numeric":
             value = col.cast("double")
-            aggs += [fn(value).alias(f"{c.ordinal}_{k}") for k, fn in _NUMERIC_FACTS.items()]
-            quantiles += [Quantile(f"{c.ordinal}_{k}", value, p) for k, p in _FRACTIONS.items()]
+            aggs += [_MOMENTS[k](value).alias(f"{c.ordinal}_{k}") for k in want if k in _MOMENTS]
+            quantiles += [Quantile(f"{c.ordinal}_{k}", value, _FRACTIONS[k]) for k in want if k in _FRACTIONS]
     wide = df.agg(*aggs, *quantile_exprs(df, quantiles, in_memory, rows))
 
     def number(c: ColumnInfo, key: str) -> Column:
@@ -144,19 +164,21 @@ def _facts_block(df: DataFrame, infos: list[ColumnInfo], outliers: bool, in_memo
         iqr = number(c, "q3") - number(c, "q1")
         return number(c, "q3") + 1.5 * iqr if side > 0 else number(c, "q1") - 1.5 * iqr
 
-    structs = [
-        F.struct(
+    def described(c: ColumnInfo) -> Column:
+        cells = [number(c, k).cast("double").alias(k) for k in want]
+        if "variance" in want:
+            cells.append(F.sqrt(number(c, "variance")).alias("std"))
+        if outliers:
+            cells += [fence(c, -1).alias("lower"), fence(c, 1).alias("upper")]
+        return F.struct(
             F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("name"), F.lit(c.dtype).alias("dtype"),
-            F.lit(c.kind).alias("kind"), F.col("rows"), (F.col("rows") - F.col(f"{c.ordinal}_filled")).alias("nulls"),
-            *[number(c, k).alias(k) for k in (*_NUMERIC_FACTS, *_FRACTIONS)],
-            fence(c, -1).alias("lower"), fence(c, 1).alias("upper"),
+            F.lit(c.kind).alias("kind"), F.col("rows"), (F.col("rows") - F.col(f"{c.ordinal}_filled")).alias("nulls"), *cells,
         )
-        for c in infos
-    ]
-    table = wide.select(F.inline(F.array(*structs)))
-    numeric = [c for c in infos if c.kind == "numeric"]
+
+    table = wide.select(F.inline(F.array(*[described(c) for c in infos])))
     if not outliers:
-        return table.drop("lower", "upper")
+        return table
+    numeric = [c for c in infos if c.kind == "numeric"]
     if not numeric:
         return table.withColumn("outliers", F.lit(None).cast("bigint"))
     bounds = wide.select(
@@ -183,9 +205,62 @@ def with_distinct(table: DataFrame, df: DataFrame, infos: list[ColumnInfo] | Non
     )
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are present; NULL for a constant column."""
-    a, b = a.cast("double"), b.cast("double")
-    both = a.isNotNull() & b.isNotNull()
-    left, right = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_pop(left, right), F.stddev_pop(left) * F.stddev_pop(right))
+PAIRS_PER_SCAN = 60
+
+
+def pairwise_correlations(df: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, x, y, r) for every pair of numeric columns, nulls dropped per pair.
+
+    A first aggregate finds means, ranges and gaps of the columns.  With values
+    centred on them, a pair of columns without gaps costs one sum more than the
+    per-column sums it shares with every other pair.  ``r`` is NULL where a side
+    is constant.
+    """
+    cols = [F.col(f"`{c}`").cast("double") for c in names]
+    head = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[fn(c).alias(f"{k}{i}") for i, c in enumerate(cols)
+          for k, fn in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))],
+    ).first()
+    centred = [c - F.lit(float(head[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
+    varies = [head[f"n{i}"] > 0 and head[f"lo{i}"] != head[f"hi{i}"] for i in range(len(cols))]
+    full = [head[f"n{i}"] == head["rows"] for i in range(len(cols))]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        block = pairs[start:start + PAIRS_PER_SCAN]
+        aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
+        results = []
+        for i, j in block:
+            if not (varies[i] and varies[j]):
+                r = F.lit(None).cast("double")
+            elif full[i] and full[j]:
+                for k in (i, j):
+                    aggs[f"s{k}"] = F.sum(centred[k])
+                    aggs[f"q{k}"] = F.sum(centred[k] * centred[k])
+                aggs[f"p{i}_{j}"] = F.sum(centred[i] * centred[j])
+                r = _r(F.col("n"), F.col(f"p{i}_{j}"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}"))
+            else:
+                both = cols[i].isNotNull() & cols[j].isNotNull()
+                x, y = F.when(both, centred[i]), F.when(both, centred[j])
+                tag = f"{i}_{j}"
+                aggs |= {
+                    f"c{tag}": F.count(x).cast("double"), f"p{tag}": F.sum(x * y), f"sx{tag}": F.sum(x), f"sy{tag}": F.sum(y),
+                    f"qx{tag}": F.sum(x * x), f"qy{tag}": F.sum(y * y),
+                    f"flat{tag}": (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)),
+                }
+                r = F.when(~F.col(f"flat{tag}"), _r(*[F.col(f"{k}{tag}") for k in ("c", "p", "sx", "sy", "qx", "qy")]))
+            results.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(names[i]).alias("x"),
+                                    F.lit(names[j]).alias("y"), r.alias("r")))
+        wide = df.agg(*[c.alias(k) for k, c in aggs.items()])
+        parts.append(wide.select(F.inline(F.array(*results))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _r(n: Column, sxy: Column, sx: Column, sy: Column, sxx: Column, syy: Column) -> Column:
+    covariance = sxy - F.try_divide(sx * sy, n)
+    spread = F.sqrt((sxx - F.try_divide(sx * sx, n)) * (syy - F.try_divide(sy * sy, n)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(covariance, spread)))

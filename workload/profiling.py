@@ -46,9 +46,10 @@ QUERIES = {
     "top_values": lambda s, d: p.top_values(dirty(s, d)),
     "samples": lambda s, d: p.samples(seeded(s, d), "event_id"),
     "semantic_types": lambda s, d: p.semantic_types(dirty(s, d), "event_id"),
-    "correlations": lambda s, d: p.correlations(lineitem(s, d)),
+    "correlations": lambda s, d: p.correlations(view(s, d, "txn")),
     "corr_matrix": lambda s, d: p.correlation_matrix(lineitem(s, d)),
-    "strong_correlations": lambda s, d: p.strong_correlations(lineitem(s, d)),
+    "corr_matrix_gaps": lambda s, d: p.correlation_matrix(dirty(s, d)),
+    "strong_correlations": lambda s, d: p.strong_correlations(view(s, d, "txn")),
     "duplicates": lambda s, d: p.duplicates(dirty(s, d)),
     "quality_score": lambda s, d: p.quality_score(dirty(s, d)),
     "issues": lambda s, d: p.issues(dirty(s, d)).drop("fixes"),
@@ -155,6 +156,11 @@ _CORR = "SELECT {i} AS a, {j} AS b, '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS r
 CORRS = "WITH k AS (" + "\nUNION ALL ".join(
     _CORR.format(i=i, j=j, x=LINE_NUMBERS[i], y=LINE_NUMBERS[j]) for i, j in combinations(range(len(LINE_NUMBERS)), 2)) + ")\n"
 
+TXN_NUMBERS = ("customer_id", "offering_id", "quantity", "unit_price", "total_amount", "cost", "profit")
+TXN_CORRS = cte("txn") + ", k AS (" + "\nUNION ALL ".join(
+    _CORR.format(i=i, j=j, x=TXN_NUMBERS[i], y=TXN_NUMBERS[j]).replace("FROM lineitem", "FROM txn")
+    for i, j in combinations(range(len(TXN_NUMBERS)), 2)) + ")\n"
+
 _ISSUES = (
     each(_NAMES, f"""SELECT '$c' AS "column", 'Missing Values' AS issue_type, {SEVERITY} AS severity,
 printf('%.1f', {r(GAP, 1)}) || '% missing values (' || (count(*) - count($c)) || ' rows)' AS description FROM events_dirty HAVING count(*) > count($c)""")
@@ -204,11 +210,14 @@ count(*) AS count, {r(div('count(*)', '(SELECT count(*) FROM events_dirty)') + '
 (SELECT count(DISTINCT $c) > count(*) * 0.5 FROM events_dirty) AS is_high_cardinality FROM events_dirty WHERE $c IS NOT NULL GROUP BY $c QUALIFY rank <= 10"""),
     "samples": cte("events_seeded") + "\nUNION ALL ".join(f"""SELECT CAST({c[0]} AS INT) AS ordinal, CAST(row_number() OVER (ORDER BY event_id) - 1 AS INT) AS position, CAST({c[1]} AS VARCHAR) AS value
 FROM events_seeded WHERE {c[1]} IS NOT NULL QUALIFY position < 5""" for c in DIRTY_COLUMNS),
-    "correlations": CORRS + f"""SELECT x AS column1, y AS column2, {r('r', 4)} AS correlation,
+    "correlations": TXN_CORRS + f"""SELECT x AS column1, y AS column2, {r('r', 4)} AS correlation,
 CASE WHEN abs(r) > 0.8 THEN 'very strong ' WHEN abs(r) > 0.6 THEN 'strong ' WHEN abs(r) > 0.4 THEN 'moderate ' ELSE 'weak ' END || CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS strength
 FROM k WHERE abs(r) > 0.3""",
     "corr_matrix": CORRS + f"SELECT x, y, {r('r', 4)} AS value FROM k UNION ALL SELECT y, x, {r('r', 4)} FROM k UNION ALL " + each(LINE_NUMBERS, "SELECT '$c', '$c', CAST(1.0 AS DOUBLE)"),
-    "strong_correlations": CORRS + f"""SELECT x AS var1, y AS var2, {r('r', 4)} AS correlation, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength
+    "corr_matrix_gaps": cte("events_dirty") + "\nUNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, {r('max(1.0)' if x == y else f'corr({x}, {y})', 4)} AS value FROM events_dirty"
+        for x in DIRTY_NUMBERS for y in DIRTY_NUMBERS),
+    "strong_correlations": TXN_CORRS + f"""SELECT x AS var1, y AS var2, {r('r', 4)} AS correlation, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength
 FROM k WHERE abs(r) > 0.5 ORDER BY abs(r) DESC LIMIT 10""",
     "semantic_types": cte("events_dirty") + "\nUNION ALL ".join(
         f"SELECT CAST({c[0]} AS INT) AS ordinal, '{c[1]}' AS \"column\", '{c[4]}' AS profile_type, '{c[5]}' AS loader_type" for c in DIRTY_COLUMNS),
