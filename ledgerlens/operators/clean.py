@@ -1,8 +1,9 @@
 """Cleaning operations: gaps, outliers, duplicates, types, formulas.
 
 An operation is a ``Cleaning`` record; ``apply`` folds a list of them over a
-DataFrame.  Constants that come from the data (a mean, a fence) are scalar
-subqueries, so a fold stays one lazy plan.
+DataFrame.  Constants that come from the data (a mean, a fence) are read as one
+row and become literals: a fold of many operations is then one flat projection
+over the scan instead of subqueries nested inside subqueries.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ledgerlens.functions.numbers import is_numeric, rounded
 from ledgerlens.operators.filters import convert_type, drop_column, rename_column
 from ledgerlens.plans.catalog import columns_of, frequencies
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
-from ledgerlens.plans.ranks import Quantile, quantile_row
+from ledgerlens.plans.ranks import Quantile, quantile_exprs, quantile_row
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,14 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _known(one_row: DataFrame) -> list[Column]:
+    """The cells of a one-row result as literals of their types; empty without a row."""
+    row = one_row.first()
+    if row is None:
+        return []
+    return [F.lit(v).cast(f.dataType) for v, f in zip(row, one_row.schema.fields)]
+
+
 def _numeric(df: DataFrame, column: str | None) -> bool:
     return column in df.columns and is_numeric(df.schema[column].dataType)
 
@@ -55,11 +64,11 @@ def _fill(df: DataFrame, column: str, value: Column) -> DataFrame:
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, df.agg(F.avg(_col(column).cast("double"))).scalar())
+    return _fill(df, column, _known(df.agg(F.avg(_col(column).cast("double"))))[0])
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, quantile_row(df, [Quantile("m", _col(column), 0.5)]).scalar())
+    return _fill(df, column, _known(quantile_row(df, [Quantile("m", _col(column), 0.5)]))[0])
 
 
 def mode_value(df: DataFrame, column: str) -> DataFrame:
@@ -71,7 +80,8 @@ def mode_value(df: DataFrame, column: str) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, mode_value(df, column).scalar())
+    mode = _known(mode_value(df, column))
+    return _fill(df, column, mode[0]) if mode else df
 
 
 def fill_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
@@ -130,11 +140,16 @@ def fill_missing(df: DataFrame, column: str, method: str, custom_value: Any = No
     return fill_constant(df, column, constants[method]) if method in constants else df
 
 
-def _fences(df: DataFrame, column: str) -> Column:
-    """Scalar struct (lo, hi): 1.5 interquartile ranges beyond the quartiles."""
-    q = quantile_row(df, [Quantile("q1", _col(column), 0.25), Quantile("q3", _col(column), 0.75)])
-    iqr = F.col("q3") - F.col("q1")
-    return q.select(F.struct((F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))).scalar()
+def _ends(df: DataFrame, column: str, low: float, high: float) -> tuple[Column, Column]:
+    lo, hi = _known(quantile_row(df, [Quantile("lo", _col(column), low), Quantile("hi", _col(column), high)]))
+    return lo, hi
+
+
+def _fences(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """1.5 interquartile ranges beyond the quartiles."""
+    q1, q3 = _ends(df, column, 0.25, 0.75)
+    iqr = q3 - q1
+    return q1 - 1.5 * iqr, q3 + 1.5 * iqr
 
 
 def _clip(value: Column, low: Column, high: Column) -> Column:
@@ -148,22 +163,18 @@ def treat_outliers(df: DataFrame, column: str, method: str) -> DataFrame:
         return df
     value = _col(column).cast("double")
     if method == "cap_percentile":
-        ends = quantile_row(df, [Quantile("lo", value, 0.01), Quantile("hi", value, 0.99)]).select(F.struct("lo", "hi")).scalar()
-        return df.withColumn(column, _clip(value, ends["lo"], ends["hi"]))
+        return df.withColumn(column, _clip(value, *_ends(df, column, 0.01, 0.99)))
     if method not in ("remove", "cap_iqr", "replace_mean", "replace_median"):
         return df
-    fence = _fences(df, column)
-    outlying = (value < fence["lo"]) | (value > fence["hi"])
+    low, high = _fences(df, column)
+    outlying = (value < low) | (value > high)
     if method == "remove":
         return df.where(value.isNull() | ~outlying)
     if method == "cap_iqr":
-        return df.withColumn(column, _clip(value, fence["lo"], fence["hi"]))
+        return df.withColumn(column, _clip(value, low, high))
     inside = df.where(value.isNotNull() & ~outlying)
-    if method == "replace_mean":
-        middle = inside.agg(F.avg(value)).scalar()
-    else:
-        middle = quantile_row(inside, [Quantile("m", value, 0.5)]).scalar()
-    return df.withColumn(column, F.when(outlying, middle).otherwise(value))
+    middle = _known(inside.agg(F.avg(value)) if method == "replace_mean" else quantile_row(inside, [Quantile("m", value, 0.5)]))
+    return df.withColumn(column, F.when(outlying, middle[0]).otherwise(value))
 
 
 def drop_duplicates(df: DataFrame, keep: str = "first", order_by: str | None = None, subset: list[str] | None = None) -> DataFrame:
@@ -221,8 +232,8 @@ def default_impute(df: DataFrame) -> DataFrame:
     out = df
     if numeric:
         medians = quantile_row(df, [Quantile(f"m{i}", _col(c), 0.5) for i, c in enumerate(numeric)])
-        s = medians.select(F.struct(*[F.col(f"m{i}") for i in range(len(numeric))])).scalar()
-        out = out.withColumns({c: F.coalesce(_col(c).cast("double"), s[f"m{i}"]) for i, c in enumerate(numeric)})
+        known = _known(medians)
+        out = out.withColumns({c: F.coalesce(_col(c).cast("double"), m) for c, m in zip(numeric, known)})
     return out.fillna("Unknown", subset=strings) if strings else out
 
 
@@ -258,69 +269,68 @@ def apply(df: DataFrame, operations: list[Cleaning], order_by: str | None = None
 
 def affected(df: DataFrame, op: Cleaning) -> DataFrame:
     """(rows, affected): rows before an operation and how many it concerns."""
+    if op.kind == "duplicates":
+        groups = df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+        return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                          F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("affected"))
     if op.column is not None and op.column not in df.columns:
         hit = F.lit(False)
     elif op.kind == "missing_values":
         hit = _col(op.column).isNull()
-    elif op.kind == "outliers":
-        if not _numeric(df, op.column):
-            hit = F.lit(False)
-        else:
-            fence, v = _fences(df, op.column), _col(op.column).cast("double")
-            hit = F.coalesce((v < fence["lo"]) | (v > fence["hi"]), F.lit(False))
-    elif op.kind == "duplicates":
-        groups = df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-        return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                          F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("affected"))
+    elif op.kind == "outliers" and _numeric(df, op.column):
+        low, high = _fences(df, op.column)
+        value = _col(op.column).cast("double")
+        hit = F.coalesce((value < low) | (value > high), F.lit(False))
     else:
-        hit = F.lit(True)
+        hit = F.lit(op.kind != "outliers")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("affected"))
 
 
-def column_state(df: DataFrame, column: str | None, tag: str) -> DataFrame:
-    """One row of before/after statistics of a column."""
-    if column is None or column not in df.columns:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("bigint").alias(f"{tag}_{k}") for k in ("nulls", "unique")],
-            *[F.lit(None).cast("double").alias(f"{tag}_{k}") for k in ("mean", "median", "min", "max")],
-        )
+STATE = ("nulls", "unique", "mean", "median", "min", "max")
+
+
+def column_state(df: DataFrame, column: str) -> DataFrame:
+    """One row of statistics of a column: nulls, unique, mean, median, min, max."""
     info = [c for c in columns_of(df) if c.name == column]
     unique = frequencies(df, info).agg(F.count(F.lit(1))).scalar()
-    v = _col(column)
-    out = df.agg(F.count_if(v.isNull()).alias(f"{tag}_nulls"))
-    if _numeric(df, column):
-        v = v.cast("double")
-        median = quantile_row(df, [Quantile("m", v, 0.5)]).scalar()
-        out = df.agg(F.count_if(v.isNull()).alias(f"{tag}_nulls"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
-        cells = [rounded(F.col("mean"), 4), rounded(median, 4), rounded(F.col("min"), 4), rounded(F.col("max"), 4)]
-    else:
-        cells = [F.lit(None).cast("double")] * 4
-    return out.select(f"{tag}_nulls", unique.alias(f"{tag}_unique"),
-                      *[c.alias(f"{tag}_{k}") for c, k in zip(cells, ("mean", "median", "min", "max"))])
+    v = _col(column).cast("double") if _numeric(df, column) else F.lit(None).cast("double")
+    numbers = [rounded(F.avg(v), 4).alias("mean"), rounded(F.min(v), 4).alias("min"), rounded(F.max(v), 4).alias("max")]
+    median = quantile_exprs(df, [Quantile("median", v, 0.5)])
+    row = df.agg(F.count_if(_col(column).isNull()).alias("nulls"), *numbers, *median)
+    return row.select("nulls", unique.alias("unique"), "mean", rounded(F.col("median"), 4).alias("median"), "min", "max")
+
+
+def _state_row(df: DataFrame, column: str | None) -> tuple:
+    if column is None or column not in df.columns:
+        return (None,) * len(STATE)
+    return tuple(column_state(df, column).first())
 
 
 def preview(df: DataFrame, operations: list[Cleaning], order_by: str | None = None) -> DataFrame:
-    """One row per operation: rows concerned and the column before and after, nothing applied."""
-    parts = []
-    current = df
+    """One row per operation: rows concerned and the column before and after; nothing is stored.
+
+    Each intermediate table is summarised by one-row aggregates, so the report
+    has as many rows as there are operations whatever the size of the data.
+    """
+    report = []
+    current, seen = df, {}
     for step, op in enumerate(operations, start=1):
         after = apply_one(current, op, order_by)
-        rows = affected(current, op).select(F.struct("rows", "affected")).scalar()
-        before_row = column_state(current, op.column, "before")
-        after_row = column_state(after, op.column, "after").select(F.struct("*")).scalar()
-        rows_after = after.agg(F.count(F.lit(1))).scalar()
-        names = [f"after_{k}" for k in ("nulls", "unique", "mean", "median", "min", "max")]
-        parts.append(before_row.select(
-            F.lit(step).alias("step"), F.lit(op.kind).alias("operation"), F.lit(op.column).cast("string").alias("column"),
-            F.lit(op.method).cast("string").alias("method"), rows["affected"].alias("rows_affected"),
-            rows["rows"].alias("rows_before"), rows_after.alias("rows_after"), "*",
-            *[after_row[k].alias(k) for k in names],
-        ))
+        rows, hit = affected(current, op).first()
+        before_state = seen.get(op.column) or _state_row(current, op.column)
+        after_state = _state_row(after, op.column)
+        seen = {op.column: after_state}
+        report.append((step, op.kind, op.column, op.method, hit, rows, *before_state, *after_state))
         current = after
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy("step")
+    last = current.count()
+    after_rows = [line[5] for line in report[1:]] + [last]
+    types = {"nulls": "bigint", "unique": "bigint"}
+    state = [f"{tag}_{k} {types.get(k, 'double')}" for tag in ("before", "after") for k in STATE]
+    schema = ", ".join([
+        "step int", "operation string", "`column` string", "method string", "rows_affected bigint", "rows_before bigint",
+        *state, "rows_after bigint",
+    ])
+    return df.sparkSession.createDataFrame([(*line, n) for line, n in zip(report, after_rows)], schema)
 
 
 def preview_rows(df: DataFrame, operations: list[Cleaning], order_by: str, n: int = 20) -> DataFrame:

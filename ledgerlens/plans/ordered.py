@@ -143,7 +143,8 @@ def with_neighbours(
         *[F.min(f"_first_{c}").over(later).alias(f"_in_next_{c}") for c in columns],
     )
     up_to = _in_slice("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    from_here = _in_slice("_rn").rowsBetween(0, Window.unboundedFollowing)
+    # running over the reversed order; a frame that ends at unbounded following is quadratic
+    from_here = _in_slice("_rn", descending=True).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(carried), SLICE)
     for c in columns:
         if forward:
@@ -152,6 +153,6 @@ def with_neighbours(
             )
         if backward:
             out = out.withColumn(
-                f"_next_{c}", F.coalesce(F.first(seen[c], ignorenulls=True).over(from_here), F.col(f"_in_next_{c}"))
+                f"_next_{c}", F.coalesce(F.last(seen[c], ignorenulls=True).over(from_here), F.col(f"_in_next_{c}"))
             )
     return out.drop(*[f"_in_prev_{c}" for c in columns], *[f"_in_next_{c}" for c in columns])
