@@ -83,23 +83,29 @@ def running_totals(
     key: str,
     measures: dict[str, str],
     descending: bool = False,
+    within: tuple[str, ...] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
     derived: bool = False,
 ) -> DataFrame:
     """Inclusive running total of each measure along ``key``.
 
-    ``measures`` maps output names to input columns.  ``key`` must be unique.
+    ``measures`` maps output names to input columns.  ``key`` must be unique, or
+    unique per value of ``within``, a few groups that each run on their own.
     """
     parts = sliced(df, key, rows_per_slice, derived)
-    before = Window.unboundedPreceding
-    summary = parts.groupBy(SLICE).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in measures.items()])
-    across = _across_slices(descending).rowsBetween(before, -1)
+    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
+    across = (Window.partitionBy(*within).orderBy(order) if within else Window.orderBy(order)).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    summary = parts.groupBy(SLICE, *within).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in measures.items()])
     offsets = summary.select(
-        SLICE, *[F.coalesce(F.sum(f"_t_{out}").over(across), F.lit(0)).alias(f"_o_{out}") for out in measures]
+        SLICE, *within,
+        *[F.coalesce(F.sum(f"_t_{out}").over(across), F.lit(0)).alias(f"_o_{out}") for out in measures],
     )
-    within = _in_slice(key, descending).rowsBetween(before, 0)
-    joined = parts.join(F.broadcast(offsets), SLICE)
-    totals = {out: F.sum(src).over(within) + F.col(f"_o_{out}") for out, src in measures.items()}
+    key_order = F.col(key).desc() if descending else F.col(key).asc()
+    running = Window.partitionBy(SLICE, *within).orderBy(key_order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = parts.join(F.broadcast(offsets), [SLICE, *within])
+    totals = {out: F.sum(src).over(running) + F.col(f"_o_{out}") for out, src in measures.items()}
     return joined.withColumns(totals).drop(SLICE, *[f"_o_{out}" for out in measures])
 
 
