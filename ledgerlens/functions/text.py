@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from ledgerlens.functions.numbers import grouped_text, plain_text, rounded
+
 # Fixed value: the value shapes that count as a written date.
 DATE_SHAPES = (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}")
 # Fixed value: currency symbols and separators removed before a number is parsed.
@@ -76,3 +80,20 @@ def indel_ratio(left: Column, right: Column) -> Column:
 def hashed(col: Column) -> Column:
     """SHA-256 of an external identifier."""
     return F.sha2(col.cast("string"), 256)
+
+
+def fill_template(template: str, cells: dict[str, Column]) -> Column:
+    """Text with ``{name}``, ``{name:.2f}`` and ``{name:,.2f}`` replaced by columns."""
+    pieces = []
+    for part in re.split(r"(\{[^}]*\})", template):
+        if part.startswith("{"):
+            name, _, spec = part[1:-1].partition(":")
+            if spec:
+                digits = int(spec.strip(",")[1:-1])
+                value = rounded(cells[name], digits)
+                pieces.append(grouped_text(value, digits) if spec.startswith(",") else plain_text(value, digits))
+            else:
+                pieces.append(F.coalesce(cells[name].cast("string"), F.lit("")))
+        elif part:
+            pieces.append(F.lit(part))
+    return F.concat(*pieces)

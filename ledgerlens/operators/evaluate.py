@@ -96,13 +96,18 @@ def confusion(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] =
     return df.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _grid(labels: DataFrame) -> DataFrame:
+    """(actual, predicted) for all pairs of labels: the cells of the matrix that is asked for."""
+    axis = labels.agg(F.sort_array(F.collect_set("label"))).scalar()
+    return labels.select(F.col("label").alias("actual"), F.explode(axis).alias("predicted"))
+
+
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """All label pairs with count, share of the actual class and annotation."""
     cells = confusion(df, actual, predicted)
-    # the labels, from the confusion table: as many rows as there are classes
-    labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
-    grid = labels.select(F.col("label").alias("actual")).join(labels.select(F.col("label").alias("predicted")))
-    full = grid.join(cells, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).where(F.col("label").isNotNull()).distinct()
+    full = _grid(labels).join(cells, ["actual", "predicted"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0).cast("bigint")))
     total = F.sum("n").over(Window.partitionBy("actual"))
     same, any_ = F.col("actual") == F.col("predicted"), F.col("n") > 0
     return full.select(
@@ -116,8 +121,7 @@ def confusion_chart(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Matrix over the labels seen in the actual column only."""
     cells = confusion(df, actual, predicted)
     labels = cells.select(F.col("actual").alias("label")).where(F.col("label").isNotNull()).distinct()
-    grid = labels.select(F.col("label").alias("actual")).join(labels.select(F.col("label").alias("predicted")))
-    return grid.join(cells, ["actual", "predicted"], "left").select(
+    return _grid(labels).join(cells, ["actual", "predicted"], "left").select(
         F.col("predicted").cast("string").alias("x"), F.col("actual").cast("string").alias("y"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("value"),
     )
