@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.functions.numbers import ratio, rounded
+from ledgerlens.functions.dates import as_date, period_start, previous_window
+from ledgerlens.functions.numbers import ratio, ratio_or, rounded
 from ledgerlens.functions.text import fill_template
 from ledgerlens.operators import kpis as k
 from ledgerlens.operators.filters import severity_rank
@@ -41,13 +42,43 @@ NO_REVENUE, FAR_ABOVE, ABOVE, UNCLEAR = (
 
 
 def rule_metrics(txn: DataFrame, offerings: DataFrame, start, end) -> DataFrame:
-    """Everything the rules look at, one row per offering sold in the window."""
-    now = k.within(txn, start, end)
-    base = k.offering_metrics(txn, offerings, start, end)
+    """Everything the rules look at, one row per offering sold in the window.
+
+    Facts are read once: sums per offering, customer and month over this window
+    and the one before it feed every metric, so the joins and the scan behind
+    ``txn`` are not repeated and a hot offering is spread over its customers.
+    """
+    start, end = as_date(start), as_date(end)
+    prev_start, prev_end = previous_window(start, end)
+    day, c = F.col("transaction_date"), F.col
+    now, before = day.between(F.lit(start), F.lit(end)), day.between(F.lit(prev_start), F.lit(prev_end))
+    amounts = {"r": "total_amount", "p": "profit", "c": "cost"}
+    cells = k.within(txn, prev_start, end).groupBy("offering_id", "customer_id", period_start(day, "month").alias("month")).agg(
+        *[F.sum(F.when(now, c(src))).alias(name) for name, src in amounts.items()], F.count(F.when(now, 1)).alias("n"),
+        F.sum(F.when(before, c("total_amount"))).alias("br"), F.count(F.when(before, 1)).alias("bn"),
+    )
+    buyers = cells.groupBy("offering_id", "customer_id").agg(*[F.sum(x).alias(x) for x in ("r", "p", "c", "n", "br", "bn")])
+    known = c("customer_id").isNotNull()
+    sums = buyers.groupBy("offering_id").agg(
+        *[F.coalesce(F.sum(x), F.lit(0.0)).alias(x) for x in ("r", "p", "c", "br")], F.sum("n").alias("n"), F.max("r").alias("top"),
+        *[F.count_if(known & (c(x) > 0)).alias(f"{x}_all") for x in ("n", "bn")],
+        *[F.count_if(known & (c(x) > 1)).alias(f"{x}_back") for x in ("n", "bn")],
+    ).where(c("n") > 0)
+    monthly = cells.groupBy("offering_id", "month").agg(F.sum("r").alias("r"), F.sum("n").alias("n")).where(c("n") > 0)
+    steady = monthly.groupBy("offering_id").agg(
+        F.count(F.lit(1)).alias("months"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"))
+    dims = offerings.select("id", "name", c("offering_type").alias("type"))
+    rate_now, rate_before = F.coalesce(ratio(c("n_back"), c("n_all")), F.lit(0.0)), ratio(c("bn_back"), c("bn_all"))
     return (
-        base.join(k.top_customer_share(now).withColumnRenamed("offering_id", "id"), "id", "left")
-        .join(k.offering_trend(txn, start, end).withColumnRenamed("offering_id", "id"), "id", "left")
-        .join(k.stability(now).withColumnRenamed("offering_id", "id"), "id", "left")
+        sums.join(steady, "offering_id").join(dims, c("offering_id") == c("id"))
+        .select(
+            "id", "name", "type", *[rounded(c(x), k.MONEY).alias(name) for x, name in (("r", "revenue"), ("p", "profit"), ("c", "cost"))],
+            rounded(ratio_or(c("p"), c("r")) * 100, 2).alias("margin"), c("n").alias("transactions"), c("n_all").alias("customers"),
+            rounded(ratio_or(c("top"), c("r")) * 100, 4).alias("top_customer_pct"),
+            F.when(c("br") > 0, rounded(ratio(c("r") - c("br"), c("br")), 4)).alias("revenue_trend"),
+            F.when(rate_before > 0, rounded(ratio(rate_before - rate_now, rate_before), 4)).alias("repeat_rate_decline"),
+            k.stability_of(c("months"), c("mean"), c("sd")).alias("stability_score"),
+        )
     )
 
 

@@ -289,9 +289,11 @@ def stability(txn: DataFrame) -> DataFrame:
     stats = monthly.groupBy("offering_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")
     )
-    score = (
-        F.when(F.col("n") < 2, F.lit(0.5))
-        .when(F.col("mean") == 0, F.lit(0.0))
-        .otherwise(F.greatest(F.lit(0.0), 1 - ratio(F.col("sd"), F.col("mean"))))
-    )
-    return stats.select("offering_id", rounded(score, 2).alias("stability_score"))
+    return stats.select("offering_id", stability_of(F.col("n"), F.col("mean"), F.col("sd")).alias("stability_score"))
+
+
+def stability_of(months: Column, mean: Column, spread: Column) -> Column:
+    """0.5 for a single month, 0 without revenue, else 1 - spread / mean floored at 0."""
+    return rounded(
+        F.when(months < 2, F.lit(0.5)).when(mean == 0, F.lit(0.0))
+        .otherwise(F.greatest(F.lit(0.0), 1 - ratio(spread, mean))), 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kpi", "charts", "profiling", "cleaning", "evaluation", "business")
+MODULES = ("kpi", "charts", "profiling", "cleaning", "evaluation", "business", "linking")
 
 
 def _merged(attribute: str) -> dict:
