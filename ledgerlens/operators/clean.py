@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numbers import is_numeric, rounded
 from ledgerlens.operators.filters import convert_type, drop_column, rename_column
-from ledgerlens.plans.catalog import columns_of, frequencies
+from ledgerlens.plans.catalog import columns_of, frequencies, local_table
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
 from ledgerlens.plans.ranks import Quantile, quantile_exprs, quantile_row
 
@@ -330,7 +330,7 @@ def preview(df: DataFrame, operations: list[Cleaning], order_by: str | None = No
         "step int", "operation string", "`column` string", "method string", "rows_affected bigint", "rows_before bigint",
         *state, "rows_after bigint",
     ])
-    return df.sparkSession.createDataFrame([(*line, n) for line, n in zip(report, after_rows)], schema)
+    return local_table(df.sparkSession, [(*line, n) for line, n in zip(report, after_rows)], schema)
 
 
 def preview_rows(df: DataFrame, operations: list[Cleaning], order_by: str, n: int = 20) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import ratio, rounded
 from ledgerlens.functions.text import indel_ratio, spaced
-from ledgerlens.plans.catalog import ColumnInfo, columns_of, value_key
+from ledgerlens.plans.catalog import ColumnInfo, columns_of, local_table, value_key
+from ledgerlens.plans.ordered import staged
 
 BITS = 62
 # Name fragments of each kind of linkable column, in order of precedence.
@@ -76,8 +77,8 @@ def link_catalog(datasets: dict[str, DataFrame], patterns: DataFrame) -> DataFra
         part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
         counts = part if counts is None else counts.unionByName(part)
     session = next(iter(datasets.values())).sparkSession
-    known = session.createDataFrame(
-        [(i, p, name, c.ordinal, c.name, c.dtype, c.kind) for i, (p, name, c) in enumerate(slots)],
+    known = local_table(
+        session, [(i, p, name, c.ordinal, c.name, c.dtype, c.kind) for i, (p, name, c) in enumerate(slots)],
         "slot int, position int, dataset string, ordinal int, `column` string, dtype string, kind string",
     )
     distinct = _members(patterns, len(slots)).groupBy("slot").agg(F.sum("n").alias("distinct"))
@@ -85,6 +86,18 @@ def link_catalog(datasets: dict[str, DataFrame], patterns: DataFrame) -> DataFra
         "distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
 
 
+def _survey(datasets: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Value masks and column catalog of the tables.
+
+    The masks are the outcome of the one heavy job, a few hundred rows at most
+    in practice; they are staged so that it runs once.  The catalog has one row
+    per column and is kept as a local table.
+    """
+    patterns = staged(value_masks(datasets))
+    catalog = link_catalog(datasets, patterns)
+    return patterns, local_table(catalog.sparkSession, catalog.collect(), catalog.schema)
+
+
 def link_type(name: Column, kind: Column, dtype: Column, distinct: Column, rows: Column) -> Column:
     """Kind of link a column can make, or NULL."""
     plain = spaced(name)
@@ -100,7 +113,7 @@ def link_type(name: Column, kind: Column, dtype: Column, distinct: Column, rows:
 
 def linkable_columns(datasets: dict[str, DataFrame]) -> DataFrame:
     """Columns that could link tables, with the kind of link."""
-    catalog = link_catalog(datasets, value_masks(datasets))
+    _, catalog = _survey(datasets)
     return catalog.withColumn("link_type", link_type(*[F.col(c) for c in ("column", "kind", "dtype", "distinct", "rows")])).where(
         F.col("link_type").isNotNull()).select("dataset", "column", "link_type", "distinct", "rows")
 
@@ -128,8 +141,8 @@ def _lower(name: str) -> Column:
 
 def validate_links(datasets: dict[str, DataFrame]) -> DataFrame:
     """Compatible column pairs that share values: overlap, strength, confidence, issues."""
-    patterns = value_masks(datasets)
-    catalog = link_catalog(datasets, patterns).withColumn(
+    patterns, catalog = _survey(datasets)
+    catalog = catalog.withColumn(
         "link_type", link_type(*[F.col(c) for c in ("column", "kind", "dtype", "distinct", "rows")])).where(F.col("link_type").isNotNull())
     a, b = _lower("a_column"), _lower("b_column")
     types = F.col("a_link_type"), F.col("b_link_type")
@@ -185,7 +198,7 @@ def link_warnings(links: DataFrame, datasets: dict[str, DataFrame]) -> DataFrame
         F.when(broken, F.concat(F.lit("Weak connection between datasets: Only "), share, F.lit("% overlap between "), columns))
         .otherwise(F.concat(F.lit("Limited connection: "), share, F.lit("% overlap between "), columns)).alias("message"),
         F.concat_ws(",", "source", "target").alias("datasets"))
-    names = links.sparkSession.createDataFrame([(n,) for n in datasets], "dataset string")
+    names = local_table(links.sparkSession, [(n,) for n in datasets], "dataset string")
     linked = best.select(F.explode(F.array("source", "target")).alias("dataset"))
     alone = names.join(linked, "dataset", "left_anti").select(
         F.lit("isolated_dataset").alias("type"), F.lit("high").alias("severity"),
@@ -218,11 +231,11 @@ def infer_relationships(datasets: dict[str, DataFrame], per_pair: int = 5) -> Da
 
     Overlap is measured on all distinct values.
     """
-    patterns = value_masks(datasets)
+    patterns, catalog = _survey(datasets)
     a, b = _lower("a_column"), _lower("b_column")
     similar = indel_ratio(a, b)
     ids = (a.contains("id") & b.contains("id")) | (a.endswith("_id") & b.endswith("_id")) | (a == b)
-    pairs = _candidates(link_catalog(datasets, patterns), (similar > 0.7) | ids, [])
+    pairs = _candidates(catalog, (similar > 0.7) | ids, [])
     pairs = pairs.withColumn("similarity", similar).withColumn("ids", ids)
     shared = _overlaps(pairs, patterns, len(_slots(datasets)))
     overlap = ratio(F.col("matched"), F.least("a_distinct", "b_distinct"))
@@ -259,10 +272,10 @@ def _stem(name: Column) -> Column:
 
 def find_relationships(datasets: dict[str, DataFrame]) -> DataFrame:
     """Potential joins of columns with the same name stem and over 30 % shared values."""
-    patterns = value_masks(datasets)
+    patterns, catalog = _survey(datasets)
     a, b = _stem(_lower("a_column")), _stem(_lower("b_column"))
     match = (F.col("a_column") == F.col("b_column")) | a.contains(b) | b.contains(a)
-    shared = _overlaps(_candidates(link_catalog(datasets, patterns), match, []), patterns, len(_slots(datasets)))
+    shared = _overlaps(_candidates(catalog, match, []), patterns, len(_slots(datasets)))
     overlap = ratio(F.col("matched"), F.least("a_distinct", "b_distinct"))
     return shared.where(overlap > 0.3).select(
         F.col("a_dataset").alias("dataset1"), F.col("a_column").alias("column1"), F.col("b_dataset").alias("dataset2"),

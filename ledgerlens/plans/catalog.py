@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlens.functions.dates import is_temporal
 from ledgerlens.functions.numbers import is_numeric
@@ -24,6 +26,14 @@ class ColumnInfo:
     kind: str  # numeric, boolean, temporal, string or nested
 
 
+def local_table(spark, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A small table of metadata that the optimizer knows the size of."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(struct)
+    columns = [pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
+
+
 def kind_of(dtype: T.DataType) -> str:
     if is_numeric(dtype):
         return "numeric"
