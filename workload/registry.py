@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kpi", "charts", "profiling", "cleaning", "evaluation", "business", "linking", "classification", "boards")
+MODULES = ("kpi", "charts", "profiling", "cleaning", "evaluation", "business", "linking", "classification", "boards", "loading")
 
 
 def _merged(attribute: str) -> dict:
