@@ -14,7 +14,7 @@ from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import grouped_text, rounded
 from ledgerlens.functions.text import hits_in, looks_like_date, strip_currency
 from ledgerlens.plans import signatures as sig
-from ledgerlens.plans.catalog import columns_of, text_of
+from ledgerlens.plans.catalog import columns_of, text_of, union_all
 from ledgerlens.plans.ordered import staged
 
 SAMPLE_ROWS = 50      # first rows whose values are searched for patterns
@@ -32,30 +32,33 @@ class Source:
 
 
 def _words(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """Array literal of constant strings, as one raw SQL literal."""
+    return F.expr("array(" + ", ".join(f"r'{v}'" for v in values) + ")" if values else "cast(array() as array<string>)")
 
 
 def _sample_text(source: Source, rows: int) -> DataFrame:
     """One row: the values of the first rows, one after the other."""
     infos = columns_of(source.df)
+    order = [source.order_by, *[c.name for c in infos if c.kind != "nested" and c.name != source.order_by]]
+    # the rows are picked first and turned into text afterwards
+    first = source.df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(rows)
     line = F.concat_ws(" ", *[text_of(c) for c in infos])
-    first = source.df.select(F.col(f"`{source.order_by}`").alias("_k"), line.alias("line")).orderBy("_k", "line").limit(rows)
-    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"]), " ").alias("sample"))
+    picked = first.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("k"), line.alias("line"))
+    return picked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), " ").alias("sample"))
 
 
 def first_value_types(source: Source, values: int = TYPING_ROWS) -> DataFrame:
     """(column, dates, numbers, longest): of the first values of each string column, shares that read as dates or numbers."""
-    out = None
+    parts = []
     for c in columns_of(source.df, "string"):
         top = source.df.where(F.col(f"`{c.name}`").isNotNull()).select(
             F.col(f"`{source.order_by}`").alias("_k"), F.col(f"`{c.name}`").alias("v")).orderBy("_k", "v").limit(values)
-        part = top.agg(
+        parts.append(top.agg(
             F.avg(F.when(looks_like_date(F.col("v")) & to_timestamp_or_null(F.col("v"), source.df.schema[c.name].dataType).isNotNull(), 1.0)
                   .otherwise(0.0)).alias("dates"),
             F.avg(F.when(strip_currency(F.col("v")).try_cast("double").isNotNull(), 1.0).otherwise(0.0)).alias("numbers"),
-        ).select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), "dates", "numbers")
-        out = part if out is None else out.unionByName(part)
-    return out
+        ).select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), "dates", "numbers"))
+    return union_all(parts) if parts else None
 
 
 def typed_columns(source: Source) -> DataFrame:
@@ -71,15 +74,12 @@ def typed_columns(source: Source) -> DataFrame:
     if texts is not None:
         parts.append(texts.select("ordinal", "column", (F.coalesce("dates", F.lit(0.0)) > 0.8).alias("is_date"),
                                   (F.coalesce("numbers", F.lit(0.0)) > 0.8).alias("is_numeric")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("is_date") | F.col("is_numeric"))
+    return union_all(parts).where(F.col("is_date") | F.col("is_numeric"))
 
 
 def dataset_facts(sources: dict[str, Source]) -> DataFrame:
     """One row per dataset: names, sampled values, size and simple characteristics."""
-    out = None
+    parts = []
     for name, s in sources.items():
         infos = columns_of(s.df)
         strings = [c.name for c in infos if c.kind == "string"]
@@ -88,17 +88,17 @@ def dataset_facts(sources: dict[str, Source]) -> DataFrame:
         wordy = F.lit(False)
         for flag in lengths:
             wordy = wordy | F.coalesce(flag, F.lit(False))
-        text_dates = first_value_types(s, 10)
-        has_date = F.lit(True) if dated else (
-            text_dates.agg(F.coalesce(F.max(F.col("dates") >= 1.0), F.lit(False))).scalar() if text_dates is not None else F.lit(False))
-        part = s.df.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content")).select(
+        text_dates = None if dated else first_value_types(s, 10)
+        has_date = F.lit(dated) if text_dates is None else text_dates.agg(
+            F.coalesce(F.max(F.col("dates") >= 1.0), F.lit(False))).scalar()
+        parts.append(s.df.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content")).select(
             F.lit(name).alias("dataset"), F.lit(s.filename.lower()).alias("filename"), F.lit(s.is_model).alias("is_model"), "rows",
             F.lit(len(infos)).alias("cols"), _words([c.name.lower() for c in infos]).alias("names"), "has_text_content",
             has_date.alias("has_dates"), F.lit(any(c.kind in ("numeric", "boolean") for c in infos)).alias("has_numbers"),
             F.lit(any("id" in c.name.lower() for c in infos)).alias("has_ids"), _sample_text(s, SAMPLE_ROWS).scalar().alias("sample"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        ))
+    # one small row per dataset from here on; the scans behind it run once
+    return staged(union_all(parts))
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -289,7 +289,7 @@ def persona_domains(facts: DataFrame) -> DataFrame:
 
 def persona_by_content(sources: dict[str, Source], facts: DataFrame | None = None) -> DataFrame:
     """Who the datasets are for, by their content types; keywords decide for unknown ones."""
-    facts = staged(dataset_facts(sources)) if facts is None else facts
+    facts = dataset_facts(sources) if facts is None else facts
     kinds = content_types(sources, facts)
     weights = [F.struct(F.lit(p).alias("persona"), F.lit(w).alias("weight"), _words(types).alias("types")) for p, w, types in sig.CONTENT_PERSONAS]
     grid = kinds.select("dataset", "content_type", "confidence", F.inline(F.array(*weights)))

@@ -18,7 +18,7 @@ from ledgerlens.operators import kpis as k
 from ledgerlens.operators import profile as p
 from ledgerlens.operators.evaluate import classification_metrics, confusion_chart, roc_curve
 from ledgerlens.operators.filters import column_kinds, errors_only, slicer_filter, slicer_options
-from ledgerlens.plans.catalog import columns_of, local_table, numeric_names
+from ledgerlens.plans.catalog import columns_of, local_table, numeric_names, union_all
 
 
 @dataclass(frozen=True)
@@ -313,10 +313,7 @@ def compile_charts(df: DataFrame, charts: list[Chart], order_by: str) -> DataFra
         part = _single(df, ch, order_by)
         if part is not None:
             parts.append(part)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def _single(df: DataFrame, ch: Chart, order_by: str) -> DataFrame | None:

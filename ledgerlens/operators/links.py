@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import ratio, rounded
 from ledgerlens.functions.text import indel_ratio, spaced
-from ledgerlens.plans.catalog import ColumnInfo, columns_of, local_table, value_key
+from ledgerlens.plans.catalog import ColumnInfo, columns_of, local_table, union_all, value_key
 from ledgerlens.plans.ordered import staged
 
 BITS = 62
@@ -31,14 +31,16 @@ LINK_WORDS = (
 KEY_SUFFIXES = ("_id", "id", "_key", "key", "_code", "code")
 
 
-def _slots(datasets: dict[str, DataFrame]) -> list[tuple[int, str, ColumnInfo]]:
+Slot = tuple[int, str, ColumnInfo]
+
+
+def comparable(datasets: dict[str, DataFrame]) -> list[Slot]:
     """(dataset position, dataset, column) of every column with comparable values."""
     return [(p, name, c) for p, (name, df) in enumerate(datasets.items()) for c in columns_of(df) if c.kind != "nested"]
 
 
-def value_masks(datasets: dict[str, DataFrame]) -> DataFrame:
+def value_masks(datasets: dict[str, DataFrame], slots: list[Slot]) -> DataFrame:
     """(masks, n): how many distinct values occur in exactly this set of columns."""
-    slots = _slots(datasets)
     words = (len(slots) + BITS - 1) // BITS
     parts = []
     for name, df in datasets.items():
@@ -48,9 +50,7 @@ def value_masks(datasets: dict[str, DataFrame]) -> DataFrame:
         ]
         if cells:
             parts.append(df.select(F.inline(F.array(*cells))))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    long = union_all(parts)
     masks = long.where(F.col("value").isNotNull()).groupBy("value").agg(*[
         F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in range(words)
     ])
@@ -69,13 +69,10 @@ def _members(patterns: DataFrame, slots: int) -> DataFrame:
     return patterns.select("masks", "n", F.explode(inside).alias("slot"))
 
 
-def link_catalog(datasets: dict[str, DataFrame], patterns: DataFrame) -> DataFrame:
-    """(slot, position, dataset, ordinal, column, dtype, kind, rows, distinct) of every column."""
-    slots = _slots(datasets)
-    counts = None
-    for name, df in datasets.items():
-        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
-        counts = part if counts is None else counts.unionByName(part)
+def link_catalog(datasets: dict[str, DataFrame], slots: list[Slot], patterns: DataFrame) -> DataFrame:
+    """(slot, position, dataset, ordinal, column, dtype, kind, rows, distinct) of the compared columns."""
+    counts = union_all([
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows") for name, df in datasets.items()])
     session = next(iter(datasets.values())).sparkSession
     known = local_table(
         session, [(i, p, name, c.ordinal, c.name, c.dtype, c.kind) for i, (p, name, c) in enumerate(slots)],
@@ -86,18 +83,40 @@ def link_catalog(datasets: dict[str, DataFrame], patterns: DataFrame) -> DataFra
         "distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
 
 
-def _survey(datasets: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Value masks and column catalog of the tables.
+def _survey(datasets: dict[str, DataFrame], slots: list[Slot]) -> tuple[DataFrame, DataFrame]:
+    """Value masks and column catalog of the columns worth comparing.
 
     The masks are the outcome of the one heavy job, a few hundred rows at most
     in practice; they are staged so that it runs once.  The catalog has one row
     per column and is kept as a local table.
     """
-    patterns = staged(value_masks(datasets))
-    catalog = link_catalog(datasets, patterns)
+    patterns = staged(value_masks(datasets, slots))
+    catalog = link_catalog(datasets, slots, patterns)
     return patterns, local_table(catalog.sparkSession, catalog.collect(), catalog.schema)
 
 
+def _paired_by_name(datasets: dict[str, DataFrame], match: Column) -> list[Slot]:
+    """Columns whose name matches that of a column in another table; the others need no scan."""
+    slots = comparable(datasets)
+    session = next(iter(datasets.values())).sparkSession
+    names = local_table(session, [(i, p, c.name) for i, (p, _, c) in enumerate(slots)], "slot int, position int, `column` string")
+    left = names.select(*[F.col(c).alias(f"a_{c}") for c in names.columns])
+    right = names.select(*[F.col(c).alias(f"b_{c}") for c in names.columns])
+    pairs = left.join(right, (F.col("a_position") < F.col("b_position")) & match)
+    wanted = {r["slot"] for r in pairs.select(F.explode(F.array("a_slot", "b_slot")).alias("slot")).distinct().collect()}
+    return [s for i, s in enumerate(slots) if i in wanted]
+
+
+def _link_slots(datasets: dict[str, DataFrame]) -> list[Slot]:
+    """Columns that may turn out linkable: by name, or as text or whole numbers."""
+    words = [w for _, group in LINK_WORDS for w in group]
+    return [
+        s for s in comparable(datasets)
+        if s[2].kind == "string" or s[2].dtype in ("tinyint", "smallint", "int", "bigint")
+        or any(w in s[2].name.lower().replace("_", " ").replace("-", " ") for w in words)
+    ]
+
+
 def link_type(name: Column, kind: Column, dtype: Column, distinct: Column, rows: Column) -> Column:
     """Kind of link a column can make, or NULL."""
     plain = spaced(name)
@@ -113,7 +132,7 @@ def link_type(name: Column, kind: Column, dtype: Column, distinct: Column, rows:
 
 def linkable_columns(datasets: dict[str, DataFrame]) -> DataFrame:
     """Columns that could link tables, with the kind of link."""
-    _, catalog = _survey(datasets)
+    _, catalog = _survey(datasets, _link_slots(datasets))
     return catalog.withColumn("link_type", link_type(*[F.col(c) for c in ("column", "kind", "dtype", "distinct", "rows")])).where(
         F.col("link_type").isNotNull()).select("dataset", "column", "link_type", "distinct", "rows")
 
@@ -141,13 +160,14 @@ def _lower(name: str) -> Column:
 
 def validate_links(datasets: dict[str, DataFrame]) -> DataFrame:
     """Compatible column pairs that share values: overlap, strength, confidence, issues."""
-    patterns, catalog = _survey(datasets)
+    slots = _link_slots(datasets)
+    patterns, catalog = _survey(datasets, slots)
     catalog = catalog.withColumn(
         "link_type", link_type(*[F.col(c) for c in ("column", "kind", "dtype", "distinct", "rows")])).where(F.col("link_type").isNotNull())
     a, b = _lower("a_column"), _lower("b_column")
     types = F.col("a_link_type"), F.col("b_link_type")
     compatible = (types[0] == types[1]) | (types[0] == "id") | (types[1] == "id") | b.contains(a) | a.contains(b)
-    pairs = _overlaps(_candidates(catalog, compatible, ["link_type"]), patterns, len(_slots(datasets)))
+    pairs = _overlaps(_candidates(catalog, compatible, ["link_type"]), patterns, len(slots))
     left, right = ratio(F.col("matched"), F.col("a_distinct")) * 100, ratio(F.col("matched"), F.col("b_distinct")) * 100
     best = F.greatest(left, right)
     missing = F.col("a_distinct") - F.col("matched")
@@ -231,13 +251,14 @@ def infer_relationships(datasets: dict[str, DataFrame], per_pair: int = 5) -> Da
 
     Overlap is measured on all distinct values.
     """
-    patterns, catalog = _survey(datasets)
     a, b = _lower("a_column"), _lower("b_column")
     similar = indel_ratio(a, b)
     ids = (a.contains("id") & b.contains("id")) | (a.endswith("_id") & b.endswith("_id")) | (a == b)
+    slots = _paired_by_name(datasets, (similar > 0.7) | ids) or comparable(datasets)[:1]
+    patterns, catalog = _survey(datasets, slots)
     pairs = _candidates(catalog, (similar > 0.7) | ids, [])
     pairs = pairs.withColumn("similarity", similar).withColumn("ids", ids)
-    shared = _overlaps(pairs, patterns, len(_slots(datasets)))
+    shared = _overlaps(pairs, patterns, len(slots))
     overlap = ratio(F.col("matched"), F.least("a_distinct", "b_distinct"))
     sure = F.least(F.col("similarity") * 0.4 + overlap * 0.4 + F.when(F.col("ids"), 0.2).otherwise(0.0), F.lit(0.99))
     found = shared.where(overlap > 0.3).withColumn("confidence", rounded(sure, 2)).withColumn("overlap", overlap)
@@ -272,10 +293,11 @@ def _stem(name: Column) -> Column:
 
 def find_relationships(datasets: dict[str, DataFrame]) -> DataFrame:
     """Potential joins of columns with the same name stem and over 30 % shared values."""
-    patterns, catalog = _survey(datasets)
     a, b = _stem(_lower("a_column")), _stem(_lower("b_column"))
     match = (F.col("a_column") == F.col("b_column")) | a.contains(b) | b.contains(a)
-    shared = _overlaps(_candidates(catalog, match, []), patterns, len(_slots(datasets)))
+    slots = _paired_by_name(datasets, match) or comparable(datasets)[:1]
+    patterns, catalog = _survey(datasets, slots)
+    shared = _overlaps(_candidates(catalog, match, []), patterns, len(slots))
     overlap = ratio(F.col("matched"), F.least("a_distinct", "b_distinct"))
     return shared.where(overlap > 0.3).select(
         F.col("a_dataset").alias("dataset1"), F.col("a_column").alias("column1"), F.col("b_dataset").alias("dataset2"),

@@ -9,7 +9,7 @@ from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import ratio, rounded
 from ledgerlens.functions.text import EMAIL_SHAPE, indel_ratio, looks_like_date, strip_currency
 from ledgerlens.plans import signatures as sig
-from ledgerlens.plans.catalog import columns_of, local_table, text_of
+from ledgerlens.plans.catalog import columns_of, local_table, text_of, union_all
 
 TYPING_ROWS = 100
 
@@ -34,10 +34,7 @@ def type_scores(df: DataFrame, order_by: str, rows: int = TYPING_ROWS) -> DataFr
         }
         parts.append(shares.select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"),
                                    *[F.when(F.col("n") == 0, 0.5).otherwise(s).alias(k) for k, s in fits.items()]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts)
 
 
 def field_scores(types: DataFrame) -> DataFrame:

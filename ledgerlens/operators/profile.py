@@ -14,7 +14,7 @@ from ledgerlens.functions.numbers import (
 from ledgerlens.functions.text import contains_any, looks_like_date
 from ledgerlens.operators.charts import histogram
 from ledgerlens.plans.catalog import (
-    ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, value_key,
+    ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, union_all, value_key,
     with_distinct,
 )
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
@@ -105,10 +105,7 @@ def samples(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("top"))
         )
         parts.append(top.select(F.lit(c.ordinal).alias("ordinal"), F.posexplode("top.value").alias("position", "value")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def date_shares(df: DataFrame, order_by: str, n: int = 10) -> DataFrame:

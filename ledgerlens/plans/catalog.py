@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlens.functions.dates import is_temporal
 from ledgerlens.functions.numbers import is_numeric
-from ledgerlens.plans.ranks import EXACT_IN_MEMORY, Quantile, quantile_exprs
+from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
 # Longer values are compared by digest, so that keys stay short in a shuffle.
 LONG_VALUE = 40
@@ -34,6 +34,14 @@ def local_table(spark, rows: list, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """All parts below each other by column name, as a balanced tree so that the plan is resolved few times over."""
+    while len(parts) > 1:
+        pairs = [parts[i:i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
+
+
 def kind_of(dtype: T.DataType) -> str:
     if is_numeric(dtype):
         return "numeric"
@@ -134,7 +142,7 @@ ALL_FACTS = ("mean", "variance", "min", "max", "sum", "skew", "kurt", "q1", "med
 
 
 def facts(df: DataFrame, infos: list[ColumnInfo] | None = None, want: tuple[str, ...] = ALL_FACTS,
-          outliers: bool = False, in_memory: int = EXACT_IN_MEMORY) -> DataFrame:
+          outliers: bool = False, in_memory: int | None = None) -> DataFrame:
     """One row per column: rows, nulls and, for numbers, the wanted moments and quartiles.
 
     Columns: ordinal, name, dtype, kind, rows, nulls, the names in ``want``, std
@@ -148,13 +156,10 @@ def facts(df: DataFrame, infos: list[ColumnInfo] | None = None, want: tuple[str,
     rows = df.count() if set(want) & set(_FRACTIONS) else 0
     blocks = [infos[i:i + COLUMNS_PER_SCAN] for i in range(0, len(infos), COLUMNS_PER_SCAN)]
     parts = [_facts_block(df, block, want, outliers, in_memory, rows) for block in blocks]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
-def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...], outliers: bool, in_memory: int,
+def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...], outliers: bool, in_memory: int | None,
                  rows: int) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     quantiles: list[Quantile] = []
@@ -264,10 +269,7 @@ def pairwise_correlations(df: DataFrame, names: list[str]) -> DataFrame:
                                     F.lit(names[j]).alias("y"), r.alias("r")))
         wide = df.agg(*[c.alias(k) for k, c in aggs.items()])
         parts.append(wide.select(F.inline(F.array(*results))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def _r(n: Column, sxy: Column, sx: Column, sy: Column, sxx: Column, syy: Column) -> Column:

@@ -1,10 +1,13 @@
 """Exact quantiles at any size.
 
-Up to ``EXACT_IN_MEMORY`` rows the built-in ``percentile`` aggregate is used: its
-value-to-count map is then bounded by that row count.  Beyond it each wanted
-order statistic is bracketed by a quantile sketch, the bracket is narrowed with
-one scan per round until few distinct values are left in it, and the value is
-read off the exact counts.  Both ways give the same linear-interpolated result.
+Small tables use the built-in ``percentile`` aggregate, whose value-to-count map
+is bounded by ``EXACT_IN_MEMORY`` rows; all quantiles of a column share one map.
+Larger ones are answered by narrowing: a quantile sketch brackets every wanted
+order statistic, one scan counts the rows below, at and inside the brackets, and
+the few values left inside are read off their exact counts.  Brackets that still
+hold many rows are narrowed again.  Counting decides every step, so a sketch that
+misses costs another round and never a wrong result; heavy values are found as
+bracket ends.  Both ways give the same linear-interpolated quantiles.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-EXACT_IN_MEMORY = 5_000_000
+EXACT_IN_MEMORY = 100_000
 SKETCH_ACCURACY = 10_000
-DISTINCT_PER_BRACKET = 1_000_000
+ROWS_PER_BRACKET = 1_000_000
+INFINITY = float("inf")
 
 
 @dataclass(frozen=True)
@@ -29,7 +33,7 @@ class Quantile:
 
 
 def quantile_exprs(
-    df: DataFrame, wanted: list[Quantile], in_memory: int = EXACT_IN_MEMORY, rows: int | None = None
+    df: DataFrame, wanted: list[Quantile], in_memory: int | None = None, rows: int | None = None
 ) -> list[Column]:
     """Exact quantiles of ``df`` as columns usable in one of its aggregates.
 
@@ -39,111 +43,149 @@ def quantile_exprs(
     if not wanted:
         return []
     rows = df.count() if rows is None else rows
-    if rows <= in_memory:
-        return [F.percentile(q.value.cast("double"), q.fraction).alias(q.name) for q in wanted]
+    if rows <= (EXACT_IN_MEMORY if in_memory is None else in_memory):
+        shared: dict[str, list[float]] = {}
+        for q in wanted:
+            shared.setdefault(str(q.value), []).append(q.fraction)
+        return [
+            F.percentile(q.value.cast("double"), F.array(*[F.lit(p) for p in shared[str(q.value)]]))[
+                shared[str(q.value)].index(q.fraction)].alias(q.name)
+            for q in wanted
+        ]
     values = _narrowed(df, wanted)
     return [F.lit(values[q.name]).cast("double").alias(q.name) for q in wanted]
 
 
-def quantile_row(df: DataFrame, wanted: list[Quantile], in_memory: int = EXACT_IN_MEMORY) -> DataFrame:
+def quantile_row(df: DataFrame, wanted: list[Quantile], in_memory: int | None = None) -> DataFrame:
     """One-row DataFrame with an exact quantile per entry of ``wanted``."""
     return df.agg(*quantile_exprs(df, wanted, in_memory))
 
 
+@dataclass
+class _Target:
+    """An order statistic on its way: rank ``rank`` of column ``col`` lies in (low, high) or at an end of (a, b)."""
+
+    col: str
+    rank: int
+    low: float = -INFINITY
+    high: float = INFINITY
+    below: int = 0   # rows at or below ``low``
+    inside: int = 0  # rows in (low, high)
+    a: float = 0.0
+    b: float = 0.0
+
+
 def _narrowed(df: DataFrame, wanted: list[Quantile]) -> dict[str, float | None]:
-    """Read the quantiles of a large table; the driver sees bounds and counts only."""
-    cols = [q.value.cast("double") for q in wanted]
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    """Quantiles of a large table; the driver sees bounds and counts only."""
+    cols = {str(q.value): q.value.cast("double") for q in wanted}
+    margin = 2.0 / SKETCH_ACCURACY
+    ends = {c: sorted({min(1.0, max(0.0, q.fraction + side)) for q in wanted if str(q.value) == c for side in (-margin, margin)}) for c in cols}
+    names = {c: i for i, c in enumerate(cols)}
+    first = df.agg(*[F.count(e).alias(f"n{names[c]}") for c, e in cols.items()], *[
+        F.percentile_approx(e, ends[c], F.lit(SKETCH_ACCURACY)).alias(f"s{names[c]}") for c, e in cols.items()]).first()
+    targets: dict[tuple[str, int], _Target] = {}
+    for q in wanted:
+        c = str(q.value)
+        n, sketch = first[f"n{names[c]}"], first[f"s{names[c]}"]
+        if n:
+            at = q.fraction * (n - 1)
+            a, b = (sketch[ends[c].index(min(1.0, max(0.0, q.fraction + side)))] for side in (-margin, margin))
+            for rank in {math.floor(at), math.ceil(at)}:
+                targets.setdefault((c, rank), _Target(c, rank, inside=n, a=a, b=b))
+    found = _order_statistics(df, cols, list(targets.values()))
     result: dict[str, float | None] = {}
-    open_targets: dict[tuple[int, int], dict] = {}
-    for i, q in enumerate(wanted):
-        n = counts[f"n{i}"]
-        if n == 0:
+    for q in wanted:
+        c = str(q.value)
+        n = first[f"n{names[c]}"]
+        if not n:
             result[q.name] = None
             continue
         at = q.fraction * (n - 1)
-        for rank in {math.floor(at), math.ceil(at)}:
-            open_targets[i, rank] = {"lo": float("-inf"), "hi": float("inf"), "below": 0, "rows": n}
-    found = _order_statistics(df, cols, open_targets)
-    for i, q in enumerate(wanted):
-        if q.name in result:
-            continue
-        at = q.fraction * (counts[f"n{i}"] - 1)
-        low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+        low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
         result[q.name] = low + (high - low) * (at - math.floor(at))
     return result
 
 
-def _order_statistics(df: DataFrame, cols: list[Column], open_targets: dict) -> dict:
-    found: dict[tuple[int, int], float] = {}
-    while open_targets:
-        keys = list(open_targets)
-        inside = [
-            F.when((cols[i] >= open_targets[i, r]["lo"]) & (cols[i] <= open_targets[i, r]["hi"]), cols[i])
-            for i, r in keys
-        ]
-        margin = 2.0 / SKETCH_ACCURACY
-        exprs = []
-        for t, (i, r) in enumerate(keys):
-            state = open_targets[i, r]
-            local = (r - state["below"]) / max(state["rows"] - 1, 1)
-            fractions = [max(0.0, local - margin), min(1.0, local + margin)]
-            exprs.append(F.percentile_approx(inside[t], fractions, F.lit(SKETCH_ACCURACY)).alias(f"b{t}"))
-        sketch = df.agg(*exprs).first()
-        bounds = [sketch[f"b{t}"] for t in range(len(keys))]
-        checks = []
-        for t, (i, _) in enumerate(keys):
-            lo, hi = bounds[t]
-            within = F.when((cols[i] >= lo) & (cols[i] <= hi), cols[i])
-            checks += [
-                F.count(F.when(cols[i] < lo, 1)).alias(f"below{t}"),
-                F.count(within).alias(f"rows{t}"),
-                F.approx_count_distinct(within).alias(f"distinct{t}"),
-            ]
-        seen = df.agg(*checks).first()
-        ready = {}
-        for t, key in enumerate(keys):
-            state, (lo, hi) = open_targets[key], bounds[t]
-            below, rows = seen[f"below{t}"], seen[f"rows{t}"]
-            if below <= key[1] < below + rows:
-                narrowed = rows < state["rows"]
-                open_targets[key] = {"lo": lo, "hi": hi, "below": below, "rows": rows}
-            else:
-                narrowed = False
-            if lo == hi and below <= key[1] < below + rows:
-                found[key] = lo
-                del open_targets[key]
-            elif seen[f"distinct{t}"] <= DISTINCT_PER_BRACKET or not narrowed:
-                ready[key] = open_targets.pop(key)
-        found.update(_read_off(df, cols, ready))
+def _order_statistics(df: DataFrame, cols: dict[str, Column], pending: list[_Target]) -> dict[tuple[str, int], float]:
+    found: dict[tuple[str, int], float] = {}
+    ready: list[_Target] = []
+    while pending:
+        pending = _count_brackets(df, cols, pending, found, ready)
+        if pending:
+            _sketch_brackets(df, cols, pending)
+    found.update(_read_off(df, cols, ready))
     return found
 
 
-def _read_off(df: DataFrame, cols: list[Column], ready: dict) -> dict:
-    """Exact values for brackets that hold few distinct values."""
+def _count_brackets(df, cols, pending: list[_Target], found: dict, ready: list[_Target]) -> list[_Target]:
+    """Place every target by exact counts: at a, at b, inside (a, b) or outside; return those still too wide."""
+    spans = list(dict.fromkeys((t.col, t.a, t.b) for t in pending))
+    counts = df.agg(*[
+        F.count(F.when(condition, 1)).alias(f"{k}{i}")
+        for i, (c, a, b) in enumerate(spans)
+        for k, condition in (("lt", cols[c] < a), ("at", cols[c] == a), ("in", (cols[c] > a) & (cols[c] < b)), ("up", cols[c] == b))
+    ]).first()
+    wide = []
+    for t in pending:
+        i = spans.index((t.col, t.a, t.b))
+        lt, at, inner = counts[f"lt{i}"], counts[f"at{i}"], counts[f"in{i}"]
+        up = counts[f"up{i}"] if t.b != t.a else 0
+        if lt <= t.rank < lt + at:
+            found[t.col, t.rank] = t.a
+            continue
+        if lt + at + inner <= t.rank < lt + at + inner + up:
+            found[t.col, t.rank] = t.b
+            continue
+        if t.rank < lt:
+            t.high, t.inside = t.a, lt - t.below
+        elif t.rank < lt + at + inner:
+            t.low, t.high, t.below, t.inside = t.a, t.b, lt + at, inner
+        else:
+            t.low, t.inside = t.b, t.inside - (lt + at + inner + up - t.below)
+            t.below = lt + at + inner + up
+        (ready if t.inside <= ROWS_PER_BRACKET else wide).append(t)
+    return wide
+
+
+def _sketch_brackets(df, cols, pending: list[_Target]) -> None:
+    """New bracket ends from a sketch of the rows inside each bracket."""
+    margin = 2.0 / SKETCH_ACCURACY
+    exprs = []
+    for i, t in enumerate(pending):
+        value = F.when((cols[t.col] > t.low) & (cols[t.col] < t.high), cols[t.col])
+        local = (t.rank - t.below) / max(t.inside - 1, 1)
+        exprs.append(F.percentile_approx(value, [max(0.0, local - margin), min(1.0, local + margin)], F.lit(SKETCH_ACCURACY)).alias(f"b{i}"))
+    row = df.agg(*exprs).first()
+    for i, t in enumerate(pending):
+        t.a, t.b = row[f"b{i}"]
+
+
+def _read_off(df: DataFrame, cols: dict[str, Column], ready: list[_Target]) -> dict[tuple[str, int], float]:
+    """Values of the targets whose brackets hold few rows."""
     if not ready:
         return {}
-    keys = list(ready)
+    spans = list(dict.fromkeys((t.col, t.low, t.high) for t in ready))
     tagged = [
-        F.when(
-            (cols[i] >= ready[i, r]["lo"]) & (cols[i] <= ready[i, r]["hi"]),
-            F.struct(F.lit(t).alias("target"), cols[i].alias("value")),
-        )
-        for t, (i, r) in enumerate(keys)
+        F.when((cols[c] > low) & (cols[c] < high), F.struct(F.lit(i).alias("span"), cols[c].alias("value")))
+        for i, (c, low, high) in enumerate(spans)
     ]
+    in_any = tagged[0].isNotNull()
+    for x in tagged[1:]:
+        in_any = in_any | x.isNotNull()
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*tagged))).alias("v"))
-        .groupBy(F.col("v.target").alias("target"), F.col("v.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = F.element_at(
-        F.array(*[F.lit(r - ready[i, r]["below"]).cast("bigint") for i, r in keys]), F.col("target") + 1
+        df.where(in_any).select(F.explode(F.array_compact(F.array(*tagged))).alias("v"))
+        .groupBy(F.col("v.span").alias("span"), F.col("v.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
+    ranks = [sorted({t.rank - t.below for t in ready if (t.col, t.low, t.high) == span}) for span in spans]
+    of_span = F.element_at(F.array(*[F.array(*[F.lit(r).cast("bigint") for r in rs]) for rs in ranks]), F.col("span") + 1)
+    upto = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         counted.withColumn("upto", F.sum("n").over(upto))
-        .where((F.col("upto") > ranks) & (F.col("upto") - F.col("n") <= ranks))
-        .select("target", "value")
-        .collect()
+        .where(F.exists(of_span, lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)))
+        .select("span", "value", "n", "upto").collect()
     )
-    return {keys[h["target"]]: h["value"] for h in hits}
+    out = {}
+    for t in ready:
+        i, rank = spans.index((t.col, t.low, t.high)), t.rank - t.below
+        out[t.col, t.rank] = next(h["value"] for h in hits if h["span"] == i and h["upto"] - h["n"] <= rank < h["upto"])
+    return out

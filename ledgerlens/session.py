@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # building large column expressions should not ask the JVM for call sites
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # wide profiling aggregates stay inside generated code
     "spark.sql.codegen.maxFields": "400",
 }

@@ -15,9 +15,9 @@ def narrowed(df, col="v"):
     return list(quantile_row(df, wanted, in_memory=0).first())
 
 
-@pytest.mark.parametrize("few", [1_000_000, 5])
+@pytest.mark.parametrize("few", [1_000_000, 5, 0])
 def test_matches_numpy(spark, monkeypatch, few):
-    monkeypatch.setattr(ranks, "DISTINCT_PER_BRACKET", few)
+    monkeypatch.setattr(ranks, "ROWS_PER_BRACKET", few)
     monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 100)
     rng = np.random.default_rng(5)
     values = np.round(rng.normal(size=4000), 4)

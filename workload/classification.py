@@ -90,12 +90,13 @@ def _facts() -> str:
         wordy = " OR ".join(f"avg(length({x})) > 50" for x in strings) or "false"
         numbers = any(x[-1] in "id" for x in specs.split())
         line = "concat_ws(' ', " + ", ".join(f"CAST({n} AS VARCHAR)" for n in names) + ")"
+        order = ", ".join([KEYS[t], *[n for n in names if n not in (KEYS[t], "embedding")]])
         dated = "true" if ":t" in specs else "coalesce((SELECT " + (" OR ".join(
             f"(SELECT count(*) = count(CASE WHEN regexp_matches(v, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}|\\d{{2}}-\\d{{2}}-\\d{{4}})') THEN 1 END) FROM (SELECT {x} AS v FROM {t} WHERE {x} IS NOT NULL ORDER BY {KEYS[t]}, v LIMIT 10))"
             for x in strings) or "false") + "), false)"
         parts.append(f"""SELECT '{t}' AS dataset, '{t}.csv' AS filename, count(*) AS rows, {len(names)} AS cols, {lst(names)} AS names, {q(' '.join(names).replace('_', ' '))} AS plain,
 coalesce({wordy}, false) AS wordy, {dated} AS dated, {str(numbers).lower()} AS numbers, {str(any('id' in n for n in names)).lower()} AS ids,
-(SELECT string_agg(line, ' ' ORDER BY k, line) FROM (SELECT {KEYS[t]} AS k, {line} AS line FROM {t} ORDER BY 1, 2 LIMIT 50)) AS sample FROM {t}""")
+(SELECT string_agg(line, ' ' ORDER BY n) FROM (SELECT row_number() OVER (ORDER BY {order}) AS n, {line} AS line FROM {t} QUALIFY n <= 50)) AS sample FROM {t}""")
     return "WITH f AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
