@@ -286,9 +286,11 @@ def graph_edges(relationships: DataFrame) -> DataFrame:
 
 
 def _stem(name: Column) -> Column:
-    for suffix in KEY_SUFFIXES:
-        name = F.when(name.endswith(suffix), F.replace(name, F.lit(suffix), F.lit(""))).otherwise(name)
-    return name
+    """Name without its key suffixes, as a fold so that the expression does not repeat itself."""
+    def strip(rest: Column, suffix: Column) -> Column:
+        return F.when(F.endswith(rest, suffix), F.replace(rest, suffix, F.lit(""))).otherwise(rest)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in KEY_SUFFIXES]), name, strip)
 
 
 def find_relationships(datasets: dict[str, DataFrame]) -> DataFrame:

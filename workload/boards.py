@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import dashboards as b
 from ledgerlens.operators import insights as i
+from workload.business import FOUND
 from workload.charts import ORACLES as CHART_SQL, ORDER_KINDS, histogram_sql
 from workload.common import END, START, cte, r, table, view
 from workload.kpi import ORACLES as KPI_SQL
@@ -196,11 +197,19 @@ ORACLES = {
     "analysis_top": f"SELECT o_orderstatus AS label, {r('sum(o_totalprice)', 4)} AS value FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
     "analysis_summary": f"WITH T AS {FILTERED} SELECT count(*) AS total_rows, CAST(6 AS BIGINT) AS total_columns, CAST(1 AS BIGINT) AS datasets, {_QUALITY} AS data_quality FROM T",
     "ask_records": "SELECT 'total_rows' AS label, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'datasets', '1' UNION ALL SELECT 'total_columns', '6'",
-    "ask_distribution": "SELECT o_orderstatus AS label, NULL AS value FROM orders WHERE false",
+    "sheet_overview_alerts": FOUND + "SELECT severity, title AS message FROM found WHERE severity IN ('critical', 'high') ORDER BY severity, insight_type, offering_id LIMIT 5",
+    "dashboard_spec_science": values([
+        ("statistics", "total_records", "Total Records", "kpi", None, None, "count"), ("statistics", "total_columns", "Total Features", "kpi", None, None, "column_count"),
+        ("statistics", "missing_pct", "Data Completeness", "kpi", None, None, "completeness"),
+        *[("statistics", f"dist_{n}", f"Distribution: {n}", "histogram", n, None, None) for n in ("doc_id", "actual", "predicted")],
+        *[("distributions", f"box_{n}", f"Box Plot: {n}", "boxplot", n, None, None) for n in ("doc_id", "actual", "predicted", "probability")],
+        ("modeling", "target_dist", "Target Distribution", "bar", "predicted", None, "count"), ("modeling", "target_balance", "Class Balance", "pie", "predicted", None, "count"),
+        ("correlations", "correlation_matrix", "Correlation Matrix", "heatmap", "doc_id,actual,predicted,probability", None, None),
+        ("correlations", "scatter_1", "doc_id vs actual", "scatter", "doc_id", "actual", None), ("correlations", "scatter_2", "predicted vs probability", "scatter", "predicted", "probability", None),
+        ("quality", "missing_by_column", "Missing Values by Column", "bar", None, None, "missing_count"), ("quality", "data_types", "Data Type Distribution", "pie", None, None, "dtype_count"), TABLE]),
     "class_balance": B + f"SELECT CAST(actual AS VARCHAR) AS label, count(*) AS count, {r('CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM pred_binary) * 100', 2)} AS percentage FROM pred_binary GROUP BY 1",
     "sheet_offerings": KPI_SQL["offering_metrics"],
     "statistics": PROFILE_SQL["distribution"].split("SELECT count(value)", 1)[0] + "\nUNION ALL ".join(
         "SELECT '" + c + "' AS \"column\", count(value)".replace("value", c) + PROFILE_SQL["distribution"].split("SELECT count(value)", 1)[1].replace("(value", f"({c}").replace(" value ", f" {c} ").replace("value <", f"{c} <").replace("value >", f"{c} >").replace("value,", f"{c},").replace("BY value", f"BY {c}")
         for c in ("event_id", "user_id", "value")),
 }
-del ORACLES["ask_distribution"]
