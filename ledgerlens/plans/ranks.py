@@ -124,12 +124,13 @@ def _count_brackets(df, cols, pending: list[_Target], found: dict, ready: list[_
         F.count(F.when(condition, 1)).alias(f"{k}{i}")
         for i, (c, a, b) in enumerate(spans)
         for k, condition in (("lt", cols[c] < a), ("at", cols[c] == a), ("in", (cols[c] > a) & (cols[c] < b)), ("up", cols[c] == b))
+        if a < b or k in ("lt", "at")
     ]).first()
     wide = []
     for t in pending:
         i = spans.index((t.col, t.a, t.b))
-        lt, at, inner = counts[f"lt{i}"], counts[f"at{i}"], counts[f"in{i}"]
-        up = counts[f"up{i}"] if t.b != t.a else 0
+        lt, at = counts[f"lt{i}"], counts[f"at{i}"]
+        inner, up = (counts[f"in{i}"], counts[f"up{i}"]) if t.a < t.b else (0, 0)
         if lt <= t.rank < lt + at:
             found[t.col, t.rank] = t.a
             continue
