@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import hamming, packing, sharding
+from ledgerlens.llm import hamming, language, packing, passages, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,24 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "_kept.n_words", "_kept.n_removed", F.sha2("_kept.kept_text", 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hamming.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op3_best_fit_packing, op10_simhash_duplicates)}
+QUERIES = {f.__name__: f for f in (
+    op1_jump_sharding, op3_best_fit_packing, op5_repeated_passages, op6_toxicity, op8_language, op10_simhash_duplicates)}
 ORACLES: dict[str, str] = {}
