@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import hamming, language, packing, passages, sharding, toxicity
+from ledgerlens.llm import hamming, language, minhash, packing, passages, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compared_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op3_best_fit_packing, op5_repeated_passages, op6_toxicity, op8_language, op10_simhash_duplicates)}
+    op1_jump_sharding, op3_best_fit_packing, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op10_simhash_duplicates)}
 ORACLES: dict[str, str] = {}
