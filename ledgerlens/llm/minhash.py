@@ -3,7 +3,8 @@
 Each shingle of five words is hashed once.  The high bits of a hash name its bin, and a bin keeps
 its smallest hash.  An empty bin copies from a full one, found by a walk of its own over the bins
 (optimal densification; the walk of a bin is an odd step from a start, both drawn by hash, so it
-meets every bin once).  The low four bits of every bin are packed into 64-bit numbers.  Bins of two
+meets every bin once).  Four bits of every bin, from the low part of its hash, are
+packed into 64-bit numbers.  Bins of two
 fingerprints that agree by chance, one in sixteen, are taken off the likeness.
 
 Defined cases: a null text is read as empty; a text of one to four words is one shingle; a text
@@ -64,10 +65,10 @@ def bins(hashes: Column) -> Column:
 
 
 def densified(smallest: Column) -> Column:
-    """Low bits of each bin; an empty bin takes those of the first full bin on its walk."""
+    """Low 31 bits of each bin's hash; an empty bin takes those of the first full bin on its walk."""
     low = F.lit((1 << LOW) - 1).cast("bigint")
     values = F.transform(smallest, lambda h: F.when(
-        h.bitwiseAND(low) != low, h.bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).cast("int")))
+        h.bitwiseAND(low) != low, h.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int")))
     starts = F.array(*[F.lit(_mixed(b + 1) % BINS) for b in range(BINS)])
     steps = F.array(*[F.lit(_mixed(b + 0x10001) % BINS | 1) for b in range(BINS)])
 
@@ -92,12 +93,20 @@ def densified(smallest: Column) -> Column:
     return F.get(F.transform(F.array(values), filled), 0)
 
 
-def packed(low_bits: Column) -> Column:
-    """Sixteen bins to a number."""
+def packed(values: Column) -> Column:
+    """Four bits for each bin, sixteen bins to a number.
+
+    A bin takes its bits by a multiplier of its own, so that copies of one hash in two unlike
+    fingerprints agree by chance bin by bin, not all at once.
+    """
+    factors = F.array(*[F.lit(_mixed(b + 0x20001) & 0x7FFFFFFF | 1).cast("bigint") for b in range(BINS)])
+    low_bits = F.transform(values, lambda v, b: F.shiftright(v.cast("bigint") * F.get(factors, b), 31 - BITS).bitwiseAND(
+        F.lit((1 << BITS) - 1).cast("bigint")))
+
     def pack(values: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda g: F.aggregate(
             F.slice(values, g * PER_LONG + 1, F.lit(PER_LONG)), F.lit(0).cast("bigint"),
-            lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v.cast("bigint"))))
+            lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v)))
 
     return F.get(F.transform(F.array(low_bits), pack), 0)
 

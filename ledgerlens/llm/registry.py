@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import hamming, language, minhash, packing, passages, sharding, toxicity
+from ledgerlens.llm import hamming, language, minhash, packing, passages, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+OP4_SQL = """WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10"""
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "_kept.n_words", "_kept.n_removed", F.sha2("_kept.kept_text", 256).alias("kept_sha256"))
@@ -45,5 +59,5 @@ def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op3_best_fit_packing, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op10_simhash_duplicates)}
-ORACLES: dict[str, str] = {}
+    op1_jump_sharding, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op10_simhash_duplicates)}
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL}

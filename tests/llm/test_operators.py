@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from ledgerlens.llm import components as stars, hamming, language, packing, passages, registry, sharding, toxicity
+from ledgerlens.llm import components as stars, hamming, language, minhash, packing, passages, registry, sharding, topk, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -228,3 +228,87 @@ def test_label_model_finds_accuracies():
     posterior, accuracies, noise = toxicity.label_model(np.stack([good, good, poor], 1), truth, np.ones(4000))
     assert accuracies[0, 1] - accuracies[0, 0] > 0.6 > 0.1 > abs(accuracies[2, 1] - accuracies[2, 0])
     assert noise[0, 1] > 0.8 and noise[0, 2] == 0 and ((posterior > 0.5) == truth).mean() > 0.97
+
+
+def brute_top(rows, asked, k=10):
+    out = {}
+    whole = {i: np.array([int(x) for x in np.floor(1024 * np.asarray(v, float))], object) for i, v in rows}
+    for q in asked:
+        scored = sorted((-int((whole[q] * x).sum()), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))
+        out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+@pytest.mark.parametrize("case", ["even", "clustered", "large"])
+def test_top_k(spark, case):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(900, 8))
+    if case == "clustered":
+        base = rng.normal(size=(6, 8))[rng.integers(0, 6, 900)] * rng.choice([1.0, 1.02, 3.0], (900, 1))
+    if case == "large":
+        base *= 2e5
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(i, rows[7][1]) for i in range(900, 1300)] + [(1300 + i, [float(i), 1.0]) for i in range(3)] + [(1400, []), (1500, [])]
+    odd = [(2000, None), (2100, [None] * 8), (2200, [float("nan")] * 8), (2300, [float("inf")] + [0.0] * 7), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id bigint, embedding array<double>, rank int")
+    found = topk.top_k(df, df.filter("vec_id % 100 = 0"), annulus=64, query_block=4).collect()
+    want = brute_top(rows, [i for i, _ in rows if i % 100 == 0])
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got == {q: own for q, own in want.items() if own}
+    empty = df.limit(0)
+    assert topk.top_k(empty, empty).count() == 0
+    twice = topk.top_k(df.filter("vec_id < 20"), df.filter("vec_id = 0").unionByName(df.filter("vec_id = 0")))
+    assert twice.count() == 10
+
+
+def test_registered_sql(spark):
+    from workload.compare import sql_connection
+
+    con = sql_connection(SF)
+    for name, sql in registry.ORACLES.items():
+        df = registry.QUERIES[name](spark, SF)
+        result = con.execute(sql)
+        names = [c[0] for c in result.description]
+        assert Counter(map(tuple, df.select(*names).collect())) == Counter(result.fetchall()), name
+
+
+def test_fingerprints(spark, planted):
+    found = {(r.doc_id, r.n_chars): r for r in minhash.compared_with_edits(frame(spark, [p for p in planted if p[0] != 1])).collect()}
+    docs = sorted([p for p in planted if p[0] not in (1, None)], key=lambda p: p[0])
+    docs = [(d, t or "") for d, t in docs if d != 5]
+    follow = dict(zip([d for d, _ in docs], docs[1:]))
+    for d, t in docs[:-1]:
+        if d == 4 or (d, len(t)) not in found:  # document 5 comes twice
+            continue
+        row, (_, after) = found[d, len(t)], follow[d]
+        quarter = len(t) // 4
+        edited = t[:len(t) - quarter] + after[:quarter]
+        assert row.edited_sha256 == brute.sha(edited), d
+
+        def shingles(text):
+            w = text.encode().split()
+            return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+        a, b, c = shingles(t), shingles(edited), shingles(after)
+        for guess, other in ((row.near_edited, b), (row.near_next, c)):
+            assert abs(guess - (len(a & other) / len(a | other) if a | other else 1)) < 0.17
+    same = defaultdict(set)
+    for r in minhash.fingerprints(frame(spark, planted)).withColumnRenamed("fingerprint", "f").collect():
+        same[next(t or "" for d, t in planted if d == r.doc_id)].add(tuple(r.f)) if r.doc_id not in (5, None) else None
+    assert all(len(v) == 1 for v in same.values())
+    assert len({f for v in same.values() for f in v}) > 20
+    one = minhash.compared_with_edits(frame(spark, [(1, "a b c d e f g")])).first()
+    assert one.near_next == 1.0 and one.fingerprint == one.fingerprint.lower() and len(one.fingerprint) == 256
+    assert minhash.compared_with_edits(frame(spark, [])).count() == 0
+
+
+def test_next_document_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ROWS_PER_RANGE", 3)
+    ids = [None, None, *range(0, 40, 3), 1000, 1001, 10**9, -5]
+    df = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id bigint, text string")
+    found = {r.text: r.next.text for r in minhash.with_next(df, ["text"]).collect()}
+    real = [f"t{i}" for i in sorted(range(2, len(ids)), key=lambda i: ids[i])]
+    assert all(found[a] == b for a, b in zip(real, real[1:]))
+    assert {found["t0"], found["t1"], found[real[-1]]} == {"t0", "t1", real[0]} and len(set(found.values())) == len(ids)
