@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import hamming, language, minhash, packing, passages, sharding, topk, toxicity
+from ledgerlens.llm import chat, hamming, language, minhash, packing, passages, pieces, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of each document's ids, and whether they decode to its text."""
+    return pieces.facts(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -53,11 +58,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with its repaired role, what was done, and the text it adds to the rendered conversation."""
+    return chat.repair(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "place", "role", "action", "inserted", "fragment")
+
+
 def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hamming.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op10_simhash_duplicates)}
+    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates)}
 ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL}

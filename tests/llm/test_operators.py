@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from ledgerlens.llm import components as stars, hamming, language, minhash, packing, passages, registry, sharding, topk, toxicity
+from ledgerlens.llm import chat, components as stars, hamming, language, minhash, packing, passages, pieces, registry, sharding, topk, toxicity
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -312,3 +312,94 @@ def test_next_document_over_ranges(spark, monkeypatch):
     real = [f"t{i}" for i in sorted(range(2, len(ids)), key=lambda i: ids[i])]
     assert all(found[a] == b for a, b in zip(real, real[1:]))
     assert {found["t0"], found["t1"], found[real[-1]]} == {"t0", "t1", real[0]} and len(set(found.values())) == len(ids)
+
+
+def cheapest(roles):
+    """Least repair cost by trying every state after every turn."""
+    costs = {chat.START: 0}
+    for given in roles:
+        nxt = {}
+        for state, paid in costs.items():
+            for target in (1, 2, 3):
+                step = int(chat.STEP[given, state, target])
+                if step < chat.NEVER:
+                    nxt[target] = min(nxt.get(target, chat.NEVER), paid + step)
+        costs = nxt
+    return min(paid + int(chat.END[s]) for s, paid in costs.items())
+
+
+def test_chat(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS_PER_TASK", 40)
+    rng = random.Random(8)
+    rows = []
+    for conv in range(40):
+        for t in range(rng.randrange(1, 9)):
+            rows.append((conv, t, rng.choice(["system", "user", "assistant", "User ", "bot", "tool", None]), f"c{conv}t{t}"))
+    rows += [(77, t, rng.choice(["user", "assistant", "system"]), f"t{t}") for t in range(1500)]
+    rows += [(78, 0, "user", "same")] * 600 + [(None, 1, "assistant", None), (None, None, "user", "first"), (79, 3, "user", "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn int, role string, text string, fragment string")
+    found = chat.repair(df).collect()
+    assert Counter((r.conv_id, r.turn) for r in found) == Counter((c, t) for c, t, *_ in rows)
+    by_conv, given = defaultdict(list), defaultdict(list)
+    for r in sorted(found, key=lambda r: r.place):
+        by_conv[r.conv_id].append(r)
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        given[r[0]].append(r)
+    for conv, own in by_conv.items():
+        roles = [chat.role_number(r[2]) for r in given[conv]]
+        relabelled = sum((chat.NAME if g == 3 else chat.RELABEL) for g, r in zip(roles, own) if "relabel" in r.action)
+        paid = relabelled + sum(chat.MERGE * r.action.startswith("merge") + chat.INSERT * r.inserted for r in own)
+        assert paid == cheapest(roles), conv
+        line = "".join(r.fragment for r in own)
+        parts = line.split("<|im_end|>\n")
+        assert parts.pop() == ""
+        names = [p.removeprefix("<|im_start|>").split("\n", 1)[0] for p in parts]
+        names = names[1:] if names[0] == "system" else names
+        assert names == ["user", "assistant"] * (len(names) // 2) and names, conv
+        assert all((r[3] or "") in line for r in given[conv])
+    assert chat.repair(df.limit(0)).count() == 0
+    whole = {r.conv_id: r.rendered for r in chat.render(chat.repair(df)).collect()}
+    assert whole[79] == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+
+
+@pytest.mark.parametrize("chunk", [64, 16_384])
+def test_sentence_pieces(spark, planted, chunk):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=pieces.public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    odd = ["".join(rng.choice("abet  in ionthe▁\n.é日🙂") for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+    rows = planted + [(5000 + i, t) for i, t in enumerate(odd + ["x" * 700, " " * 300, "<s></s>", "日本語" * 90])]
+    found = pieces.encode(frame(spark, rows), chunk=chunk)
+    got = Counter((r.doc_id, r.text, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in found.collect())
+    assert got == Counter((d, t, tuple(library.encode(t or ""))) for d, t in rows)
+    assert pieces.facts(found).filter("not round_trip").count() == 0
+    assert pieces.encode(frame(spark, [])).count() == 0
+
+
+def test_unigram_scan(tmp_path):
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        proto.ParseFromString(file.read())
+    proto.trainer_spec.model_type = 1
+    rng = random.Random(3)
+    for piece in proto.pieces:
+        piece.score = -float(rng.randrange(1, 1 << 16)) / 1024  # sums are exact
+    library = SentencePieceProcessor(model_proto=proto.SerializeToString())
+    (tmp_path / "uni.model").write_bytes(proto.SerializeToString())
+    m = pieces.Model(str(tmp_path / "uni.model"))
+    for _ in range(25):
+        text = " ".join("".join(rng.choice("abetinhor") for _ in range(rng.randrange(1, 12))) for _ in range(30))
+        line = pieces.BLANK + text.replace(" ", pieces.BLANK)
+
+        def weight(ids):
+            return sum(proto.pieces[i].score for i in ids)
+
+        whole = np.frombuffer(m.words(line), "<u4").tolist()
+        cuts = list(range(0, len(line), 70))
+        cells = [{((a, b), (c, d)): w for a, b, c, d, w in pieces.transfer(m, line, s, min(s + 70, len(line)), s == 0)} for s in cuts]
+        spans = pieces.hand_down(cells)
+        ids = b"".join(pieces.chunk_ids(m, line, s, min(s + 70, len(line)), *span) for s, span in zip(cuts, spans))
+        assert weight(library.encode(text)) == weight(whole) == weight(np.frombuffer(ids, "<u4").tolist())
