@@ -13,6 +13,8 @@ from ledgerlens.operators.insights import loss_reason
 
 # A loss listed from here, and one that suggests discontinuing.
 LISTED_LOSS, HEAVY_LOSS = 500, 1000
+# Rows shown by an answer; totals and counts cover all rows.
+SHOWN = 5
 
 
 def _headline(txn: DataFrame, start, end) -> Column:
@@ -37,26 +39,25 @@ def profit(txn, offerings, start, end) -> DataFrame:
 
 
 def loss(txn, offerings, start, end) -> DataFrame:
-    """The five worst losses with their likely cause; the total covers the ten worst."""
-    worst = k.bottom_offerings(txn, offerings, start, end, 10)
-    total = worst.agg(F.struct(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("v"), F.count(F.lit(1)).alias("n"))).scalar()
-    return worst.orderBy("profit", "id").limit(5).select(
+    """The five worst losses with their likely cause, beside the total of all losses."""
+    total = k.loss_summary(txn, offerings, start, end).select(F.struct("*")).scalar()
+    return k.bottom_offerings(txn, offerings, start, end, SHOWN).select(
         "id", F.col("name").alias("offering"), "loss", loss_reason(F.col("revenue"), F.col("profit")).alias("reason"),
-        rounded(total["v"], 4).alias("total_loss"),
-        fill_template("You are losing ${v:,.2f} across {n} offerings.", {"v": total["v"], "n": total["n"]}).alias("summary"))
+        total["total_losses"].alias("total_loss"),
+        fill_template("You are losing ${v:,.2f} across {n} offerings.", {"v": total["total_losses"], "n": total["loss_making_items"]}).alias("summary"))
 
 
 def growth(txn, offerings, start, end) -> DataFrame:
-    """High-margin offerings among the five most profitable."""
-    return high_margin(k.top_offerings(txn, offerings, start, end, 5, "profit")).withColumn(
+    """The five most profitable of all high-margin offerings."""
+    margins = high_margin(k.top_offerings(txn, offerings, start, end, None, "profit"))
+    return margins.orderBy(F.col("profit").desc(), "id").limit(SHOWN).withColumn(
         "summary", F.lit("Focus on your highest-margin offerings with growth potential."))
 
 
 def risk(txn, offerings, start, end) -> DataFrame:
-    """The five worst loss-makers as risks."""
-    worst = k.bottom_offerings(txn, offerings, start, end, 5)
-    n = worst.agg(F.count(F.lit(1))).scalar()
-    return worst.select(
+    """The five worst loss-makers as risks, beside the number of all of them."""
+    n = k.loss_summary(txn, offerings, start, end).select("loss_making_items").scalar()
+    return k.bottom_offerings(txn, offerings, start, end, SHOWN).select(
         "id", F.col("name").alias("offering"), F.lit("Negative profit margin").alias("risk_factors"),
         F.lit("Review pricing or discontinue").alias("recommendation"),
         F.concat(n.cast("string"), F.lit(" offerings show risk indicators.")).alias("summary"))
@@ -74,10 +75,10 @@ def customer(txn, offerings, start, end) -> DataFrame:
 
 
 def discontinue(txn, offerings, start, end) -> DataFrame:
-    """Offerings among the ten worst that lose too much to keep as they are."""
-    big = k.bottom_offerings(txn, offerings, start, end, 10).where(F.col("loss") > LISTED_LOSS)
+    """The five worst of all offerings that lose too much to keep as they are, beside their number."""
+    big = k.bottom_offerings(txn, offerings, start, end, None).where(F.col("loss") > LISTED_LOSS)
     n = big.agg(F.count(F.lit(1))).scalar()
-    return big.orderBy("profit", "id").limit(5).select(
+    return big.orderBy("profit", "id").limit(SHOWN).select(
         "id", F.col("name").alias("offering"), "loss",
         F.when(F.col("loss") > HEAVY_LOSS, "Consider discontinuing").otherwise("Review pricing").alias("recommendation"),
         F.concat(n.cast("string"), F.lit(" offerings are candidates for discontinuation or major revision.")).alias("summary"))

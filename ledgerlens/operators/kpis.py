@@ -205,29 +205,29 @@ def loss_summary(txn: DataFrame, offerings: DataFrame, start, end) -> DataFrame:
     )
 
 
-def top_offerings(txn: DataFrame, offerings: DataFrame, start, end, limit: int = 10, sort_by: str = "revenue") -> DataFrame:
-    """Best offerings by revenue or profit."""
+def top_offerings(txn: DataFrame, offerings: DataFrame, start, end, limit: int | None = 10, sort_by: str = "revenue") -> DataFrame:
+    """Best offerings by revenue or profit; all of them without a limit."""
     key = "revenue" if sort_by == "revenue" else "profit"
-    return (
+    ranked = (
         _named(_by_offering(within(txn, start, end)), offerings)
         .select("id", "name", "type", rounded(F.coalesce("revenue", F.lit(0.0)), MONEY).alias("revenue"),
                 rounded(F.coalesce("profit", F.lit(0.0)), MONEY).alias("profit"))
         .orderBy(F.col(key).desc(), "id")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
-def bottom_offerings(txn: DataFrame, offerings: DataFrame, start, end, limit: int = 10) -> DataFrame:
-    """Worst loss-makers with the size of the loss."""
+def bottom_offerings(txn: DataFrame, offerings: DataFrame, start, end, limit: int | None = 10) -> DataFrame:
+    """Worst loss-makers with the size of the loss; all of them without a limit."""
     losing = _by_offering(within(txn, start, end)).where(F.col("profit") < 0)
-    return (
+    ranked = (
         _named(losing, offerings)
         .select("id", "name", "type", rounded(F.coalesce("revenue", F.lit(0.0)), MONEY).alias("revenue"),
                 rounded(F.col("profit"), MONEY).alias("profit"),
                 rounded(F.abs("profit"), MONEY).alias("loss"))
         .orderBy("profit", "id")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def daily_metrics(txn: DataFrame, keys: tuple[str, ...] = ("transaction_date", "offering_id")) -> DataFrame:

@@ -154,7 +154,9 @@ FROM {sub('kpi_overview')}"""
 H = sub("kpi_overview")
 TOP5 = sub("top_offerings").replace("LIMIT 10", "LIMIT 5")
 BEST5 = sub("top_offerings_profit").replace("LIMIT 10", "LIMIT 5")
-WORST = sub("bottom_offerings")
+WORST = sub("bottom_offerings").replace("LIMIT 10", "")
+LOST = sub("loss_summary")
+ALL_BEST = sub("top_offerings_profit").replace("LIMIT 10", "")
 REASON = f"CASE WHEN revenue = 0 THEN '{i.NO_REVENUE}' WHEN revenue - profit > revenue * 2 THEN '{i.FAR_ABOVE}' WHEN revenue - profit > revenue THEN '{i.ABOVE}' ELSE '{i.UNCLEAR}' END"
 _PREV_H = (H.replace(PREV, "@P@").replace(CUR, "@C@")
            .replace("@C@", f"transaction_date BETWEEN DATE '{PREV_START}' AND DATE '{PREV_END}'")
@@ -188,11 +190,12 @@ ORACLES = {
     "answer_revenue": f"SELECT t.id, t.name, t.revenue, t.profit, total_revenue, revenue_trend AS trend, {fill_sql('Your total revenue for the period is ${v:,.2f}.', {'v': 'total_revenue'})} AS summary FROM {TOP5} t, {H} h",
     "answer_profit": f"""SELECT t.id, t.name, t.revenue, t.profit, total_profit, profit_margin, profit_trend AS trend,
 {fill_sql('Your total profit is ${p:,.2f} with a {m:.1f}% margin.', {'p': 'total_profit', 'm': 'profit_margin'})} AS summary FROM {BEST5} t, {H} h""",
-    "answer_loss": f"""WITH w AS {WORST} SELECT id, name AS offering, loss, {REASON} AS reason, {r('(SELECT sum(loss) FROM w)', 4)} AS total_loss,
-{fill_sql('You are losing ${v:,.2f} across {n} offerings.', {'v': '(SELECT sum(loss) FROM w)', 'n': '(SELECT count(*) FROM w)'})} AS summary FROM w ORDER BY profit, id LIMIT 5""",
-    "answer_growth": f"SELECT id, name, type, revenue, profit, 'Focus on your highest-margin offerings with growth potential.' AS summary FROM {BEST5} WHERE revenue > 0 AND profit / revenue > 0.2",
-    "answer_risk": f"""WITH w AS (SELECT * FROM {WORST} ORDER BY profit, id LIMIT 5) SELECT id, name AS offering, 'Negative profit margin' AS risk_factors, 'Review pricing or discontinue' AS recommendation,
-(SELECT count(*) FROM w) || ' offerings show risk indicators.' AS summary FROM w""",
+    "answer_loss": f"""SELECT id, name AS offering, loss, {REASON} AS reason, total_losses AS total_loss,
+{fill_sql('You are losing ${v:,.2f} across {n} offerings.', {'v': 'total_losses', 'n': 'loss_making_items'})} AS summary FROM {WORST} w, {LOST} t ORDER BY profit, id LIMIT 5""",
+    "answer_growth": f"""SELECT id, name, type, revenue, profit, 'Focus on your highest-margin offerings with growth potential.' AS summary FROM {ALL_BEST}
+WHERE revenue > 0 AND profit / revenue > 0.2 ORDER BY profit DESC, id LIMIT 5""",
+    "answer_risk": f"""SELECT id, name AS offering, 'Negative profit margin' AS risk_factors, 'Review pricing or discontinue' AS recommendation,
+loss_making_items || ' offerings show risk indicators.' AS summary FROM {WORST} w, {LOST} t ORDER BY profit, id LIMIT 5""",
     "answer_customer": f"""SELECT unique_customers AS total_customers, {r(pos('total_revenue', 'unique_customers'), 2)} AS avg_revenue_per_customer, transaction_count AS total_transactions,
 {fill_sql('You have {n} customers with average revenue of ${v:,.2f} per customer.', {'n': 'unique_customers', 'v': pos('total_revenue', 'unique_customers')})} AS summary FROM {H}""",
     "answer_discontinue": f"""WITH w AS (SELECT * FROM {WORST} WHERE loss > 500) SELECT id, name AS offering, loss, CASE WHEN loss > 1000 THEN 'Consider discontinuing' ELSE 'Review pricing' END AS recommendation,
