@@ -1,4 +1,4 @@
-"""What a table holds and who would use it, from names, a few values and row counts.
+"""What a table holds and who would use it, from names, values and row counts.
 
 Each classifier scores a table of constant rules against one row of facts per
 dataset, so a whole catalog of tables is classified by one query.
@@ -6,99 +6,121 @@ dataset, so a whole catalog of tables is classified by one query.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import grouped_text, rounded
-from ledgerlens.functions.text import hits_in, looks_like_date, strip_currency
+from ledgerlens.functions.text import hits_in, looks_like_date
 from ledgerlens.plans import signatures as sig
-from ledgerlens.plans.catalog import columns_of, text_of, union_all
+from ledgerlens.plans.catalog import columns_of, union_all, value_shapes
 from ledgerlens.plans.ordered import staged
 
-SAMPLE_ROWS = 50      # first rows whose values are searched for patterns
-TYPING_ROWS = 100     # first values used to tell dates and numbers
+
+def _col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 @dataclass(frozen=True)
 class Source:
-    """A dataset to classify: its rows, the column that orders them, its file name."""
+    """A dataset to classify: its rows, a column that orders them (for callers that show rows), its file name."""
 
     df: DataFrame
-    order_by: str
+    order_by: str = ""
     filename: str = ""
     is_model: bool = False
 
 
 def _words(values) -> Column:
-    """Array literal of constant strings, as one raw SQL literal."""
-    return F.expr("array(" + ", ".join(f"r'{v}'" for v in values) + ")" if values else "cast(array() as array<string>)")
-
-
-def _sample_text(source: Source, rows: int) -> DataFrame:
-    """One row: the values of the first rows, one after the other."""
-    infos = columns_of(source.df)
-    order = [source.order_by, *[c.name for c in infos if c.kind != "nested" and c.name != source.order_by]]
-    # the rows are picked first and turned into text afterwards
-    first = source.df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(rows)
-    line = F.concat_ws(" ", *[text_of(c) for c in infos])
-    picked = first.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("k"), line.alias("line"))
-    return picked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), " ").alias("sample"))
+    """Array literal of constant strings."""
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def first_value_types(source: Source, values: int = TYPING_ROWS) -> DataFrame:
-    """(column, dates, numbers, longest): of the first values of each string column, shares that read as dates or numbers."""
-    parts = []
-    for c in columns_of(source.df, "string"):
-        top = source.df.where(F.col(f"`{c.name}`").isNotNull()).select(
-            F.col(f"`{source.order_by}`").alias("_k"), F.col(f"`{c.name}`").alias("v")).orderBy("_k", "v").limit(values)
-        parts.append(top.agg(
-            F.avg(F.when(looks_like_date(F.col("v")) & to_timestamp_or_null(F.col("v"), source.df.schema[c.name].dataType).isNotNull(), 1.0)
-                  .otherwise(0.0)).alias("dates"),
-            F.avg(F.when(strip_currency(F.col("v")).try_cast("double").isNotNull(), 1.0).otherwise(0.0)).alias("numbers"),
-        ).select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), "dates", "numbers"))
-    return union_all(parts) if parts else None
+def typed_columns(source: Source) -> DataFrame:
+    """(ordinal, column, is_date, is_numeric): by type, or because over 80 % of all values read so."""
+    shapes = value_shapes(source.df)
+    return shapes.select(
+        "ordinal", "column", ((F.col("kind") == "temporal") | (F.col("dates") > 0.8)).alias("is_date"),
+        (F.col("kind").isin("numeric", "boolean") | (F.col("numbers") > 0.8)).alias("is_numeric"),
+    ).where(F.col("is_date") | F.col("is_numeric"))
+
+
+def needed_texts(pattern: str) -> list[str] | None:
+    """For each branch of a value pattern a text that every match of it holds, in lower case; None if one has none.
+
+    Looking for a text is much cheaper than a pattern, and most rows hold none of them.
+    """
+    out = []
+    for branch in re.split(r"\|(?![^(]*\))", pattern):
+        plain = re.sub(r"\([^)]*\)|\[[^]]*\](\{\d+,?\d*\}|[*+?])?|\\[dsw](\{\d+,?\d*\}|[*+?])?|\\?[^\\][*?]", "\0", branch)
+        runs = re.sub(r"[+.^]|\{[^}]*\}", "\0", re.sub(r"\\(.)", lambda m: "\1" if m[1] == "+" else "\2" if m[1] == "." else m[1], plain))
+        best = max((r.replace("\1", "+").replace("\2", ".") for r in runs.split("\0")), key=len)
+        if not best:
+            return None
+        out.append(best.lower())
+    return out
 
 
-def typed_columns(source: Source) -> DataFrame:
-    """(ordinal, column, is_date, is_numeric): by type, or because over 80 % of the first values read so."""
-    fixed = [c for c in columns_of(source.df) if c.kind in ("numeric", "boolean", "temporal")]
-    one = source.df.agg(F.count(F.lit(1)).alias("n"))
-    parts = []
-    if fixed:
-        parts.append(one.select(F.inline(F.array(*[
-            F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), F.lit(c.kind == "temporal").alias("is_date"),
-                     F.lit(c.kind != "temporal").alias("is_numeric")) for c in fixed]))))
-    texts = first_value_types(source)
-    if texts is not None:
-        parts.append(texts.select("ordinal", "column", (F.coalesce("dates", F.lit(0.0)) > 0.8).alias("is_date"),
-                                  (F.coalesce("numbers", F.lit(0.0)) > 0.8).alias("is_numeric")))
-    return union_all(parts).where(F.col("is_date") | F.col("is_numeric"))
-
-
-def dataset_facts(sources: dict[str, Source]) -> DataFrame:
-    """One row per dataset: names, sampled values, size and simple characteristics."""
+def pattern_mask(line: Column, lowered: Column, patterns: list[str]) -> Column:
+    """Bit i is set if the line holds pattern i."""
+    mask = F.lit(0).cast("bigint")
+    for i, pattern in enumerate(patterns):
+        test = line.rlike("(?i)" + pattern)
+        texts = needed_texts(pattern)
+        if texts:
+            some = F.lit(False)
+            for text in texts:
+                some = some | lowered.contains(text)
+            exact = all(re.fullmatch(r"[A-Za-z_ -]+", b) for b in pattern.split("|"))
+            test = some if exact else some & test
+        mask = mask.bitwiseOR(F.when(test, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return mask
+
+
+def dataset_facts(sources: dict[str, Source], values: bool = True) -> DataFrame:
+    """One row per dataset: names, size, and what its values look like, from one aggregate over all rows of each.
+
+    ``found`` holds the value patterns that some row's text and date columns contain.  Without
+    ``values`` only names, the schema and the number of rows count.
+    """
+    patterns = sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats})
+    blocks = [patterns[i:i + 20] for i in range(0, len(patterns), 20)]
     parts = []
     for name, s in sources.items():
         infos = columns_of(s.df)
-        strings = [c.name for c in infos if c.kind == "string"]
+        strings = [c for c in infos if c.kind == "string"]
         dated = any(c.kind == "temporal" for c in infos)
-        lengths = [F.avg(F.length(F.col(f"`{c}`"))) > 50 for c in strings]
-        wordy = F.lit(False)
-        for flag in lengths:
-            wordy = wordy | F.coalesce(flag, F.lit(False))
-        text_dates = None if dated else first_value_types(s, 10)
-        has_date = F.lit(dated) if text_dates is None else text_dates.agg(
-            F.coalesce(F.max(F.col("dates") >= 1.0), F.lit(False))).scalar()
-        parts.append(s.df.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content")).select(
-            F.lit(name).alias("dataset"), F.lit(s.filename.lower()).alias("filename"), F.lit(s.is_model).alias("is_model"), "rows",
-            F.lit(len(infos)).alias("cols"), _words([c.name.lower() for c in infos]).alias("names"), "has_text_content",
-            has_date.alias("has_dates"), F.lit(any(c.kind in ("numeric", "boolean") for c in infos)).alias("has_numbers"),
-            F.lit(any("id" in c.name.lower() for c in infos)).alias("has_ids"), _sample_text(s, SAMPLE_ROWS).scalar().alias("sample"),
-        ))
+        constants = [
+            F.lit(name).alias("dataset"), F.lit(s.filename.lower()).alias("filename"), F.lit(s.is_model).alias("is_model"),
+            F.lit(len(infos)).alias("cols"), _words([c.name.lower() for c in infos]).alias("names"),
+            F.lit(any(c.kind in ("numeric", "boolean") for c in infos)).alias("has_numbers"),
+            F.lit(any("id" in c.name.lower() for c in infos)).alias("has_ids")]
+        if not values:
+            parts.append(s.df.agg(F.count(F.lit(1)).alias("rows")).select(*constants, "rows"))
+            continue
+        readable = [c for c in infos if c.kind in ("string", "temporal")]
+        rows = s.df
+        if readable:
+            line = F.concat_ws(" ", *[_col(c.name).cast("string") for c in readable])
+            rows = rows.withColumn("_line", line).withColumn("_lowered", F.lower("_line"))
+        wordy, all_dates = F.lit(False), F.lit(dated)
+        for c in strings:
+            text = _col(c.name)
+            wordy = wordy | F.coalesce(F.avg(F.length(text)) > 50, F.lit(False))
+            if not dated:
+                is_date = looks_like_date(text) & to_timestamp_or_null(text, s.df.schema[c.name].dataType).isNotNull()
+                all_dates = all_dates | F.coalesce(F.min(F.when(text.isNotNull(), F.coalesce(is_date, F.lit(False)))), F.lit(False))
+        seen = [F.bit_or(pattern_mask(F.col("_line"), F.col("_lowered"), part)).alias(f"p{k}") for k, part in enumerate(blocks)] if readable else []
+        row = rows.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content"), all_dates.alias("has_dates"), *seen)
+        found = F.array_compact(F.array(*[
+            F.when(F.col(f"p{k}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(p))
+            for k, part in enumerate(blocks) for i, p in enumerate(part)])) if seen else _words(())
+        parts.append(row.select(*constants, "rows", "has_text_content", "has_dates", found.alias("found")))
+    facts = union_all(parts)
     # one small row per dataset from here on; the scans behind it run once
-    return staged(union_all(parts))
+    return staged(facts) if values else facts
 
 
 def _share(hits: Column, of: Column) -> Column:
@@ -110,7 +132,7 @@ def content_scores(facts: DataFrame) -> DataFrame:
     known = {t for t, *_ in sig.CONTENT_SIGNATURES}
     rules = [
         F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("content_type"), F.lit(cat).alias("category"), _words(req).alias("required"),
-                 _words(opt).alias("optional"), _words(["(?i)" + p for p in pats]).alias("patterns"),
+                 _words(opt).alias("optional"), _words(pats).alias("patterns"),
                  _words([h for h, target in sig.FILENAME_HINTS if target == t]).alias("hints"))
         for i, (t, cat, req, opt, pats) in enumerate(sig.CONTENT_SIGNATURES)
     ]
@@ -123,7 +145,7 @@ def content_scores(facts: DataFrame) -> DataFrame:
     required = hits_in(F.col("names_text"), F.col("required"))
     optional = _share(hits_in(F.col("names_text"), F.col("optional")), F.size("optional"))
     names = F.when(required > 0, _share(required, F.size("required")) * 0.7 + optional * 0.3).otherwise(0.0)
-    found = F.size(F.filter("patterns", lambda p: F.rlike(F.coalesce(F.col("sample"), F.lit("")), p)))
+    found = F.size(F.array_intersect("patterns", "found"))
     kind = F.col("content_type")
     shape = (
         F.when((kind == "time_series") & F.col("has_dates"), 0.5)
@@ -240,7 +262,7 @@ def _keyword_scores(facts: DataFrame) -> DataFrame:
         F.struct(F.lit(p).alias("persona"), F.lit(d).alias("domain"), F.lit(c).alias("category"), _words(w).alias("words"))
         for p, d, c, w in sig.PERSONA_WORDS
     ]
-    grid = facts.where(~F.col("is_model")).select("dataset", "filename", "names", F.inline(F.array(*rules)))
+    grid = facts.where(~F.col("is_model") & (F.col("rows") > 0)).select("dataset", "filename", "names", F.inline(F.array(*rules)))
     in_names = F.aggregate("names", F.lit(0), lambda acc, n: acc + hits_in(n, F.col("words")))
     score = in_names * 0.5 + hits_in(F.col("filename"), F.col("words")) * 1.0
     return grid.select("dataset", "persona", "domain", "category", score.alias("score")).where(F.col("score") > 0)
@@ -275,7 +297,7 @@ PERSONA_SUMS = ("business", "analytics", "ml_engineer", "developer")
 
 def persona(sources: dict[str, Source], facts: DataFrame | None = None) -> DataFrame:
     """Who the datasets are for, by keywords in column and file names."""
-    facts = dataset_facts(sources) if facts is None else facts
+    facts = dataset_facts(sources, values=False) if facts is None else facts
     models = F.lit(sum(s.is_model for s in sources.values()))
     return _decide(_keyword_scores(facts), models, sig.PERSONA_DASHBOARDS)
 

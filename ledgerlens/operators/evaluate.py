@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import adjusted_kurtosis, adjusted_skewness, ratio, rounded
 from ledgerlens.operators.charts import histogram, scatter
-from ledgerlens.operators.profile import samples
 from ledgerlens.plans.catalog import columns_of, with_distinct, facts
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, running_totals
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
@@ -75,16 +74,14 @@ def detect_task(df: DataFrame, actual: str) -> DataFrame:
     )
 
 
-def vision_check(df: DataFrame, order_by: str) -> DataFrame:
-    """Does the table hold bounding boxes or image names?"""
+def vision_check(df: DataFrame) -> DataFrame:
+    """Does the table hold bounding boxes or image names?  All rows of all text columns are looked at."""
     boxes = sum(word in name.lower() for word in BOX_WORDS for name in df.columns)
-    strings = [c.ordinal for c in columns_of(df, "string")]
     ending = F.lit(False)
-    for e in IMAGE_ENDINGS:
-        ending = ending | F.col("value").endswith(e)
-    images = samples(df, order_by, 10).where(F.col("ordinal").isin(strings)).agg(
-        F.coalesce(F.max(ending), F.lit(False)).alias("images")
-    )
+    for c in columns_of(df, "string"):
+        for e in IMAGE_ENDINGS:
+            ending = ending | F.coalesce(F.col("`" + c.name.replace("`", "``") + "`").endswith(e), F.lit(False))
+    images = df.agg(F.coalesce(F.max(ending), F.lit(False)).alias("images"))
     return images.select(
         (F.lit(boxes >= 4) | F.col("images")).alias("is_vision"), F.lit(boxes).alias("box_hits"),
         F.when(F.lit(boxes >= 4), "object_detection").when(F.col("images"), "image_classification").otherwise("none").alias("vision_type"),

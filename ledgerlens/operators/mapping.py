@@ -3,38 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import ratio, rounded
-from ledgerlens.functions.text import EMAIL_SHAPE, indel_ratio, looks_like_date, strip_currency
+from ledgerlens.functions.text import indel_ratio
 from ledgerlens.plans import signatures as sig
-from ledgerlens.plans.catalog import columns_of, local_table, text_of, union_all
-
-TYPING_ROWS = 100
-
-
-def type_scores(df: DataFrame, order_by: str, rows: int = TYPING_ROWS) -> DataFrame:
-    """(ordinal, column, id, date, numeric, email, text): how well the first values fit each type."""
-    parts = []
-    for c in columns_of(df):
-        top = df.where(F.col(f"`{c.name}`").isNotNull()).select(F.col(f"`{order_by}`").alias("_k"), text_of(c).alias("v")).orderBy("_k", "v").limit(rows)
-        v = F.col("v")
-        is_date = looks_like_date(v) & to_timestamp_or_null(v, T.StringType()).isNotNull()
-        shares = top.agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("u"), F.avg(F.when(is_date, 1.0).otherwise(0.0)).alias("d"),
-            F.avg(F.when(strip_currency(v).try_cast("double").isNotNull(), 1.0).otherwise(0.0)).alias("x"),
-            F.avg(F.when(v.rlike(EMAIL_SHAPE), 1.0).otherwise(0.0)).alias("e"), F.avg(F.length(v)).alias("w"))
-        fits = {
-            "id": F.when(ratio(F.col("u"), F.col("n")) > 0.9, 0.8).otherwise(0.5),
-            "date": F.lit(1.0) if c.kind == "temporal" else F.col("d") if c.kind == "string" else F.lit(0.0),
-            "numeric": F.lit(1.0) if c.kind in ("numeric", "boolean") else F.col("x") if c.kind == "string" else F.lit(0.0),
-            "email": F.col("e"),
-            "text": F.when(F.col("w") > 3, 0.8).otherwise(0.4) if c.kind == "string" else F.lit(0.3),
-        }
-        parts.append(shares.select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"),
-                                   *[F.when(F.col("n") == 0, 0.5).otherwise(s).alias(k) for k, s in fits.items()]))
-    return union_all(parts)
+from ledgerlens.plans.catalog import columns_of, distinct_counts, local_table, value_shapes
+
+def type_scores(df: DataFrame) -> DataFrame:
+    """(ordinal, column, id, date, numeric, email, text): how well all values of a column fit each type."""
+    infos = columns_of(df)
+    c = F.col
+    table = value_shapes(df, infos).join(distinct_counts(df, infos), "ordinal", "left")
+    string = c("kind") == "string"
+    fits = {
+        "id": F.when(ratio(c("distinct"), c("values")) > 0.9, 0.8).otherwise(0.5),
+        "date": F.when(c("kind") == "temporal", 1.0).otherwise(c("dates")),
+        "numeric": F.when(c("kind").isin("numeric", "boolean"), 1.0).otherwise(c("numbers")),
+        "email": c("emails"),
+        "text": F.when(~string, 0.3).when(c("width") > 3, 0.8).otherwise(0.4),
+    }
+    return table.select("ordinal", "column", *[F.when(c("values") == 0, 0.5).otherwise(s).alias(k) for k, s in fits.items()])
 
 
 def field_scores(types: DataFrame) -> DataFrame:
@@ -52,13 +40,13 @@ def field_scores(types: DataFrame) -> DataFrame:
     ).select("ordinal", "column", "position", "field", F.round(F.col("named") * 0.6 + F.col("fit") * 0.4, 9).alias("score"))
 
 
-def column_mapping(df: DataFrame, order_by: str) -> DataFrame:
+def column_mapping(df: DataFrame) -> DataFrame:
     """Canonical field per column, each field used once, columns served in their order.
 
     The assignment is greedy by column order, not optimal.  It runs over the
     matrix of column and field scores, which holds names and scores only.
     """
-    matrix = field_scores(type_scores(df, order_by)).collect()
+    matrix = field_scores(type_scores(df)).collect()
     taken: set[str] = set()
     rows = []
     for ordinal, column in sorted({(m["ordinal"], m["column"]) for m in matrix}):

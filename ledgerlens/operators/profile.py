@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerlens.functions.numbers import (
     adjusted_kurtosis, adjusted_skewness, finite_or_zero, k_squared, plain_text, ratio, rounded,
 )
-from ledgerlens.functions.text import contains_any, looks_like_date
+from ledgerlens.functions.text import contains_any
 from ledgerlens.operators.charts import histogram
 from ledgerlens.plans.catalog import (
     ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, union_all, value_key,
-    with_distinct,
+    with_distinct, value_shapes,
 )
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
@@ -83,7 +83,7 @@ def profile_type(name: Column, kind: Column, distinct: Column, rows: Column) ->
 
 
 def loader_type(name: Column, kind: Column, date_share: Column) -> Column:
-    """Semantic type as the loader sees it; ``date_share`` is the share of date-like samples."""
+    """Semantic type as the loader sees it; ``date_share`` is the share of date-like values."""
     return F.coalesce(
         by_name(name, LOADER_TYPES),
         F.when(kind.isin("numeric", "boolean"), "numeric").when(kind == "temporal", "datetime")
@@ -108,25 +108,16 @@ def samples(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
     return union_all(parts)
 
 
-def date_shares(df: DataFrame, order_by: str, n: int = 10) -> DataFrame:
-    """(ordinal, date_share) of the first values of each string column."""
-    strings = [c.ordinal for c in columns_of(df, "string")]
-    return (
-        samples(df, order_by, n).where(F.col("ordinal").isin(strings))
-        .groupBy("ordinal").agg(F.avg(looks_like_date(F.col("value")).cast("double")).alias("date_share"))
-    )
-
-
-def column_catalog(df: DataFrame, order_by: str) -> DataFrame:
+def column_catalog(df: DataFrame) -> DataFrame:
     """One row per column as the loader records it."""
     want = ("mean", "variance", "min", "max", "sum", "median")
-    table = with_distinct(facts(df, want=want), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
+    table = with_distinct(facts(df, want=want), df).join(value_shapes(df).select("ordinal", "dated"), "ordinal", "left")
     c = F.col
     number = [rounded(finite_or_zero(c(k)), 4) for k in ("min", "max", "mean", "median", "std", "sum")]
     numeric = c("kind") == "numeric"
     return table.select(
         "ordinal", "name", "dtype", c("nulls").alias("null_count"), c("distinct").alias("unique_count"),
-        loader_type(c("name"), c("kind"), c("date_share")).alias("semantic_type"),
+        loader_type(c("name"), c("kind"), c("dated")).alias("semantic_type"),
         *[F.when(numeric, v).alias(k) for k, v in zip(("min", "max", "mean", "median", "std", "sum"), number)],
     ).orderBy("ordinal")
 
@@ -268,14 +259,14 @@ def top_values(df: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def semantic_types(df: DataFrame, order_by: str) -> DataFrame:
+def semantic_types(df: DataFrame) -> DataFrame:
     """Both semantic types of every column."""
-    table = with_distinct(facts(df, want=()), df).join(F.broadcast(date_shares(df, order_by)), "ordinal", "left")
+    table = with_distinct(facts(df, want=()), df).join(value_shapes(df).select("ordinal", "dated"), "ordinal", "left")
     c = F.col
     return table.select(
         "ordinal", c("name").alias("column"),
         profile_type(c("name"), c("kind"), c("distinct"), c("rows")).alias("profile_type"),
-        loader_type(c("name"), c("kind"), c("date_share")).alias("loader_type"),
+        loader_type(c("name"), c("kind"), c("dated")).alias("loader_type"),
     )
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.functions.dates import is_temporal
+from ledgerlens.functions.dates import is_temporal, to_timestamp_or_null
 from ledgerlens.functions.numbers import is_numeric
+from ledgerlens.functions.text import EMAIL_SHAPE, looks_like_date, strip_currency
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
 # Longer values are compared by digest, so that keys stay short in a shuffle.
@@ -78,6 +79,37 @@ def value_key(info: ColumnInfo) -> Column:
     return text
 
 
+def value_shapes(df: DataFrame, infos: list[ColumnInfo] | None = None) -> DataFrame:
+    """One row per column: how its values read, over all rows, from one aggregate per block of columns.
+
+    ordinal, column, kind, values (not null), dated (share with the shape of a date), dates (that also
+    reads as one), numbers, emails and width (mean length).  Shares of non-text columns are zero.
+    """
+    infos = columns_of(df) if infos is None else infos
+    parts = []
+    for at in range(0, len(infos), COLUMNS_PER_SCAN):
+        block = infos[at:at + COLUMNS_PER_SCAN]
+        wanted, rows = [], []
+        for c in block:
+            tag, value = f"_{c.ordinal}", F.col("`" + c.name.replace("`", "``") + "`")
+            wanted.append(F.count(value).alias(f"n{tag}"))
+            cells = {k: F.lit(0.0) for k in ("dated", "dates", "numbers", "emails", "width")}
+            if c.kind == "string":
+                text = value.cast("string")
+                shaped = looks_like_date(text)
+                reads = {
+                    "dated": shaped, "dates": shaped & to_timestamp_or_null(text, T.StringType()).isNotNull(),
+                    "numbers": strip_currency(text).try_cast("double").isNotNull(), "emails": text.rlike(EMAIL_SHAPE)}
+                for k, test in reads.items():
+                    wanted.append(F.avg(F.when(text.isNotNull(), F.when(test, 1.0).otherwise(0.0))).alias(k + tag))
+                wanted.append(F.avg(F.length(text)).alias("width" + tag))
+                cells = {k: F.coalesce(k + tag, F.lit(0.0)) for k in cells}
+            rows.append(F.struct(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column"), F.lit(c.kind).alias("kind"),
+                                 F.col(f"n{tag}").alias("values"), *[v.alias(k) for k, v in cells.items()]))
+        parts.append(df.agg(*wanted).select(F.inline(F.array(*rows))))
+    return union_all(parts)
+
+
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 _REAL = ("float", "double")
 

@@ -61,7 +61,7 @@ def test_content_of_known_tables(spark):
 
 def test_mapping_uses_each_field_once(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1), 9.5, 2, "c1")], "order_id int, order_date date, total double, qty int, customer_id string")
-    rows = {r["original_column"]: r["canonical_field"] for r in m.column_mapping(df, "order_id").collect()}
+    rows = {r["original_column"]: r["canonical_field"] for r in m.column_mapping(df).collect()}
     assert rows["order_date"] == "transaction_date" and rows["total"] == "amount" and rows["qty"] == "quantity"
     assert rows["customer_id"] == "customer_id" and len(set(rows.values())) == len(rows)
 

@@ -28,7 +28,7 @@ def kinds(s, d):
 
 
 def orders_mapping(s, d):
-    return m.column_mapping(table(s, d, "orders"), "o_orderkey")
+    return m.column_mapping(table(s, d, "orders"))
 
 
 def changed(s, d):
@@ -49,15 +49,15 @@ QUERIES = {
     "content_type_scores": lambda s, d: c.content_scores(c.dataset_facts(sources(s, d))).select(
         "dataset", "content_type", *[F.round(x, 6).alias(x) for x in ("column_score", "value_score", "pattern_score", "hint_score", "raw_score")]),
     "dataset_role": lambda s, d: c.dataset_roles(sources(s, d)),
-    "early_content_type": lambda s, d: c.early_types(c.dataset_facts(sources(s, d))),
+    "early_content_type": lambda s, d: c.early_types(c.dataset_facts(sources(s, d), values=False)),
     "time_coverage": lambda s, d: c.time_coverage(sources(s, d)),
     "typed_columns": lambda s, d: c.typed_columns(c.Source(
         table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"), "o_orderstatus"), "o_orderkey")),
     "persona": lambda s, d: c.persona(sources(s, d)),
-    "persona_domains": lambda s, d: c.persona_domains(c.dataset_facts(sources(s, d))),
+    "persona_domains": lambda s, d: c.persona_domains(c.dataset_facts(sources(s, d), values=False)),
     "persona_by_content": lambda s, d: c.persona_by_content(sources(s, d)),
     "session_persona": lambda s, d: c.session_persona(kinds(s, d)),
-    "type_compatibility": lambda s, d: m.type_scores(table(s, d, "orders"), "o_orderkey"),
+    "type_compatibility": lambda s, d: m.type_scores(table(s, d, "orders")),
     "column_mapping": orders_mapping,
     "mapping_changed": lambda s, d: m.confirm_mappings(changed(s, d), ["o_orderkey"]),
     "mapping_health": lambda s, d: m.mapping_health(changed(s, d), "transactional"),
@@ -82,6 +82,9 @@ def _kinds(t: str) -> str:
     return COLUMNS[t]
 
 
+PATTERNS = sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats})
+
+
 def _facts() -> str:
     parts = []
     for t in TABLES:
@@ -89,14 +92,16 @@ def _facts() -> str:
         strings = [x.split(":")[0] for x in specs.split() if x.endswith(":s")]
         wordy = " OR ".join(f"avg(length({x})) > 50" for x in strings) or "false"
         numbers = any(x[-1] in "id" for x in specs.split())
-        line = "concat_ws(' ', " + ", ".join(f"CAST({n} AS VARCHAR)" for n in names) + ")"
-        order = ", ".join([KEYS[t], *[n for n in names if n not in (KEYS[t], "embedding")]])
-        dated = "true" if ":t" in specs else "coalesce((SELECT " + (" OR ".join(
-            f"(SELECT count(*) = count(CASE WHEN regexp_matches(v, '^(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}|\\d{{2}}-\\d{{2}}-\\d{{4}})') THEN 1 END) FROM (SELECT {x} AS v FROM {t} WHERE {x} IS NOT NULL ORDER BY {KEYS[t]}, v LIMIT 10))"
-            for x in strings) or "false") + "), false)"
+        times = [x.split(":")[0] for x in specs.split() if x.endswith(":t")]
+        readable = [x.split(":")[0] for x in specs.split() if x[-1] in "st"]
+        line = "concat_ws(' ', " + ", ".join(f"CAST({n} AS VARCHAR)" for n in readable) + ")"
+        dated = "true" if times else " OR ".join(
+            rf"coalesce(bool_and(regexp_matches({x}, '^(\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}-\d{{2}}-\d{{4}})')) FILTER ({x} IS NOT NULL), false)"
+            for x in strings) or "false"
+        found = "list_filter([" + ", ".join(f"CASE WHEN bool_or(regexp_matches({line}, {q('(?i)' + p)})) THEN {q(p)} END" for p in PATTERNS) + "], lambda x: x IS NOT NULL)" \
+            if readable else "[]::VARCHAR[]"
         parts.append(f"""SELECT '{t}' AS dataset, '{t}.csv' AS filename, count(*) AS rows, {len(names)} AS cols, {lst(names)} AS names, {q(' '.join(names).replace('_', ' '))} AS plain,
-coalesce({wordy}, false) AS wordy, {dated} AS dated, {str(numbers).lower()} AS numbers, {str(any('id' in n for n in names)).lower()} AS ids,
-(SELECT string_agg(line, ' ' ORDER BY n) FROM (SELECT row_number() OVER (ORDER BY {order}) AS n, {line} AS line FROM {t} QUALIFY n <= 50)) AS sample FROM {t}""")
+coalesce({wordy}, false) AS wordy, {dated} AS dated, {str(numbers).lower()} AS numbers, {str(any('id' in n for n in names)).lower()} AS ids, {found} AS found FROM {t}""")
     return "WITH f AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -113,7 +118,7 @@ def hits(items: str, text: str) -> str:
 
 SCORES = FACTS + _SIGS + f""",
 sc AS (SELECT f.*, ord, kind, cat, CASE WHEN {hits('req', 'plain')} > 0 THEN {div(hits('req', 'plain'), 'len(req)')} * 0.7 + coalesce({div(hits('opt', 'plain'), 'len(opt)')}, 0) * 0.3 ELSE 0 END AS a,
-coalesce({div("len(list_filter(pats, lambda x: regexp_matches(sample, '(?i)' || x)))", 'len(pats)')}, 0) AS b,
+coalesce({div("len(list_filter(pats, lambda x: list_contains(found, x)))", 'len(pats)')}, 0) AS b,
 CASE WHEN kind = 'time_series' AND dated THEN 0.5::DOUBLE WHEN kind IN ('sales_transactions', 'financial_data') AND numbers THEN 0.3 WHEN kind IN ('customers', 'orders') AND ids THEN 0.2 ELSE 0 END AS c,
 CAST({hits('hints', 'filename')} AS DOUBLE) * 0.3 AS h FROM f CROSS JOIN sigs),
 raw AS (SELECT *, round(a + b + c + h, 9) AS raw FROM sc WHERE cat <> 'unknown' OR h > 0)"""
@@ -178,7 +183,7 @@ def _types(i: int, col: str, kind: str) -> str:
     cells = {"id": "CASE WHEN CAST(count(DISTINCT v) AS DOUBLE) / count(*) > 0.9 THEN 0.8 ELSE 0.5 END", "date": date, "numeric": num,
              "email": r"avg(CASE WHEN regexp_full_match(v, '[\w\.-]+@[\w\.-]+\.\w+') THEN 1.0::DOUBLE ELSE 0 END)", "text": text}
     return f"SELECT CAST({i} AS INT) AS ordinal, '{col}' AS \"column\", " + ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in cells.items()) + \
-        f" FROM (SELECT {v} AS v FROM orders WHERE {col} IS NOT NULL ORDER BY o_orderkey, v LIMIT 100)"
+        f" FROM (SELECT {v} AS v FROM orders WHERE {col} IS NOT NULL)"
 
 
 TYPES = "\nUNION ALL ".join(_types(i, *x.split(":")) for i, x in enumerate(COLUMNS["orders"].split()))
@@ -233,7 +238,12 @@ ORACLES = {
     "early_content_type": EARLY,
     "time_coverage": "SELECT 'orders' AS dataset, CAST(min(o_orderdate) AS DATE) AS start, CAST(max(o_orderdate) AS DATE) AS \"end\", 'o_orderdate' AS \"column\" FROM orders UNION ALL "
     "SELECT 'lineitem', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE), 'l_shipdate' FROM lineitem UNION ALL SELECT 'events', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), 'ts' FROM events",
-    "typed_columns": "SELECT * FROM (VALUES (0::INT, 'o_orderkey', false, true), (1::INT, 'day', true, false), (2::INT, 'price', false, true)) v(ordinal, \"column\", is_date, is_numeric)",
+    "typed_columns": r"""WITH t AS (SELECT strftime(o_orderdate, '%m/%d/%Y') AS day, '$' || format('{:,.2f}', o_totalprice) AS price, o_orderstatus FROM orders),
+v AS (SELECT 1 AS ordinal, 'day' AS c, day AS v FROM t UNION ALL SELECT 2, 'price', price FROM t UNION ALL SELECT 3, 'o_orderstatus', o_orderstatus FROM t),
+s AS (SELECT ordinal, c, avg(CASE WHEN regexp_matches(v, '^\d{2}/\d{2}/\d{4}$') THEN 1.0 ELSE 0 END) > 0.8 AS is_date,
+avg(CASE WHEN TRY_CAST(regexp_replace(v, '[$,]', '', 'g') AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END) > 0.8 AS is_numeric FROM v WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT CAST(0 AS INT) AS ordinal, 'o_orderkey' AS "column", false AS is_date, true AS is_numeric UNION ALL
+SELECT CAST(ordinal AS INT), c, is_date, is_numeric FROM s WHERE is_date OR is_numeric""",
     "persona": WORDS + _decide("SELECT persona, s FROM pw", sig.PERSONA_DASHBOARDS),
     "persona_domains": WORDS + f"\nSELECT domain, category, {r('sum(s)', 4)} AS score FROM pw WHERE s > 0 GROUP BY 1, 2",
     "persona_by_content": KIND.rstrip() + _decide(_CONTENT_POINTS, sig.CONTENT_DASHBOARDS),

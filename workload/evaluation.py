@@ -43,7 +43,7 @@ QUERIES = {
     "detect_task": lambda s, d: e.detect_task(binary(s, d), "actual"),
     "detect_task_multi": lambda s, d: e.detect_task(multi(s, d), "actual"),
     "detect_task_reg": lambda s, d: e.detect_task(reg(s, d), "actual"),
-    "vision_check": lambda s, d: e.vision_check(table(s, d, "pages").withColumn("shot", F.concat("url", F.lit(".png"))), "page_id"),
+    "vision_check": lambda s, d: e.vision_check(table(s, d, "pages").withColumn("shot", F.concat("url", F.lit(".png")))),
     "confusion_matrix": lambda s, d: e.confusion_matrix(multi(s, d), "actual", "predicted"),
     "confusion_chart": lambda s, d: e.confusion_chart(binary(s, d), "actual", "predicted"),
     "classification_metrics": lambda s, d: e.classification_metrics(binary(s, d), "actual", "predicted"),
@@ -133,7 +133,7 @@ ORACLES = {
     "detect_task_multi": M + "SELECT count(*) AS rows, count(DISTINCT actual) AS \"distinct\", 'multiclass_classification' AS task_type FROM pred_multi",
     "detect_task_reg": R + "SELECT count(*) AS rows, count(DISTINCT actual) AS \"distinct\", 'regression' AS task_type FROM pred_reg",
     "vision_check": """SELECT bool_or(s) AS is_vision, CAST(0 AS INT) AS box_hits, CASE WHEN bool_or(s) THEN 'image_classification' ELSE 'none' END AS vision_type
-FROM (SELECT url || '.png' LIKE '%.png' AS s FROM pages ORDER BY page_id LIMIT 10)""",
+FROM (SELECT url || '.png' LIKE '%.png' AS s FROM pages)""",
     "confusion_matrix": M + f""", l AS (SELECT actual AS v FROM pred_multi UNION SELECT predicted FROM pred_multi),
 c AS (SELECT actual, predicted, count(*) AS n FROM pred_multi GROUP BY 1, 2), g AS (SELECT a.v AS actual, b.v AS predicted, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.actual = a.v AND c.predicted = b.v)
 SELECT actual, predicted, n AS count, {r(div('n', 'sum(n) OVER (PARTITION BY actual)'), 4)} AS normalized,

@@ -33,7 +33,7 @@ DIRTY_NUMBERS = ("event_id", "user_id", "value")
 LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 QUERIES = {
-    "column_catalog": lambda s, d: p.column_catalog(dirty(s, d), "event_id"),
+    "column_catalog": lambda s, d: p.column_catalog(dirty(s, d)),
     "missing": lambda s, d: p.missing(dirty(s, d)),
     "missing_pattern": lambda s, d: p.missing_patterns(seeded(s, d), "event_id"),
     "numeric_stats": lambda s, d: p.numeric_stats(dirty(s, d)),
@@ -45,7 +45,7 @@ QUERIES = {
     "skew_issues": lambda s, d: p.skew_issues(lineitem(s, d).withColumn("l_cubed_price", lineitem_cube())),
     "top_values": lambda s, d: p.top_values(dirty(s, d)),
     "samples": lambda s, d: p.samples(seeded(s, d), "event_id"),
-    "semantic_types": lambda s, d: p.semantic_types(dirty(s, d), "event_id"),
+    "semantic_types": lambda s, d: p.semantic_types(dirty(s, d)),
     "correlations": lambda s, d: p.correlations(view(s, d, "txn")),
     "corr_matrix": lambda s, d: p.correlation_matrix(lineitem(s, d)),
     "corr_matrix_gaps": lambda s, d: p.correlation_matrix(dirty(s, d)),
