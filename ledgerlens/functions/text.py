@@ -16,6 +16,11 @@ CURRENCY_SYMBOLS = "[$,€£]"
 EMAIL_SHAPE = r"^[\w\.-]+@[\w\.-]+\.\w+$"
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def spaced(col: Column) -> Column:
     """Lower case with ``_`` and ``-`` turned into blanks."""
     return F.translate(F.lower(col), "_-", "  ")

@@ -9,7 +9,7 @@ from ledgerlens.functions.dates import period_start, to_timestamp_or_null
 from ledgerlens.functions.numbers import (
     finite_or_zero, grouped_text, percent_text, ratio, ratio_or, rounded, short_money,
 )
-from ledgerlens.functions.text import heading_text
+from ledgerlens.functions.text import heading_text, quoted
 from ledgerlens.plans.catalog import columns_of, numeric_names
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
@@ -21,12 +21,12 @@ def group_agg(df: DataFrame, x: str, y: str | None = None, agg: str = "sum") ->
 
     An unknown aggregate sums; without ``y`` rows are counted.
     """
-    keyed = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("label"))
+    keyed = df.where(quoted(x).isNotNull()).groupBy(quoted(x).alias("label"))
     if y is None or y not in df.columns:
         return keyed.agg(F.count(F.lit(1)).cast("double").alias("value"))
     if agg == "count":
         return keyed.agg(F.count(y).cast("double").alias("value"))
-    return keyed.agg(rounded(_GROUPED.get(agg, _GROUPED["sum"])(F.col(y).cast("double")), 4).alias("value"))
+    return keyed.agg(rounded(_GROUPED.get(agg, _GROUPED["sum"])(quoted(y).cast("double")), 4).alias("value"))
 
 
 def ranked_chart(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", sort: str | None = "desc",
@@ -53,7 +53,7 @@ def value_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """Most frequent values with their share of all rows."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value"))
+        df.where(quoted(col).isNotNull()).groupBy(quoted(col).cast("string").alias("value"))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.col("count").desc(), "value").limit(n)
         .select("value", "count", rounded(ratio(F.col("count"), total) * 100, 2).alias("percentage"))
@@ -63,7 +63,7 @@ def value_counts(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Null count per column, one scan."""
     infos = columns_of(df)
-    wide = df.agg(*[F.count_if(F.col(f"`{c.name}`").isNull()).alias(str(c.ordinal)) for c in infos])
+    wide = df.agg(*[F.count_if(quoted(c.name).isNull()).alias(str(c.ordinal)) for c in infos])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c.name).alias("label"), F.col(str(c.ordinal)).alias("value")) for c in infos
     ])))
@@ -81,7 +81,7 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 def completeness(df: DataFrame) -> Column:
     """Percent of cells that are filled, as an aggregate expression."""
-    filled = [F.count(F.col(f"`{c}`")) for c in df.columns]
+    filled = [F.count(quoted(c)) for c in df.columns]
     total = filled[0]
     for f in filled[1:]:
         total = total + f
@@ -99,18 +99,18 @@ def kpi_expr(df: DataFrame, agg: str, x: str | None = None, y: str | None = None
     if agg == "completeness":
         return rounded(completeness(df), 4)
     if agg == "avg":
-        return rounded(F.avg(F.col(y).cast("double")), 4)
+        return rounded(F.avg(quoted(y).cast("double")), 4)
     if agg == "avg_per_group":
-        return rounded(ratio(F.sum(F.col(y).cast("double")), F.count_distinct(x)), 4)
+        return rounded(ratio(F.sum(quoted(y).cast("double")), F.count_distinct(x)), 4)
     if agg == "calculated":
         left, right = y.split("-", 1)
-        return rounded(F.sum(F.col(left).cast("double")) - F.sum(F.col(right).cast("double")), 4)
+        return rounded(F.sum(quoted(left).cast("double")) - F.sum(quoted(right).cast("double")), 4)
     if agg in ("accuracy", "error_rate"):
-        right = F.coalesce(F.col(x) == F.col(y), F.lit(False))
+        right = F.coalesce(quoted(x) == quoted(y), F.lit(False))
         share = ratio(F.count_if(right if agg == "accuracy" else ~right), F.count(F.lit(1)))
         return rounded(share * 100, 4)
     if agg == "sum":
-        return rounded(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)), 4)
+        return rounded(F.coalesce(F.sum(quoted(y).cast("double")), F.lit(0.0)), 4)
     raise ValueError(f"unknown KPI aggregate {agg}")
 
 
@@ -142,7 +142,7 @@ def auto_kpis(df: DataFrame, semantic: dict[str, str], first: int = 6) -> DataFr
     for name in df.columns:
         if semantic.get(name) in ("currency", "numeric", "count") and name in numeric:
             fmt = "currency" if semantic[name] == "currency" else "number"
-            value = F.col(f"`{name}`").cast("double")
+            value = quoted(name).cast("double")
             cards.append((f"Total {heading_text(name)}", name, fmt, finite_or_zero(F.sum(value))))
             cards.append((f"Avg {heading_text(name)}", name, fmt, finite_or_zero(F.avg(value))))
     cards.append(("Total Records", None, "number", F.count(F.lit(1)).cast("double")))
@@ -170,20 +170,20 @@ def financial_metrics(df: DataFrame) -> DataFrame:
     revenue, cost, volume = (first_numeric_with(df, w) for w in (REVENUE_WORDS, COST_WORDS, VOLUME_WORDS))
     aggs: list[Column] = []
     if revenue:
-        v = F.col(revenue).cast("double")
+        v = quoted(revenue).cast("double")
         aggs += [rounded(F.sum(v), 2).alias("revenue_total"), rounded(F.avg(v), 2).alias("revenue_average"),
                  rounded(F.min(v), 2).alias("revenue_min"), rounded(F.max(v), 2).alias("revenue_max"),
                  rounded(F.stddev_samp(v), 2).alias("revenue_std")]
         aggs += quantile_exprs(df, [Quantile("revenue_median", v, 0.5)])
     if cost:
-        v = F.col(cost).cast("double")
+        v = quoted(cost).cast("double")
         aggs += [rounded(F.sum(v), 2).alias("cost_total"), rounded(F.avg(v), 2).alias("cost_average")]
     if revenue and cost:
-        r, c = F.sum(F.col(revenue).cast("double")), F.sum(F.col(cost).cast("double"))
+        r, c = F.sum(quoted(revenue).cast("double")), F.sum(quoted(cost).cast("double"))
         aggs += [rounded(r - c, 2).alias("gross_profit"), rounded(ratio_or(r - c, r) * 100, 2).alias("profit_margin"),
                  rounded(ratio_or(c, r) * 100, 2).alias("cost_ratio")]
     if volume:
-        v = F.col(volume).cast("double")
+        v = quoted(volume).cast("double")
         aggs += [F.sum(v).cast("bigint").alias("volume_total"), rounded(F.avg(v), 2).alias("volume_average")]
     out = df.agg(*aggs)
     return out.withColumn("revenue_median", rounded(F.col("revenue_median"), 2)) if revenue else out
@@ -209,9 +209,9 @@ def monthly_growth(df: DataFrame, date: str, value: str) -> DataFrame:
 
 def monthly_trend(df: DataFrame, date: str, value: str) -> DataFrame:
     """Sum per calendar month, oldest first."""
-    when = to_timestamp_or_null(F.col(date), df.schema[date].dataType)
+    when = to_timestamp_or_null(quoted(date), df.schema[date].dataType)
     return (
-        df.select(period_start(when.cast("date"), "month").alias("month"), F.col(value).cast("double").alias("v"))
+        df.select(period_start(when.cast("date"), "month").alias("month"), quoted(value).cast("double").alias("v"))
         .where(F.col("month").isNotNull())
         .groupBy("month").agg(rounded(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("value"))
         .orderBy("month")
@@ -220,9 +220,9 @@ def monthly_trend(df: DataFrame, date: str, value: str) -> DataFrame:
 
 def daily_series(df: DataFrame, date: str, value: str, last: int = 100) -> DataFrame:
     """Sum per day with missing days filled by 0; the last ``last`` days."""
-    when = to_timestamp_or_null(F.col(date), df.schema[date].dataType).cast("date")
+    when = to_timestamp_or_null(quoted(date), df.schema[date].dataType).cast("date")
     daily = (
-        df.select(when.alias("day"), F.col(value).cast("double").alias("v")).where(F.col("day").isNotNull())
+        df.select(when.alias("day"), quoted(value).cast("double").alias("v")).where(F.col("day").isNotNull())
         .groupBy("day").agg(F.sum("v").alias("v"))
     )
     span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
@@ -240,7 +240,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = 20, low: float | None
     The last bin is closed.  ``bins=None`` chooses the number of bins from the
     narrower of the Sturges and Freedman-Diaconis widths.
     """
-    source = df.select((F.col(col) if extra is None else extra).cast("double").alias("v")).where(F.col("v").isNotNull())
+    source = df.select((quoted(col) if extra is None else extra).cast("double").alias("v")).where(F.col("v").isNotNull())
     if bins is None:
         frame = _auto_bins(source)
     elif low is not None and high is not None:
@@ -280,12 +280,12 @@ def _auto_bins(source: DataFrame) -> DataFrame:
 
 def boxplot(df: DataFrame, col: str) -> DataFrame:
     """Five-number summary with fences clipped to the data."""
-    v = F.col(col).cast("double")
+    v = quoted(col).cast("double")
     row = df.agg(F.min(v).alias("min"), F.max(v).alias("max"), *quantile_exprs(
         df, [Quantile(n, v, p) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]))
     iqr = F.col("q3") - F.col("q1")
     return row.select(
-        *[rounded(F.col(c), 4).alias(c) for c in ("min", "q1", "median", "q3", "max")],
+        *[rounded(quoted(c), 4).alias(c) for c in ("min", "q1", "median", "q3", "max")],
         rounded(F.greatest(F.col("q1") - 1.5 * iqr, F.col("min")), 4).alias("lower_fence"),
         rounded(F.least(F.col("q3") + 1.5 * iqr, F.col("max")), 4).alias("upper_fence"),
     )
@@ -293,7 +293,7 @@ def boxplot(df: DataFrame, col: str) -> DataFrame:
 
 def boxplot_outliers(df: DataFrame, col: str, order_by: str, limit: int = 50) -> DataFrame:
     """First ``limit`` values beyond the fences, in row order."""
-    v = F.col(col).cast("double")
+    v = quoted(col).cast("double")
     fences = df.agg(*quantile_exprs(df, [Quantile("q1", v, 0.25), Quantile("q3", v, 0.75)]))
     iqr = F.col("q3") - F.col("q1")
     s = fences.select(F.struct((F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))).scalar()
@@ -303,8 +303,8 @@ def boxplot_outliers(df: DataFrame, col: str, order_by: str, limit: int = 50) ->
 def scatter(df: DataFrame, x: str, y: str, key: str, limit: int = 500) -> DataFrame:
     """A repeatable sample of point pairs: the rows whose key digests sort lowest."""
     return (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.md5(F.col(key).cast("string")).alias("_k"))
+        df.where(quoted(x).isNotNull() & quoted(y).isNotNull())
+        .select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"), F.md5(quoted(key).cast("string")).alias("_k"))
         .orderBy("_k", "x", "y").limit(limit).drop("_k")
     )
 
@@ -312,8 +312,8 @@ def scatter(df: DataFrame, x: str, y: str, key: str, limit: int = 500) -> DataFr
 def first_points(df: DataFrame, x: str, y: str, order_by: str, limit: int = 500) -> DataFrame:
     """First complete point pairs in row order."""
     return (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(order_by).limit(limit)
-        .select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        df.where(quoted(x).isNotNull() & quoted(y).isNotNull()).orderBy(order_by).limit(limit)
+        .select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"))
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import grouped_text, rounded
-from ledgerlens.functions.text import hits_in, looks_like_date
+from ledgerlens.functions.text import hits_in, looks_like_date, quoted
 from ledgerlens.plans import signatures as sig
 from ledgerlens.plans.catalog import columns_of, union_all, value_shapes
 from ledgerlens.plans.ordered import staged
@@ -209,10 +209,10 @@ def time_coverage(sources: dict[str, Source]) -> DataFrame:
         cands = [c for c in columns_of(s.df) if c.kind in ("temporal", "string")]
         if not cands:
             continue
-        times = {c.ordinal: to_timestamp_or_null(F.col(f"`{c.name}`"), s.df.schema[c.name].dataType).cast("date") for c in cands}
+        times = {c.ordinal: to_timestamp_or_null(quoted(c.name), s.df.schema[c.name].dataType).cast("date") for c in cands}
         for c in cands:
             if c.kind == "string":
-                times[c.ordinal] = F.when(looks_like_date(F.col(f"`{c.name}`")), times[c.ordinal])
+                times[c.ordinal] = F.when(looks_like_date(quoted(c.name)), times[c.ordinal])
         wide = s.df.agg(*[fn(t).alias(f"{tag}{o}") for o, t in times.items() for tag, fn in (("lo", F.min), ("hi", F.max))])
         picks = [F.when(F.col(f"lo{c.ordinal}").isNotNull(), F.struct(
             F.col(f"lo{c.ordinal}").alias("start"), F.col(f"hi{c.ordinal}").alias("end"), F.lit(c.name).alias("column"))) for c in cands]

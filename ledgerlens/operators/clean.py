@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numbers import is_numeric, rounded
+from ledgerlens.functions.text import quoted
 from ledgerlens.operators.filters import convert_type, drop_column, rename_column
 from ledgerlens.plans.catalog import columns_of, frequencies, local_table
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
@@ -39,7 +40,7 @@ class Cleaning:
 
 
 def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return quoted(name)
 
 
 def _known(one_row: DataFrame) -> list[Column]:
@@ -96,19 +97,19 @@ def fill_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
 def fill_previous(df: DataFrame, column: str, order_by: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Carry the last filled value forward in row order."""
     rows = with_neighbours(df, [column], order_by, backward=False, rows_per_slice=rows_per_slice)
-    return _tidy(rows.withColumn(column, F.col(f"_prev_{column}.value")), df)
+    return _tidy(rows.withColumn(column, quoted(f"_prev_{column}")["value"]), df)
 
 
 def fill_next(df: DataFrame, column: str, order_by: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Carry the next filled value backward in row order."""
     rows = with_neighbours(df, [column], order_by, forward=False, rows_per_slice=rows_per_slice)
-    return _tidy(rows.withColumn(column, F.col(f"_next_{column}.value")), df)
+    return _tidy(rows.withColumn(column, quoted(f"_next_{column}")["value"]), df)
 
 
 def interpolate(df: DataFrame, column: str, order_by: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Straight line between filled neighbours by row position; the tail repeats the last value."""
     rows = with_neighbours(df, [column], order_by, rows_per_slice=rows_per_slice)
-    prev, nxt = F.col(f"_prev_{column}"), F.col(f"_next_{column}")
+    prev, nxt = quoted(f"_prev_{column}"), quoted(f"_next_{column}")
     a, b = prev["value"].cast("double"), nxt["value"].cast("double")
     between = a + (b - a) * (F.col("_rn") - prev["_rn"]) / (nxt["_rn"] - prev["_rn"])
     value = F.when(_col(column).isNotNull(), _col(column).cast("double")).when(nxt.isNull(), a).otherwise(between)

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numbers import plain_text, ratio, rounded
-from ledgerlens.functions.text import fill_template
+from ledgerlens.functions.text import fill_template, quoted
 from ledgerlens.operators import charts as c
 from ledgerlens.operators import kpis as k
 from ledgerlens.operators import profile as p
@@ -165,13 +165,15 @@ def sheet_groups(df: DataFrame) -> dict[str, list[str]]:
     return {**out, "id": ids, "all": groups["all"], "values": out["numeric"] + out["categorical"]}
 
 
-def find_column(columns: list[str], fragments: tuple[str, ...], strict: bool = False) -> str | None:
-    """First column whose name holds a fragment; unless ``strict``, else the first column."""
+def find_column(columns: list[str], fragments: tuple[str, ...], strict: bool = True) -> str | None:
+    """First column whose name holds a fragment; the first column if any will do (no fragments, or not ``strict``)."""
+    if not fragments:
+        strict = False
     found = next((n for n in columns if any(w in n.lower() for w in fragments)), None)
     return found or (None if strict or not columns else columns[0])
 
 
-def resolve(charts: tuple[Chart, ...], roles: dict, groups: dict[str, list[str]], strict: bool = False) -> list[Chart]:
+def resolve(charts: tuple[Chart, ...], roles: dict, groups: dict[str, list[str]], strict: bool = True) -> list[Chart]:
     """Charts whose roles are all filled, with columns in place of roles."""
     columns = {role: find_column(groups.get(kind, []), words, strict) for role, (kind, words) in roles.items()}
     out = []
@@ -182,7 +184,7 @@ def resolve(charts: tuple[Chart, ...], roles: dict, groups: dict[str, list[str]]
     return out
 
 
-def business_charts(df: DataFrame, strict: bool = False) -> list[Chart]:
+def business_charts(df: DataFrame, strict: bool = True) -> list[Chart]:
     groups = column_groups(df)
     out = resolve(BUSINESS_CHARTS, BUSINESS_ROLES, groups, strict)
     ids = {ch.id for ch in out}
@@ -206,7 +208,7 @@ def analytics_charts(df: DataFrame) -> list[Chart]:
         out.append(Chart("correlations", "correlation_matrix", "Correlation Matrix", "heatmap", ",".join(numbers)))
         out += [Chart("correlations", f"scatter_{i + 1}", f"{numbers[2 * i]} vs {numbers[2 * i + 1]}", "scatter", numbers[2 * i], numbers[2 * i + 1])
                 for i in range(2) if len(numbers) >= 2 * i + 2]
-    date = find_column(groups["datetime"], ("date", "time", "timestamp"))
+    date = find_column(groups["datetime"], ("date", "time", "timestamp"), strict=False)
     if date:
         out += [Chart("time_series", f"trend_{n}", f"{n} Over Time", "line", date, n, "avg") for n in numbers[:3]]
     return out + [Chart("quality", "missing_by_column", "Missing Values by Column", "bar", None, None, "missing_count"),
@@ -270,23 +272,39 @@ def _series(name: str, df: DataFrame, label: Column, value: Column) -> DataFrame
     return df.select(F.lit(name).alias("chart_id"), label.cast("string").alias("label"), value.cast("double").alias("value"))
 
 
-def _axis(ch: Chart) -> tuple[str, str]:
-    return ch.x, "month" if ch.type == "month_bar" else "value"
+def time_units(df: DataFrame, charts: list[Chart]) -> dict[str, str]:
+    """Width of the points of time charts over raw timestamps: days up to three months, weeks up to three years, else months."""
+    moments = {ch.x for ch in charts if ch.type in ("line", "area") and ch.x in df.columns and dict(df.dtypes)[ch.x].startswith("timestamp")}
+    out = {}
+    for x in sorted(moments):
+        at = quoted(x).cast("timestamp")
+        days = df.agg(F.datediff(F.max(at), F.min(at)).alias("d")).first()["d"] or 0
+        out[x] = "day" if days <= 92 else "week" if days <= 1096 else "first_of_month"
+    return out
+
+
+def _axis(ch: Chart, units: dict[str, str]) -> tuple[str, str]:
+    if ch.type == "month_bar":
+        return ch.x, "month"
+    return ch.x, units.get(ch.x, "value") if ch.type in ("line", "area") else "value"
 
 
 def _grouped_values(df: DataFrame, axis: tuple[str, str], members: list[Chart]) -> DataFrame:
     """One grouping that holds the values of every chart over an axis."""
-    key = F.col(f"`{axis[0]}`")
-    key = F.date_format(F.date_trunc("month", key), "yyyy-MM") if axis[1] == "month" else key
+    key = quoted(axis[0])
+    if axis[1] == "month":
+        key = F.date_format(F.date_trunc("month", key), "yyyy-MM")
+    elif axis[1] != "value":
+        key = F.date_format(F.date_trunc(axis[1].removeprefix("first_of_"), key), "yyyy-MM-dd")
     aggs = {}
     for ch in members:
         if ch.y is None:
             aggs[ch.id] = F.count(F.lit(1)).cast("double")
         else:
-            y = F.col(f"`{ch.y}`").cast("double")
+            y = quoted(ch.y).cast("double")
             fn = {"avg": F.avg, "min": F.min, "max": F.max}.get(ch.agg, lambda v: F.coalesce(F.sum(v), F.lit(0.0)))
             aggs[ch.id] = rounded(fn(y), 4)
-    return df.where(F.col(f"`{axis[0]}`").isNotNull()).groupBy(key.alias("label")).agg(*[v.alias(n) for n, v in aggs.items()])
+    return df.where(quoted(axis[0]).isNotNull()).groupBy(key.alias("label")).agg(*[v.alias(n) for n, v in aggs.items()])
 
 
 def compile_charts(df: DataFrame, charts: list[Chart], order_by: str) -> DataFrame:
@@ -297,9 +315,10 @@ def compile_charts(df: DataFrame, charts: list[Chart], order_by: str) -> DataFra
         wide = c.kpi_cards(df, [{"id": ch.id, "agg": ch.agg, "x": ch.x, "y": ch.y, "format": ch.format} for ch in cards])
         parts.append(wide.select(F.col("id").alias("chart_id"), F.lit(None).cast("string").alias("label"), "value"))
     axes: dict[tuple[str, str], list[Chart]] = {}
+    units = time_units(df, charts)
     for ch in charts:
         if ch.type in GROUPED_TYPES and ch.x in df.columns and ch.agg != "feature_importance":
-            axes.setdefault(_axis(ch), []).append(ch)
+            axes.setdefault(_axis(ch, units), []).append(ch)
     for axis, members in axes.items():
         grouped = _grouped_values(df, axis, members)
         for ch in members:
@@ -346,7 +365,7 @@ def table_rows(df: DataFrame, ch: Chart, order_by: str, limit: int = 100) -> Dat
     """First rows of a table chart, as text with nulls shown empty; only errors where asked."""
     rows = errors_only(df, ch.x, ch.y) if ch.agg == "errors_only" else df
     first = rows.orderBy(order_by).limit(limit)
-    return first.select(*[F.coalesce(F.col(f"`{n.name}`").cast("string"), F.lit("")).alias(n.name) for n in columns_of(df) if n.kind != "nested"])
+    return first.select(*[F.coalesce(quoted(n.name).cast("string"), F.lit("")).alias(n.name) for n in columns_of(df) if n.kind != "nested"])
 
 
 def analysis(df: DataFrame, semantic: dict[str, str], filters: dict | None = None, datasets: int = 1) -> dict[str, DataFrame]:

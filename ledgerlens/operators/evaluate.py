@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import adjusted_kurtosis, adjusted_skewness, ratio, rounded
+from ledgerlens.functions.text import quoted
 from ledgerlens.operators.charts import histogram, scatter
 from ledgerlens.plans.catalog import columns_of, with_distinct, facts
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, running_totals
@@ -63,7 +64,7 @@ def detect_roles(df: DataFrame) -> DataFrame:
 def detect_task(df: DataFrame, actual: str) -> DataFrame:
     """Regression, binary or multiclass, from the type and variety of the actual column."""
     dtype = df.schema[actual].dataType.typeName()
-    distinct = df.groupBy(F.col(f"`{actual}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
+    distinct = df.groupBy(quoted(actual).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
         F.count("v").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
     )
     spread = F.lit(dtype in ("float", "double", "decimal")) & (ratio(F.col("distinct"), F.col("rows")) > 0.1)
@@ -80,7 +81,7 @@ def vision_check(df: DataFrame) -> DataFrame:
     ending = F.lit(False)
     for c in columns_of(df, "string"):
         for e in IMAGE_ENDINGS:
-            ending = ending | F.coalesce(F.col("`" + c.name.replace("`", "``") + "`").endswith(e), F.lit(False))
+            ending = ending | F.coalesce(quoted(c.name).endswith(e), F.lit(False))
     images = df.agg(F.coalesce(F.max(ending), F.lit(False)).alias("images"))
     return images.select(
         (F.lit(boxes >= 4) | F.col("images")).alias("is_vision"), F.lit(boxes).alias("box_hits"),
@@ -90,7 +91,7 @@ def vision_check(df: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., actual, predicted, n)."""
-    return df.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by, quoted(actual).alias("actual"), quoted(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _grid(labels: DataFrame) -> DataFrame:
@@ -159,9 +160,9 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, by: tuple
     With ``by`` the measures of several models come from the same job.
     """
     classes = _class_counts(confusion(df, actual, predicted, by), by).withColumns(_scores())
-    d = {c: F.col(c).cast("double") for c in ("tp", "support", "guessed")}
+    d = {c: quoted(c).cast("double") for c in ("tp", "support", "guessed")}
     means = [F.avg(c).alias(f"{c}_macro") for c in ("precision", "recall", "f1")]
-    weighted = [F.sum(F.col(c) * d["support"]).alias(f"{c}_w") for c in ("precision", "recall", "f1")]
+    weighted = [F.sum(quoted(c) * d["support"]).alias(f"{c}_w") for c in ("precision", "recall", "f1")]
     sums = classes.groupBy(*by).agg(
         F.sum("support").alias("n"), F.count(F.lit(1)).alias("n_classes"), F.sum(d["tp"]).alias("c"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced"), *means, *weighted,
@@ -226,10 +227,10 @@ def score_steps(df: DataFrame, actual: str, score: str, positive=1, rows_per_sli
 
     Grouping by score first makes the running totals work on distinct scores only.
     """
-    is_pos = F.col(actual) == F.lit(positive)
+    is_pos = quoted(actual) == F.lit(positive)
     groups = (
-        df.where(F.col(score).isNotNull() & F.col(actual).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        df.where(quoted(score).isNotNull() & quoted(actual).isNotNull())
+        .groupBy(quoted(score).cast("double").alias("score"))
         .agg(F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
     )
     return running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True,
@@ -238,7 +239,7 @@ def score_steps(df: DataFrame, actual: str, score: str, positive=1, rows_per_sli
 
 def _areas(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Areas under the ROC and the precision-recall curve from score steps."""
-    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
+    pos, neg, tp, fp = (quoted(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     sums = steps.groupBy(*by).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
         F.sum(neg * (tp - pos / 2)).alias("area"), F.sum(pos * ratio(tp, tp + fp)).alias("ap"),
@@ -256,8 +257,8 @@ def roc_auc(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
 
 def roc_auc_ovr(df: DataFrame, actual: str, scores: dict) -> DataFrame:
     """One-versus-rest AUC averaged by class support; ``scores`` maps classes to score columns."""
-    long = df.select(F.col(actual).alias("a"), F.inline(F.array(*[
-        F.struct(F.lit(k).alias("label"), F.col(c).cast("double").alias("score")) for k, c in scores.items()
+    long = df.select(quoted(actual).alias("a"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("label"), quoted(c).cast("double").alias("score")) for k, c in scores.items()
     ]))).where(F.col("score").isNotNull() & F.col("a").isNotNull())
     hit = F.col("a") == F.col("label")
     groups = long.groupBy("label", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
@@ -313,14 +314,14 @@ def pr_curve(df: DataFrame, actual: str, score: str, positive=1, about: int = 10
 def log_loss(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
     """Mean negative log likelihood of the actual class."""
     low, high = F.lit(SMALLEST_PROBABILITY), F.lit(1 - SMALLEST_PROBABILITY)
-    p = F.col(score).cast("double")
+    p = quoted(score).cast("double")
     p = F.when(p < low, low).when(p > high, high).otherwise(p)
-    loss = F.when(F.col(actual) == F.lit(positive), -F.log(p)).otherwise(-F.log(1 - p))
+    loss = F.when(quoted(actual) == F.lit(positive), -F.log(p)).otherwise(-F.log(1 - p))
     return df.agg(rounded(F.avg(loss), 4).alias("log_loss"))
 
 
 def _pairs(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*by, F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")).where(
+    return df.select(*by, quoted(actual).cast("double").alias("y"), quoted(predicted).cast("double").alias("p")).where(
         F.col("y").isNotNull() & F.col("p").isNotNull()
     ).withColumn("e", F.col("y") - F.col("p"))
 
@@ -368,11 +369,11 @@ def residual_analysis(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         F.max("e").alias("max"), F.skewness("e").alias("g1"), F.kurtosis("e").alias("g2"), *sides, *quantile_exprs(pairs, wanted))
     named = [f"{name}_{k}" for name in ("actual", "predicted") for k in ("mean", "std", "min", "max")]
     return row.select(
-        *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "max", "median")],
+        *[rounded(quoted(c), 4).alias(c) for c in ("mean", "std", "min", "max", "median")],
         rounded(adjusted_skewness(F.col("n"), F.col("g1")), 4).alias("skewness"),
         rounded(adjusted_kurtosis(F.col("n"), F.col("g2")), 4).alias("kurtosis"),
         *[rounded(F.col(f"p{p}"), 4).alias(f"p{p}") for p in ERROR_PERCENTILES],
-        *[rounded(F.col(c), 4).alias(c) for c in named],
+        *[rounded(quoted(c), 4).alias(c) for c in named],
     )
 
 
@@ -391,14 +392,14 @@ def vision_metrics(df: DataFrame, actual: str, predicted: str, iou: str | None =
     out = classification_metrics(df, actual, predicted)
     extra, cells, wanted = [], [], []
     if iou:
-        v = F.col(iou).cast("double")
+        v = quoted(iou).cast("double")
         wanted.append(Quantile("mi", v, 0.5))
         extra += [F.avg(v).alias("ai"), F.stddev_pop(v).alias("si"), F.avg((v > 0.5).cast("double")).alias("o5"),
                   F.avg((v > 0.75).cast("double")).alias("o7")]
         cells += [("mean_iou", rounded(F.col("ai"), 4)), ("median_iou", rounded(F.col("mi"), 4)), ("std_iou", rounded(F.col("si"), 4)),
                   ("iou_above_50", rounded(F.col("o5") * 100, 2)), ("iou_above_75", rounded(F.col("o7") * 100, 2))]
     if confidence:
-        v = F.col(confidence).cast("double")
+        v = quoted(confidence).cast("double")
         wanted.append(Quantile("mc", v, 0.5))
         extra += [F.avg(v).alias("ac"), F.avg((v > 0.8).cast("double")).alias("hc")]
         cells += [("mean_confidence", rounded(F.col("ac"), 4)), ("median_confidence", rounded(F.col("mc"), 4)),
@@ -415,8 +416,8 @@ def overlap_histogram(df: DataFrame, iou: str) -> DataFrame:
 
 def _by_model(df: DataFrame, actual: str, models: dict[str, str]) -> DataFrame:
     """(model, actual, predicted): the prediction columns below each other."""
-    return df.select(F.col(actual).alias("actual"), F.inline(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted")) for m, c in models.items()
+    return df.select(quoted(actual).alias("actual"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), quoted(c).alias("predicted")) for m, c in models.items()
     ])))
 
 
@@ -433,7 +434,7 @@ def rank_models(metrics: DataFrame, classification: bool = True) -> DataFrame:
     """(metric, rank, model, score): models ordered per measure, best first."""
     ranking = CLASS_RANKING if classification else VALUE_RANKING
     long = metrics.select("model", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"), (F.col(m) if more else -F.col(m)).alias("_key"))
+        F.struct(F.lit(m).alias("metric"), quoted(m).alias("score"), (quoted(m) if more else -quoted(m)).alias("_key"))
         for m, more in ranking
     ])))
     order = Window.partitionBy("metric").orderBy(F.col("_key").desc(), "model")
@@ -443,4 +444,4 @@ def rank_models(metrics: DataFrame, classification: bool = True) -> DataFrame:
 def best_model(metrics: DataFrame, classification: bool = True) -> DataFrame:
     """The model with the highest macro F1, or R2."""
     key = "f1_macro" if classification else "r2_score"
-    return metrics.orderBy(F.col(key).desc(), "model").limit(1).select(F.col("model").alias("best_model"), F.col(key).alias("score"))
+    return metrics.orderBy(quoted(key).desc(), "model").limit(1).select(F.col("model").alias("best_model"), quoted(key).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import ratio
-from ledgerlens.functions.text import heading_text
+from ledgerlens.functions.text import heading_text, quoted
 from ledgerlens.plans.catalog import columns_of, distinct_counts, frequencies, lane_text, numeric_names
 
 # Names that mark a column as the target or as no feature.
@@ -22,7 +22,7 @@ def slicer_filter(df: DataFrame, wanted: dict[str, Any]) -> DataFrame:
     for col, value in wanted.items():
         if col in df.columns:
             values = value if isinstance(value, (list, tuple)) else [value]
-            df = df.where(F.col(col).cast("string").isin([str(v) for v in values]))
+            df = df.where(quoted(col).cast("string").isin([str(v) for v in values]))
     return df
 
 
@@ -30,7 +30,7 @@ def chart_filter(df: DataFrame, wanted: dict[str, Any]) -> DataFrame:
     """Like ``slicer_filter`` but compares typed values, so filters reach the scan."""
     for col, value in wanted.items():
         if col in df.columns:
-            df = df.where(F.col(col).isin(list(value)) if isinstance(value, (list, tuple)) else F.col(col) == value)
+            df = df.where(quoted(col).isin(list(value)) if isinstance(value, (list, tuple)) else quoted(col) == value)
     return df
 
 
@@ -83,7 +83,7 @@ def global_filters(df: DataFrame, first: int = 5) -> DataFrame:
 
 def errors_only(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Rows whose prediction is wrong; a missing side counts as wrong."""
-    return df.where(~F.coalesce(F.col(predicted) == F.col(actual), F.lit(False)))
+    return df.where(~F.coalesce(quoted(predicted) == quoted(actual), F.lit(False)))
 
 
 def severity_rank(col: Column) -> Column:
@@ -100,7 +100,7 @@ def insight_page(insights: DataFrame, severity: str | None = None, insight_type:
     if insight_type:
         out = out.where(F.col("insight_type") == insight_type)
     tie = [c for c in ("created_at", "insight_type", "offering_id") if c in insights.columns]
-    order = [F.col("created_at").desc() if c == "created_at" else F.col(c) for c in tie]
+    order = [F.col("created_at").desc() if c == "created_at" else quoted(c) for c in tie]
     return out.orderBy(severity_rank(F.col("severity")), *order).offset(offset).limit(limit)
 
 
@@ -129,7 +129,7 @@ def convert_type(df: DataFrame, col: str, target: str) -> DataFrame:
     if col not in df.columns:
         return df
     dtype = df.schema[col].dataType
-    source = F.col(f"`{col}`")
+    source = quoted(col)
     if target == "int":
         whole = source.try_cast("double")
         new = F.when(whole == F.floor(whole), whole).try_cast("bigint")
@@ -161,7 +161,7 @@ def select_kind(df: DataFrame, kind: str) -> DataFrame:
     if kind == "temporal":
         named = [c for c in df.columns if any(w in c.lower() for w in ("date", "time"))]
         names = [c for c in df.columns if c in names or c in named]
-    return df.select(*[F.col(f"`{c}`") for c in names])
+    return df.select(*[quoted(c) for c in names])
 
 
 def column_kinds(df: DataFrame, few: int = 50) -> DataFrame:

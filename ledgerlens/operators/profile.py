@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerlens.functions.numbers import (
     adjusted_kurtosis, adjusted_skewness, finite_or_zero, k_squared, plain_text, ratio, rounded,
 )
-from ledgerlens.functions.text import contains_any
+from ledgerlens.functions.text import contains_any, quoted
 from ledgerlens.operators.charts import histogram
 from ledgerlens.plans.catalog import (
     ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, union_all, value_key,
@@ -96,11 +96,11 @@ def samples(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
 
     Each column is a bounded top-n over two pruned columns, never a full sort.
     """
-    key = F.col(f"`{order_by}`")
+    key = quoted(order_by)
     parts = []
     for c in columns_of(df):
         top = (
-            df.where(F.col(f"`{c.name}`").isNotNull()).select(key.alias("_k"), text_of(c).alias("value"))
+            df.where(quoted(c.name).isNotNull()).select(key.alias("_k"), text_of(c).alias("value"))
             .orderBy("_k", "value").limit(n)
             .agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("top"))
         )
@@ -145,11 +145,11 @@ def missing_patterns(df: DataFrame, order_by: str, columns: list[str] | None = N
     names = [c for c in (columns or df.columns) if c != order_by]
     rows = with_neighbours(df.select(order_by, *names), names, order_by, backward=False, rows_per_slice=rows_per_slice)
     runs = [
-        F.max(F.when(F.col(f"`{c}`").isNull(), F.col("_rn") - F.coalesce(F.col(f"_prev_{c}._rn"), F.lit(0)))).alias(f"run_{i}")
+        F.max(F.when(quoted(c).isNull(), F.col("_rn") - F.coalesce(F.col(f"_prev_{c}._rn"), F.lit(0)))).alias(f"run_{i}")
         for i, c in enumerate(names)
     ]
     wide = rows.agg(F.count(F.lit(1)).alias("rows"), *runs,
-                    *[F.count(F.col(f"`{c}`")).alias(f"filled_{i}") for i, c in enumerate(names)])
+                    *[F.count(quoted(c)).alias(f"filled_{i}") for i, c in enumerate(names)])
     table = wide.select("rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"filled_{i}").alias("filled"),
                  F.coalesce(F.col(f"run_{i}"), F.lit(0)).alias("longest_run")) for i, c in enumerate(names)
@@ -227,7 +227,7 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
 
 def outlier_values(df: DataFrame, col: str) -> DataFrame:
     """All outlying values of a column, as rows."""
-    v = F.col(f"`{col}`").cast("double")
+    v = quoted(col).cast("double")
     row = df.agg(*quantile_exprs(df, [Quantile("q1", v, 0.25), Quantile("q3", v, 0.75)]))
     iqr = F.col("q3") - F.col("q1")
     s = row.select(F.struct((F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))).scalar()
@@ -292,7 +292,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: in
     names = (columns or numeric_names(df))[:most]
     half = pairwise_correlations(df, names)
     ones = df.agg(*[
-        F.when(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`")), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(names)
+        F.when(F.min(quoted(c)) < F.max(quoted(c)), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(names)
     ]).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"d{i}").alias("value")) for i, c in enumerate(names)
     ])))
@@ -326,7 +326,7 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def _groupable(c: ColumnInfo) -> Column:
     """A column as a short grouping key: long text and nested values as digests."""
-    col = value_key(c) if c.kind in ("string", "nested") else F.col(f"`{c.name}`")
+    col = value_key(c) if c.kind in ("string", "nested") else quoted(c.name)
     return col.alias(c.name)
 
 
@@ -420,7 +420,7 @@ PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """Everything about one numeric column in one row (histogram apart)."""
-    v = F.col(f"`{col}`").cast("double")
+    v = quoted(col).cast("double")
     wanted = [Quantile(f"p{p}", v, p / 100) for p in PERCENTILES]
     info = [c for c in columns_of(df) if c.name == col]
     wide = df.agg(

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerlens.functions.dates import is_temporal, to_timestamp_or_null
 from ledgerlens.functions.numbers import is_numeric
-from ledgerlens.functions.text import EMAIL_SHAPE, looks_like_date, strip_currency
+from ledgerlens.functions.text import EMAIL_SHAPE, looks_like_date, strip_currency, quoted
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
 # Longer values are compared by digest, so that keys stay short in a shuffle.
@@ -67,7 +67,7 @@ def numeric_names(df: DataFrame) -> list[str]:
 
 
 def text_of(info: ColumnInfo) -> Column:
-    col = F.col(f"`{info.name}`")
+    col = quoted(info.name)
     return F.to_json(F.struct(col.alias("v"))) if info.kind == "nested" else col.cast("string")
 
 
@@ -91,7 +91,7 @@ def value_shapes(df: DataFrame, infos: list[ColumnInfo] | None = None) -> DataFr
         block = infos[at:at + COLUMNS_PER_SCAN]
         wanted, rows = [], []
         for c in block:
-            tag, value = f"_{c.ordinal}", F.col("`" + c.name.replace("`", "``") + "`")
+            tag, value = f"_{c.ordinal}", quoted(c.name)
             wanted.append(F.count(value).alias(f"n{tag}"))
             cells = {k: F.lit(0.0) for k in ("dated", "dates", "numbers", "emails", "width")}
             if c.kind == "string":
@@ -120,7 +120,7 @@ def _lanes(c: ColumnInfo, readable: bool) -> Column:
     Unless the value must stay readable, times travel as microseconds and long
     text as a digest.
     """
-    col = F.col(f"`{c.name}`")
+    col = quoted(c.name)
     whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if c.dtype in _WHOLE:
         whole = col.cast("bigint")
@@ -196,7 +196,7 @@ def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...],
     aggs = [F.count(F.lit(1)).alias("rows")]
     quantiles: list[Quantile] = []
     for c in infos:
-        col = F.col(f"`{c.name}`")
+        col = quoted(c.name)
         aggs.append(F.count(col).alias(f"{c.ordinal}_filled"))
         if c.kind == "numeric":
             value = col.cast("double")
@@ -233,8 +233,8 @@ def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...],
     ).scalar()
     beyond = df.agg(*[
         F.count_if(
-            (F.col(f"`{c.name}`").cast("double") < bounds[f"{c.ordinal}_-1"])
-            | (F.col(f"`{c.name}`").cast("double") > bounds[f"{c.ordinal}_1"])
+            (quoted(c.name).cast("double") < bounds[f"{c.ordinal}_-1"])
+            | (quoted(c.name).cast("double") > bounds[f"{c.ordinal}_1"])
         ).alias(f"{c.ordinal}_out")
         for c in numeric
     ])
@@ -263,7 +263,7 @@ def pairwise_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     per-column sums it shares with every other pair.  ``r`` is NULL where a side
     is constant.
     """
-    cols = [F.col(f"`{c}`").cast("double") for c in names]
+    cols = [quoted(c).cast("double") for c in names]
     head = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[fn(c).alias(f"{k}{i}") for i, c in enumerate(cols)

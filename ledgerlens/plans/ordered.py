@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.dates import is_temporal
+from ledgerlens.functions.text import quoted
 from ledgerlens.session import ensure_checkpoint_dir
 
 MAX_SLICES = 4096
@@ -33,12 +34,16 @@ def staged(df: DataFrame) -> DataFrame:
 def _position(df: DataFrame, key: str) -> Column:
     """Order key as a double; any monotone image of the key will do."""
     dtype = df.schema[key].dataType
-    col = F.col(key)
+    col = quoted(key)
     if is_temporal(dtype):
         return F.unix_micros(col.cast("timestamp")).cast("double")
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
-    raise TypeError(f"order key {key} must be numeric or temporal, not {dtype.simpleString()}")
+    if isinstance(dtype, T.StringType):
+        # the first six bytes; strings that share them stay in one slice and are ordered there
+        head = F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    raise TypeError(f"order key {key} must be numeric, temporal or text, not {dtype.simpleString()}")
 
 
 def sliced(df: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE, derived: bool = False) -> DataFrame:
@@ -47,13 +52,14 @@ def sliced(df: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE, derive
     ``derived`` says that ``df`` is costly to recompute (it holds a shuffle);
     it is then staged once before it is read several times.
     """
+    place = _position(df, key)  # an unfit key is refused at every size
     rows = df.count()
     wanted = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
     if wanted <= 1:
         return df.withColumn(SLICE, F.lit(0))
     if derived:
         df = staged(df)
-    positioned = df.withColumn("_position", _position(df, key))
+    positioned = df.withColumn("_position", place)
     steps = [i / wanted for i in range(1, wanted)]
     borders = positioned.agg(
         F.percentile_approx("_position", steps, F.lit(max(10_000, 4 * wanted))).alias("b")
@@ -68,13 +74,13 @@ def sliced(df: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE, derive
 
 
 def _in_slice(key: str, descending: bool = False):
-    order = F.col(key).desc() if descending else F.col(key).asc()
+    order = quoted(key).desc() if descending else quoted(key).asc()
     return Window.partitionBy(SLICE).orderBy(order)
 
 
 def _across_slices(descending: bool = False):
     """Window over the slice summary, which has at most MAX_SLICES rows."""
-    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
+    order = quoted(SLICE).desc() if descending else quoted(SLICE).asc()
     return Window.orderBy(order)
 
 
@@ -93,19 +99,19 @@ def running_totals(
     unique per value of ``within``, a few groups that each run on their own.
     """
     parts = sliced(df, key, rows_per_slice, derived)
-    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
+    order = quoted(SLICE).desc() if descending else quoted(SLICE).asc()
     across = (Window.partitionBy(*within).orderBy(order) if within else Window.orderBy(order)).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    summary = parts.groupBy(SLICE, *within).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in measures.items()])
+    summary = parts.groupBy(SLICE, *within).agg(*[F.sum(quoted(src)).alias(f"_t_{out}") for out, src in measures.items()])
     offsets = summary.select(
         SLICE, *within,
-        *[F.coalesce(F.sum(f"_t_{out}").over(across), F.lit(0)).alias(f"_o_{out}") for out in measures],
+        *[F.coalesce(F.sum(quoted(f"_t_{out}")).over(across), F.lit(0)).alias(f"_o_{out}") for out in measures],
     )
-    key_order = F.col(key).desc() if descending else F.col(key).asc()
+    key_order = quoted(key).desc() if descending else quoted(key).asc()
     running = Window.partitionBy(SLICE, *within).orderBy(key_order).rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(F.broadcast(offsets), [SLICE, *within])
-    totals = {out: F.sum(src).over(running) + F.col(f"_o_{out}") for out, src in measures.items()}
+    totals = {out: F.sum(quoted(src)).over(running) + quoted(f"_o_{out}") for out, src in measures.items()}
     return joined.withColumns(totals).drop(SLICE, *[f"_o_{out}" for out in measures])
 
 
@@ -136,7 +142,7 @@ def with_neighbours(
     or a later one) as structs ``(_rn, value)``, plus ``_rn`` and the slice.
     """
     rows = numbered(df, key, rows_per_slice)
-    seen = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_rn"), F.col(c).alias("value"))) for c in columns}
+    seen = {c: F.when(quoted(c).isNotNull(), F.struct(F.col("_rn"), quoted(c).alias("value"))) for c in columns}
     edges = rows.groupBy(SLICE).agg(
         *[F.max(seen[c]).alias(f"_last_{c}") for c in columns],
         *[F.min(seen[c]).alias(f"_first_{c}") for c in columns],
@@ -145,8 +151,8 @@ def with_neighbours(
     later = _across_slices().rowsBetween(1, Window.unboundedFollowing)
     carried = edges.select(
         SLICE,
-        *[F.max(f"_last_{c}").over(earlier).alias(f"_in_prev_{c}") for c in columns],
-        *[F.min(f"_first_{c}").over(later).alias(f"_in_next_{c}") for c in columns],
+        *[F.max(quoted(f"_last_{c}")).over(earlier).alias(f"_in_prev_{c}") for c in columns],
+        *[F.min(quoted(f"_first_{c}")).over(later).alias(f"_in_next_{c}") for c in columns],
     )
     up_to = _in_slice("_rn").rowsBetween(Window.unboundedPreceding, 0)
     # running over the reversed order; a frame that ends at unbounded following is quadratic
@@ -155,10 +161,10 @@ def with_neighbours(
     for c in columns:
         if forward:
             out = out.withColumn(
-                f"_prev_{c}", F.coalesce(F.last(seen[c], ignorenulls=True).over(up_to), F.col(f"_in_prev_{c}"))
+                f"_prev_{c}", F.coalesce(F.last(seen[c], ignorenulls=True).over(up_to), quoted(f"_in_prev_{c}"))
             )
         if backward:
             out = out.withColumn(
-                f"_next_{c}", F.coalesce(F.last(seen[c], ignorenulls=True).over(from_here), F.col(f"_in_next_{c}"))
+                f"_next_{c}", F.coalesce(F.last(seen[c], ignorenulls=True).over(from_here), quoted(f"_in_next_{c}"))
             )
     return out.drop(*[f"_in_prev_{c}" for c in columns], *[f"_in_next_{c}" for c in columns])

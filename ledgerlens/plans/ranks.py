@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 EXACT_IN_MEMORY = 100_000
 SKETCH_ACCURACY = 10_000
 ROWS_PER_BRACKET = 1_000_000
-INFINITY = float("inf")
+NAN = float("nan")
 
 
 @dataclass(frozen=True)
@@ -61,14 +61,31 @@ def quantile_row(df: DataFrame, wanted: list[Quantile], in_memory: int | None =
     return df.agg(*quantile_exprs(df, wanted, in_memory))
 
 
+def _plain(value: float) -> float:
+    """One object for every NaN, so that bounds can be looked up."""
+    return NAN if math.isnan(value) else value
+
+
+def _less(a: float, b: float) -> bool:
+    """Order of the database: NaN is the largest number."""
+    return not math.isnan(a) and (math.isnan(b) or a < b)
+
+
+def _inside(value: Column, low: float | None, high: float | None) -> Column:
+    test = value.isNotNull()
+    if low is not None:
+        test = test & (value > low)
+    return test if high is None else test & (value < high)
+
+
 @dataclass
 class _Target:
     """An order statistic on its way: rank ``rank`` of column ``col`` lies in (low, high) or at an end of (a, b)."""
 
     col: str
     rank: int
-    low: float = -INFINITY
-    high: float = INFINITY
+    low: float | None = None   # no bound yet
+    high: float | None = None
     below: int = 0   # rows at or below ``low``
     inside: int = 0  # rows in (low, high)
     a: float = 0.0
@@ -89,7 +106,7 @@ def _narrowed(df: DataFrame, wanted: list[Quantile]) -> dict[str, float | None]:
         n, sketch = first[f"n{names[c]}"], first[f"s{names[c]}"]
         if n:
             at = q.fraction * (n - 1)
-            a, b = (sketch[ends[c].index(min(1.0, max(0.0, q.fraction + side)))] for side in (-margin, margin))
+            a, b = (_plain(sketch[ends[c].index(min(1.0, max(0.0, q.fraction + side)))]) for side in (-margin, margin))
             for rank in {math.floor(at), math.ceil(at)}:
                 targets.setdefault((c, rank), _Target(c, rank, inside=n, a=a, b=b))
     found = _order_statistics(df, cols, list(targets.values()))
@@ -102,7 +119,9 @@ def _narrowed(df: DataFrame, wanted: list[Quantile]) -> dict[str, float | None]:
             continue
         at = q.fraction * (n - 1)
         low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-        result[q.name] = low + (high - low) * (at - math.floor(at))
+        share = at - math.floor(at)
+        # as the built-in aggregate does it, so that infinite ends and NaN give the same at any size
+        result[q.name] = low if low == high or share == 0 else (1 - share) * low + share * high
     return result
 
 
@@ -124,13 +143,13 @@ def _count_brackets(df, cols, pending: list[_Target], found: dict, ready: list[_
         F.count(F.when(condition, 1)).alias(f"{k}{i}")
         for i, (c, a, b) in enumerate(spans)
         for k, condition in (("lt", cols[c] < a), ("at", cols[c] == a), ("in", (cols[c] > a) & (cols[c] < b)), ("up", cols[c] == b))
-        if a < b or k in ("lt", "at")
+        if _less(a, b) or k in ("lt", "at")
     ]).first()
     wide = []
     for t in pending:
         i = spans.index((t.col, t.a, t.b))
         lt, at = counts[f"lt{i}"], counts[f"at{i}"]
-        inner, up = (counts[f"in{i}"], counts[f"up{i}"]) if t.a < t.b else (0, 0)
+        inner, up = (counts[f"in{i}"], counts[f"up{i}"]) if _less(t.a, t.b) else (0, 0)
         if lt <= t.rank < lt + at:
             found[t.col, t.rank] = t.a
             continue
@@ -153,12 +172,12 @@ def _sketch_brackets(df, cols, pending: list[_Target]) -> None:
     margin = 2.0 / SKETCH_ACCURACY
     exprs = []
     for i, t in enumerate(pending):
-        value = F.when((cols[t.col] > t.low) & (cols[t.col] < t.high), cols[t.col])
+        value = F.when(_inside(cols[t.col], t.low, t.high), cols[t.col])
         local = (t.rank - t.below) / max(t.inside - 1, 1)
         exprs.append(F.percentile_approx(value, [max(0.0, local - margin), min(1.0, local + margin)], F.lit(SKETCH_ACCURACY)).alias(f"b{i}"))
     row = df.agg(*exprs).first()
     for i, t in enumerate(pending):
-        t.a, t.b = row[f"b{i}"]
+        t.a, t.b = map(_plain, row[f"b{i}"])
 
 
 def _read_off(df: DataFrame, cols: dict[str, Column], ready: list[_Target]) -> dict[tuple[str, int], float]:
@@ -167,7 +186,7 @@ def _read_off(df: DataFrame, cols: dict[str, Column], ready: list[_Target]) -> d
         return {}
     spans = list(dict.fromkeys((t.col, t.low, t.high) for t in ready))
     tagged = [
-        F.when((cols[c] > low) & (cols[c] < high), F.struct(F.lit(i).alias("span"), cols[c].alias("value")))
+        F.when(_inside(cols[c], low, high), F.struct(F.lit(i).alias("span"), cols[c].alias("value")))
         for i, (c, low, high) in enumerate(spans)
     ]
     in_any = tagged[0].isNotNull()

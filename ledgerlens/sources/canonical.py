@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.dates import to_timestamp_or_null
 from ledgerlens.functions.numbers import rounded
-from ledgerlens.functions.text import hashed, strip_currency
+from ledgerlens.functions.text import hashed, strip_currency, quoted
 
 # The canonical tables.
 SCHEMAS = {
@@ -43,13 +43,13 @@ def schema_of(name: str) -> T.StructType:
 
 
 def surrogate(tenant: str, external: Column) -> Column:
-    """Stable key of an external id within a tenant."""
-    return F.when(external.isNotNull(), F.substring(F.sha2(F.concat(F.lit(tenant + ":"), external), 256), 1, 16))
+    """Stable key of an external id within a tenant: the whole digest, so that no two ids merge."""
+    return F.when(external.isNotNull(), F.sha2(F.concat(F.lit(tenant + ":"), external), 256))
 
 
 def mapped(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename confirmed columns to their canonical fields; ``mapping`` is original to canonical."""
-    return df.select(*[F.col(f"`{o}`").alias(c) for o, c in mapping.items()])
+    return df.select(*[quoted(o).alias(c) for o, c in mapping.items()])
 
 
 def _field(df: DataFrame, name: str) -> Column:
@@ -101,11 +101,10 @@ def offerings(df: DataFrame, tenant: str) -> DataFrame:
 
 
 def write_daily_metrics(metrics: DataFrame, path: str) -> None:
-    """Store the daily rollup by month, ordered by date; a rerun replaces the months it holds.
+    """Store the daily rollup by day; a rerun replaces the days it holds and no others.
 
-    Range partitioning spreads a busy month over several files and keeps every
-    file to a short span of dates, which its statistics let a date filter skip.
+    Range partitioning spreads a busy day over several files.
     """
-    monthly = metrics.withColumn("metric_month", F.date_format("metric_date", "yyyy-MM"))
-    (monthly.repartitionByRange("metric_month", "metric_date", "offering_id").sortWithinPartitions("metric_month", "metric_date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_month").parquet(path))
+    daily = metrics.withColumn("metric_day", F.date_format("metric_date", "yyyy-MM-dd"))
+    (daily.repartitionByRange("metric_day", "offering_id").sortWithinPartitions("metric_day")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric_day").parquet(path))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerlens.functions.text import quoted
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
@@ -35,7 +37,7 @@ def unwrap_records(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         dtype = field.dataType
         if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-            return df.select(F.inline(F.col(f"`{field.name}`")))
+            return df.select(F.inline(quoted(field.name)))
     return df
 
 

@@ -61,3 +61,14 @@ def test_running_totals(spark, descending):
     pdf["t"] = pdf.groupby("g")["n"].cumsum()
     merged = out.merge(pdf, on=["g", "k"])
     assert (merged["t_x"] == merged["t_y"]).all() and len(merged) == 600
+
+
+def test_odd_names_and_text_keys(spark):
+    rows = [(f"k{n:03d}'s", n % 7, None if n % 3 else float(n)) for n in range(200)]
+    df = spark.createDataFrame(rows, "`the key` string, `a``b` int, `v.w` double")
+    for per_slice in (20, 1_000_000):
+        filled = {r[0]: r[2] for r in fill_previous(df, "v.w", "the key", per_slice).collect()}
+        assert filled == {k: float(n - n % 3) for n, (k, *_) in enumerate(rows)}
+    assert sliced(df, "the key", rows_per_slice=20).select(SLICE).distinct().count() >= 1
+    with pytest.raises(TypeError):
+        sliced(spark.createDataFrame([([1],)], "k array<int>"), "k")

@@ -36,3 +36,11 @@ def test_both_ways_agree(spark):
     df = spark.range(1, 1001).select((F.pow("id", F.lit(1.7)) % 97).alias("v"))
     wanted = [Quantile(f"q{i}", F.col("v"), p) for i, p in enumerate(FRACTIONS)]
     assert list(quantile_row(df, wanted).first()) == pytest.approx(narrowed(df), abs=1e-9)
+
+
+def test_infinite_values_at_any_size(spark):
+    values = [float("inf")] * 30 + [float("-inf")] * 20 + [float(v) for v in range(50)] + [float("nan")] * 5
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = [Quantile(f"q{i}", F.col("v"), p) for i, p in enumerate(FRACTIONS)]
+    small, large = list(quantile_row(df, wanted).first()), narrowed(df)
+    assert [repr(v) for v in small] == [repr(v) for v in large]

@@ -85,6 +85,7 @@ def values(charts) -> str:
 
 SALES = "WITH s AS (" + SALES_SQL.format(**{n: n for n in NAMES}) + ")\n"
 B = cte("pred_binary")
+EVENT_NUMBERS = ("event_id", "user_id", "value")
 TABLE = ("data", "data_table", "Raw Data", "table", None, None, None)
 
 
@@ -131,16 +132,11 @@ _QUALITY = """(SELECT CAST(round(CAST(40 + (CAST(count(DISTINCT o_orderkey) AS D
 
 ORACLES = {
     "dashboard_spec_business": values([
-        ("overview", "total_revenue", "Total Revenue", "kpi", None, "total", "sum"), ("overview", "total_profit", "Total Profit", "kpi", None, "row", "sum"),
+        ("overview", "total_revenue", "Total Revenue", "kpi", None, "total", "sum"), ("overview", "total_profit", "Gross Profit", "kpi", None, "total-unit_cost", "calculated"),
         ("overview", "total_units", "Units Sold", "kpi", None, "quantity", "sum"), ("overview", "total_transactions", "Total Transactions", "kpi", None, None, "count"),
         ("overview", "revenue_trend", "Revenue Trend", "line", "order_date", "total", "sum"), ("overview", "revenue_by_category", "Revenue by category", "bar", "category", "total", "sum"),
-        ("overview", "revenue_by_region", "Performance by category", "bar", "category", "total", "sum"), ("sales", "category_distribution", "Sales Distribution", "pie", "category", "total", "sum"),
-        ("sales", "monthly_sales", "Monthly Sales Comparison", "month_bar", "order_date", "total", "sum"), ("sales", "top_performers", "Top Performers", "horizontal_bar", "category", "total", "sum"),
-        ("customers", "unique_customers", "Unique Customers", "kpi", "category", None, "count_distinct"),
-        ("customers", "revenue_per_customer", "Avg Revenue per Customer", "kpi", "category", "total", "avg_per_group"),
-        ("customers", "top_customers", "Top Customers by Revenue", "horizontal_bar", "category", "total", "sum"),
-        ("regions", "regions_count", "Total Regions/Branches", "kpi", "category", None, "count_distinct"),
-        ("regions", "region_comparison", "Regional Revenue Comparison", "bar", "category", "total", "sum"), ("regions", "region_share", "Regional Market Share", "pie", "category", "total", "sum"), TABLE]),
+        ("sales", "category_distribution", "Sales Distribution", "pie", "category", "total", "sum"), ("sales", "monthly_sales", "Monthly Sales Comparison", "month_bar", "order_date", "total", "sum"),
+        ("sales", "top_performers", "Top Performers", "horizontal_bar", "category", "total", "sum"), TABLE]),
     "dashboard_spec_analytics": values([
         ("statistics", "total_records", "Total Records", "kpi", None, None, "count"), ("statistics", "total_columns", "Total Features", "kpi", None, None, "column_count"),
         ("statistics", "missing_pct", "Data Completeness", "kpi", None, None, "completeness"),
@@ -176,11 +172,20 @@ ORACLES = {
         ("explorer", "total_records", "Total Records", "kpi", None, None, "count"), ("explorer", "cat_dist", "Distribution of o_orderstatus", "bar", "o_orderstatus", None, "count"),
         ("explorer", "time_trend", "Trend Over Time", "line", "o_orderdate", "o_totalprice", "sum"), ("explorer", "data_table", "Data Preview", "table", None, None, None)]),
     "charts_business": SALES + "\nUNION ALL ".join([
-        card("total_revenue", r("sum(total)", 4), "s"), card("total_profit", r("sum(row)", 4), "s"), card("total_units", r("sum(quantity)", 4), "s"), card("total_transactions", "count(*)", "s"),
-        card("unique_customers", "count(DISTINCT category)", "s"), card("revenue_per_customer", r("sum(total) / count(DISTINCT category)", 4), "s"), card("regions_count", "count(DISTINCT category)", "s"),
+        card("total_revenue", r("sum(total)", 4), "s"), card("total_profit", r("sum(total) - sum(unit_cost)", 4), "s"), card("total_units", r("sum(quantity)", 4), "s"), card("total_transactions", "count(*)", "s"),
         grouped("revenue_trend", "order_date", "total", "s", None), grouped("monthly_sales", "order_date", "total", "s", None, True),
-        *[grouped(n, "category", "total", "s", lim) for n, lim in (("revenue_by_category", 20), ("revenue_by_region", 20), ("category_distribution", 20), ("top_performers", 10), ("top_customers", 15),
-                                                                    ("region_comparison", 20), ("region_share", 20))]]),
+        *[grouped(n, "category", "total", "s", lim) for n, lim in (("revenue_by_category", 20), ("category_distribution", 20), ("top_performers", 10))]]),
+    "charts_analytics": "\nUNION ALL ".join([
+        card("total_records", "count(*)", "events"), card("total_columns", "5", "(SELECT 1)"),
+        card("missing_pct", r("100 - CAST(count(*) * 5 - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value) AS DOUBLE) / (count(*) * 5) * 100", 2), "events"),
+        *[hist(f"dist_{n}", n, "events") for n in EVENT_NUMBERS], *[box(f"box_{n}", n, "events") for n in EVENT_NUMBERS],
+        grouped("cat_dist_event_type", "event_type", "*", "events", 20, count=True),
+        *[f"SELECT 'correlation_matrix' AS chart_id, '{x}|{y}' AS label, {'1.0::DOUBLE' if x == y else r(f'corr({min(x, y)}, {max(x, y)})', 2)} AS value FROM {'(SELECT 1)' if x == y else 'events'}"
+          for x in EVENT_NUMBERS for y in EVENT_NUMBERS],
+        "SELECT 'scatter_1' AS chart_id, CAST(CAST(event_id AS DOUBLE) AS VARCHAR) AS label, CAST(user_id AS DOUBLE) AS value FROM (SELECT * FROM events ORDER BY event_id LIMIT 500)",
+        *[f"SELECT 'trend_{n}' AS chart_id, strftime(ts, '%Y-%m-%d') AS label, {r(f'avg({n})', 4)} AS value FROM events WHERE ts IS NOT NULL GROUP BY 2" for n in EVENT_NUMBERS],
+        *[f"SELECT 'missing_by_column' AS chart_id, '{n}' AS label, CAST(count(*) - count({n}) AS DOUBLE) AS value FROM events" for n in ("event_id", "ts", "user_id", "event_type", "value")],
+        "SELECT 'data_types' AS chart_id, k AS label, CAST(n AS DOUBLE) AS value FROM (VALUES ('bigint', 2), ('timestamp_ntz', 1), ('string', 1), ('double', 1)) v(k, n)"]),
     "charts_ml": B + "\nUNION ALL ".join([
         card("sample_count", "count(*)", "pred_binary"), card("accuracy", r("CAST(count(CASE WHEN actual = predicted THEN 1 END) AS DOUBLE) / count(*) * 100", 4), "pred_binary"),
         card("error_rate", r("CAST(count(CASE WHEN actual <> predicted THEN 1 END) AS DOUBLE) / count(*) * 100", 4), "pred_binary"),

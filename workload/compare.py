@@ -52,7 +52,7 @@ def check(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     left = _sorted_rows(df.columns, [tuple(row) for row in df.collect()])
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        return True, f"rows only ({len(left[1])} rows)"
+        return False, f"no SQL ({len(left[1])} rows)"
     result = con.execute(sql)
     right = _sorted_rows([c[0] for c in result.description], result.fetchall())
     if left[0] != right[0]:

@@ -124,7 +124,7 @@ RAW = "WITH raw AS (" + RAW_SQL.format(**{n: n for n in RAW_TABLES}) + ")\n"
 
 
 def key(x: str) -> str:
-    return f"sha256('acme:' || {x})[1:16]"
+    return f"sha256('acme:' || {x})"
 
 
 _HELD = "CAST('0x' || md5(CAST(l_orderkey AS VARCHAR))[1:6] AS BIGINT) % 1000 < 200"
