@@ -89,8 +89,6 @@ def fill_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
     if value is None:
         return df
     dtype = df.schema[column].dataType
-    if is_numeric(dtype):
-        return df.withColumn(column, F.coalesce(_col(column), F.lit(value).try_cast(dtype)))
     return df.withColumn(column, F.coalesce(_col(column), F.lit(value).try_cast(dtype)))
 
 
@@ -268,6 +266,11 @@ def apply(df: DataFrame, operations: list[Cleaning], order_by: str | None = None
     return df
 
 
+def apply_with_report(df: DataFrame, operations: list[Cleaning], order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, and what each operation did to it (see ``preview``)."""
+    return apply(df, operations, order_by), preview(df, operations, order_by)
+
+
 def affected(df: DataFrame, op: Cleaning) -> DataFrame:
     """(rows, affected): rows before an operation and how many it concerns."""
     if op.kind == "duplicates":

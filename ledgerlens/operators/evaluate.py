@@ -61,8 +61,11 @@ def detect_roles(df: DataFrame) -> DataFrame:
     ).orderBy("ordinal")
 
 
-def detect_task(df: DataFrame, actual: str) -> DataFrame:
-    """Regression, binary or multiclass, from the type and variety of the actual column."""
+def detect_task(df: DataFrame, actual: str, most_classes: int = 100) -> DataFrame:
+    """Regression, binary or multiclass, from the type and variety of the actual column.
+
+    Columns with more distinct values than ``most_classes`` (20 in a narrower reading) are regression targets.
+    """
     dtype = df.schema[actual].dataType.typeName()
     distinct = df.groupBy(quoted(actual).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
         F.count("v").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
@@ -71,7 +74,7 @@ def detect_task(df: DataFrame, actual: str) -> DataFrame:
     return distinct.select(
         "rows", "distinct",
         F.when(spread, "regression").when(F.col("distinct") == 2, "binary_classification")
-        .when(F.col("distinct") <= 100, "multiclass_classification").otherwise("regression").alias("task_type"),
+        .when(F.col("distinct") <= most_classes, "multiclass_classification").otherwise("regression").alias("task_type"),
     )
 
 

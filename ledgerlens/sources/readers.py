@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.text import quoted
-from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str = "UTF-8",
-             sampling: float = 1.0) -> DataFrame:
-    """CSV with a header line.  Give a schema on large inputs; inference costs a pass."""
+             sampling: float = 1.0, fallback: str | None = "ISO-8859-1") -> DataFrame:
+    """CSV with a header line.  Give a schema on large inputs; inference costs a pass.
+
+    If some line does not read in the encoding, all are read in ``fallback``; finding that out
+    costs a pass over the lines, which ``fallback=None`` saves.
+    """
+    if fallback and encoding.upper().replace("-", "") == "UTF8" and not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        encoding = fallback
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
     if schema is not None:
         return reader.schema(schema).csv(path)

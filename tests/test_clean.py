@@ -67,3 +67,9 @@ def test_filter_then_aggregate_is_conditional_aggregate(table):
 def test_default_impute(spark):
     df = spark.createDataFrame([(1.0, "a"), (3.0, None), (None, "b")], "n double, t string")
     assert rows(c.default_impute(df)) == [(1.0, "a"), (2.0, "b"), (3.0, "Unknown")]
+
+
+def test_report_of_applied_steps(table):
+    steps = [c.Cleaning("missing_values", "v", "median"), c.Cleaning("outliers", "v", "cap_iqr")]
+    done, report = c.apply_with_report(table, steps)
+    assert rows(done) == rows(c.apply(table, steps)) and report.count() == 2

@@ -85,3 +85,10 @@ def test_stream_catches_up_and_takes_late_rows(spark, tmp_path):
     assert arrive([(1, "2024-01-02 10:00:00", 1, "buy", 5.0), (2, "2024-01-02 11:00:00", 2, "buy", 7.0)]) == {("2024-01-02", "buy"): (2, 12.0)}
     seen = arrive([(3, "2024-01-03 09:00:00", 1, "view", 1.0), (4, "2024-01-02 12:00:00", 3, "buy", 1.0)])
     assert seen == {("2024-01-02", "buy"): (3, 13.0), ("2024-01-03", "view"): (1, 1.0)}
+
+
+def test_csv_in_another_encoding(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("name,n\nCafé,1\nÉté,2\n".encode("latin-1"))
+    (tmp_path / "utf.csv").write_bytes("name,n\nCafé,1\n".encode())
+    assert {r["name"] for r in readers.read_csv(spark, str(tmp_path / "latin.csv")).collect()} == {"Café", "Été"}
+    assert readers.read_csv(spark, str(tmp_path / "utf.csv")).first()["name"] == "Café"
