@@ -28,7 +28,7 @@ LOW = 63 - (BINS.bit_length() - 1)
 #: Steps of a walk taken at once, and rounds of them between two looks at whether any bin is empty.
 PROBES, TURNS = 4, 8
 #: Documents of a range that one window looks along.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 5_000
 #: Most ranges whose first ids are broadcast (16 bytes each).
 BROADCAST_ROWS = 100_000
 
