@@ -28,13 +28,15 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.common import by_size, staged, worker_imports
+from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 
 BLANK = "▁"
+#: Characters of a chunk; longer texts are scanned in parallel.
 CHUNK = 16_384
-KNOWN_WORDS = 400_000
+#: Word forms of a generation, and pairs of pieces, that a worker remembers.
+KNOWN_WORDS, KNOWN_PAIRS = 250_000, 200_000
 CLOSED = float("-inf")
-_models: dict[str, Model] = {}
+FOREVER = float("inf")
 
 
 class Model:
@@ -61,38 +63,70 @@ class Model:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.open: dict[tuple[str, str], bool] = {}
-        self.whole = {p: True for p in self.ids if len(p) == 1}
+        self.whole: dict[str, bool | None] = dict.fromkeys(self.ids)  # None: not looked at yet
+        self.begins = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.codes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
+        self.edges: dict[tuple[str, bool], list[tuple[str, float, float]] | None] = {}
 
     # the lattice
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short string: join the best pair, the leftmost of equals, until no pair is a piece."""
-        parts = list(text)
+    def merges(self, text: str) -> tuple[list[str], dict[str, tuple[str, str]]]:
+        """BPE of a short string: join the best pair, the leftmost of equals, until no pair is a piece; and what was joined to what."""
+        parts, joined = list(text), {}
         while len(parts) > 1:
             best = max(((self.scores.get(a + b, CLOSED), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
             if best[0] == CLOSED:
                 break
             i = -best[1]
+            joined[parts[i] + parts[i + 1]] = (parts[i], parts[i + 1])
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return parts, joined
+
+    def edge(self, piece: str, right: bool) -> list[tuple[str, float, float]] | None:
+        """Parts of a piece that stand at its left or right edge while it is joined, each with the rank at which it is
+        born and the rank at which it is joined to more; None if ranks do not rise on the way."""
+        key = (piece, right)
+        if key not in self.edges:
+            joined = self.merges(piece)[1]
+            out, part, dies = [], piece, FOREVER
+            while True:
+                born = -self.scores[part] if len(part) > 1 else -1.0
+                if born >= dies or BLANK * 2 in part:
+                    out = None
+                    break
+                out.append((part, born, dies))
+                if len(part) == 1:
+                    break
+                part, dies = joined[part][right], born
+            self.edges[key] = out
+        return self.edges[key]
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether ``right`` may come after ``left``."""
-        if self.unigram:
+        """Whether ``right`` may come after ``left``: whether BPE of both together joins nothing across their border.
+
+        Two parts that meet at the border at some time are joined if they are a piece that ranks before
+        what else takes either of them; of equal ranks the leftmost goes first.
+        """
+        if self.unigram or left not in self.ids or right not in self.ids:
             return True
         told = self.open.get((left, right))
         if told is None:
-            if len(self.open) > 1_000_000:
+            if len(self.open) > KNOWN_PAIRS:
                 self.open.clear()
-            told = self.open[(left, right)] = self.merged(left + right) == [left, right]
+            ends, begins = self.edge(left, True), self.edge(right, False)
+            if ends is None or begins is None:
+                told = self.merges(left + right)[0] == [left, right]
+            else:
+                told = not any(
+                    max(born, born_too) < min(dies, dies_too) and (rank := -self.scores.get(a + b, CLOSED)) < dies and rank <= dies_too
+                    for a, born, dies in ends for b, born_too, dies_too in begins)
+            self.open[(left, right)] = told
         return told
 
     def is_arc(self, piece: str) -> bool:
-        if piece not in self.ids:
-            return len(piece) == 1
-        told = self.whole.get(piece)
+        told = self.whole.get(piece, False)
         if told is None:
-            told = self.whole[piece] = self.unigram or self.merged(piece) == [piece]
-        return told
+            told = self.whole[piece] = self.unigram or self.merges(piece)[0] == [piece]
+        return told or len(piece) == 1
 
     def weight(self, piece: str) -> float:
         return self.scores.get(piece, self.unknown) if self.unigram else 0.0
@@ -102,16 +136,16 @@ class Model:
 
         ``first`` is the piece before ``start``.  Arcs begin before ``end``; they may reach up to ``past`` beyond it.
         """
-        best, back = {start: 0.0}, {}
+        best, back, whole = {start: 0.0}, {}, self.whole
         for stop in range(start + 1, min(end + past, len(text)) + 1):
             top, where = CLOSED, None
             for at in range(max(start, stop - self.longest), min(stop, end)):
+                piece = text[at:stop]
+                if whole.get(piece) is False or piece not in whole and at < stop - 1 or not self.is_arc(piece):
+                    continue
                 before = best.get(at)
                 if before is None:
                     continue
-                piece = text[at:stop]
-                if piece not in self.ids and len(piece) > 1 or not self.is_arc(piece):
-                    continue
                 left = first if at == start else text[back[at]:at]
                 if left is not None and not self.follows(left, piece):
                     continue
@@ -126,14 +160,35 @@ class Model:
 
     # ids
     def id_bytes(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for piece in pieces:
-            number = self.ids.get(piece)
-            if number is None:
-                out += [self.bytes[b] for b in piece.encode()] if self.bytes else [self.other]
-            else:
-                out.append(number)
-        return np.array(out, "<u4").tobytes()
+        return b"".join([self.codes.get(p) or self.unknown_bytes(p) for p in pieces])
+
+    def unknown_bytes(self, piece: str) -> bytes:
+        return np.array([self.bytes[b] for b in piece.encode()] if self.bytes else [self.other], "<u4").tobytes()
+
+    def unit(self, text: str) -> bytes:
+        """Ids of a stretch between places where paths part: ``forward`` for a BPE model, along the one open path."""
+        if self.unigram:
+            return self.id_bytes(self.path(text, 0, len(text), None))
+        size, begins, whole = len(text), self.begins, self.whole
+        back, last = [-1] * (size + 1), [""] * (size + 1)
+        back[0] = 0
+        for at in range(size):
+            if back[at] < 0:
+                continue
+            left, stop = last[at], at + 1
+            piece = text[at:stop]
+            while True:
+                if back[stop] < 0 and whole.get(piece, stop == at + 1) is not False and self.is_arc(piece) and (not at or self.follows(left, piece)):
+                    back[stop], last[stop] = at, piece
+                stop += 1
+                if stop > size or piece not in begins:
+                    break
+                piece = text[at:stop]
+        out, at = [], size
+        while at:
+            out.append(last[at])
+            at = back[at]
+        return self.id_bytes(out[::-1])
 
     def path(self, text: str, start: int, stop: int, first: str | None, past: int = 0, end: int | None = None) -> list[str]:
         """Pieces of the best path from ``start`` to ``stop``."""
@@ -151,7 +206,7 @@ class Model:
         if None in found:
             for unit in {u for u, f in zip(units, found) if f is None}:
                 ids = self.older.get(unit)
-                self.known[unit] = self.id_bytes(self.path(unit, 0, len(unit), None)) if ids is None else ids
+                self.known[unit] = self.unit(unit) if ids is None else ids
             found = map(self.known.__getitem__, units)
         return b"".join(found)
 
@@ -165,10 +220,7 @@ UNIT = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
 
 def model(path: str, unigram: bool | None = None) -> Model:
-    key = f"{path} {unigram}"
-    if key not in _models:
-        _models[key] = Model(path, unigram)
-    return _models[key]
+    return worker_cache(f"pieces {path} {unigram}", lambda: Model(path, unigram))
 
 
 def states_at(m: Model, text: str, place: int) -> list[tuple[int, int]]:
@@ -177,7 +229,7 @@ def states_at(m: Model, text: str, place: int) -> list[tuple[int, int]]:
     for start in range(max(0, place - m.longest), place):
         for stop in range(place, min(len(text), start + m.longest) + 1):
             piece = text[start:stop]
-            if (piece in m.ids or len(piece) == 1) and m.is_arc(piece):
+            if m.is_arc(piece):
                 out.append((place - start, stop - place))
     return out
 
@@ -352,7 +404,7 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     @F.pandas_udf("string")
     def speak(rows: pd.Series) -> pd.Series:
         sounds = model(path).sounds
-        out = [b"".join([sounds[i] for i in np.frombuffer(r, "<u4").tolist()]).decode("utf-8", "replace").removeprefix(" ") for r in rows]
+        out = [b"".join(map(sounds.__getitem__, np.frombuffer(r, "<u4").tolist())).decode("utf-8", "replace").removeprefix(" ") for r in rows]
         return pd.Series(out, dtype=object)
 
     return speak(ids)
