@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,16 +12,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ledgerlens.sources.tables import shared_folder
 
 HELD_OUT_FOLDS = 5
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_held: dict[str, Any] = {}
 
 
 def worker_imports(spark: SparkSession) -> None:
-    """On a local master, let Python workers import this package as the driver does."""
+    """Prepare a session for Python workers over long texts: small batches, unless it has a size of its own.
+
+    On a local master, workers also import this package from where the driver has it.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if context.master.startswith("local") and root not in context.environment.get("PYTHONPATH", ""):
         context.environment["PYTHONPATH"] = root
 
 
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers for one operator; the next operator's takes its place.
+
+    Workers are used again by later stages, which should not find their memory full.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a result to the cluster's shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

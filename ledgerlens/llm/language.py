@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import held_out, per_text, worker_imports
+from ledgerlens.llm.common import held_out, per_text, worker_cache, worker_imports
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -32,7 +32,6 @@ LEARN_PER_LANGUAGE, LEARN_ROWS, LEARN_CHARS = 300, 2000, 20_000
 LANDMARKS, VOCABULARY, RIDGE = 128, 16_384, 0.1
 SLOT_BITS = 20
 SHARPNESS = 6.0
-_scorers: dict[str, Scorer] = {}
 
 
 def _letters() -> np.ndarray:
@@ -149,10 +148,7 @@ def score(model: Model | None, texts: list[str]) -> list[tuple[str, float]]:
     if model is None:
         return [(UNKNOWN, 0.0)] * len(texts)
     key = hashlib.sha1(model.vocabulary.tobytes()).hexdigest()
-    scorer = _scorers.get(key)
-    if scorer is None:
-        _scorers.clear()
-        scorer = _scorers.setdefault(key, Scorer(model.vocabulary))
+    scorer = worker_cache(f"language {key}", lambda: Scorer(model.vocabulary))
     out: list[tuple[str, float]] = []
     for at in range(0, len(texts), 128):
         part = texts[at:at + 128]

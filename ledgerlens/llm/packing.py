@@ -23,15 +23,14 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import by_size, staged, worker_imports
+from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 
 CAPACITY = 4096
 #: Pieces packed by one task.
 PIECES_PER_TASK = 20_000
 ROUNDS = 6
 #: Word forms of a generation that a worker remembers.
-KNOWN_WORDS = 400_000
-_encoders: dict[str, WordEncoder] = {}
+KNOWN_WORDS = 300_000
 
 
 class WordEncoder:
@@ -89,9 +88,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_cache(f"word encoder {path}", lambda: WordEncoder(path))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False,

@@ -34,7 +34,7 @@ from ledgerlens.llm.common import by_size, staged, worker_imports
 
 WINDOW, PHRASE = 50, 8
 #: Characters of text in a shard of documents.
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

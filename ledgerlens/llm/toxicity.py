@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import held_out, per_text, worker_imports
+from ledgerlens.llm.common import held_out, per_text, worker_cache, worker_imports
 
 #: Bounds of the learning sample: rows of each label, and characters of a text to learn from.
 LEARN_PER_LABEL, LEARN_CHARS = 2500, 20_000
@@ -36,7 +36,8 @@ PATTERNS = {
     "capitals": re.compile(r"\b[^\W\d_a-zß-ÿ]{5}"),
     "spaced letters": re.compile(r"\b(?:[^\W\d_] ){4}"),
 }
-_terms_of_word: dict[tuple[int, str], tuple[int, ...]] = {}
+#: Words whose features a worker remembers.
+KNOWN_WORDS = 200_000
 
 
 def words_of(text: str) -> set[str]:
@@ -171,16 +172,16 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
 
 def score(model: Model, texts: list[str]) -> list[float]:
     out = []
-    known = _terms_of_word
-    if len(known) > 300_000:
+    tag = hash((model.intercept, model.weights.tobytes()))
+    known: dict[str, tuple[int, ...]] = worker_cache(f"toxicity {tag}", dict)
+    if len(known) > KNOWN_WORDS:
         known.clear()
-    tag = hash((model.intercept, len(model.weights)))
     for text in texts:
         found: set[int] = set()
         for word in words_of(text):
-            own = known.get((tag, word))
+            own = known.get(word)
             if own is None:
-                own = known[(tag, word)] = tuple(sorted({model.index[t] for t in terms_of(word) if t in model.index}))
+                own = known[word] = tuple(sorted({model.index[t] for t in terms_of(word) if t in model.index}))
             if own:
                 found.update(own)
         total = model.intercept + sum(model.weights[f] for f in sorted(found))
