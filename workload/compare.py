@@ -67,7 +67,7 @@ def check(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
 
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    names = argv[1:] or list(registry.queries())
+    names = argv[1:] or list(registry.oracle_sql())
     spark = get_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
