@@ -362,7 +362,7 @@ def test_chat(spark, monkeypatch):
     assert whole[79] == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
 
 
-@pytest.mark.parametrize("chunk", [64, 16_384])
+@pytest.mark.parametrize("chunk", [64, 65_536])
 def test_sentence_pieces(spark, planted, chunk):
     from sentencepiece import SentencePieceProcessor
 
