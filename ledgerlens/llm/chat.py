@@ -178,7 +178,9 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     segments = staged(slim.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInPandas(_segments, shape), "segments")
 
     # up the levels: the parts of a conversation, then runs of FAN of them, until one matrix is left
-    levels = [segments.select("conv", "part", F.col("number").alias("at"), "matrix")]
+    cells = segments.select("conv", "part", F.col("number").alias("at"), "matrix")
+    many = staged(segments.groupBy("conv").count().filter("count > 1").select(F.col("conv").alias("many")), "many")
+    levels = [cells.join(many, F.expr("conv <=> many"), "left_semi")]
     width = 1
     while True:
         low = levels[-1]
@@ -196,6 +198,15 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         leave = [int((np.asarray(m).reshape(4, 4)[START] + END).argmin()) for m in rows["matrix"]]
         return pd.DataFrame({"conv": rows["conv"], "part": rows["part"], "entry": START, "leave": leave, "first": True, "last": True})
 
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        out = ends(rows)
+        out.insert(2, "at", rows["at"])
+        return out
+
+    # a conversation of one segment needs no levels
+    single = cells.join(many, F.expr("conv <=> many"), "left_anti").mapInPandas(
+        lambda batches: map(alone, batches), f"conv {kind}, part bigint, at bigint, entry int, leave int, first boolean, last boolean")
+
     told_shape = f"conv {kind}, part bigint, entry int, leave int, first boolean, last boolean"
     told = levels[-1].mapInPandas(lambda batches: map(ends, batches), told_shape)
     for number in range(len(levels) - 2, -1, -1):
@@ -215,7 +226,7 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         told = joined.groupBy("conv", "above").applyInPandas(hand_down, f"conv {kind}, part bigint, at bigint, entry int, leave int, first boolean, last boolean")
         told = staged(told if number == 0 else told.drop("at"), "told")
 
-    paths = told.withColumnsRenamed({"conv": "conv_up", "part": "part_up"})
+    paths = told.unionByName(single).withColumnsRenamed({"conv": "conv_up", "part": "part_up"})
     whole = segments.join(paths, F.expr("conv <=> conv_up and part = part_up and number = at"))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
