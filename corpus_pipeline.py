@@ -9,7 +9,7 @@ from ledgerlens.llm.common import staged
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told."""
+    """Documents with a letter, in which a language can be told."""
     return language.keep_known(docs)
 
 

@@ -9,7 +9,7 @@ by one matrix product.
 Texts are read whole: letters are lower-cased, everything else is a blank.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0, and so is every
-text when there is nothing to learn from; a null id is never held out; equal texts get equal
+text when there is nothing to learn from (``keep_known`` still keeps those with a letter); a null id is never held out; equal texts get equal
 results; equal scores go to the language that sorts first; other columns are ignored.
 """
 
@@ -143,10 +143,10 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     return Model(names, vocabulary, weights.astype(np.float32))
 
 
-def score(model: Model | None, texts: list[str]) -> list[tuple[str, float]]:
-    """Language and score of each text, by one matrix product for a batch."""
+def score(model: Model | None, texts: list[str]) -> list[tuple[str | None, float]]:
+    """Language and score of each text, by one matrix product for a batch; without a model, no language for a text with a letter."""
     if model is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
+        return [(None if has_letter(t) else UNKNOWN, 0.0) for t in texts]
     key = hashlib.sha1(model.vocabulary.tobytes()).hexdigest()
     scorer = worker_cache(f"language {key}", lambda: Scorer(model.vocabulary))
     out: list[tuple[str, float]] = []
@@ -174,7 +174,7 @@ def learn(docs: DataFrame) -> Model | None:
 
 
 def predict(model: Model | None, text: Column) -> Column:
-    """Struct of lang and score for a text column."""
+    """Struct of lang and score for a text column; lang is null where there is a letter but no model."""
     @F.pandas_udf("lang string, score double")
     def told(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(per_text(lambda part: score(model, part), texts), columns=["lang", "score"])
@@ -187,10 +187,10 @@ def identify(docs: DataFrame) -> DataFrame:
     worker_imports(docs.sparkSession)
     told = predict(learn(docs), F.col("text"))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), told.alias("told")).select(
-        "doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
+        "doc_id", "held_out", F.coalesce("told.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("told.score").alias("score"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents whose language is known: those without a letter go."""
+    """Documents less those without a letter; with nothing to learn languages from, those with a letter stay too."""
     worker_imports(docs.sparkSession)
-    return docs.filter(predict(learn(docs), F.col("text")).getField("lang") != UNKNOWN)
+    return docs.filter(~predict(learn(docs), F.col("text")).getField("lang").eqNullSafe(UNKNOWN))

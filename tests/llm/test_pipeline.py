@@ -1,5 +1,7 @@
 """The corpus pipeline against its stages done by plain versions, and stages on odd rows."""
 
+import zlib
+
 import corpus_pipeline
 from ledgerlens.llm import language, toxicity
 from tests.llm import brute
@@ -42,3 +44,14 @@ def test_stages_keep_columns_and_odd_rows(spark):
         assert texts == (["The end of it.", "Nobody has this one.", long] if rows else [])
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
         assert packed.select("doc_id").distinct().count() == (3 if rows else 0)
+
+
+def test_documents_stay_when_no_language_is_learned(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, "The end of it.", None, None, 14), (2, "12 %&", None, None, 5), (3, None, None, None, None), (None, "Nobody's.", None, None, 9), (4, "", None, None, 0)]
+    held = next(n for n in range(5, 99) if zlib.crc32(str(n).encode()) % 5 == 0)
+    for labelled in ([], [(held, "Held out.", "en", None, 9)]):
+        docs = spark.createDataFrame(rows + labelled, schema)
+        kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+        assert sorted(r.text for r in kept.collect()) == sorted(["The end of it.", "Nobody's."] + [r[1] for r in labelled])
+        assert {(r.lang_pred, r.score) for r in language.identify(docs).collect()} == {("und", 0.0)}
