@@ -16,6 +16,7 @@ results; equal scores go to the language that sorts first; other columns are ign
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,19 +30,22 @@ UNKNOWN = "und"
 #: Bounds of the learning sample: rows of one language, and rows in all.  Texts of up to
 #: ``LEARN_CHARS`` characters are preferred.
 LEARN_PER_LANGUAGE, LEARN_ROWS, LEARN_CHARS = 300, 2000, 20_000
-LANDMARKS, VOCABULARY, RIDGE = 128, 16_384, 0.1
-SLOT_BITS = 20
+LANDMARKS, RIDGE = 128, 0.1
+#: Every letter is below this code point.
+POINTS = 1 << 18
+#: Slots of the n-gram index (powers of two, least and most), and cells of a presence table.
+SLOT_BITS, CELLS = (20, 24), 1 << 21
 SHARPNESS = 6.0
 
 
 def _letters() -> np.ndarray:
     """Code point to its lower-case letter, blank if none, 0 for the mark between texts."""
-    out = np.full(1 << 16, 32, np.uint64)
-    for code in range(1, 1 << 16):
+    out = np.full(POINTS, 32, np.uint64)
+    for code in range(1, POINTS):
         char = chr(code)
         if char.isalpha():
             low = char.lower()
-            out[code] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else code
+            out[code] = ord(low) if len(low) == 1 else code
     out[0] = 0
     return out
 
@@ -54,7 +58,7 @@ class Grams:
 
     def __call__(self, texts: list[str]):
         points = np.frombuffer("\0".join(texts).encode("utf-32-le"), "<u4")
-        codes = self.letters[np.minimum(points, (1 << 16) - 1)]
+        codes = self.letters[np.minimum(points, POINTS - 1)]
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])[:len(codes)][keep]
@@ -66,7 +70,7 @@ class Grams:
             gram = codes[:size]
             inside = gram != 0
             for step in range(1, order):
-                gram = (gram << np.uint64(16)) | codes[step:size + step]
+                gram = (gram << np.uint64(18)) | codes[step:size + step]
                 inside &= codes[step:size + step] != 0
             yield owner[:size], gram | np.uint64(order << 56), inside
 
@@ -83,35 +87,58 @@ class Model:
 
 
 class Scorer:
+    """Presence of a vocabulary's n-grams.
+
+    Codes are found by hashed slots.  Codes whose slot another one has are in a further index of the
+    same kind, and so on until each has a slot.
+    """
+
     def __init__(self, vocabulary: np.ndarray):
         self.grams = Grams()
-        slots = self.slots(vocabulary)
         self.size = len(vocabulary)
-        self.index = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.index[slots[::-1]] = np.arange(self.size - 1, -1, -1, dtype=np.int32)
         self.codes = vocabulary
+        self.indexes: list[tuple[np.uint64, int, np.ndarray]] = []
+        rest = np.arange(self.size, dtype=np.int32)
+        while len(rest):
+            bits = min(max(len(rest).bit_length() + 5, SLOT_BITS[0]), SLOT_BITS[1])
+            factor = np.uint64((0x9E3779B97F4A7C15 * (2 * len(self.indexes) + 1)) & (1 << 64) - 1)
+            slots = self.slots(vocabulary[rest], factor, bits)
+            index = np.full(1 << bits, -1, np.int32)
+            index[slots[::-1]] = rest[::-1]
+            self.indexes.append((factor, bits, index))
+            rest = rest[index[slots] != rest]
 
     @staticmethod
-    def slots(codes: np.ndarray) -> np.ndarray:
+    def slots(codes: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            return ((codes * factor) >> np.uint64(64 - bits)).astype(np.int64)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """Texts x vocabulary, 1 where the text holds the n-gram."""
         out = np.zeros((len(texts), self.size), np.float32)
         for owner, codes, _ in self.grams(texts):
-            found = self.index[self.slots(codes)]
-            hit = found >= 0
-            found, owner, codes = found[hit], owner[hit], codes[hit]
-            same = self.codes[found] == codes
-            out[owner[same], found[same]] = 1
+            for factor, bits, index in self.indexes:
+                found = index[self.slots(codes, factor, bits)]
+                hit = found >= 0  # an empty slot: in no further index either
+                found, owner, codes = found[hit], owner[hit], codes[hit]
+                same = self.codes[found] == codes
+                out[owner[same], found[same]] = 1
+                owner, codes = owner[~same], codes[~same]
         return out
 
+    def presences(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Presence of consecutive texts, in tables of bounded size."""
+        step = min(max(CELLS // max(self.size, 1), 1), 128)
+        for at in range(0, len(texts), step):
+            yield self.presence(texts[at:at + step])
+
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared n-grams over the root of the product of the counts."""
-    norm = np.sqrt(np.maximum(a.sum(1), 1))[:, None] * np.sqrt(np.maximum(b.sum(1), 1))[None, :]
-    return (a @ b.T) / norm
+def shared(present: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
+    """Texts x landmarks: n-grams in common over the root of the product of the counts."""
+    sizes = np.array([len(m) for m in marks])
+    every, owner = np.concatenate(marks), np.repeat(np.arange(len(marks)), sizes)
+    common = np.stack([np.bincount(owner, row[every], len(marks)) for row in present])
+    return common / np.sqrt(np.maximum(present.sum(1, dtype=np.float64), 1))[:, None] / np.sqrt(np.maximum(sizes, 1))
 
 
 def fit(texts: list[str], languages: list[str]) -> Model | None:
@@ -124,22 +151,21 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     seen: list[np.ndarray] = []
     for mark in marks:
         seen.append(np.unique(np.concatenate([codes[inside] for _, codes, inside in grams([mark])] or [np.zeros(0, np.uint64)])))
-    codes, counts = np.unique(np.concatenate(seen), return_counts=True)
-    vocabulary = codes[np.lexsort((codes, -counts))][:VOCABULARY]
-    slots = Scorer.slots(vocabulary)
-    vocabulary = vocabulary[np.sort(np.unique(slots, return_index=True)[1])]  # one n-gram to a slot
+    vocabulary = np.unique(np.concatenate(seen))
     scorer = Scorer(vocabulary)
-    landmarks = scorer.presence(marks).astype(np.float64)
-    basis = kernel(landmarks, landmarks)
+    places = [np.searchsorted(vocabulary, own) for own in seen]  # each landmark's n-grams
+    basis = np.concatenate([shared(present, places) for present in scorer.presences(marks)])
     values, vectors = np.linalg.eigh(basis)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    features = np.concatenate([kernel(scorer.presence(texts[i:i + 128]).astype(np.float64), landmarks) @ root for i in range(0, len(texts), 128)])
+    features = np.concatenate([shared(present, places) for present in scorer.presences(texts)]) @ root
     signs = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     bias = np.concatenate([features, np.ones((len(features), 1))], axis=1)
     solved = np.linalg.solve(bias.T @ bias + RIDGE * np.eye(bias.shape[1]), bias.T @ signs)
     # kernel row = presence @ scaled landmarks / root of the text's count: fold the landmarks into the weights
-    scaled = landmarks / np.sqrt(np.maximum(landmarks.sum(1), 1))[:, None]
-    weights = np.concatenate([scaled.T @ (root @ solved[:-1]), solved[-1:]])
+    weights = np.zeros((len(vocabulary) + 1, len(names)))
+    for own, folded in zip(places, root @ solved[:-1]):
+        weights[own] += folded / np.sqrt(max(len(own), 1))
+    weights[-1] = solved[-1]
     return Model(names, vocabulary, weights.astype(np.float32))
 
 
@@ -150,9 +176,10 @@ def score(model: Model | None, texts: list[str]) -> list[tuple[str | None, float
     key = hashlib.sha1(model.vocabulary.tobytes()).hexdigest()
     scorer = worker_cache(f"language {key}", lambda: Scorer(model.vocabulary))
     out: list[tuple[str, float]] = []
-    for at in range(0, len(texts), 128):
-        part = texts[at:at + 128]
-        present = scorer.presence(part)
+    at = 0
+    for present in scorer.presences(texts):
+        part = texts[at:at + len(present)]
+        at += len(part)
         margins = present @ model.weights[:-1] / np.sqrt(np.maximum(present.sum(1), 1))[:, None] + model.weights[-1]
         sharp = np.exp(SHARPNESS * (margins - margins.max(1, keepdims=True)))
         shares = sharp / sharp.sum(1, keepdims=True)

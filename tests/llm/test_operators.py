@@ -206,6 +206,27 @@ def test_language(spark, planted):
     assert language.keep_known(docs.unionByName(odd)).count() == docs.count()
 
 
+def test_language_of_many_letters():
+    rng = random.Random(9)
+    wide = ["".join(chr(0x4E00 + rng.randrange(18_000)) for _ in range(600)) for _ in range(20)]
+    old = {name: [" ".join("".join(chr(rng.randrange(low, low + 20)) for _ in range(5)) for _ in range(30)) for _ in range(20)]
+           for name, low in (("got", 0x10330), ("phn", 0x10900))}
+    texts, names = [t for own in zip(wide, *old.values()) for t in own], ["zh", *old] * 20
+    model = language.fit(texts, names)
+    seen = {own for t in texts for own in brute_grams(t)}
+    assert len(seen) > 20_000 and len(model.vocabulary) == len(seen)
+    present = language.Scorer(model.vocabulary).presence(texts[:6])
+    assert present.sum(1).tolist() == [len(brute_grams(t)) for t in texts[:6]]
+    assert [own for own, _ in language.score(model, texts)] == names
+
+
+def brute_grams(text):
+    plain = "".join(c.lower() if c.isalpha() else " " for c in text)
+    while "  " in plain:
+        plain = plain.replace("  ", " ")
+    return {plain[i:i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
