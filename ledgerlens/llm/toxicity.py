@@ -9,7 +9,8 @@ every whole text.
 
 Defined cases: a null text is read as empty; an empty text gets the classifier's intercept alone;
 with no marked rows of both kinds every score is the share of marked rows (0 if there are none);
-a null id is never held out; equal texts get equal scores; other columns are ignored.
+a null id is never held out; of a repeated id, one mark (the toxic one) and one text (the first in
+order) are learned from, so repeats take no places; equal texts get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,11 +196,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     counts = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}
     turn = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = marked.withColumn("_turn", turn).filter(F.col("_turn") <= LEARN_PER_LABEL).drop("_turn").dropDuplicates(["_id"])
+    single = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    chosen = single.withColumn("_turn", turn).filter(F.col("_turn") <= LEARN_PER_LABEL).drop("_turn")
     body = F.col("text").cast("string")
     usable = docs.select(F.col("doc_id").alias("_id"), body.alias("text")).filter(F.length(body) <= LEARN_CHARS)
-    # at most 2 * LEARN_PER_LABEL ids
-    rows = usable.join(F.broadcast(chosen), "_id").orderBy("_id", "text").limit(2 * LEARN_PER_LABEL).collect()
+    # one text for each of at most 2 * LEARN_PER_LABEL ids
+    rows = usable.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("text").alias("text")).orderBy("_id").collect()
     total = sum(counts.values())
     return fit([r["text"] for r in rows], [r["_toxic"] for r in rows], counts.get(1, 0) / total if total else 0.0)
 

@@ -241,6 +241,21 @@ def test_toxicity(spark):
     assert {r.predicted for r in none} == {0} and len(none) == 2
 
 
+def test_repeated_ids_leave_room_to_learn(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARN_PER_LABEL", 20)
+    ids = [n for n in range(1, 99) if zlib.crc32(str(n).encode()) % 5][:40]
+    texts = [f"you vile rat {n}" if k % 2 else f"you kind soul {n}" for k, n in enumerate(ids)]
+    for hot in (0, 1):  # a clean one and a toxic one
+        rows, marks = list(zip(ids, texts)), [(n, k % 2) for k, n in enumerate(ids)]
+        docs = spark.createDataFrame(rows[:hot] + [rows[hot]] * 60 + rows[hot + 1:], "doc_id bigint, text string")
+        labels = spark.createDataFrame(marks + [marks[hot]] * 60, "doc_id bigint, toxic int")
+        for given in (docs, spark.createDataFrame(rows, docs.schema)):
+            for marked in (labels, spark.createDataFrame(marks, labels.schema)):
+                model = toxicity.learn(given, marked)
+                assert {"vile$", "rat$"} <= set(model.index)
+                assert [s >= 0.5 for s in toxicity.score(model, texts)] == [k % 2 == 1 for k in range(40)]
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = (rng.random(4000) < 0.3).astype(int)
