@@ -28,7 +28,6 @@ from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 CAPACITY = 4096
 #: Pieces packed by one task.
 PIECES_PER_TASK = 20_000
-ROUNDS = 6
 #: Word forms of a generation that a worker remembers.
 KNOWN_WORDS = 300_000
 
@@ -191,7 +190,7 @@ def _packed(rows: DataFrame, capacity: int, turn: int) -> DataFrame:
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         part = TaskContext.get().partitionId()
-        rows["sequence_id"] = bins + (part << 24) + (turn << 56)
+        rows["sequence_id"] = bins + (part << 24) + (turn << 48)
         rows["offset"], rows["_fill"] = offsets, fills[bins]
         rows["_gap"] = len(fills) - bound
         yield rows
@@ -209,8 +208,9 @@ def _sequences(rows: DataFrame) -> int:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Give each row of ``pieces`` (any columns, with a length of 1 to ``capacity``) a sequence_id and an offset.
 
-    Every round only opens sequences that can still be improved, so what moves shrinks from round
-    to round; a round that saves nothing is discarded and ends the work.
+    Rounds open the sequences that are likely to be improved, so what moves shrinks from round to
+    round.  A round that saves nothing is discarded; from then on rounds open all part-filled
+    sequences, and the next one that saves nothing ends the work.
     """
     spark = pieces.sparkSession
     worker_imports(spark)
@@ -223,21 +223,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_per_task: int = PIE
     current = staged(_packed(pieces.repartition(tasks), capacity, 0), "packed")
     done: list[DataFrame] = []
     total = _sequences(current)
-    for turn in range(1, ROUNDS + 1):
-        if total <= bound:
-            break
-        # part-filled sequences, and whole partitions that are not at their bound, exchange documents
-        loose = (F.col("_fill") < capacity) & ((F.col("_gap") > 0) | (F.col("_fill") <= capacity - capacity // 64))
+    # part-filled sequences, and whole partitions that are not at their bound, exchange documents
+    likely = (F.col("_fill") < capacity) & ((F.col("_gap") > 0) | (F.col("_fill") <= capacity - capacity // 64))
+    loose, wide, turn = likely, False, 0
+    while total > bound:
         opened = current.filter(loose)
         before, rows = opened.agg(F.coalesce(F.sum((F.col("offset") == 0).cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
-        if before < 2:
-            break
-        again = staged(_packed(opened.repartition(max(1, -(-rows // pieces_per_task))), capacity, turn), "packed")
-        after = _sequences(again)
-        if after >= before:
+        after = before
+        if before >= 2:
+            turn += 1
+            again = staged(_packed(opened.repartition(max(1, -(-rows // pieces_per_task))), capacity, turn), "packed")
+            after = _sequences(again)
+        if after < before:
+            done.append(current.filter(~loose))
+            current, total = again, total - before + after
+        elif wide:
             break
-        done.append(current.filter(~loose))
-        current, total = again, total - before + after
+        else:
+            loose, wide = F.col("_fill") < capacity, True
+            for part in done:
+                current = current.unionByName(part)
+            done = []
     for part in done:
         current = current.unionByName(part)
     return current.drop("_fill", "_gap")

@@ -113,6 +113,22 @@ def test_packing(spark, planted, per_task):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("case", ["one a round", "nearly full"])
+def test_packing_goes_on_while_it_saves(spark, monkeypatch, case):
+    def packed(rows, capacity, turn):
+        """One more piece joins the first sequence each round; or all pieces, once they are opened."""
+        joined = min(turn, 9) if case == "one a round" else 9 * min(turn, 1)
+        fill = 1 if case == "one a round" else capacity - 1
+        out = [(r.id, r.length, max(r.id - joined, 0) + (turn << 48), min(r.id, joined) if r.id <= joined else 0, fill, int(case == "one a round"))
+               for r in rows.select("id", "length").collect()]
+        return spark.createDataFrame(out, "id bigint, length bigint, sequence_id bigint, offset bigint, _fill bigint, _gap bigint")
+
+    monkeypatch.setattr(packing, "_packed", packed)
+    pieces = spark.range(10).withColumn("length", packing.F.lit(1).cast("bigint"))
+    found = packing.pack(pieces, 128).collect()
+    assert len(found) == 10 and len({r.sequence_id for r in found}) == 1
+
+
 def test_packed_ids_are_the_tokens(spark):
     rows = [(1, "It's the End."), (2, "a<|endoftext|>b"), (3, None)]
     found = {r.doc_id: r.ids for r in packing.pack_documents(frame(spark, rows), with_ids=True).collect()}
