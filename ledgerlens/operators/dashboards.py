@@ -346,7 +346,7 @@ def _single(df: DataFrame, ch: Chart, order_by: str) -> DataFrame | None:
     if ch.type == "heatmap" and ch.agg == "confusion":
         return _series(ch.id, confusion_chart(df, ch.y, ch.x), F.concat_ws("|", "x", "y"), F.col("value"))
     if ch.type == "heatmap":
-        names = ch.x.split(",") if ch.x else numeric_names(df)[:10]
+        names = ch.x.split(",") if ch.x else numeric_names(df)
         return _series(ch.id, p.correlation_matrix(df, names, digits=2), F.concat_ws("|", "x", "y"), F.col("value"))
     if ch.type == "scatter":
         return _series(ch.id, c.first_points(df, ch.x, ch.y, order_by), F.col("x"), F.col("y"))
@@ -424,8 +424,8 @@ def answer_from_analysis(parts: dict[str, DataFrame], question: str) -> DataFram
     return facts("total_rows", "data_quality")
 
 
-def statistics(df: DataFrame, most: int = 20) -> dict[str, DataFrame]:
-    """Distributions of the first numeric columns, correlations and quality counts."""
+def statistics(df: DataFrame, most: int | None = None) -> dict[str, DataFrame]:
+    """Distributions of the numeric columns (all or the first ``most``), correlations and quality counts."""
     names = numeric_names(df)[:most]
     rows = None
     for n in names:

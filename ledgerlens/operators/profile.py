@@ -287,8 +287,8 @@ def correlations(df: DataFrame, floor: float = 0.3) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: int = 20, digits: int = 4) -> DataFrame:
-    """Full matrix in long form (x, y, value)."""
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: int | None = None, digits: int = 4) -> DataFrame:
+    """Full matrix in long form (x, y, value), of all numeric columns or the first ``most``."""
     names = (columns or numeric_names(df))[:most]
     half = pairwise_correlations(df, names)
     ones = df.agg(*[
@@ -304,10 +304,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: in
 
 
 def strong_correlations(df: DataFrame, first: int = 10) -> DataFrame:
-    """Up to ten pairs correlated beyond 0.5 among the first twenty numeric columns."""
+    """Up to ten pairs correlated beyond 0.5 among all numeric columns."""
     size = F.abs("r")
     return (
-        pairwise_correlations(df, numeric_names(df)[:20]).where(size > 0.5)
+        pairwise_correlations(df, numeric_names(df)).where(size > 0.5)
         .select(F.col("x").alias("var1"), F.col("y").alias("var2"), rounded(F.col("r"), 4).alias("correlation"),
                 F.when(size > 0.7, "strong").otherwise("moderate").alias("strength"))
         .orderBy(F.abs("correlation").desc(), "var1", "var2").limit(first)
@@ -465,8 +465,8 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_table(df: DataFrame, most: int = 20) -> DataFrame:
-    """Type, gaps, distinct values, mean and spread of the first numeric columns."""
+def feature_table(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Type, gaps, distinct values, mean and spread of the numeric columns, all or the first ``most``."""
     infos = columns_of(df, "numeric")[:most]
     return with_distinct(facts(df, infos, ("mean", "variance")), df, infos).select(
         F.col("name").alias("feature"), "dtype", rounded(ratio(F.col("nulls"), F.col("rows")) * 100, 2).alias("missing_pct"),
