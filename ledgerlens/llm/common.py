@@ -48,6 +48,17 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that clash with no name in ``taken`` (names differ in more than case)."""
+    known, out = {name.lower() for name in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_FOLDS == 0, F.lit(False))

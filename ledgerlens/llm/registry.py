@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import chat, hamming, language, minhash, packing, passages, pieces, sharding, topk, toxicity
+from ledgerlens.llm import chat, contamination, hamming, language, minhash, packing, passages, pieces, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,31 @@ def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), into="found")
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
+
+
+OP13_SQL = r"""WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS phrase
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, s, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+       FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) AS sizes WHERE len(w) >= k)),
+hits AS (SELECT dw.r, dw.s, dw.k, iw.item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.phrase = iw.phrase),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + k)) AS p FROM hits) GROUP BY r),
+own AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates)}
-ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL}
+    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates, op13_decontamination)}
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op13_decontamination": OP13_SQL}
