@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import chat, contamination, hamming, language, minhash, packing, passages, pieces, sharding, topk, toxicity
+from ledgerlens.llm import chat, contamination, hamming, language, manifest, minhash, packing, passages, pieces, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,45 @@ def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest.checked(manifest.proofs(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _level(nodes: str, out: str, group: str) -> str:
+    """Runs of 16 nodes of a level, and the nodes of the next."""
+    return f"""{out}_runs AS (SELECT {group}, p // 16 AS q, c, list(node ORDER BY p) AS nodes FROM {nodes} GROUP BY ALL),
+{out} AS (SELECT {group}, q AS p, CASE WHEN c > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node, (c + 15) // 16 AS c FROM {out}_runs)"""
+
+
+def _way(rows: str, out: str, runs: str, group: str, level: int) -> str:
+    """Rows with what stands beside their way at one level, and the digest they give there."""
+    own = f"((p // {16 ** level}) % 16)"
+    return f"""{out} AS (SELECT w.* REPLACE (CASE WHEN r.c > 1 THEN sides || lo || hi ELSE sides END AS sides, CASE WHEN r.c > 1 THEN sha256(lo || fold || hi) ELSE fold END AS fold)
+    FROM {rows} w JOIN {runs} r ON w.{group} IS NOT DISTINCT FROM r.{group} AND r.q = w.p // {16 ** (level + 1)},
+    LATERAL (SELECT array_to_string(r.nodes[1:{own}], '') AS lo, array_to_string(r.nodes[{own} + 2:16], '') AS hi))"""
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """SQL for up to 16^levels rows of a source, and as many sources."""
+    digest = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')"
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+        lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    steps = [f"""d AS (SELECT doc_id, source, {digest("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {digest(lower)} END AS other FROM documents)""",
+             """l0 AS (SELECT doc_id, source, leaf, leaf AS node, coalesce(other, leaf) AS fold, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+    count(*) OVER (PARTITION BY source) AS c FROM d)"""]
+    steps += [_level(f"l{n}", f"l{n + 1}", "source") for n in range(levels)]
+    steps += [f"""s0 AS (SELECT 0 AS g, source, node, node AS fold, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS c FROM l{levels})"""]
+    steps += [_level(f"s{n}", f"s{n + 1}", "g") for n in range(levels)]
+    steps += ["w0 AS (SELECT doc_id, source, leaf, p, fold, '' AS sides FROM l0)"]
+    steps += [_way(f"w{n}", f"w{n + 1}", f"l{n + 1}_runs", "source", n) for n in range(levels)]
+    steps += [f"""v0 AS (SELECT 0 AS g, doc_id, leaf, s.node AS subroot, s.p, w.fold, sides FROM w{levels} w JOIN s0 s ON w.source IS NOT DISTINCT FROM s.source)"""]
+    steps += [_way(f"v{n}", f"v{n + 1}", f"s{n + 1}_runs", "g", n) for n in range(levels)]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, s.node AS root, sha256(sides) AS proof_sha256, fold AS folded_root, fold = s.node AS verified FROM v{levels}, s{levels} s"""
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), into="found")
     return found.select(
@@ -94,5 +133,5 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates, op13_decontamination)}
-ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op13_decontamination": OP13_SQL}
+    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates, op12_merkle_manifest, op13_decontamination)}
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op12_merkle_manifest": merkle_sql(), "op13_decontamination": OP13_SQL}
