@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import chat, contamination, hamming, language, manifest, minhash, packing, passages, pieces, sharding, topk, toxicity
+from ledgerlens.llm import alignment, chat, contamination, hamming, language, manifest, minhash, packing, passages, pieces, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = manifest.checked(manifest.proofs(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -133,5 +137,5 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates, op12_merkle_manifest, op13_decontamination)}
+    op1_jump_sharding, op2_sentence_pieces, op3_best_fit_packing, op4_exact_top_k, op5_repeated_passages, op6_toxicity, op7_minhash_fingerprints, op8_language, op9_chat_repair, op10_simhash_duplicates, op11_token_alignment, op12_merkle_manifest, op13_decontamination)}
 ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op12_merkle_manifest": merkle_sql(), "op13_decontamination": OP13_SQL}

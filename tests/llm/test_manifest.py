@@ -66,7 +66,7 @@ def cases():
     yield "no rows", []
 
 
-@pytest.mark.parametrize("name, rows", cases(), ids=[n for n, _ in cases()])
+@pytest.mark.parametrize("name, rows", list(cases()), ids=[n for n, _ in cases()])
 def test_proofs(spark, monkeypatch, name, rows):
     monkeypatch.setattr(manifest, "ROWS_PER_SLICE", 300)
     monkeypatch.setattr(manifest, "COPIES_PER_STEP", 7)
