@@ -11,6 +11,7 @@ from ledgerlens.functions.numbers import (
 )
 from ledgerlens.functions.text import heading_text, quoted
 from ledgerlens.plans.catalog import columns_of, numeric_names
+from ledgerlens.plans.grouped import grouped_quantiles
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
 _GROUPED = {"sum": lambda y: F.coalesce(F.sum(y), F.lit(0.0)), "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max}
@@ -291,6 +292,18 @@ def boxplot(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def boxplot_by_group(df: DataFrame, by: list[str], col: str, in_memory: int | None = None) -> DataFrame:
+    """Five-number summary with clipped fences of every group, exact for groups of any size and number."""
+    v = quoted(col).cast("double")
+    five = (("min", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("max", 1.0))
+    rows = grouped_quantiles(df.where(v.isNotNull()), by, [Quantile(n, v, p) for n, p in five], in_memory)
+    iqr = F.col("q3") - F.col("q1")
+    return rows.select(
+        *[quoted(c) for c in by], *[rounded(quoted(n), 4).alias(n) for n, _ in five],
+        rounded(F.greatest(F.col("q1") - 1.5 * iqr, F.col("min")), 4).alias("lower_fence"),
+        rounded(F.least(F.col("q3") + 1.5 * iqr, F.col("max")), 4).alias("upper_fence"))
+
+
 def boxplot_outliers(df: DataFrame, col: str, order_by: str, limit: int = 50) -> DataFrame:
     """First ``limit`` values beyond the fences, in row order."""
     v = quoted(col).cast("double")

@@ -13,6 +13,7 @@ from ledgerlens.functions.numbers import adjusted_kurtosis, adjusted_skewness, r
 from ledgerlens.functions.text import quoted
 from ledgerlens.operators.charts import histogram, scatter
 from ledgerlens.plans.catalog import columns_of, with_distinct, facts
+from ledgerlens.plans.grouped import grouped_quantiles
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, running_totals
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
@@ -236,8 +237,7 @@ def score_steps(df: DataFrame, actual: str, score: str, positive=1, rows_per_sli
         .groupBy(quoted(score).cast("double").alias("score"))
         .agg(F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
     )
-    return running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True,
-                          rows_per_slice=rows_per_slice, derived=True)
+    return running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True, rows_per_slice=rows_per_slice)
 
 
 def _areas(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -265,7 +265,7 @@ def roc_auc_ovr(df: DataFrame, actual: str, scores: dict) -> DataFrame:
     ]))).where(F.col("score").isNotNull() & F.col("a").isNotNull())
     hit = F.col("a") == F.col("label")
     groups = long.groupBy("label", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
-    steps = running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True, within=("label",), derived=True)
+    steps = running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True, within=("label",))
     areas = _areas(steps, ("label",))
     return areas.agg(
         rounded(ratio(F.sum(F.col("auc") * F.col("positives")), F.sum(F.when(F.col("auc").isNotNull(), F.col("positives")))) * 100, 2)
@@ -287,7 +287,7 @@ def _thinned(points: DataFrame, order: list[Column], about: int = 100) -> DataFr
 def _positioned(steps: DataFrame) -> DataFrame:
     """Number score steps from the highest score, without a whole-table window."""
     return running_totals(steps.withColumn("_one", F.lit(1).cast("bigint")), "score", {"position": "_one"},
-                          descending=True, derived=True).drop("_one")
+                          descending=True).drop("_one")
 
 
 def roc_curve(df: DataFrame, actual: str, score: str, positive=1, about: int = 100) -> DataFrame:
@@ -304,7 +304,7 @@ def roc_curve(df: DataFrame, actual: str, score: str, positive=1, about: int = 1
 def pr_curve(df: DataFrame, actual: str, score: str, positive=1, about: int = 100) -> DataFrame:
     """(position, precision, recall) from the loosest threshold on, ending at (1, 0)."""
     steps = score_steps(df, actual, score, positive)
-    steps = running_totals(steps.withColumn("_one", F.lit(1).cast("bigint")), "score", {"position": "_one"}, derived=True)
+    steps = running_totals(steps.withColumn("_one", F.lit(1).cast("bigint")), "score", {"position": "_one"})
     ends = steps.agg(F.struct(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("m"))).scalar()
     curve = steps.select(
         (F.col("position") - 1).alias("position"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -316,11 +316,13 @@ def pr_curve(df: DataFrame, actual: str, score: str, positive=1, about: int = 10
 
 def log_loss(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
     """Mean negative log likelihood of the actual class."""
+    return df.agg(rounded(F.avg(_loss(quoted(actual) == F.lit(positive), quoted(score).cast("double"))), 4).alias("log_loss"))
+
+
+def _loss(is_positive: Column, p: Column) -> Column:
     low, high = F.lit(SMALLEST_PROBABILITY), F.lit(1 - SMALLEST_PROBABILITY)
-    p = quoted(score).cast("double")
     p = F.when(p < low, low).when(p > high, high).otherwise(p)
-    loss = F.when(quoted(actual) == F.lit(positive), -F.log(p)).otherwise(-F.log(1 - p))
-    return df.agg(rounded(F.avg(loss), 4).alias("log_loss"))
+    return F.when(is_positive, -F.log(p)).otherwise(-F.log(1 - p))
 
 
 def _pairs(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -424,13 +426,39 @@ def _by_model(df: DataFrame, actual: str, models: dict[str, str]) -> DataFrame:
     ])))
 
 
-def compare_models(df: DataFrame, actual: str, models: dict[str, str], classification: bool = True) -> DataFrame:
-    """The measures of several prediction columns against one actual column, one job."""
+def compare_models(df: DataFrame, actual: str, models: dict[str, str], classification: bool = True, scores: dict[str, str] | None = None,
+                   positive=1, in_memory: int | None = None) -> DataFrame:
+    """The measures of several prediction columns against one actual column.
+
+    ``scores`` names the probability columns of the models that have one; the others' AUC and log loss are null.
+    Median errors are exact quantiles of all models in one run.
+    """
     long = _by_model(df, actual, models)
     if classification:
-        return classification_metrics(long, "actual", "predicted", ("model",))
-    sums = _pairs(long, "actual", "predicted", ("model",)).groupBy("model").agg(*_regression_sums())
-    return sums.select("model", F.col("n").alias("n_samples"), *[v.alias(k) for k, v in _regression_cells().items()])
+        measured = classification_metrics(long, "actual", "predicted", ("model",))
+        return measured.join(model_scores(df, actual, scores, positive).drop("positives", "negatives"), "model", "left") if scores else measured
+    pairs = _pairs(long, "actual", "predicted", ("model",))
+    middle = grouped_quantiles(pairs, ["model"], [Quantile("med", F.abs("e"), 0.5)], in_memory)
+    return pairs.groupBy("model").agg(*_regression_sums()).join(middle, "model").select(
+        "model", F.col("n").alias("n_samples"), *[v.alias(k) for k, v in _regression_cells().items()], rounded(F.col("med"), 4).alias("median_ae"))
+
+
+def model_scores(df: DataFrame, actual: str, scores: dict[str, str], positive=1, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """(model, positives, negatives, roc_auc, avg_precision, log_loss) of several probability columns.
+
+    The distinct scores of all models are put in order together, each model with totals of its own.
+    """
+    rows = df.select((quoted(actual) == F.lit(positive)).alias("hit"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), quoted(c).cast("double").alias("score")) for m, c in scores.items()
+    ]))).where(F.col("hit").isNotNull() & F.col("score").isNotNull())
+    groups = rows.groupBy("model", "score").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    steps = running_totals(groups, "score", {"tp": "pos", "fp": "neg"}, descending=True, within=("model",), rows_per_slice=rows_per_slice)
+    # the losses of equal scores are equal, so the grouped scores have them too
+    hit, miss = F.col("pos") * _loss(F.lit(True), F.col("score")), F.col("neg") * _loss(F.lit(False), F.col("score"))
+    losses = groups.groupBy("model").agg(ratio(F.sum(hit + miss), F.sum(F.col("pos") + F.col("neg"))).alias("loss"))
+    return _areas(steps, ("model",)).join(losses, "model").select(
+        "model", "positives", "negatives", rounded(F.col("auc") * 100, 2).alias("roc_auc"), rounded(F.col("ap") * 100, 2).alias("avg_precision"),
+        rounded(F.col("loss"), 4).alias("log_loss"))
 
 
 def rank_models(metrics: DataFrame, classification: bool = True) -> DataFrame:

@@ -5,8 +5,12 @@ import random
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import evaluate
 from ledgerlens.operators.clean import fill_next, fill_previous, interpolate
 from ledgerlens.operators.profile import missing_patterns
+from ledgerlens.plans import ordered
 from ledgerlens.plans.ordered import SLICE, running_totals, sliced
 
 
@@ -34,8 +38,9 @@ def test_slices_follow_the_key(gaps):
     assert all(a["max(k)"] < b["min(k)"] for a, b in zip(spans, spans[1:]))
 
 
-@pytest.mark.parametrize("per_slice", [40, 10_000])
-def test_carries(gaps, per_slice):
+@pytest.mark.parametrize("per_slice, chunk", [(40, 1024), (40, 3), (10_000, 1024)])
+def test_carries(gaps, monkeypatch, per_slice, chunk):
+    monkeypatch.setattr(ordered, "SLICES_PER_CHUNK", chunk)
     df, series = gaps
     pd.testing.assert_series_equal(as_series(fill_previous(df, "v", "k", per_slice)), series.ffill(), check_dtype=False)
     pd.testing.assert_series_equal(as_series(fill_next(df, "v", "k", per_slice)), series.bfill(), check_dtype=False)
@@ -52,11 +57,37 @@ def test_longest_gap(gaps, per_slice):
     assert row["longest_run"] == longest and row["pattern"] == "systematic_blocks"
 
 
+@pytest.mark.parametrize("key", ["https://host.example/items/{:07d}?page=1", "{:07d}"])
+def test_text_keys_are_cut_like_numbers(spark, key):
+    rows = [(key.format(n * 37 % 2000), n * 37 % 2000, None if n % 3 else n) for n in range(2000)]
+    df = spark.createDataFrame(rows, "u string, n bigint, v bigint")
+    sizes = [r["count"] for r in sliced(df, "u", 100).groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 250
+    assert {r.n: r.v for r in fill_previous(df, "v", "u", 100).collect()} == {r.n: r.v for r in fill_previous(df, "v", "n", 100).collect()}
+
+
+def test_rows_of_one_key_are_divided(spark):
+    rows = [(5, n) for n in range(900)] + [(n, n) for n in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint")
+    sizes = [r["count"] for r in sliced(df, "k", 100).groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 250
+    out = ordered.numbered(df, "k", 100).orderBy("_rn").collect()
+    assert [r._rn for r in out] == list(range(1, 1201)) and [r.k for r in out] == sorted(k for k, _ in rows)
+
+
+def test_score_curves_in_small_slices(spark, monkeypatch):
+    df = spark.range(700).select((F.xxhash64("id") % 2).alias("a"), (F.abs(F.xxhash64("id", F.lit(1)) % 400) / 400).alias("s")).withColumn("a", F.abs("a"))
+    whole = evaluate.score_steps(df, "a", "s").orderBy("score").collect()
+    monkeypatch.setattr(ordered, "SLICES_PER_CHUNK", 2)
+    assert evaluate.score_steps(df, "a", "s", rows_per_slice=30).orderBy("score").collect() == whole
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals(spark, descending):
+def test_running_totals(spark, monkeypatch, descending):
+    monkeypatch.setattr(ordered, "SLICES_PER_CHUNK", 4)
     rows = [(g, float(i), i % 7) for g in "ab" for i in range(300)]
     df = spark.createDataFrame(rows, "g string, k double, n bigint")
-    out = running_totals(df, "k", {"t": "n"}, descending, ("g",), rows_per_slice=50, derived=True).toPandas()
+    out = running_totals(df, "k", {"t": "n"}, descending, ("g",), rows_per_slice=50).toPandas()
     pdf = pd.DataFrame(rows, columns=["g", "k", "n"]).sort_values("k", ascending=not descending)
     pdf["t"] = pdf.groupby("g")["n"].cumsum()
     merged = out.merge(pdf, on=["g", "k"])
@@ -69,6 +100,6 @@ def test_odd_names_and_text_keys(spark):
     for per_slice in (20, 1_000_000):
         filled = {r[0]: r[2] for r in fill_previous(df, "v.w", "the key", per_slice).collect()}
         assert filled == {k: float(n - n % 3) for n, (k, *_) in enumerate(rows)}
-    assert sliced(df, "the key", rows_per_slice=20).select(SLICE).distinct().count() >= 1
+    assert sliced(df, "the key", rows_per_slice=20).select(SLICE).distinct().count() >= 8
     with pytest.raises(TypeError):
         sliced(spark.createDataFrame([([1],)], "k array<int>"), "k")

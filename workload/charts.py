@@ -55,6 +55,7 @@ QUERIES = {
     "histogram20": lambda s, d: c.histogram(lineitem(s, d), "l_extendedprice"),
     "histogram_auto": lambda s, d: c.histogram(events(s, d), "value", None),
     "boxplot": lambda s, d: c.boxplot(lineitem(s, d), "l_extendedprice"),
+    "boxplot_by_group": lambda s, d: c.boxplot_by_group(lineitem(s, d), ["l_returnflag", "l_linestatus"], "l_extendedprice"),
     "boxplot_outliers": lambda s, d: c.boxplot_outliers(events(s, d), "value", "event_id"),
     "scatter_points": lambda s, d: c.first_points(view(s, d, "events_dirty").distinct(), "user_id", "value", "event_id"),
     "scatter_sample": lambda s, d: c.scatter(events(s, d), "user_id", "value", "event_id"),
@@ -145,6 +146,10 @@ SELECT day, {r('coalesce(v, 0)', 4)} AS value FROM b LEFT JOIN d USING (day) ORD
 count(*) AS value FROM duckdb_columns() WHERE table_name = 'lineitem' GROUP BY 1""",
     "histogram20": _with_edges("l_extendedprice", "lineitem", "20") + histogram_sql("lineitem"),
     "histogram_auto": _with_edges("value", "events", _AUTO) + histogram_sql("events"),
+    "boxplot_by_group": f"""WITH q AS (SELECT l_returnflag, l_linestatus, min(l_extendedprice) AS lo, quantile_cont(l_extendedprice, 0.25) AS a, median(l_extendedprice) AS m,
+quantile_cont(l_extendedprice, 0.75) AS b, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, {r('lo', 4)} AS min, {r('a', 4)} AS q1, {r('m', 4)} AS median, {r('b', 4)} AS q3, {r('hi', 4)} AS max,
+{r('greatest(a - 1.5 * (b - a), lo)', 4)} AS lower_fence, {r('least(b + 1.5 * (b - a), hi)', 4)} AS upper_fence FROM q""",
     "boxplot": f"""WITH q AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, quantile_cont(l_extendedprice, 0.25) AS a,
 quantile_cont(l_extendedprice, 0.5) AS m, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)
 SELECT {r('lo', 4)} AS min, {r('a', 4)} AS q1, {r('m', 4)} AS median, {r('b', 4)} AS q3, {r('hi', 4)} AS max,

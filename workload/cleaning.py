@@ -45,6 +45,9 @@ QUERIES = {
     "fill_mode": lambda s, d: c.fill_missing(dirty(s, d), "event_type", "fill_mode"),
     "fill_unknown": lambda s, d: c.fill_missing(dirty(s, d), "event_type", "fill_unknown"),
     "ffill": lambda s, d: c.fill_missing(seeded(s, d), "event_type", "ffill", order_by="event_id"),
+    # text keys with one long prefix, in slices of 2,000 rows
+    "ffill_text_key": lambda s, d: c.fill_previous(seeded(s, d).select(
+        F.concat(F.lit("https://events.example/items/"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("url"), "event_type"), "event_type", "url", 2000),
     "bfill": lambda s, d: c.fill_missing(seeded(s, d), "event_type", "bfill", order_by="event_id"),
     "interpolate": lambda s, d: tidy(c.fill_missing(seeded(s, d), "value", "interpolate", order_by="event_id")),
     "dedupe_plain": lambda s, d: c.treat_duplicates(dirty(s, d), "drop_duplicates"),
@@ -130,6 +133,8 @@ ORACLES = {
 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS event_type, value FROM events_dirty""",
     "fill_unknown": WITH + "SELECT event_id, user_id, coalesce(event_type, 'Unknown') AS event_type, value FROM events_dirty",
     "ffill": carry("last_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+    "ffill_text_key": SEED + """SELECT 'https://events.example/items/' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS url,
+last_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_type FROM events_seeded""",
     "bfill": carry("first_value(event_type IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
     "interpolate": SEED + f"""SELECT event_id, user_id, event_type, {V.format('CASE WHEN value IS NOT NULL THEN value WHEN b.value IS NULL THEN a.value ELSE a.value + (b.value - a.value) * (n - a.n) / (b.n - a.n) END')}
 FROM (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN struct_pack(n := n, value := value) END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,

@@ -35,6 +35,13 @@ def price_models(s, d):
     return reg(s, d).withColumn("flat", F.lit(30000.0)).withColumn("close", F.col("actual") * 0.9 + 1000)
 
 
+def graded(s, d):
+    """Two models with probabilities and one without."""
+    return binary(s, d).withColumn("steady", F.lit(1)).withColumn("long", F.expr("least(1.0d, probability * 1.1)")).withColumn(
+        "late", F.expr("CAST(doc_id % 10 >= 3 AS INT)")).withColumn("chance", F.expr("CAST(doc_id % 10 AS DOUBLE) / 10"))
+
+
+GRADES, CHANCES = {"length": "predicted", "late": "late", "steady": "steady"}, {"length": "long", "late": "chance"}
 RIVALS = {"main": "predicted", "naive": "naive", "other": "other"}
 PRICES = {"main": "predicted", "flat": "flat", "close": "close"}
 
@@ -66,6 +73,9 @@ QUERIES = {
     "iou_histogram": lambda s, d: e.overlap_histogram(multi(s, d), "iou"),
     "compare_models": lambda s, d: e.compare_models(rivals(s, d), "actual", RIVALS),
     "compare_regressors": lambda s, d: e.compare_models(price_models(s, d), "actual", PRICES, False),
+    # narrowed: groups of over 1,000 rows do not use the built-in aggregate
+    "compare_regressors_narrowed": lambda s, d: e.compare_models(price_models(s, d), "actual", PRICES, False, in_memory=1000),
+    "compare_probabilities": lambda s, d: e.compare_models(graded(s, d), "actual", GRADES, scores=CHANCES),
     "rank_models": lambda s, d: e.rank_models(e.compare_models(rivals(s, d), "actual", RIVALS)),
     "rank_regressors": lambda s, d: e.rank_models(e.compare_models(price_models(s, d), "actual", PRICES, False), False),
     "best_model": lambda s, d: e.best_model(e.compare_models(rivals(s, d), "actual", RIVALS)),
@@ -115,6 +125,20 @@ UNION ALL SELECT 'close', actual, actual - (actual * 0.9 + 1000) FROM pred_reg)
 """
 
 
+COMPARED = f"SELECT model, {_reg_cells()}, {r('median(abs(e))', 4)} AS median_ae FROM v GROUP BY model"
+GRADE_ROWS = """v AS (SELECT 'length' AS model, actual, predicted FROM pred_binary UNION ALL SELECT 'late', actual, CAST(doc_id % 10 >= 3 AS INT) FROM pred_binary
+UNION ALL SELECT 'steady', actual, 1 FROM pred_binary),
+"""
+LOSS = "sum(CASE WHEN actual = 1 THEN -ln(greatest(score, 2.220446049250313e-16)) ELSE -ln(1 - least(score, 1 - 2.220446049250313e-16)) END)"
+CHANCE_ROWS = f""", z AS (SELECT 'length' AS model, actual, least(CAST(1 AS DOUBLE), probability * 1.1) AS score FROM pred_binary
+UNION ALL SELECT 'late', actual, CAST(doc_id % 10 AS DOUBLE) / 10 FROM pred_binary),
+g AS (SELECT model, score, sum(CASE WHEN actual = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN actual = 1 THEN 0 ELSE 1 END) AS neg, {LOSS} AS loss FROM z GROUP BY 1, 2),
+t AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+x AS (SELECT model, {pct(div('sum(neg * (tp - pos / 2.0))', 'sum(pos) * sum(neg)'))} AS roc_auc, {pct(div(f"sum(pos * {div('tp', '(tp + fp)')})", 'sum(pos)'))} AS avg_precision,
+{r('sum(loss) / sum(pos + neg)', 4)} AS log_loss FROM t GROUP BY model)
+"""
+
+
 def ranks(metrics, inner: str) -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{m}' AS metric, CAST(row_number() OVER (ORDER BY {m} {'DESC' if more else 'ASC'}, model) AS INT) AS rank, model, {m} AS score FROM {inner}"
@@ -170,7 +194,10 @@ UNION ALL SELECT (SELECT count(*) FROM t), 1, 0) WHERE position % greatest(1, (S
 {r('median(iou)', 4)} AS median_confidence, {pct('avg(CASE WHEN iou > 0.8 THEN 1.0::DOUBLE ELSE 0 END)')} AS high_confidence_rate FROM pred_multi) x""",
     "iou_histogram": M.rstrip() + ", src AS (SELECT iou AS v FROM pred_multi), e AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 20 AS bins)\n" + histogram_sql(""),
     "compare_models": M.rstrip() + ",\n" + RIVAL_ROWS + classes("v", "model") + f"SELECT model, {OVERALL} FROM m GROUP BY model",
-    "compare_regressors": R.rstrip() + PRICE_ROWS + f"SELECT model, {_reg_cells()} FROM v GROUP BY model",
+    "compare_regressors": R.rstrip() + PRICE_ROWS + COMPARED,
+    "compare_regressors_narrowed": R.rstrip() + PRICE_ROWS + COMPARED,
+    "compare_probabilities": B.rstrip() + ",\n" + GRADE_ROWS + classes("v", "model").rstrip() + CHANCE_ROWS + f"""SELECT o.*, roc_auc, avg_precision, log_loss
+FROM (SELECT model, {OVERALL} FROM m GROUP BY model) o LEFT JOIN x USING (model)""",
     "rank_models": M.rstrip() + ",\n" + RIVAL_ROWS + classes("v", "model").rstrip() + f", o AS {RIVAL_METRICS}\n" + ranks(e.CLASS_RANKING, "o"),
     "rank_regressors": R.rstrip() + PRICE_ROWS.rstrip() + f", o AS (SELECT model, {_reg_cells()} FROM v GROUP BY model)\n" + ranks(e.VALUE_RANKING, "o"),
     "best_model": M.rstrip() + ",\n" + RIVAL_ROWS + classes("v", "model").rstrip() + f", o AS {RIVAL_METRICS}\nSELECT model AS best_model, f1_macro AS score FROM o ORDER BY 2 DESC, 1 LIMIT 1",
