@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.common import held_out, per_text, worker_cache, worker_imports
 
@@ -195,9 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(
         F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     counts = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}
-    turn = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id"))
     single = marked.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    chosen = single.withColumn("_turn", turn).filter(F.col("_turn") <= LEARN_PER_LABEL).drop("_turn")
+    # an ordered limit keeps the first of each task, so no task sorts a label
+    per_label = [single.filter(F.col("_toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(LEARN_PER_LABEL) for label in (0, 1)]
+    chosen = per_label[0].unionByName(per_label[1])
     body = F.col("text").cast("string")
     usable = docs.select(F.col("doc_id").alias("_id"), body.alias("text")).filter(F.length(body) <= LEARN_CHARS)
     # one text for each of at most 2 * LEARN_PER_LABEL ids
