@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import by_size, staged, worker_imports
+from ledgerlens.llm.common import by_size, free_names, staged, worker_imports
 
 WINDOW, PHRASE = 50, 8
 #: Characters of text in a shard of documents.
@@ -177,7 +177,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64(body).alias("mark"), body.alias("text")).filter("doc_id is not null and text is not null")
     chars = docs.agg(F.sum(F.length(body)).alias("n")).first()["n"] or 0
     shards = max(1, -(-chars // SHARD_CHARS))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(shards)).cast("int"))
+    # equal rows go by where they come from, so that no shard takes all of them
+    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "mark", F.spark_partition_id()), F.lit(shards)).cast("int"))
 
     every = staged(dealt.select("doc_id", "shard", "text").mapInPandas(_anchor_rows, f"h bigint, phrase string, shard int, doc_id {kind}"), "anchors")
     recurring = staged(every.groupBy("h", "phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -188,13 +189,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     segments = staged(stream.mapInPandas(
         _located_rows, f"doc_id {kind}, mark bigint, h bigint, c1 bigint, c2 bigint, first int, number int, windows array<bigint>"), "segments")
 
+    # copies of a context are reduced before they move; windows stay with its owner
     context = ["h", "c1", "c2"]
-    owners = staged(segments.groupBy(*context).agg(F.min("doc_id").alias("owner")), "owners")
-    placed = segments.join(owners, context)
+    owners = staged(segments.groupBy(*context).agg(F.min("doc_id").alias("owner"), F.min_by(F.struct("mark", "first", "windows"), "doc_id").alias("own")), "owners")
+    placed = segments.select(*context, "doc_id", "mark", "first", "number").join(owners.select(*context, "owner"), context)
     whole = placed.filter("doc_id > owner").select("doc_id", "mark", (F.col("first").cast("bigint") * 64 + F.col("number")).alias("start"))
     several = owners.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select("h")
-    opened = staged(placed.filter("doc_id = owner").join(several, "h").select(
-        "h", "doc_id", "mark", "first", F.posexplode("windows").alias("step", "window")), "windows")
+    opened = staged(owners.join(several, "h").select(
+        "h", F.col("owner").alias("doc_id"), "own.mark", "own.first", F.posexplode("own.windows").alias("step", "window")), "windows")
     shared = opened.groupBy("h", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     single = opened.join(shared, ["h", "window"]).filter("doc_id > low").select(
         "doc_id", "mark", ((F.col("first") + F.col("step")).cast("bigint") * 64 + 1).alias("start"))
@@ -214,24 +216,26 @@ def cut(text: str | None, starts: np.ndarray | None) -> tuple[int, int, str]:
     return len(words), int(covered.sum()), b" ".join([w for w, c in zip(words, covered.tolist()) if not c]).decode()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with all their columns, and n_words, n_removed and kept_text in the struct column ``_kept``."""
+def without_repeats(docs: DataFrame, into: str = "_kept") -> DataFrame:
+    """Documents with all their columns (but one named as the result), and n_words, n_removed and kept_text in the struct column ``into``."""
     @F.pandas_udf("n_words bigint, n_removed bigint, kept_text string")
     def kept(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, s) for t, s in zip(texts, starts)], columns=["n_words", "n_removed", "kept_text"])
 
-    repeats = repeated_windows(docs).selectExpr("doc_id _id", "mark _mark", "starts _starts")
+    key, mark, starts = free_names([*docs.columns, into], "_id", "_mark", "_starts")
+    repeats = repeated_windows(docs).select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("starts").alias(starts))
     body = F.col("text").cast("string")
-    joined = docs.join(repeats, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(body) == F.col("_mark")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], kept(body, F.col("_starts")).alias("_kept"))
+    joined = docs.join(repeats, (F.col("doc_id") == F.col(key)) & (F.xxhash64(body) == F.col(mark)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()], kept(body, F.col(starts)).alias(into))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Documents (with a text, and an n_chars column if there is one) without their repeated words; others stay as they are."""
-    found = without_repeats(docs)
-    changed = F.col("_kept.n_removed") > 0
-    new = {"text": F.when(changed, F.col("_kept.kept_text")).otherwise(F.col("text"))}
+    (into,) = free_names(docs.columns, "_kept")
+    found = without_repeats(docs, into)
+    changed = F.col(into)["n_removed"] > 0
+    left = F.col(into)["kept_text"]
+    new = {"text": F.when(changed, left).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        size = F.length(F.col("_kept.kept_text")).cast(dict(docs.dtypes)["n_chars"])
-        new["n_chars"] = F.when(changed, size).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length(left).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
