@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.llm.common import per_text, staged, worker_imports
+from ledgerlens.llm.common import free_names, per_text, staged, worker_imports
 from ledgerlens.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -156,15 +156,18 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, most: int = MAX_BITS)
 
     Of rows that share that id, or in a component without ids, the row with the smallest digest of its text stays.
     """
+    mark, key, told = free_names(docs.columns, "_mark", "_key", "_told")
     rows = staged(near_duplicates(docs, words, most).select("doc_id", "text_mark", "grp"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_mark")
-    stay = rows.groupBy("grp").agg(F.min(order).alias("stay"), F.count(F.lit(1)).alias("n"))
-    stay = staged(stay.select("stay.doc_id", "stay.text_mark").withColumn("_stays", F.lit(True)), "stay")
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(stay.selectExpr("doc_id _id", "text_mark _text"), F.expr("doc_id <=> _id and _mark <=> _text"), "left_semi")
-    repeated = rows.groupBy("doc_id", "text_mark").count().filter("count > 1").selectExpr("doc_id _id", "text_mark _text")
-    same = F.expr("doc_id <=> _id and _mark <=> _text")
+    stay = staged(rows.groupBy("grp").agg(F.min(order).alias("stay")).select("stay.doc_id", "stay.text_mark"), "stay")
+    repeated = staged(rows.groupBy("doc_id", "text_mark").count().filter("count > 1"), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col(mark).eqNullSafe(F.col(told))
+
+    def named(side: DataFrame) -> DataFrame:
+        return side.select(F.col("doc_id").alias(key), F.col("text_mark").alias(told))
+
+    kept = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).join(named(stay), same, "left_semi")
     if repeated.isEmpty():
-        return kept.drop("_mark")
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return kept.join(repeated, same, "left_anti").unionByName(once).drop("_mark")
+        return kept.drop(mark)
+    once = kept.join(named(repeated), same, "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.join(named(repeated), same, "left_anti").unionByName(once).drop(mark)

@@ -16,14 +16,14 @@ results; equal scores go to the language that sorts first; other columns are ign
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import held_out, per_text, worker_cache, worker_imports
+from ledgerlens.llm.common import free_names, held_out, per_text, worker_cache, worker_imports
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -36,6 +36,8 @@ POINTS = 1 << 18
 #: Slots of the n-gram index (powers of two, least and most), and cells of a presence table.
 SLOT_BITS, CELLS = (20, 24), 1 << 21
 SHARPNESS = 6.0
+#: Below this share of the best language, none stands out and the pipeline's stage rejects the text.
+LEAST_SCORE = 0.35
 
 
 def _letters() -> np.ndarray:
@@ -217,7 +219,16 @@ def identify(docs: DataFrame) -> DataFrame:
         "doc_id", "held_out", F.coalesce("told.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("told.score").alias("score"))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """Documents less those without a letter; with nothing to learn languages from, those with a letter stay too."""
+def keep_known(docs: DataFrame, wanted: Sequence[str] | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Documents in a language: those without a letter go, and by the model those in none of the ``wanted`` languages (all
+    learned ones, if not given) and those whose best language scores below ``least_score``, so that none stands out.
+    With nothing to learn languages from, all documents with a letter stay.
+    """
     worker_imports(docs.sparkSession)
-    return docs.filter(~predict(learn(docs), F.col("text")).getField("lang").eqNullSafe(UNKNOWN))
+    (told,) = free_names(docs.columns, "_told")
+    lang, best = F.col(told)["lang"], F.col(told)["score"]
+    sure = (lang != UNKNOWN) & (best >= least_score)
+    if wanted is not None:
+        sure = sure & lang.isin(*wanted)
+    kept = docs.withColumn(told, predict(learn(docs), F.col("text"))).filter(lang.isNull() | sure)
+    return kept.drop(told)

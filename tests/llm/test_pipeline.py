@@ -12,7 +12,8 @@ def test_pipeline_agrees_with_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     model = language.learn(docs)
-    rows = [(d, t) for d, t in rows if language.score(model, [t])[0][0] != language.UNKNOWN]
+    told = [language.score(model, [t])[0] for _, t in rows]
+    rows = [row for row, (lang, score) in zip(rows, told) if lang != language.UNKNOWN and score >= language.LEAST_SCORE]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     marks = toxicity.learn(frame, spark.read.parquet(f"{SF}/labels.parquet"))
     clean = [(d, t) for d, t in rows if toxicity.score(marks, [t])[0] < 0.5]
@@ -55,3 +56,27 @@ def test_documents_stay_when_no_language_is_learned(spark):
         kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
         assert sorted(r.text for r in kept.collect()) == sorted(["The end of it.", "Nobody's."] + [r[1] for r in labelled])
         assert {(r.lang_pred, r.score) for r in language.identify(docs).collect()} == {("und", 0.0)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_id", "_mark", "_text", "_starts", "_kept", "_told", "_key", "mark", "shard", "grp", "fp", "a.b"]
+    passage = " ".join(f"w{n}" for n in range(70))
+    other = " ".join(f"x{n}" for n in range(300))
+    rows = [(1, f"The first one. {passage}", "en"), (2, f"And the second {other} {passage} with an end.", "en"), (3, f"The first one. {passage}", "en"), (3, f"The first one. {passage}", "en")]
+    schema = "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *[f"{r[0]}{n}" for n in names]) for r in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+    left = {r.doc_id: r for r in docs.collect()}
+    assert {d: r.text for d, r in left.items()} == {1: rows[0][1], 2: f"And the second {other} with an end."}
+    assert all(r[n] == f"{d}{n}" for d, r in left.items() for n in names)
+
+
+def test_documents_in_other_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = {r.doc_id: r for r in language.identify(docs).collect()}
+    french = language.keep_known(docs, ["fr"]).select("doc_id").collect()
+    assert {r.doc_id for r in french} == {d for d, r in told.items() if r.lang_pred == "fr" and r.score >= language.LEAST_SCORE} != set()
+    sure = language.keep_known(docs, least_score=0.99)
+    assert {r.doc_id for r in sure.collect()} == {d for d, r in told.items() if r.lang_pred != "und" and r.score >= 0.99}
