@@ -32,7 +32,7 @@ from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 
 BLANK = "▁"
 #: Characters of a chunk; longer texts are scanned in parallel.
-CHUNK = 65_536
+CHUNK = 16_384
 #: Word forms of a generation, and pairs of pieces, that a worker remembers.
 KNOWN_WORDS, KNOWN_PAIRS = 250_000, 200_000
 CLOSED = float("-inf")
