@@ -26,8 +26,10 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,10 +47,14 @@ BLANK = "▁"
 BLOCK_CHARS = 4_000_000
 #: Characters of a part that is not halved further before it is cut into words.
 PART_CHARS = 65_536
+#: A pair of ids is one number.
+KEEP = 1 << 32
 #: Word forms that a worker remembers between blocks.
 KNOWN_WORDS = 300_000
-#: A place where both tokenizers cut: before a blank or line end after no white space, and after a line end that is alone.
-BORDER = re.compile(r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)")
+#: A place where both tokenizers cut: before a blank or line end after no white space, after a line end that is alone, and
+#: between a Latin letter or digit and one of the marks that no piece of B has after one.
+BORDER = r"(?<=\S)(?=[ \n])|(?<=\S\n)(?=\S)"
+MARKS, LATIN = ".,!?;:", "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 #: Word forms that may be tokenized in one string with others: a blank at most, then no white space.
 PLAIN = re.compile(r" ?\S+")
 
@@ -107,14 +113,17 @@ class Aligner:
         self.by_word = (split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
                         and not any(re.search(f"[^{BLANK}]{BLANK}", p) or "\n" in p and len(p) > 1 for p in pieces)
                         and [self.bytes_b[i] for i in self.line_end] == [b" ", b"\n"])
+        marks = "".join(c for c in MARKS if not any(re.search(rf"[{LATIN}]{re.escape(c)}", p) for p in pieces))
+        self.border = re.compile(BORDER + (rf"|(?<=[{LATIN}])(?=[{re.escape(marks)}])" if marks else ""))
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.forget()
 
     def forget(self) -> None:
-        """Word forms by number: group text, tokens of A and B, groups; and their pairs (a, b, a, b, ...) as bytes.  Form 0 is what has no tokens."""
+        """Word forms by number: group text, tokens of A and B, groups; and their pairs (a * KEEP + b).  Form 0 is what has no tokens."""
         self.known: dict[str, int] = {}
         self.texts: list[str] = [""]
         self.sizes: list[tuple[int, int, int]] = [(0, 0, 0)]
-        self.pairs: list[bytes] = [b""]
+        self.pairs: list[array] = [array("q")]
 
     def halves(self, text: str) -> Iterator[str]:
         """Parts of a text, cut at borders near the middle until they are short or have no border."""
@@ -123,10 +132,10 @@ class Aligner:
             low, high = todo.pop()
             if high - low > PART_CHARS and self.by_word:
                 middle = (low + high) // 2
-                found = BORDER.search(text, middle, high)
+                found = self.border.search(text, middle, high)
                 cut = found.start() if found and found.start() < high else None
                 if cut is None:
-                    cut = max((m.start() for m in BORDER.finditer(text, low + 1, middle)), default=None)
+                    cut = max((m.start() for m in self.border.finditer(text, low + 1, middle)), default=None)
                 if cut is not None:
                     todo += [(cut, high), (low, cut)]
                     continue
@@ -137,40 +146,40 @@ class Aligner:
             return [text]
         out: list[str] = []
         for part in self.halves(text):
-            out += BORDER.split(part)
+            out += self.border.split(part)
         return out
 
     def remember(self, unit: str, ids_a: list[int], ids_b: list[int]) -> None:
-        """Align a word form and number it; forms that are not given back byte for byte are number 0."""
-        spoken_a, spoken_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        raw = unit.encode()
-        if None in spoken_a or None in spoken_b or b"".join(spoken_a) != raw or b"".join(spoken_b) != raw:
-            self.known[unit] = 0
-            return
-        ends = []
-        for spoken in (spoken_a, spoken_b):
-            end, own = 0, []
-            for token in spoken:
-                end += len(token)
-                own.append(end)
-            ends.append(own)
-        text, pairs, from_a, from_b = [], [], 0, 0
-        groups = common_groups(*ends)
+        """Align a word form that both token lists give back, and number it."""
+        names = self.names
+        if len(ids_a) == 1 or len(ids_b) == 1:  # one token has no inner cut
+            groups = [(len(ids_a), len(ids_b))]
+            pairs = [a * KEEP + b for a in ids_a for b in ids_b]
+        else:
+            ends_a, ends_b = list(accumulate(self.bytes_a[i].__len__() for i in ids_a)), list(accumulate(self.bytes_b[i].__len__() for i in ids_b))
+            groups = common_groups(ends_a, ends_b)
+            pairs, at_a, at_b, last = [], 0, 0, ends_a[-1]
+            # the token that ends first gives way to the next of its kind, both at a common end
+            while True:
+                pairs.append(ids_a[at_a] * KEEP + ids_b[at_b])
+                end_a, end_b = ends_a[at_a], ends_b[at_b]
+                if end_a == end_b == last:
+                    break
+                at_a += end_a <= end_b
+                at_b += end_b <= end_a
+        text, from_a, from_b = [], 0, 0
         for past_a, past_b in groups:
-            text.append(",".join(map(str, ids_a[from_a:past_a])) + "|" + ",".join(map(str, ids_b[from_b:past_b])))
-            # without an inner cut, the token that ends first gives way to the next of its kind
-            while from_a < past_a and from_b < past_b:
-                pairs += (ids_a[from_a], ids_b[from_b])
-                if ends[0][from_a] <= ends[1][from_b]:
-                    step_b = ends[0][from_a] == ends[1][from_b]
-                    from_a += 1
-                    from_b += step_b
-                else:
-                    from_b += 1
+            text.append(",".join([names[i] for i in ids_a[from_a:past_a]]) + "|" + ",".join([names[i] for i in ids_b[from_b:past_b]]))
+            from_a, from_b = past_a, past_b
         self.known[unit] = len(self.texts)
         self.texts.append(";".join(text))
         self.sizes.append((len(ids_a), len(ids_b), len(groups)))
-        self.pairs.append(np.array(pairs, np.int32).tobytes())
+        self.pairs.append(array("q", pairs))
+
+    @staticmethod
+    def speaks(ids: list[int], spoken: list[bytes | None], raw: bytes) -> bool:
+        parts = [spoken[i] for i in ids]
+        return None not in parts and b"".join(parts) == raw
 
     def learn(self, units: list[str]) -> None:
         """Tokenize and align word forms, plain ones many in one string."""
@@ -179,33 +188,40 @@ class Aligner:
             part = plain[at:at + 400]
             # a line end keeps a form without blank apart from the one before
             line = "".join([u if u[0] == " " else f"\n{u}" for u in part])
-            told_a = self.split(self.a.encode(line, add_special_tokens=False).ids, self.bytes_a, part)
-            told_b = self.split(self.b.encode(f"\n{line}")[len(self.line_end):], self.bytes_b, part)
-            if told_a is not None and told_b is not None:
-                for unit, ids_a, ids_b in zip(part, told_a, told_b):
-                    self.remember(unit, ids_a, ids_b)
+            ids_a, ids_b = self.a.encode(line, add_special_tokens=False).ids, self.b.encode(f"\n{line}")[len(self.line_end):]
+            raw = line.encode()
+            if self.speaks(ids_a, self.bytes_a, raw) and self.speaks(ids_b, self.bytes_b, raw):
+                told_a, told_b = self.split(ids_a, self.bytes_a, part), self.split(ids_b, self.bytes_b, part)
+                if told_a is not None and told_b is not None:
+                    for unit, own_a, own_b in zip(part, told_a, told_b):
+                        self.remember(unit, own_a, own_b)
         for unit in units:
             if unit not in self.known:
+                ids_a = self.a.encode(unit, add_special_tokens=False).ids
                 ids_b = self.b.encode(f"\n{unit}")[len(self.line_end):] if self.by_word else self.b.encode(unit[1:])
-                self.remember(unit, self.a.encode(unit, add_special_tokens=False).ids, ids_b)
+                raw = unit.encode()
+                if self.speaks(ids_a, self.bytes_a, raw) and self.speaks(ids_b, self.bytes_b, raw):
+                    self.remember(unit, ids_a, ids_b)
+                else:
+                    self.known[unit] = 0
 
     @staticmethod
     def split(ids: list[int], spoken: list[bytes | None], units: list[str]) -> list[list[int]] | None:
         """Ids of each unit of a joined string, or None if tokens do not end with them."""
-        out, at = [], 0
+        ends = list(accumulate(spoken[i].__len__() for i in ids))
+        place = {end: number for number, end in enumerate(ends, 1)}
+        out, at, done = [], 0, 0
         for unit in units:
             if unit[0] != " ":  # the line end before it
-                if at >= len(ids) or spoken[ids[at]] != b"\n":
-                    return None
-                at += 1
-            left, first = len(unit.encode()), at
-            while left > 0 and at < len(ids) and spoken[ids[at]] is not None:
-                left -= len(spoken[ids[at]])
-                at += 1
-            if left:
+                done += 1
+                at = place.get(done)
+            done += len(unit.encode())
+            past = place.get(done)
+            if at is None or past is None:
                 return None
-            out.append(ids[first:at])
-        return out if at == len(ids) else None
+            out.append(ids[at:past])
+            at = past
+        return out
 
     def forms(self, text: str | None) -> np.ndarray:
         """Numbers of a text's word forms, in order; none if it has no tokens."""
@@ -225,16 +241,13 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return worker_cache(f"alignment {path_a} {path_b}", lambda: Aligner(path_a, path_b))
 
 
-KEEP = 1 << 32
-
-
 def _block(own: Aligner, number: int, ids: list, numbers: list[np.ndarray], digests: list[str], kinds: pa.Schema) -> pa.RecordBatch:
     """Rows of a block's documents (their distinct word forms) and, last, of the block: its pairs and what pairs its forms have."""
     forms, place = np.unique(np.concatenate(numbers), return_inverse=True)
-    pairs = [np.frombuffer(own.pairs[f], np.int32).reshape(-1, 2).astype(np.int64) for f in forms.tolist()]
-    links = np.array([len(p) for p in pairs], np.int64)
+    pairs = [own.pairs[f] for f in forms.tolist()]
+    links = np.array(list(map(len, pairs)), np.int64)
     sizes = np.array([own.sizes[f] for f in forms.tolist()], np.int64).reshape(-1, 3)
-    flat = np.concatenate([p[:, 0] * KEEP + p[:, 1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+    flat = np.frombuffer(b"".join(pairs), np.int64)
     keys, which = np.unique(flat, return_inverse=True)
     times = np.bincount(place, minlength=len(forms))
     counts = np.bincount(which, np.repeat(times, links), len(keys)).astype(np.int64)
