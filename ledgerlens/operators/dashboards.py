@@ -427,11 +427,7 @@ def answer_from_analysis(parts: dict[str, DataFrame], question: str) -> DataFram
 def statistics(df: DataFrame, most: int | None = None) -> dict[str, DataFrame]:
     """Distributions of the numeric columns (all or the first ``most``), correlations and quality counts."""
     names = numeric_names(df)[:most]
-    rows = None
-    for n in names:
-        part = p.distribution(df, n).select(F.lit(n).alias("column"), "*")
-        rows = part if rows is None else rows.unionByName(part)
-    return {"distributions": rows, "correlations": p.correlation_matrix(df, names), "strong": p.strong_correlations(df), "quality": p.overview(df)}
+    return {"distributions": p.distributions(df, names), "correlations": p.correlation_matrix(df, names), "strong": p.strong_correlations(df), "quality": p.overview(df)}
 
 
 def business_sheets(txn: DataFrame, offerings: DataFrame, insights: DataFrame, start, end) -> dict[str, DataFrame]:

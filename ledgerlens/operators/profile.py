@@ -287,15 +287,22 @@ def correlations(df: DataFrame, floor: float = 0.3) -> DataFrame:
     )
 
 
+#: Columns whose ranges one scan finds.
+RANGES_PER_SCAN = 250
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, most: int | None = None, digits: int = 4) -> DataFrame:
     """Full matrix in long form (x, y, value), of all numeric columns or the first ``most``."""
     names = (columns or numeric_names(df))[:most]
     half = pairwise_correlations(df, names)
-    ones = df.agg(*[
-        F.when(F.min(quoted(c)) < F.max(quoted(c)), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(names)
+    if not names:
+        return half.select("x", "y", F.col("r").alias("value"))
+    blocks = [names[at:at + RANGES_PER_SCAN] for at in range(0, len(names), RANGES_PER_SCAN)]
+    ones = union_all([df.agg(*[
+        F.when(F.min(quoted(c)) < F.max(quoted(c)), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(block)
     ]).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"d{i}").alias("value")) for i, c in enumerate(names)
-    ])))
+        F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.col(f"d{i}").alias("value")) for i, c in enumerate(block)
+    ]))) for block in blocks])
     both = half.select(F.inline(F.array(
         F.struct(F.col("x"), F.col("y"), F.col("r").alias("value")),
         F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("r").alias("value")),
@@ -420,28 +427,48 @@ PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """Everything about one numeric column in one row (histogram apart)."""
-    v = quoted(col).cast("double")
-    wanted = [Quantile(f"p{p}", v, p / 100) for p in PERCENTILES]
-    info = [c for c in columns_of(df) if c.name == col]
-    wide = df.agg(
-        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), *quantile_exprs(df, wanted),
-    )
+    return distributions(df, [col]).drop("column")
+
+
+def distributions(df: DataFrame, names: list[str]) -> DataFrame:
+    """Everything about numeric columns, a row for each; blocks of columns share their scans."""
+    return union_all([_distributions(df, names[at:at + DISTRIBUTIONS_PER_SCAN]) for at in range(0, len(names), DISTRIBUTIONS_PER_SCAN)])
+
+
+#: Columns whose distributions share two scans and a table of values.
+DISTRIBUTIONS_PER_SCAN = 20
+
+
+def _distributions(df: DataFrame, names: list[str]) -> DataFrame:
+    cols = [quoted(n).cast("double") for n in names]
+    wanted = [Quantile(f"p{p}_{i}", v, p / 100) for i, v in enumerate(cols) for p in PERCENTILES]
+    measures = {
+        "count": F.count, "missing": lambda v: F.count_if(v.isNull()), "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp,
+        "min": F.min, "max": F.max, "g1": F.skewness, "g2": F.kurtosis,
+    }
+    wide = df.agg(*[fn(v).alias(f"{k}_{i}") for i, v in enumerate(cols) for k, fn in measures.items()], *quantile_exprs(df, wanted))
+    keys = [*measures, *[f"p{p}" for p in PERCENTILES]]
+    table = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(n).alias("column"), *[F.col(f"{k}_{i}").alias(k) for k in keys]) for i, n in enumerate(names)])))
     c = F.col
     iqr = c("p75") - c("p25")
-    s = wide.select(F.struct((c("p25") - 1.5 * iqr).alias("lo"), (c("p75") + 1.5 * iqr).alias("hi"))).scalar()
-    beyond = df.agg(F.count_if((v < s["lo"]) | (v > s["hi"])).alias("n")).scalar()
-    mode = modes(df, info).select(F.col("mode").cast("double")).scalar()
+    edges = wide.select(F.struct(*[e.alias(f"{side}_{i}") for i in range(len(names)) for side, e in (
+        ("lo", c(f"p25_{i}") - 1.5 * (c(f"p75_{i}") - c(f"p25_{i}"))), ("hi", c(f"p75_{i}") + 1.5 * (c(f"p75_{i}") - c(f"p25_{i}"))))])).scalar()
+    outside = df.agg(*[F.count_if((v < edges[f"lo_{i}"]) | (v > edges[f"hi_{i}"])).alias(f"n_{i}") for i, v in enumerate(cols)])
+    beyond = outside.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), c(f"n_{i}").alias("beyond")) for i in range(len(names))])))
+    infos = {info.name: info for info in columns_of(df)}
+    usual = modes(df, [infos[n] for n in names]).select("ordinal", c("mode").cast("double").alias("mode"))
+    places = F.create_map(*[x for n, i in zip(names, range(len(names))) for x in (F.lit(infos[n].ordinal), F.lit(i))])
+    rows = table.join(F.broadcast(beyond), "i").join(F.broadcast(usual.select(places[c("ordinal")].alias("i"), "mode")), "i", "left")
     skew, kurt = adjusted_skewness(c("count"), c("g1")), adjusted_kurtosis(c("count"), c("g2"))
     k2 = k_squared(c("count"), c("g1"), c("g2"))
-    return wide.select(
-        "count", "missing", rounded(ratio(c("missing"), c("missing") + c("count")) * 100, 2).alias("missing_pct"),
+    return rows.select(
+        "column", "count", "missing", rounded(ratio(c("missing"), c("missing") + c("count")) * 100, 2).alias("missing_pct"),
         *[rounded(c(k), 4).alias(k) for k in ("mean", "std", "variance", "min", "max")],
-        rounded(mode, 4).alias("mode"), rounded(c("max") - c("min"), 4).alias("range"),
+        rounded(c("mode"), 4).alias("mode"), rounded(c("max") - c("min"), 4).alias("range"),
         *[rounded(c(f"p{p}"), 4).alias(f"p{p}") for p in PERCENTILES], rounded(iqr, 4).alias("iqr"),
         rounded(skew, 4).alias("skewness"), rounded(kurt, 4).alias("kurtosis"),
-        beyond.alias("outliers"), rounded(ratio(beyond, c("count")) * 100, 2).alias("outlier_pct"),
+        c("beyond").alias("outliers"), rounded(ratio(c("beyond"), c("count")) * 100, 2).alias("outlier_pct"),
         rounded(c("p25") - 1.5 * iqr, 4).alias("lower_bound"), rounded(c("p75") + 1.5 * iqr, 4).alias("upper_bound"),
         rounded(F.exp(-k2 / 2), 4).alias("normal_p_value"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ledgerlens.functions.dates import is_temporal, to_timestamp_or_null
 from ledgerlens.functions.numbers import is_numeric
 from ledgerlens.functions.text import EMAIL_SHAPE, looks_like_date, strip_currency, quoted
+from ledgerlens.plans.gram import wide_correlations
 from ledgerlens.plans.ranks import Quantile, quantile_exprs
 
 # Longer values are compared by digest, so that keys stay short in a shuffle.
@@ -252,17 +254,21 @@ def with_distinct(table: DataFrame, df: DataFrame, infos: list[ColumnInfo] | Non
     )
 
 
-PAIRS_PER_SCAN = 60
+#: Columns up to which every pair is a few sums of one aggregate.
+NARROW = 12
 
 
-def pairwise_correlations(df: DataFrame, names: list[str]) -> DataFrame:
+def pairwise_correlations(df: DataFrame, names: list[str], narrow: int | None = None) -> DataFrame:
     """(a, b, x, y, r) for every pair of numeric columns, nulls dropped per pair.
 
     A first aggregate finds means, ranges and gaps of the columns.  With values
     centred on them, a pair of columns without gaps costs one sum more than the
     per-column sums it shares with every other pair.  ``r`` is NULL where a side
-    is constant.
+    is constant or holds values that are not finite.  More columns than
+    ``narrow`` are correlated by their Gram matrix, with the same results.
     """
+    if len(names) > (NARROW if narrow is None else narrow):
+        return wide_correlations(df, names)
     cols = [quoted(c).cast("double") for c in names]
     head = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -270,38 +276,34 @@ def pairwise_correlations(df: DataFrame, names: list[str]) -> DataFrame:
           for k, fn in (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))],
     ).first()
     centred = [c - F.lit(float(head[f"m{i}"] or 0.0)) for i, c in enumerate(cols)]
-    varies = [head[f"n{i}"] > 0 and head[f"lo{i}"] != head[f"hi{i}"] for i in range(len(cols))]
+    varies = [head[f"n{i}"] > 0 and head[f"lo{i}"] != head[f"hi{i}"] and math.isfinite(head[f"m{i}"]) for i in range(len(cols))]
     full = [head[f"n{i}"] == head["rows"] for i in range(len(cols))]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        block = pairs[start:start + PAIRS_PER_SCAN]
-        aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
-        results = []
-        for i, j in block:
-            if not (varies[i] and varies[j]):
-                r = F.lit(None).cast("double")
-            elif full[i] and full[j]:
-                for k in (i, j):
-                    aggs[f"s{k}"] = F.sum(centred[k])
-                    aggs[f"q{k}"] = F.sum(centred[k] * centred[k])
-                aggs[f"p{i}_{j}"] = F.sum(centred[i] * centred[j])
-                r = _r(F.col("n"), F.col(f"p{i}_{j}"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}"))
-            else:
-                both = cols[i].isNotNull() & cols[j].isNotNull()
-                x, y = F.when(both, centred[i]), F.when(both, centred[j])
-                tag = f"{i}_{j}"
-                aggs |= {
-                    f"c{tag}": F.count(x).cast("double"), f"p{tag}": F.sum(x * y), f"sx{tag}": F.sum(x), f"sy{tag}": F.sum(y),
-                    f"qx{tag}": F.sum(x * x), f"qy{tag}": F.sum(y * y),
-                    f"flat{tag}": (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)),
-                }
-                r = F.when(~F.col(f"flat{tag}"), _r(*[F.col(f"{k}{tag}") for k in ("c", "p", "sx", "sy", "qx", "qy")]))
-            results.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(names[i]).alias("x"),
-                                    F.lit(names[j]).alias("y"), r.alias("r")))
-        wide = df.agg(*[c.alias(k) for k, c in aggs.items()])
-        parts.append(wide.select(F.inline(F.array(*results))))
-    return union_all(parts)
+    if not pairs:
+        return local_table(df.sparkSession, [], "a int, b int, x string, y string, r double")
+    aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
+    results = []
+    for i, j in pairs:
+        if not (varies[i] and varies[j]):
+            r = F.lit(None).cast("double")
+        elif full[i] and full[j]:
+            for k in (i, j):
+                aggs[f"s{k}"] = F.sum(centred[k])
+                aggs[f"q{k}"] = F.sum(centred[k] * centred[k])
+            aggs[f"p{i}_{j}"] = F.sum(centred[i] * centred[j])
+            r = _r(F.col("n"), F.col(f"p{i}_{j}"), F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}"))
+        else:
+            both = cols[i].isNotNull() & cols[j].isNotNull()
+            x, y = F.when(both, centred[i]), F.when(both, centred[j])
+            tag = f"{i}_{j}"
+            aggs |= {
+                f"c{tag}": F.count(x).cast("double"), f"p{tag}": F.sum(x * y), f"sx{tag}": F.sum(x), f"sy{tag}": F.sum(y),
+                f"qx{tag}": F.sum(x * x), f"qy{tag}": F.sum(y * y),
+                f"flat{tag}": (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)),
+            }
+            r = F.when(~F.col(f"flat{tag}"), _r(*[F.col(f"{k}{tag}") for k in ("c", "p", "sx", "sy", "qx", "qy")]))
+        results.append(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), r.alias("r")))
+    return df.agg(*[c.alias(k) for k, c in aggs.items()]).select(F.inline(F.array(*results)))
 
 
 def _r(n: Column, sxy: Column, sx: Column, sy: Column, sxx: Column, syy: Column) -> Column:
