@@ -189,14 +189,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     segments = staged(stream.mapInPandas(
         _located_rows, f"doc_id {kind}, mark bigint, h bigint, c1 bigint, c2 bigint, first int, number int, windows array<bigint>"), "segments")
 
-    # copies of a context are reduced before they move; windows stay with its owner
     context = ["h", "c1", "c2"]
-    owners = staged(segments.groupBy(*context).agg(F.min("doc_id").alias("owner"), F.min_by(F.struct("mark", "first", "windows"), "doc_id").alias("own")), "owners")
-    placed = segments.select(*context, "doc_id", "mark", "first", "number").join(owners.select(*context, "owner"), context)
+    owners = staged(segments.groupBy(*context).agg(F.min("doc_id").alias("owner")), "owners")
+    placed = segments.select(*context, "doc_id", "mark", "first", "number").join(owners, context)
     whole = placed.filter("doc_id > owner").select("doc_id", "mark", (F.col("first").cast("bigint") * 64 + F.col("number")).alias("start"))
     several = owners.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low < high").select("h")
-    opened = staged(owners.join(several, "h").select(
-        "h", F.col("owner").alias("doc_id"), "own.mark", "own.first", F.posexplode("own.windows").alias("step", "window")), "windows")
+    # only owners' windows are looked at: a context and its owner are one row of each side, however many copies there are
+    classes = owners.join(several, "h").withColumnRenamed("owner", "doc_id")
+    opened = staged(segments.join(classes, [*context, "doc_id"]).select(
+        "h", "doc_id", "mark", "first", F.posexplode("windows").alias("step", "window")), "windows")
     shared = opened.groupBy("h", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     single = opened.join(shared, ["h", "window"]).filter("doc_id > low").select(
         "doc_id", "mark", ((F.col("first") + F.col("step")).cast("bigint") * 64 + 1).alias("start"))
