@@ -19,10 +19,6 @@ from ledgerlens.plans.catalog import columns_of, union_all, value_shapes
 from ledgerlens.plans.ordered import staged
 
 
-def _col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 @dataclass(frozen=True)
 class Source:
     """A dataset to classify: its rows, a column that orders them (for callers that show rows), its file name."""
@@ -57,16 +53,27 @@ def needed_texts(pattern: str) -> list[str] | None:
         plain = re.sub(r"\([^)]*\)|\[[^]]*\](\{\d+,?\d*\}|[*+?])?|\\[dsw](\{\d+,?\d*\}|[*+?])?|\\?[^\\][*?]", "\0", branch)
         runs = re.sub(r"[+.^]|\{[^}]*\}", "\0", re.sub(r"\\(.)", lambda m: "\1" if m[1] == "+" else "\2" if m[1] == "." else m[1], plain))
         best = max((r.replace("\1", "+").replace("\2", ".") for r in runs.split("\0")), key=len)
-        if not best:
+        choice = re.search(r"\(([A-Za-z|]+)\)(?![*?])", branch)
+        if choice and len(best) < 2:  # one of the group's words is in every match
+            out += [word.lower() for word in choice[1].split("|")]
+        elif best:
+            out.append(best.lower())
+        else:
             return None
-        out.append(best.lower())
     return out
 
 
-def pattern_mask(line: Column, lowered: Column, patterns: list[str]) -> Column:
-    """Bit i is set if the line holds pattern i."""
+#: Screens of groups of patterns: which patterns belong to one, and what every match of theirs holds in a lower-case line.
+PATTERN_GROUPS = (
+    (r"[A-Za-z]+-\\d\+", lambda lowered: lowered.rlike("[a-z]-[0-9]")),
+    (r"[A-Za-z]+_\\d\+", lambda lowered: lowered.rlike("[a-z]_[0-9]")),
+    (r"\\d\+\\s\*.*|\[1-5\]\\s\*.*", lambda lowered: lowered.rlike(r"[0-9]\s*[a-z]")),
+)
+
+
+def _tests(line: Column, lowered: Column, patterns: list[tuple[int, str]]) -> Column:
     mask = F.lit(0).cast("bigint")
-    for i, pattern in enumerate(patterns):
+    for i, pattern in patterns:
         test = line.rlike("(?i)" + pattern)
         texts = needed_texts(pattern)
         if texts:
@@ -79,14 +86,52 @@ def pattern_mask(line: Column, lowered: Column, patterns: list[str]) -> Column:
     return mask
 
 
-def dataset_facts(sources: dict[str, Source], values: bool = True) -> DataFrame:
-    """One row per dataset: names, size, and what its values look like, from one aggregate over all rows of each.
+def pattern_mask(line: Column, lowered: Column, patterns: list[str]) -> Column:
+    """Bit i is set if the line holds pattern i; patterns of one shape are looked for only in lines that hold the shape."""
+    left, mask = list(enumerate(patterns)), F.lit(0).cast("bigint")
+    for shape, screen in PATTERN_GROUPS:
+        own = [(i, p) for i, p in left if re.fullmatch(shape, p)]
+        if len(own) > 1:
+            left = [x for x in left if x not in own]
+            mask = mask.bitwiseOR(F.when(screen(lowered), _tests(line, lowered, own)).otherwise(F.lit(0).cast("bigint")))
+    return mask.bitwiseOR(_tests(line, lowered, left))
+
+
+#: Rows of a table that are looked at before all are: what they hold needs no second look.
+FIRST_ROWS = 2_000
+ALL_PATTERNS = tuple(sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats}))
+
+
+def _masks(rows: DataFrame, readable: list, patterns: list[str]) -> tuple[DataFrame, list[Column], Column]:
+    """Rows with the text to look in, the aggregates that look for patterns, and the array of those found."""
+    if not (readable and patterns):
+        return rows, [], _words(())
+    line = F.concat_ws(" ", *[quoted(c.name).cast("string") for c in readable])
+    rows = rows.withColumn("_line", line).withColumn("_lowered", F.lower("_line"))
+    blocks = [patterns[i:i + 20] for i in range(0, len(patterns), 20)]
+    seen = [F.bit_or(pattern_mask(F.col("_line"), F.col("_lowered"), part)).alias(f"_p{k}") for k, part in enumerate(blocks)]
+    found = F.array_compact(F.array(*[
+        F.when(F.col(f"_p{k}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(p)) for k, part in enumerate(blocks) for i, p in enumerate(part)]))
+    return rows, seen, found
+
+
+def dataset_facts(sources: dict[str, Source], values: bool = True, patterns: bool = True) -> DataFrame:
+    """One row per dataset: names, size, and what its values look like, from all rows of each.
 
-    ``found`` holds the value patterns that some row's text and date columns contain.  Without
-    ``values`` only names, the schema and the number of rows count.
+    ``found`` holds the value patterns that some row's text and date columns contain.  A pattern that
+    the first rows hold is settled; only the others are looked for in all rows.  Without ``patterns``
+    none is looked for, and without ``values`` only names, the schema and the number of rows count.
     """
-    patterns = sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats})
-    blocks = [patterns[i:i + 20] for i in range(0, len(patterns), 20)]
+    readable = {n: [c for c in columns_of(s.df) if c.kind in ("string", "temporal")] for n, s in sources.items()}
+    settled: dict[str, list[str]] = {n: [] for n in sources}
+    if values and patterns:
+        looks = []
+        for name, s in sources.items():
+            if readable[name]:
+                rows, seen, found = _masks(s.df.select(*[quoted(c.name) for c in readable[name]]).limit(FIRST_ROWS), readable[name], list(ALL_PATTERNS))
+                looks.append(rows.agg(*seen).select(F.lit(name).alias("dataset"), found.alias("found")))
+        if looks:
+            settled |= {r["dataset"]: list(r["found"]) for r in union_all(looks).collect()}  # a row for each dataset
     parts = []
     for name, s in sources.items():
         infos = columns_of(s.df)
@@ -100,24 +145,17 @@ def dataset_facts(sources: dict[str, Source], values: bool = True) -> DataFrame:
         if not values:
             parts.append(s.df.agg(F.count(F.lit(1)).alias("rows")).select(*constants, "rows"))
             continue
-        readable = [c for c in infos if c.kind in ("string", "temporal")]
-        rows = s.df
-        if readable:
-            line = F.concat_ws(" ", *[_col(c.name).cast("string") for c in readable])
-            rows = rows.withColumn("_line", line).withColumn("_lowered", F.lower("_line"))
         wordy, all_dates = F.lit(False), F.lit(dated)
         for c in strings:
-            text = _col(c.name)
+            text = quoted(c.name)
             wordy = wordy | F.coalesce(F.avg(F.length(text)) > 50, F.lit(False))
             if not dated:
                 is_date = looks_like_date(text) & to_timestamp_or_null(text, s.df.schema[c.name].dataType).isNotNull()
                 all_dates = all_dates | F.coalesce(F.min(F.when(text.isNotNull(), F.coalesce(is_date, F.lit(False)))), F.lit(False))
-        seen = [F.bit_or(pattern_mask(F.col("_line"), F.col("_lowered"), part)).alias(f"p{k}") for k, part in enumerate(blocks)] if readable else []
+        left = [p for p in ALL_PATTERNS if p not in settled[name]] if patterns else []
+        rows, seen, found = _masks(s.df, readable[name], left)
         row = rows.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content"), all_dates.alias("has_dates"), *seen)
-        found = F.array_compact(F.array(*[
-            F.when(F.col(f"p{k}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(p))
-            for k, part in enumerate(blocks) for i, p in enumerate(part)])) if seen else _words(())
-        parts.append(row.select(*constants, "rows", "has_text_content", "has_dates", found.alias("found")))
+        parts.append(row.select(*constants, "rows", "has_text_content", "has_dates", F.concat(_words(settled[name]), found).alias("found")))
     facts = union_all(parts)
     # one small row per dataset from here on; the scans behind it run once
     return staged(facts) if values else facts
@@ -223,7 +261,7 @@ def time_coverage(sources: dict[str, Source]) -> DataFrame:
 
 def dataset_roles(sources: dict[str, Source], facts: DataFrame | None = None) -> DataFrame:
     """Business role per dataset with confidence; under 0.8 a person should confirm."""
-    facts = dataset_facts(sources) if facts is None else facts
+    facts = dataset_facts(sources, patterns=False) if facts is None else facts
     shown = {
         "has_date": F.col("has_dates"), "no_dates": ~F.col("has_dates"), "has_amount": F.col("has_numbers"),
         "small_row_count": F.col("rows") < 100, "has_text_content": F.col("has_text_content"),
