@@ -14,7 +14,7 @@ from ledgerlens.functions.numbers import (
 from ledgerlens.functions.text import contains_any, quoted
 from ledgerlens.operators.charts import histogram
 from ledgerlens.plans.catalog import (
-    ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, modes, numeric_names, pairwise_correlations, text_of, union_all, value_key,
+    ALL_FACTS, ColumnInfo, columns_of, facts, frequencies, lane_text, leading_values, modes, numeric_names, pairwise_correlations, text_of, union_all, value_key,
     with_distinct, value_shapes,
 )
 from ledgerlens.plans.ordered import ROWS_PER_SLICE, with_neighbours
@@ -248,11 +248,8 @@ def skew_issues(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, n: int = 10) -> DataFrame:
     """The most frequent values of every non-numeric column and its cardinality flag."""
     infos = [c for c in columns_of(df) if c.kind in ("string", "temporal")]
-    counted = frequencies(df, infos, readable=True).withColumn("value", lane_text())
-    order = Window.partitionBy("ordinal").orderBy(F.col("n").desc(), "value")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    cards = with_distinct(facts(df, infos, ()), df, infos).select("ordinal", "name", "rows", "distinct")
-    return top.join(F.broadcast(cards), "ordinal").select(
+    sizes = facts(df, infos, ()).select("ordinal", "name", "rows")
+    return leading_values(df, infos, n).join(F.broadcast(sizes), "ordinal").select(
         F.col("name").alias("column"), "rank", "value", F.col("n").alias("count"),
         rounded(ratio(F.col("n"), F.col("rows")) * 100, 2).alias("percentage"),
         (F.col("distinct") > F.col("rows") * 0.5).alias("is_high_cardinality"),
@@ -337,9 +334,9 @@ def _groupable(c: ColumnInfo) -> Column:
     return col.alias(c.name)
 
 
-def _table_level(df: DataFrame, want: tuple[str, ...] = (), outliers: bool = True) -> tuple[DataFrame, Column]:
+def _table_level(df: DataFrame, want: tuple[str, ...] = (), outliers: bool = True, counts: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Facts with distinct counts, outliers and semantic types; and the duplicate row as a scalar struct."""
-    table = with_distinct(facts(df, want=want, outliers=outliers), df)
+    table = with_distinct(facts(df, want=want, outliers=outliers), df, counts=counts)
     typed = table.withColumn(
         "semantic", profile_type(F.col("name"), F.col("kind"), F.col("distinct"), F.col("rows"))
     )
@@ -550,8 +547,9 @@ def distinct_per_column(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column with everything the profiler reports about it."""
     infos = columns_of(df)
-    typed, _ = _table_level(df, ALL_FACTS)
-    table = typed.join(F.broadcast(modes(df, infos)), "ordinal", "left")
+    leading = leading_values(df, infos)  # one table of values for distinct counts and modes
+    typed, _ = _table_level(df, ALL_FACTS, counts=leading.select("ordinal", "distinct"))
+    table = typed.join(F.broadcast(leading.select("ordinal", F.col("value").alias("mode"))), "ordinal", "left")
     c = F.col
     numeric = c("kind") == "numeric"
     skew, kurt = finite_or_zero(c("skew")), finite_or_zero(c("kurt"))

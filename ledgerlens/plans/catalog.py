@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -158,14 +158,68 @@ def distinct_counts(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     return frequencies(df, infos).groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
 
 
+def _keyed_lanes(c: ColumnInfo) -> Column:
+    """A readable value in its lane; a long text as its first characters and a digest, so that no key is long."""
+    lanes = _lanes(c, True)
+    text = lanes["text"]
+    long = F.length(text) > LONG_VALUE
+    return F.struct(
+        lanes["ordinal"].alias("ordinal"), lanes["whole"].alias("whole"), lanes["real"].alias("real"),
+        F.when(long, F.substring(text, 1, LONG_VALUE)).otherwise(text).alias("text"), F.when(long, F.unhex(F.sha2(text, 256))).alias("digest"))
+
+
+def leading_values(df: DataFrame, infos: list[ColumnInfo], first: int = 1) -> DataFrame:
+    """(ordinal, distinct, rank, value, n): the most frequent values of each column, smaller ones first on ties, as text.
+
+    Values are counted by short keys that sort as they do up to equal first characters.  So a long value
+    that belongs to the result shares its first characters with one that leads by keys, and only the rows
+    with such characters are counted again beside their whole texts.  Distinct values come from the same table.
+    """
+    session = df.sparkSession
+    counts = df.select(F.inline(F.array(*[_keyed_lanes(c) for c in infos]))).where(
+        F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    ).groupBy("ordinal", "whole", "real", "text", "digest").agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct((-F.col("n")).alias("n"), "whole", "real", "text", "digest")
+    if first == 1:
+        grouped = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"), F.array(F.min(key)).alias("top"))
+    else:
+        # the first keys of each part, then of the column, so that no task sorts a column
+        parts = counts.withColumn("part", F.pmod(F.xxhash64("whole", "real", "text", "digest"), F.lit(PARTS_PER_COLUMN)))
+        ranked = parts.withColumn("key", key).withColumn("turn", F.row_number().over(Window.partitionBy("ordinal", "part").orderBy("key")))
+        sizes = parts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+        best = ranked.where(F.col("turn") <= first).groupBy("ordinal").agg(F.slice(F.array_sort(F.collect_list("key")), 1, first).alias("top"))
+        grouped = sizes.join(best, "ordinal")
+    told = grouped.collect()  # a row for each column
+    short, long = [], set()
+    for row in told:
+        for cell in row["top"]:
+            if cell["digest"] is not None:
+                long.add((row["ordinal"], cell["text"]))
+            else:
+                short.append((row["ordinal"], row["distinct"], cell["whole"], cell["real"], cell["text"], -cell["n"]))
+    keys = "ordinal int, `distinct` bigint, whole bigint, real double, text string, n bigint"
+    rows = local_table(session, short, keys)
+    if long:
+        again = [F.struct(F.lit(c.ordinal).alias("ordinal"), text_of(c).alias("text")) for c in infos if c.ordinal in {o for o, _ in long}]
+        heads = local_table(session, sorted(long), "o int, head string")
+        found = df.select(F.inline(F.array(*again))).where(F.length("text") > LONG_VALUE).join(
+            F.broadcast(heads), (F.col("ordinal") == F.col("o")) & (F.substring("text", 1, LONG_VALUE) == F.col("head")), "left_semi")
+        sizes = local_table(session, [(r["ordinal"], r["distinct"]) for r in told], "ordinal int, `distinct` bigint")
+        texts = found.groupBy("ordinal", F.sha2("text", 256).alias("digest")).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        rows = rows.unionByName(texts.join(F.broadcast(sizes), "ordinal").select(
+            "ordinal", "distinct", F.lit(None).cast("bigint").alias("whole"), F.lit(None).cast("double").alias("real"), "text", "n"))
+    order = Window.partitionBy("ordinal").orderBy(F.col("n").desc(), "whole", "real", "text")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select(
+        "ordinal", "distinct", "rank", F.coalesce("text", F.col("whole").cast("string"), F.col("real").cast("string")).alias("value"), "n")
+
+
+#: Parts whose leading keys are found apart before they meet.
+PARTS_PER_COLUMN = 64
+
+
 def modes(df: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     """(ordinal, mode): the most frequent value, the smallest one on ties, as text."""
-    ranked = F.struct((-F.col("n")).alias("n"), "whole", "real", "text")
-    return (
-        frequencies(df, infos, readable=True)
-        .groupBy("ordinal").agg(F.min(ranked).alias("m"))
-        .select("ordinal", F.coalesce("m.text", F.col("m.whole").cast("string"), F.col("m.real").cast("string")).alias("mode"))
-    )
+    return leading_values(df, infos).select("ordinal", F.col("value").alias("mode"))
 
 
 _MOMENTS = {
@@ -246,9 +300,10 @@ def _facts_block(df: DataFrame, infos: list[ColumnInfo], want: tuple[str, ...],
     return table.join(F.broadcast(counted), "ordinal", "left")
 
 
-def with_distinct(table: DataFrame, df: DataFrame, infos: list[ColumnInfo] | None = None) -> DataFrame:
-    """Add the exact distinct count of every column of a facts table."""
-    counts = distinct_counts(df, columns_of(df) if infos is None else infos)
+def with_distinct(table: DataFrame, df: DataFrame, infos: list[ColumnInfo] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Add the exact distinct count of every column of a facts table; from ``counts`` (ordinal, distinct) if they are known."""
+    if counts is None:
+        counts = distinct_counts(df, columns_of(df) if infos is None else infos)
     return table.join(F.broadcast(counts), "ordinal", "left").withColumn(
         "distinct", F.coalesce("distinct", F.lit(0).cast("bigint"))
     )
