@@ -71,7 +71,7 @@ PATTERN_GROUPS = (
 )
 
 
-def _tests(line: Column, lowered: Column, patterns: list[tuple[int, str]]) -> Column:
+def _tests(line: Column, lowered: Column, patterns: list[tuple[int, str]], left: Column) -> Column:
     mask = F.lit(0).cast("bigint")
     for i, pattern in patterns:
         test = line.rlike("(?i)" + pattern)
@@ -82,56 +82,69 @@ def _tests(line: Column, lowered: Column, patterns: list[tuple[int, str]]) -> Co
                 some = some | lowered.contains(text)
             exact = all(re.fullmatch(r"[A-Za-z_ -]+", b) for b in pattern.split("|"))
             test = some if exact else some & test
-        mask = mask.bitwiseOR(F.when(test, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        bit = F.lit(1 << i).cast("bigint")
+        mask = mask.bitwiseOR(F.when((left.bitwiseAND(bit) != 0) & test, bit).otherwise(F.lit(0).cast("bigint")))
     return mask
 
 
-def pattern_mask(line: Column, lowered: Column, patterns: list[str]) -> Column:
-    """Bit i is set if the line holds pattern i; patterns of one shape are looked for only in lines that hold the shape."""
-    left, mask = list(enumerate(patterns)), F.lit(0).cast("bigint")
+def pattern_mask(line: Column, lowered: Column, patterns: list[str], left: Column | None = None) -> Column:
+    """Bit i is set if the line holds pattern i and bit i of ``left`` is set (if given).
+
+    Patterns of one shape are looked for only in lines that hold the shape.
+    """
+    left = F.lit((1 << len(patterns)) - 1).cast("bigint") if left is None else left
+    rest, mask = list(enumerate(patterns)), F.lit(0).cast("bigint")
     for shape, screen in PATTERN_GROUPS:
-        own = [(i, p) for i, p in left if re.fullmatch(shape, p)]
+        own = [(i, p) for i, p in rest if re.fullmatch(shape, p)]
         if len(own) > 1:
-            left = [x for x in left if x not in own]
-            mask = mask.bitwiseOR(F.when(screen(lowered), _tests(line, lowered, own)).otherwise(F.lit(0).cast("bigint")))
-    return mask.bitwiseOR(_tests(line, lowered, left))
+            rest = [x for x in rest if x not in own]
+            some = left.bitwiseAND(F.lit(sum(1 << i for i, _ in own)).cast("bigint")) != 0
+            mask = mask.bitwiseOR(F.when(some & screen(lowered), _tests(line, lowered, own, left)).otherwise(F.lit(0).cast("bigint")))
+    return mask.bitwiseOR(_tests(line, lowered, rest, left))
 
 
 #: Rows of a table that are looked at before all are: what they hold needs no second look.
 FIRST_ROWS = 2_000
-ALL_PATTERNS = tuple(sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats}))
+#: Patterns of one shape stand together, so that a block holds whole groups.
+ALL_PATTERNS = tuple(sorted({p for *_, pats in sig.CONTENT_SIGNATURES for p in pats},
+                            key=lambda p: (next((k for k, (shape, _) in enumerate(PATTERN_GROUPS) if re.fullmatch(shape, p)), 99), p)))
+PATTERN_BLOCKS = tuple(ALL_PATTERNS[i:i + 20] for i in range(0, len(ALL_PATTERNS), 20))
 
 
-def _masks(rows: DataFrame, readable: list, patterns: list[str]) -> tuple[DataFrame, list[Column], Column]:
-    """Rows with the text to look in, the aggregates that look for patterns, and the array of those found."""
-    if not (readable and patterns):
-        return rows, [], _words(())
-    line = F.concat_ws(" ", *[quoted(c.name).cast("string") for c in readable])
-    rows = rows.withColumn("_line", line).withColumn("_lowered", F.lower("_line"))
-    blocks = [patterns[i:i + 20] for i in range(0, len(patterns), 20)]
-    seen = [F.bit_or(pattern_mask(F.col("_line"), F.col("_lowered"), part)).alias(f"_p{k}") for k, part in enumerate(blocks)]
-    found = F.array_compact(F.array(*[
-        F.when(F.col(f"_p{k}").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(p)) for k, part in enumerate(blocks) for i, p in enumerate(part)]))
-    return rows, seen, found
+def found_patterns(sources: dict[str, Source]) -> dict[str, list[str]]:
+    """The value patterns that some row's text and date columns contain, by dataset.
+
+    The lines of all tables are looked at by one aggregate: first a few rows of each, then all rows for the
+    patterns that those did not hold.
+    """
+    readable = {n: [c for c in columns_of(s.df) if c.kind in ("string", "temporal")] for n, s in sources.items()}
+    found = {n: [0] * len(PATTERN_BLOCKS) for n in sources}
+    full = [(1 << len(block)) - 1 for block in PATTERN_BLOCKS]
+    for rows in (FIRST_ROWS, None):
+        parts = []
+        for name, s in sources.items():
+            left = [every & ~own for every, own in zip(full, found[name])]
+            if readable[name] and any(left):
+                line = F.concat_ws(" ", *[quoted(c.name).cast("string") for c in readable[name]])
+                lines = s.df.select(F.lit(name).alias("dataset"), *[F.lit(m).cast("bigint").alias(f"left{k}") for k, m in enumerate(left)], line.alias("line"))
+                parts.append(lines if rows is None else lines.limit(rows))
+        if not parts:
+            break
+        lines = union_all(parts).withColumn("lowered", F.lower("line"))
+        masks = lines.groupBy("dataset").agg(*[
+            F.bit_or(pattern_mask(F.col("line"), F.col("lowered"), list(block), F.col(f"left{k}"))).alias(f"p{k}") for k, block in enumerate(PATTERN_BLOCKS)])
+        for r in masks.collect():  # a row for each dataset
+            found[r["dataset"]] = [own | r[f"p{k}"] for k, own in enumerate(found[r["dataset"]])]
+    return {n: [p for k, block in enumerate(PATTERN_BLOCKS) for i, p in enumerate(block) if own[k] >> i & 1] for n, own in found.items()}
 
 
 def dataset_facts(sources: dict[str, Source], values: bool = True, patterns: bool = True) -> DataFrame:
     """One row per dataset: names, size, and what its values look like, from all rows of each.
 
-    ``found`` holds the value patterns that some row's text and date columns contain.  A pattern that
-    the first rows hold is settled; only the others are looked for in all rows.  Without ``patterns``
-    none is looked for, and without ``values`` only names, the schema and the number of rows count.
+    Without ``patterns`` no value patterns are looked for (``found`` is empty), and without ``values``
+    only names, the schema and the number of rows count.
     """
-    readable = {n: [c for c in columns_of(s.df) if c.kind in ("string", "temporal")] for n, s in sources.items()}
-    settled: dict[str, list[str]] = {n: [] for n in sources}
-    if values and patterns:
-        looks = []
-        for name, s in sources.items():
-            if readable[name]:
-                rows, seen, found = _masks(s.df.select(*[quoted(c.name) for c in readable[name]]).limit(FIRST_ROWS), readable[name], list(ALL_PATTERNS))
-                looks.append(rows.agg(*seen).select(F.lit(name).alias("dataset"), found.alias("found")))
-        if looks:
-            settled |= {r["dataset"]: list(r["found"]) for r in union_all(looks).collect()}  # a row for each dataset
+    found = found_patterns(sources) if values and patterns else {}
     parts = []
     for name, s in sources.items():
         infos = columns_of(s.df)
@@ -152,10 +165,8 @@ def dataset_facts(sources: dict[str, Source], values: bool = True, patterns: boo
             if not dated:
                 is_date = looks_like_date(text) & to_timestamp_or_null(text, s.df.schema[c.name].dataType).isNotNull()
                 all_dates = all_dates | F.coalesce(F.min(F.when(text.isNotNull(), F.coalesce(is_date, F.lit(False)))), F.lit(False))
-        left = [p for p in ALL_PATTERNS if p not in settled[name]] if patterns else []
-        rows, seen, found = _masks(s.df, readable[name], left)
-        row = rows.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content"), all_dates.alias("has_dates"), *seen)
-        parts.append(row.select(*constants, "rows", "has_text_content", "has_dates", F.concat(_words(settled[name]), found).alias("found")))
+        row = s.df.agg(F.count(F.lit(1)).alias("rows"), wordy.alias("has_text_content"), all_dates.alias("has_dates"))
+        parts.append(row.select(*constants, "rows", "has_text_content", "has_dates", _words(found.get(name, ())).alias("found")))
     facts = union_all(parts)
     # one small row per dataset from here on; the scans behind it run once
     return staged(facts) if values else facts
