@@ -94,7 +94,7 @@ def kpi_expr(df: DataFrame, agg: str, x: str | None = None, y: str | None = None
     if agg == "count":
         return F.count(F.lit(1)).cast("double")
     if agg == "count_distinct":
-        return F.count_distinct(x).cast("double")
+        return F.count_distinct(quoted(x)).cast("double")
     if agg == "column_count":
         return F.max(F.lit(float(len(df.columns))))
     if agg == "completeness":
@@ -102,7 +102,7 @@ def kpi_expr(df: DataFrame, agg: str, x: str | None = None, y: str | None = None
     if agg == "avg":
         return rounded(F.avg(quoted(y).cast("double")), 4)
     if agg == "avg_per_group":
-        return rounded(ratio(F.sum(quoted(y).cast("double")), F.count_distinct(x)), 4)
+        return rounded(ratio(F.sum(quoted(y).cast("double")), F.count_distinct(quoted(x))), 4)
     if agg == "calculated":
         left, right = y.split("-", 1)
         return rounded(F.sum(quoted(left).cast("double")) - F.sum(quoted(right).cast("double")), 4)
@@ -310,7 +310,7 @@ def boxplot_outliers(df: DataFrame, col: str, order_by: str, limit: int = 50) ->
     fences = df.agg(*quantile_exprs(df, [Quantile("q1", v, 0.25), Quantile("q3", v, 0.75)]))
     iqr = F.col("q3") - F.col("q1")
     s = fences.select(F.struct((F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))).scalar()
-    return df.where((v < s["lo"]) | (v > s["hi"])).orderBy(order_by).limit(limit).select(order_by, v.alias("value"))
+    return df.where((v < s["lo"]) | (v > s["hi"])).orderBy(quoted(order_by)).limit(limit).select(quoted(order_by), v.alias("value"))
 
 
 def scatter(df: DataFrame, x: str, y: str, key: str, limit: int = 500) -> DataFrame:
@@ -325,7 +325,7 @@ def scatter(df: DataFrame, x: str, y: str, key: str, limit: int = 500) -> DataFr
 def first_points(df: DataFrame, x: str, y: str, order_by: str, limit: int = 500) -> DataFrame:
     """First complete point pairs in row order."""
     return (
-        df.where(quoted(x).isNotNull() & quoted(y).isNotNull()).orderBy(order_by).limit(limit)
+        df.where(quoted(x).isNotNull() & quoted(y).isNotNull()).orderBy(quoted(order_by)).limit(limit)
         .select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"))
     )
 

@@ -39,10 +39,6 @@ class Cleaning:
         return self.type.lower().replace(" ", "_")
 
 
-def _col(name: str) -> Column:
-    return quoted(name)
-
-
 def _known(one_row: DataFrame) -> list[Column]:
     """The cells of a one-row result as literals of their types; empty without a row."""
     row = one_row.first()
@@ -58,24 +54,24 @@ def _numeric(df: DataFrame, column: str | None) -> bool:
 def _fill(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Fill gaps; an integer column filled with a fraction becomes a double."""
     dtype = df.schema[column].dataType
-    source = _col(column)
+    source = quoted(column)
     if is_numeric(dtype):
         return df.withColumn(column, F.coalesce(source.cast("double"), value.cast("double")))
     return df.withColumn(column, F.coalesce(source, value.cast(dtype)))
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, _known(df.agg(F.avg(_col(column).cast("double"))))[0])
+    return _fill(df, column, _known(df.agg(F.avg(quoted(column).cast("double"))))[0])
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, _known(quantile_row(df, [Quantile("m", _col(column), 0.5)]))[0])
+    return _fill(df, column, _known(quantile_row(df, [Quantile("m", quoted(column), 0.5)]))[0])
 
 
 def mode_value(df: DataFrame, column: str) -> DataFrame:
     """One row with the most frequent value, the smallest one on ties."""
     return (
-        df.where(_col(column).isNotNull()).groupBy(_col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        df.where(quoted(column).isNotNull()).groupBy(quoted(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.col("n").desc(), "v").limit(1).select("v")
     )
 
@@ -89,7 +85,7 @@ def fill_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
     if value is None:
         return df
     dtype = df.schema[column].dataType
-    return df.withColumn(column, F.coalesce(_col(column), F.lit(value).try_cast(dtype)))
+    return df.withColumn(column, F.coalesce(quoted(column), F.lit(value).try_cast(dtype)))
 
 
 def fill_previous(df: DataFrame, column: str, order_by: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -110,12 +106,12 @@ def interpolate(df: DataFrame, column: str, order_by: str, rows_per_slice: int =
     prev, nxt = quoted(f"_prev_{column}"), quoted(f"_next_{column}")
     a, b = prev["value"].cast("double"), nxt["value"].cast("double")
     between = a + (b - a) * (F.col("_rn") - prev["_rn"]) / (nxt["_rn"] - prev["_rn"])
-    value = F.when(_col(column).isNotNull(), _col(column).cast("double")).when(nxt.isNull(), a).otherwise(between)
+    value = F.when(quoted(column).isNotNull(), quoted(column).cast("double")).when(nxt.isNull(), a).otherwise(between)
     return _tidy(rows.withColumn(column, value), df)
 
 
 def _tidy(rows: DataFrame, like: DataFrame) -> DataFrame:
-    return rows.select(*[_col(c) for c in like.columns])
+    return rows.select(*[quoted(c) for c in like.columns])
 
 
 def fill_missing(df: DataFrame, column: str, method: str, custom_value: Any = None, order_by: str | None = None) -> DataFrame:
@@ -140,7 +136,7 @@ def fill_missing(df: DataFrame, column: str, method: str, custom_value: Any = No
 
 
 def _ends(df: DataFrame, column: str, low: float, high: float) -> tuple[Column, Column]:
-    lo, hi = _known(quantile_row(df, [Quantile("lo", _col(column), low), Quantile("hi", _col(column), high)]))
+    lo, hi = _known(quantile_row(df, [Quantile("lo", quoted(column), low), Quantile("hi", quoted(column), high)]))
     return lo, hi
 
 
@@ -160,7 +156,7 @@ def treat_outliers(df: DataFrame, column: str, method: str) -> DataFrame:
     """Remove, clip or replace outliers of a numeric column; rows without a value are kept."""
     if not _numeric(df, column):
         return df
-    value = _col(column).cast("double")
+    value = quoted(column).cast("double")
     if method == "cap_percentile":
         return df.withColumn(column, _clip(value, *_ends(df, column, 0.01, 0.99)))
     if method not in ("remove", "cap_iqr", "replace_mean", "replace_median"):
@@ -187,10 +183,10 @@ def drop_duplicates(df: DataFrame, keep: str = "first", order_by: str | None = N
     if order_by is None or not rest:
         return df.dropDuplicates(keys)
     pick = F.max_by if keep == "last" else F.min_by
-    grouped = df.groupBy(*[_col(k) for k in keys]).agg(
-        pick(F.struct(*[_col(c) for c in rest]), _col(order_by)).alias("_row")
+    grouped = df.groupBy(*[quoted(k) for k in keys]).agg(
+        pick(F.struct(*[quoted(c) for c in rest]), quoted(order_by)).alias("_row")
     )
-    return grouped.select(*[_col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    return grouped.select(*[quoted(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def treat_duplicates(df: DataFrame, method: str, order_by: str | None = None, subset: list[str] | None = None) -> DataFrame:
@@ -202,12 +198,12 @@ def treat_duplicates(df: DataFrame, method: str, order_by: str | None = None, su
 
 
 def log_transform(df: DataFrame, column: str) -> DataFrame:
-    value = _col(column).cast("double")
+    value = quoted(column).cast("double")
     return df.withColumn(column, F.when(value > -1, F.log1p(value)))
 
 
 def sqrt_transform(df: DataFrame, column: str) -> DataFrame:
-    value = _col(column).cast("double")
+    value = quoted(column).cast("double")
     return df.withColumn(column, F.when(value >= 0, F.sqrt(value)))
 
 
@@ -230,9 +226,9 @@ def default_impute(df: DataFrame) -> DataFrame:
     strings = [c.name for c in columns_of(df, "string")]
     out = df
     if numeric:
-        medians = quantile_row(df, [Quantile(f"m{i}", _col(c), 0.5) for i, c in enumerate(numeric)])
+        medians = quantile_row(df, [Quantile(f"m{i}", quoted(c), 0.5) for i, c in enumerate(numeric)])
         known = _known(medians)
-        out = out.withColumns({c: F.coalesce(_col(c).cast("double"), m) for c, m in zip(numeric, known)})
+        out = out.withColumns({c: F.coalesce(quoted(c).cast("double"), m) for c, m in zip(numeric, known)})
     return out.fillna("Unknown", subset=strings) if strings else out
 
 
@@ -274,16 +270,16 @@ def apply_with_report(df: DataFrame, operations: list[Cleaning], order_by: str |
 def affected(df: DataFrame, op: Cleaning) -> DataFrame:
     """(rows, affected): rows before an operation and how many it concerns."""
     if op.kind == "duplicates":
-        groups = df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+        groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
         return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                           F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("affected"))
     if op.column is not None and op.column not in df.columns:
         hit = F.lit(False)
     elif op.kind == "missing_values":
-        hit = _col(op.column).isNull()
+        hit = quoted(op.column).isNull()
     elif op.kind == "outliers" and _numeric(df, op.column):
         low, high = _fences(df, op.column)
-        value = _col(op.column).cast("double")
+        value = quoted(op.column).cast("double")
         hit = F.coalesce((value < low) | (value > high), F.lit(False))
     else:
         hit = F.lit(op.kind != "outliers")
@@ -297,10 +293,10 @@ def column_state(df: DataFrame, column: str) -> DataFrame:
     """One row of statistics of a column: nulls, unique, mean, median, min, max."""
     info = [c for c in columns_of(df) if c.name == column]
     unique = frequencies(df, info).agg(F.count(F.lit(1))).scalar()
-    v = _col(column).cast("double") if _numeric(df, column) else F.lit(None).cast("double")
+    v = quoted(column).cast("double") if _numeric(df, column) else F.lit(None).cast("double")
     numbers = [rounded(F.avg(v), 4).alias("mean"), rounded(F.min(v), 4).alias("min"), rounded(F.max(v), 4).alias("max")]
     median = quantile_exprs(df, [Quantile("median", v, 0.5)])
-    row = df.agg(F.count_if(_col(column).isNull()).alias("nulls"), *numbers, *median)
+    row = df.agg(F.count_if(quoted(column).isNull()).alias("nulls"), *numbers, *median)
     return row.select("nulls", unique.alias("unique"), "mean", rounded(F.col("median"), 4).alias("median"), "min", "max")
 
 
@@ -339,4 +335,4 @@ def preview(df: DataFrame, operations: list[Cleaning], order_by: str | None = No
 
 def preview_rows(df: DataFrame, operations: list[Cleaning], order_by: str, n: int = 20) -> DataFrame:
     """First rows of the cleaned table."""
-    return apply(df, operations, order_by).orderBy(order_by).limit(n)
+    return apply(df, operations, order_by).orderBy(quoted(order_by)).limit(n)

@@ -364,7 +364,7 @@ def _single(df: DataFrame, ch: Chart, order_by: str) -> DataFrame | None:
 def table_rows(df: DataFrame, ch: Chart, order_by: str, limit: int = 100) -> DataFrame:
     """First rows of a table chart, as text with nulls shown empty; only errors where asked."""
     rows = errors_only(df, ch.x, ch.y) if ch.agg == "errors_only" else df
-    first = rows.orderBy(order_by).limit(limit)
+    first = rows.orderBy(quoted(order_by)).limit(limit)
     return first.select(*[F.coalesce(quoted(n.name).cast("string"), F.lit("")).alias(n.name) for n in columns_of(df) if n.kind != "nested"])
 
 
@@ -444,6 +444,6 @@ def business_sheets(txn: DataFrame, offerings: DataFrame, insights: DataFrame, s
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Share of every class of a target column."""
-    total = df.agg(F.count(target)).scalar()
-    return df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("count")).select(
+    total = df.agg(F.count(quoted(target))).scalar()
+    return df.where(quoted(target).isNotNull()).groupBy(quoted(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("count")).select(
         "label", "count", rounded(ratio(F.col("count"), total) * 100, 2).alias("percentage"))

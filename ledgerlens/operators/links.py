@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.numbers import ratio, rounded
-from ledgerlens.functions.text import indel_ratio, spaced
+from ledgerlens.functions.text import indel_ratio, quoted, spaced
 from ledgerlens.plans.catalog import ColumnInfo, columns_of, local_table, union_all, value_key
 from ledgerlens.plans.ordered import staged
 
@@ -316,6 +316,6 @@ def concat_datasets(datasets: dict[str, DataFrame]) -> DataFrame:
 
 def value_sets(left: DataFrame, left_col: str, right: DataFrame, right_col: str, kind: str = "intersect") -> DataFrame:
     """Distinct text values in both columns, or in the left one only."""
-    a = left.select(F.col(left_col).cast("string").alias("value")).where(F.col("value").isNotNull())
-    b = right.select(F.col(right_col).cast("string").alias("value")).where(F.col("value").isNotNull())
+    a = left.select(quoted(left_col).cast("string").alias("value")).where(F.col("value").isNotNull())
+    b = right.select(quoted(right_col).cast("string").alias("value")).where(F.col("value").isNotNull())
     return a.intersect(b) if kind == "intersect" else a.subtract(b)

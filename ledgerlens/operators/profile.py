@@ -143,9 +143,9 @@ def missing_patterns(df: DataFrame, order_by: str, columns: list[str] | None = N
     filled row, so one carried value replaces grouping the runs.
     """
     names = [c for c in (columns or df.columns) if c != order_by]
-    rows = with_neighbours(df.select(order_by, *names), names, order_by, backward=False, rows_per_slice=rows_per_slice)
+    rows = with_neighbours(df.select(*[quoted(c) for c in (order_by, *names)]), names, order_by, backward=False, rows_per_slice=rows_per_slice)
     runs = [
-        F.max(F.when(quoted(c).isNull(), F.col("_rn") - F.coalesce(F.col(f"_prev_{c}._rn"), F.lit(0)))).alias(f"run_{i}")
+        F.max(F.when(quoted(c).isNull(), F.col("_rn") - F.coalesce(quoted(f"_prev_{c}")["_rn"], F.lit(0)))).alias(f"run_{i}")
         for i, c in enumerate(names)
     ]
     wide = rows.agg(F.count(F.lit(1)).alias("rows"), *runs,

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.numbers import rounded
+from ledgerlens.functions.text import quoted
 from ledgerlens.operators.evaluate import classification_metrics, regression_metrics
 from ledgerlens.operators.filters import feature_columns
 from ledgerlens.plans.catalog import local_table
@@ -68,7 +69,7 @@ def in_holdout(key: Column, share: float = 0.2) -> Column:
 
 def evaluate_on_dataset(estimator, df: DataFrame, columns: list[str], target: str, key: str, share: float = 0.2, classification: bool = False) -> DataFrame:
     """Fit on the rows outside the hold-out and measure on those inside."""
-    rows = with_features(df, columns).withColumn("_held", in_holdout(F.col(key), share))
+    rows = with_features(df, columns).withColumn("_held", in_holdout(quoted(key), share))
     model = estimator.fit(rows.where(~F.col("_held")))
     scored = model.transform(rows.where("_held"))
     if classification:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlens.functions.text import quoted
 from ledgerlens.session import ensure_checkpoint_dir
 
 
@@ -25,24 +26,37 @@ def _filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose write has been committed, oldest first."""
+def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """Versions, oldest first; only those whose write has been committed, or all folders of one."""
     fs, where = _filesystem(spark, path)
     if not fs.exists(where):
         return []
     jvm = spark.sparkContext._jvm
     names = [s.getPath() for s in fs.listStatus(where)]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("v")) for p in done if p.getName().startswith("v"))
+    named = [p for p in names if p.getName().startswith("v") and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))]
+    return sorted(int(p.getName().removeprefix("v")) for p in named)
 
 
 def save_dataset(df: DataFrame, root: str, session: str, dataset: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write a new version beside the old ones; readers see it once it is complete."""
-    path = dataset_path(root, session, dataset)
-    known = versions(df.sparkSession, path)
-    target = f"{path}/v{(known[-1] if known else 0) + 1}"
-    df.write.partitionBy(*partition_by).parquet(target)
-    return target
+    """Write a new version beside the old ones; readers see it once it is complete.
+
+    It is written under a name of its own and renamed to the next free number, so two writers
+    at a time get two versions and neither fails.
+    """
+    spark, path = df.sparkSession, dataset_path(root, session, dataset)
+    apart = f"{path}/.writing-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(apart)
+    fs, source = _filesystem(spark, apart)
+    while True:
+        known = versions(spark, path, complete=False)
+        target = f"{path}/v{(known[-1] if known else 0) + 1}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if not fs.exists(place) and fs.rename(source, place):
+            # where another writer's folder was there first, some file systems move ours inside it
+            inside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, source.getName())
+            if not fs.exists(inside):
+                return target
+            source = inside
 
 
 def load_dataset(spark: SparkSession, root: str, session: str, dataset: str) -> DataFrame:
@@ -80,4 +94,4 @@ def upsert_records(existing: DataFrame, changes: DataFrame, key: str = "dataset_
 
 def preview(df: DataFrame, order_by: str, n: int = 20) -> DataFrame:
     """First rows in row order."""
-    return df.orderBy(order_by).limit(n)
+    return df.orderBy(quoted(order_by)).limit(n)

@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 
-from ledgerlens.operators import charts, classify, evaluate, filters, mapping, profile
-from ledgerlens.sources import canonical
+from ledgerlens.operators import charts, classify, clean, dashboards, evaluate, filters, links, mapping, profile, score
+from ledgerlens.functions.text import quoted
+from ledgerlens.sources import canonical, tables
 
 NAMES = ("customer's total", "a.b", "tick`ed", "two words")
 
@@ -22,6 +23,15 @@ def test_families(spark, name):
     assert classify.content_types(source).count() == 1 and classify.dataset_roles(source).count() == 1
     assert classify.persona(source).count() == 1 and classify.typed_columns(source["t"]).count() == 2
     assert mapping.column_mapping(df).count() == 3
+    assert {r.label: r["count"] for r in dashboards.class_balance(df, name).collect()} == {"1": 1, "2": 1, "3": 1}
+    assert links.value_sets(df, name, df, name).count() == 3
+    assert charts.boxplot_outliers(df, name, name).count() == 0 and charts.first_points(df, name, "p.q", name).count() == 2
+    assert [r[0] for r in tables.preview(df, name, 2).collect()] == [1, 2]
+    assert [r[0] for r in clean.preview_rows(df, [], name, 2).collect()] == [1, 2]
+    assert df.agg(charts.kpi_expr(df, "count_distinct", name)).first()[0] == 3.0
+    assert df.where(score.in_holdout(quoted(name), 1.0)).count() == 3
+    assert profile.missing_patterns(df, name).count() == 2
+    assert clean.fill_missing(df, "p.q", "ffill", order_by=name).where("`p.q` is null").count() == 0
 
 
 def test_half_a_month_is_rewritten(spark, tmp_path):

@@ -92,3 +92,13 @@ def test_csv_in_another_encoding(spark, tmp_path):
     (tmp_path / "utf.csv").write_bytes("name,n\nCafé,1\n".encode())
     assert {r["name"] for r in readers.read_csv(spark, str(tmp_path / "latin.csv")).collect()} == {"Café", "Été"}
     assert readers.read_csv(spark, str(tmp_path / "utf.csv")).first()["name"] == "Café"
+
+
+def test_a_broken_version_is_stepped_over(spark, tmp_path):
+    root = str(tmp_path / "sets")
+    first = tables.save_dataset(spark.range(3), root, "s", "d")
+    (tmp_path / "sets" / "s" / "d" / "v2").mkdir()
+    assert tables.load_dataset(spark, root, "s", "d").count() == 3
+    assert first.endswith("v1") and tables.save_dataset(spark.range(5), root, "s", "d").endswith("v3")
+    assert tables.load_dataset(spark, root, "s", "d").count() == 5
+    assert sorted(p.name for p in (tmp_path / "sets" / "s" / "d").iterdir()) == ["v1", "v2", "v3"]
