@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -65,6 +66,9 @@ def common_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]
     todo = [(0, len(ends_a), 0, len(ends_b))]
     while todo:
         low_a, high_a, low_b, high_b = todo.pop()
+        if high_a - low_a == 1 or high_b - low_b == 1:  # one token has no inner cut
+            out.append((high_a, high_b))
+            continue
         # common ends before the last tokens of the interval, from the middle token of A outwards
         left = (low_a + high_a - 1) // 2
         right = left + 1
@@ -115,6 +119,7 @@ class Aligner:
                         and [self.bytes_b[i] for i in self.line_end] == [b" ", b"\n"])
         marks = "".join(c for c in MARKS if not any(re.search(rf"[{LATIN}]{re.escape(c)}", p) for p in pieces))
         self.border = re.compile(BORDER + (rf"|(?<=[{LATIN}])(?=[{re.escape(marks)}])" if marks else ""))
+        self.size_a, self.size_b = [[len(b or b"") for b in spoken] for spoken in (self.bytes_a, self.bytes_b)]
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.forget()
 
@@ -156,7 +161,7 @@ class Aligner:
             groups = [(len(ids_a), len(ids_b))]
             pairs = [a * KEEP + b for a in ids_a for b in ids_b]
         else:
-            ends_a, ends_b = list(accumulate(self.bytes_a[i].__len__() for i in ids_a)), list(accumulate(self.bytes_b[i].__len__() for i in ids_b))
+            ends_a, ends_b = list(accumulate(map(self.size_a.__getitem__, ids_a))), list(accumulate(map(self.size_b.__getitem__, ids_b)))
             groups = common_groups(ends_a, ends_b)
             pairs, at_a, at_b, last = [], 0, 0, ends_a[-1]
             # the token that ends first gives way to the next of its kind, both at a common end
@@ -191,7 +196,7 @@ class Aligner:
             ids_a, ids_b = self.a.encode(line, add_special_tokens=False).ids, self.b.encode(f"\n{line}")[len(self.line_end):]
             raw = line.encode()
             if self.speaks(ids_a, self.bytes_a, raw) and self.speaks(ids_b, self.bytes_b, raw):
-                told_a, told_b = self.split(ids_a, self.bytes_a, part), self.split(ids_b, self.bytes_b, part)
+                told_a, told_b = self.split(ids_a, self.size_a, part), self.split(ids_b, self.size_b, part)
                 if told_a is not None and told_b is not None:
                     for unit, own_a, own_b in zip(part, told_a, told_b):
                         self.remember(unit, own_a, own_b)
@@ -206,16 +211,16 @@ class Aligner:
                     self.known[unit] = 0
 
     @staticmethod
-    def split(ids: list[int], spoken: list[bytes | None], units: list[str]) -> list[list[int]] | None:
+    def split(ids: list[int], sizes: list[int], units: list[str]) -> list[list[int]] | None:
         """Ids of each unit of a joined string, or None if tokens do not end with them."""
-        ends = list(accumulate(spoken[i].__len__() for i in ids))
-        place = {end: number for number, end in enumerate(ends, 1)}
+        ends = accumulate(map(sizes.__getitem__, ids))
+        place = dict(zip(ends, range(1, len(ids) + 1)))
         out, at, done = [], 0, 0
         for unit in units:
             if unit[0] != " ":  # the line end before it
                 done += 1
                 at = place.get(done)
-            done += len(unit.encode())
+            done += len(unit) if unit.isascii() else len(unit.encode())
             past = place.get(done)
             if at is None or past is None:
                 return None
@@ -230,7 +235,10 @@ class Aligner:
         units = self.units(f" {text}")
         found = list(map(self.known.get, units))
         if None in found:
+            # learning makes many small objects and no cycles: the collector would only walk over them
+            gc.disable()
             self.learn(list(dict.fromkeys(u for u, f in zip(units, found) if f is None)))
+            gc.enable()
             found = list(map(self.known.__getitem__, units))
         if 0 in found:
             return np.zeros(0, np.int64)
