@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.llm.common import staged, worker_cache, worker_imports
+from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 
 BLANK = "▁"
 #: Characters of the documents of one block; a longer document is a block of its own.
@@ -228,21 +228,37 @@ class Aligner:
             at = past
         return out
 
-    def forms(self, text: str | None) -> np.ndarray:
-        """Numbers of a text's word forms, in order; none if it has no tokens."""
-        if not text:
-            return np.zeros(0, np.int64)
-        units = self.units(f" {text}")
-        found = list(map(self.known.get, units))
-        if None in found:
+    def forms_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Numbers of each text's word forms, in order; none if it has no tokens.  New forms of all texts are learned together."""
+        units = [self.units(f" {t}") if t else [] for t in texts]
+        found = [list(map(self.known.get, own)) for own in units]
+        fresh = dict.fromkeys(u for own, numbers in zip(units, found) if None in numbers for u, n in zip(own, numbers) if n is None)
+        if fresh:
             # learning makes many small objects and no cycles: the collector would only walk over them
             gc.disable()
-            self.learn(list(dict.fromkeys(u for u, f in zip(units, found) if f is None)))
+            self.learn(list(fresh))
             gc.enable()
-            found = list(map(self.known.__getitem__, units))
-        if 0 in found:
-            return np.zeros(0, np.int64)
-        return np.array(found, np.int64)
+        out = []
+        for own, numbers in zip(units, found):
+            if None in numbers:
+                numbers = list(map(self.known.__getitem__, own))
+            out.append(np.array([] if 0 in numbers else numbers, np.int64))
+        return out
+
+    def forms(self, text: str | None) -> np.ndarray:
+        return self.forms_of([text])[0]
+
+    def shrink(self, kept: np.ndarray) -> None:
+        """Forget all word forms but the given ones, which are numbered anew."""
+        wanted = set(kept.tolist())
+        units = [(u, n) for u, n in self.known.items() if n in wanted]
+        texts, sizes, pairs = self.texts, self.sizes, self.pairs
+        self.forget()
+        for unit, n in units:
+            self.known[unit] = len(self.texts)
+            self.texts.append(texts[n])
+            self.sizes.append(sizes[n])
+            self.pairs.append(pairs[n])
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -287,18 +303,19 @@ def blocks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, numbers, digests = [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                forms = own.forms(text)
-                line = ";".join(map(own.texts.__getitem__, forms.tolist()))
-                ids.append(doc_id)
-                numbers.append(forms)
-                digests.append(hashlib.sha256(line.encode()).hexdigest() if line else "")
-                size += len(text or "")
+            doc_ids, column = batch.column("doc_id"), batch.column("text")
+            for first, texts in by_size((t.as_py() or "" for t in column), PART_CHARS * 4):
+                ids += doc_ids.slice(first, len(texts)).to_pylist()
+                told = own.forms_of(texts)
+                numbers += told
+                lines = [";".join(map(own.texts.__getitem__, forms.tolist())) for forms in told]
+                digests += [hashlib.sha256(line.encode()).hexdigest() if line else "" for line in lines]
+                size += sum(map(len, texts))
                 if size >= block_chars or len(ids) >= block_chars // 16:
                     yield _block(own, number, ids, numbers, digests, kinds)
                     if len(own.known) > KNOWN_WORDS:
-                        own.forget()
+                        often, times = np.unique(np.concatenate(numbers), return_counts=True)
+                        own.shrink(often[times > 1])
                     number, size = number + 1, 0
                     ids, numbers, digests = [], [], []
         if ids:

@@ -102,6 +102,17 @@ def test_long_texts_are_halved(tokenizers, monkeypatch):
         assert ";".join(own.texts[f] for f in own.forms(text)) == plain(text, *tokenizers)[0]
 
 
+def test_kept_forms_stay_the_same(tokenizers):
+    own = alignment.Aligner(A, B)
+    first = own.forms_of(texts()[:80])
+    often, times = alignment.np.unique(alignment.np.concatenate(first), return_counts=True)
+    before = len(own.known)
+    own.shrink(often[times > 2])
+    assert 0 < len(own.known) < before
+    for text, forms in zip(texts()[:120], own.forms_of(texts()[:120])):
+        assert ";".join(own.texts[f] for f in forms) == plain(text, *tokenizers)[0]
+
+
 @given(st.sets(st.integers(1, 40)), st.sets(st.integers(1, 40)))
 def test_cuts(a, b):
     a, b = sorted(a | {41}), sorted(b | {41})
@@ -109,7 +120,8 @@ def test_cuts(a, b):
 
 
 @pytest.mark.parametrize("chars", [300, alignment.BLOCK_CHARS])
-def test_align(spark, tokenizers, chars):
+def test_align(spark, tokenizers, monkeypatch, chars):
+    monkeypatch.setattr(alignment, "PART_CHARS", 20 if chars == 300 else 65_536)
     some = [t for t in texts()[:60] + texts()[-12:] if "\x00" not in t]
     rows = [(2**60 + n, t) for n, t in enumerate(some)] + [(None, some[0]), (1, None), (5, some[3]), (5, some[3])]
     docs = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id bigint, text string, n_a int, `a.b` string").repartition(3)
