@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.operators import kpis as k
+from ledgerlens.plans.ordered import staged
 from workload.common import END, PREV_END, PREV_START, START, cte, div, r, view
 
 CUR = f"transaction_date BETWEEN DATE '{START}' AND DATE '{END}'"
@@ -42,6 +43,8 @@ QUERIES = {
     "top_offerings_profit": lambda s, d: k.top_offerings(txn(s, d), off(s, d), START, END, 10, "profit"),
     "bottom_offerings": lambda s, d: k.bottom_offerings(txn(s, d), off(s, d), START, END, 10),
     "metrics_daily": lambda s, d: k.daily_metrics(txn(s, d)),
+    # from stored days: the weeks never see the transactions
+    "weekly_merged": lambda s, d: k.merged_metrics(staged(k.daily_sketches(txn(s, d))), "week"),
     "top_customer_pct": lambda s, d: k.top_customer_share(txn(s, d)),
     "offering_trend": lambda s, d: k.offering_trend(txn(s, d), START, END),
     "stability": lambda s, d: k.stability(txn(s, d)),
@@ -99,6 +102,8 @@ FROM (SELECT id, sum(profit) AS p {_JOINED} GROUP BY id HAVING sum(profit) < 0)"
 {_JOINED} GROUP BY id, name, offering_type ORDER BY 5 DESC, id LIMIT 10""",
     "bottom_offerings": cte("txn", "offering") + f"""SELECT id, name, offering_type AS type, {r('sum(total_amount)', 4)} AS revenue, {r('sum(profit)', 4)} AS profit,
 {r('abs(sum(profit))', 4)} AS loss {_JOINED} GROUP BY id, name, offering_type HAVING sum(profit) < 0 ORDER BY 5, id LIMIT 10""",
+    "weekly_merged": cte("txn") + f"""SELECT CAST(date_trunc('week', transaction_date) AS DATE) AS period_start, {r('sum(total_amount)', 4)} AS revenue, {r('sum(cost)', 4)} AS cost,
+{r('sum(profit)', 4)} AS profit, count(*) AS transaction_count, count(DISTINCT customer_id) AS unique_customers FROM txn GROUP BY 1""",
     "metrics_daily": cte("txn") + f"""SELECT transaction_date AS metric_date, offering_id, {r('sum(total_amount)', 4)} AS revenue, {r('sum(cost)', 4)} AS cost,
 {r('sum(profit)', 4)} AS profit, count(*) AS transaction_count, count(DISTINCT customer_id) AS unique_customers,
 {r(pos('sum(total_amount)', 'count(*)'), 2)} AS avg_order_value FROM txn GROUP BY 1, 2""",
