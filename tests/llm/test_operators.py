@@ -455,3 +455,25 @@ def test_unigram_scan(tmp_path):
         spans = pieces.hand_down(cells)
         ids = b"".join(pieces.chunk_ids(m, line, s, min(s + 70, len(line)), *span) for s, span in zip(cuts, spans))
         assert weight(library.encode(text)) == weight(whole) == weight(np.frombuffer(ids, "<u4").tolist())
+
+
+def test_new_word_forms_are_scanned_in_step(monkeypatch):
+    """Forms that a batch holds for the first time need no Python loop each; only a few very long ones take it."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = pieces.public_tokenizers.path("piece_bpe_32k.model")
+    library, m, rng, alone = SentencePieceProcessor(model_file=path), pieces.Model(path), random.Random(8), []
+    plain = m.unit
+    monkeypatch.setattr(m, "unit", lambda text: alone.append(text) or plain(text))
+    whole = sorted(m.ids)
+    forms = ["".join(rng.choice("abetinhor.,é日🙂ß1") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    forms += ["".join(rng.choice(whole) for _ in range(rng.randrange(1, 6))) for _ in range(3000)] + [" " * n for n in range(40)]
+    rng.shuffle(forms)
+    texts = [" ".join(forms[i:i + 60]) for i in range(0, len(forms), 60)] + ["", "x" * 900, "日本語é" * 400]
+    lines = [pieces.BLANK + t.replace(" ", pieces.BLANK) if t else "" for t in texts]
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(i, "<u4").tolist() for i in m.stretches(lines)] == [library.encode(t) for t in texts]
+    assert 2 <= len(alone) < pieces.FEW and all(len(a) > pieces.ALWAYS for a in alone)
+    ids = np.array([m.ids[p] for p in rng.choices(whole, k=4000)])
+    pairs = np.concatenate([ids[:2000], ids[:2000]]), np.concatenate([ids[2000:], ids[2000:]])
+    assert m.arrays.follows(*pairs).tolist() == [m.follows(library.id_to_piece(a), library.id_to_piece(b)) for a, b in zip(*map(np.ndarray.tolist, pairs))]
