@@ -14,8 +14,10 @@ are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ CAPACITY = 4096
 PIECES_PER_TASK = 20_000
 #: Word forms of a generation that a worker remembers.
 KNOWN_WORDS = 300_000
+#: ASCII characters that are no letter, digit or white space.
+MARKS = string.punctuation
 
 
 class WordEncoder:
@@ -47,43 +51,77 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        self.cut: dict[str, bool] = {}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _apart(self, letter: str) -> bool:
+        """Whether the tokenizer cuts marks off from the letter before them, as it normalizes it (a dotted I ends in no letter)."""
+        if letter not in self.cut:
+            rules, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            text = rules.normalize_str(letter + MARKS) if rules else letter + MARKS
+            parts = splitter.pre_tokenize_str(text) if splitter else []
+            self.cut[letter] = text.endswith(MARKS) and len(parts) > 1 and parts[-1][1] == (len(text) - len(MARKS), len(text))
+        return self.cut[letter]
+
     def learn(self, words: set[bytes]) -> None:
-        fresh = []
+        known, older = self.known, self.older
+        letters, rest, tailed, stems, tails = [], [], [], [], []
         for word in words:
-            ids = self.older.get(word)
-            if ids is None:
-                fresh.append(word)
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
+            text = word.decode()
+            stem = text.rstrip(MARKS)
+            if not stem.isalpha() or len(stem) < len(text) and not self._apart(stem[-1]):
+                rest.append(word)
+            elif len(stem) == len(text):
+                letters.append(word)
             else:
-                self.known[word] = ids
-        decoded = {w: w.decode() for w in fresh}
-        letters = [w for w in fresh if decoded[w].isalpha()]
+                stem = stem.encode()
+                tailed.append(word)
+                stems.append(stem)
+                tails.append(word[len(stem):])
+        self._encode(letters, rest, known)
+        # letters and the marks after them are units of their own
+        heads = set(stems)
+        parts = {part: known.get(part) or older.get(part) for part in heads.union(tails)}
+        missing = [part for part, ids in parts.items() if ids is None]
+        self._encode([p for p in missing if p in heads], [p for p in missing if p not in heads], parts)
+        known.update((word, parts[stem] + parts[tail]) for word, stem, tail in zip(tailed, stems, tails))
+
+    def _encode(self, letters: list[bytes], rest: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Ids of words of letters only and of other words."""
         # words of letters only are one unit of the tokenizer, which a mark ends: encode them together
         for at in range(0, len(letters), 500):
             part = letters[at:at + 500]
-            ids = self._ids(" ".join(decoded[w] for w in part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = self._ids([b" ".join(part)])[0]
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
-                self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *cuts[:-1]], cuts))
-        rest = [w for w in fresh if w not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([decoded[w] for w in rest], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, encoded))
+                self._keep(part, ids, cuts, into)
+            else:
+                rest = rest + part
+        for at in range(0, len(rest), 2000):
+            part = rest[at:at + 2000]
+            found = self._ids(part)
+            self._keep(part, list(chain.from_iterable(found)), list(accumulate(map(len, found))), into)
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _keep(self, words: list[bytes], ids: list[int], cuts: list[int], into: dict[bytes, bytes]) -> None:
+        """Note words by the ends of their ids."""
+        data = np.array(ids, "<u4").tobytes()
+        into.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, [0, *cuts], cuts))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
         split = [t.encode().split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        if missing:
-            self.learn(missing)
-        return [b"".join(map(self.known.__getitem__, w) if None in ids else ids) for w, ids in zip(split, found)]
+        self.learn(set(chain.from_iterable(split)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:

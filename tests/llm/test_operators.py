@@ -3,7 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -457,6 +457,40 @@ def test_unigram_scan(tmp_path):
         assert weight(library.encode(text)) == weight(whole) == weight(np.frombuffer(ids, "<u4").tolist())
 
 
+def test_marks_after_letters_are_encoded_apart(tmp_path):
+    """Word forms that differ in the marks at their end need no call of the tokenizer each; where it joins marks to letters, they stay whole."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path = packing.public_tokenizers.path("word_bpe_49k.json")
+    encode, rng, calls = packing.encoder(path), random.Random(9), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    library, encode.tokenizer = encode.tokenizer, Counting()
+    encode.known, encode.older = {}, {}
+    stems = ["".join(rng.choice("abetinhoréßΣİक़日") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["don't", "a1", "e\u0301", "<|endoftext|>"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", ",", ".", "'", "!!", "</w>", "|>", "…", "'s", "'."]) for _ in range(400)) for _ in range(20)]
+    try:
+        assert [np.frombuffer(i, "<u4").tolist() for i in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        calls.clear()
+        plain = ["".join(p) for p in product("bcdfgh", repeat=4)]
+        encode([" ".join(p + m for p in plain for m in (",", ".", "!?"))])
+        assert len(calls) < 100
+    finally:
+        encode.tokenizer = library
+    whole = Tokenizer.from_file(path)
+    whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    whole.save(str(tmp_path / "whole.json"))
+    other = packing.WordEncoder(str(tmp_path / "whole.json"))
+    assert [np.frombuffer(i, "<u4").tolist() for i in other(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_new_word_forms_are_scanned_in_step(monkeypatch):
     """Forms that a batch holds for the first time need no Python loop each; only a few very long ones take it."""
     from sentencepiece import SentencePieceProcessor
