@@ -13,15 +13,19 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain, pairwise
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,8 +34,10 @@ from ledgerlens.llm.common import by_size, staged, worker_cache, worker_imports
 CAPACITY = 4096
 #: Pieces packed by one task.
 PIECES_PER_TASK = 20_000
-#: Word forms of a generation that a worker remembers.
-KNOWN_WORDS = 300_000
+#: Code points of the texts that are encoded together.
+BATCH_CHARS = 4_000_000
+#: Units that a worker remembers between batches.
+KNOWN_WORDS = 600_000
 #: ASCII characters that are no letter, digit or white space.
 MARKS = string.punctuation
 
@@ -40,8 +46,9 @@ class WordEncoder:
     """Ids of texts, word by word.
 
     The tokenizer never joins characters across ASCII white space, so a text's ids are those
-    of its words one after the other.  Word forms are remembered in two generations, so common
-    ones stay while rare ones leave.
+    of its words one after the other.  Arrow splits texts and finds the different forms of their
+    words, and the units of these forms: letters, and the marks after them.  Only units are looked
+    up; those that no text has held for longest leave.
     """
 
     def __init__(self, path: str):
@@ -51,9 +58,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        # a token of letters that is found in texts as they are would lose its capitals
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.folds = _folds(self.tokenizer.normalizer) and not any(t.content.isalpha() for t in added)
+        self.bare = None
+        if self.folds:  # small ASCII letters are normalized already
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
         self.cut: dict[str, bool] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known: dict[bytes, int] = {}
+        # the ids of all known units one after the other; how many each has, and the last batch that held it
+        self.ids, self.sizes, self.held = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.batch = 0
 
     def _apart(self, letter: str) -> bool:
         """Whether the tokenizer cuts marks off from the letter before them, as it normalizes it (a dotted I ends in no letter)."""
@@ -64,64 +80,110 @@ class WordEncoder:
             self.cut[letter] = text.endswith(MARKS) and len(parts) > 1 and parts[-1][1] == (len(text) - len(MARKS), len(text))
         return self.cut[letter]
 
-    def learn(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        letters, rest, tailed, stems, tails = [], [], [], [], []
-        for word in words:
-            ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            text = word.decode()
-            stem = text.rstrip(MARKS)
-            if not stem.isalpha() or len(stem) < len(text) and not self._apart(stem[-1]):
-                rest.append(word)
-            elif len(stem) == len(text):
-                letters.append(word)
-            else:
-                stem = stem.encode()
-                tailed.append(word)
-                stems.append(stem)
-                tails.append(word[len(stem):])
-        self._encode(letters, rest, known)
-        # letters and the marks after them are units of their own
-        heads = set(stems)
-        parts = {part: known.get(part) or older.get(part) for part in heads.union(tails)}
-        missing = [part for part, ids in parts.items() if ids is None]
-        self._encode([p for p in missing if p in heads], [p for p in missing if p not in heads], parts)
-        known.update((word, parts[stem] + parts[tail]) for word, stem, tail in zip(tailed, stems, tails))
-
-    def _encode(self, letters: list[bytes], rest: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Ids of words of letters only and of other words."""
+    def _units(self, forms: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The different units of word forms, and the two of each form: letters and the marks after them, or the form and nothing."""
+        stems = pc.ascii_rtrim(forms, MARKS)
+        sizes, stem_sizes = (pc.binary_length(x).to_numpy() for x in (forms, stems))
+        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        apart = np.array([len(x) == 1 and self._apart(x) for x in last.dictionary.to_pylist()], bool)
+        alone = letters & ((sizes == stem_sizes) | apart[last.indices.to_numpy()])
+        if self.folds:
+            # no letter composes with an ASCII letter before it, so these can be made small first
+            forms = pc.if_else(pa.array(alone), pc.ascii_lower(forms), forms)
+        # heads and tails are slices of the forms, which lie one after the other
+        cuts = np.zeros(2 * len(forms) + 1, np.int64)
+        cuts[2::2] = np.cumsum(sizes)
+        cuts[1::2] = cuts[:-1:2] + np.where(alone, stem_sizes, sizes)
+        data = forms.cast(pa.large_binary()).buffers()[2] or pa.py_buffer(b"")
+        parts = pa.Array.from_buffers(pa.large_binary(), 2 * len(forms), [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        return parts.dictionary.cast(pa.large_string()), parts.indices.to_numpy().reshape(-1, 2)
+
+    def _learn(self, units: pa.Array) -> None:
+        letters = pc.utf8_is_alpha(units)
+        small = pc.and_(letters, pc.match_substring_regex(units, "^[a-z]+$")) if self.folds else pa.array(np.zeros(len(units), bool))
+        rest = units.filter(pc.invert(letters)).to_pylist()
         # words of letters only are one unit of the tokenizer, which a mark ends: encode them together
-        for at in range(0, len(letters), 500):
-            part = letters[at:at + 500]
-            ids = self._ids([b" ".join(part)])[0]
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                self._keep(part, ids, cuts, into)
-            else:
-                rest = rest + part
+        for tokenizer, chosen in ((self.bare, small), (self.tokenizer, pc.and_not(letters, small))):
+            words = units.filter(chosen).to_numpy(zero_copy_only=False).tolist()
+            new = []
+            for at in range(0, len(words), 500):
+                part = words[at:at + 500]
+                ids = np.array(_ids(tokenizer, [" ".join(part)])[0], "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part):
+                    new.append((part, ids, np.diff(cuts, prepend=0)))
+                else:
+                    rest.extend(part)
+            self._keep(new)
+        new = []
         for at in range(0, len(rest), 2000):
             part = rest[at:at + 2000]
-            found = self._ids(part)
-            self._keep(part, list(chain.from_iterable(found)), list(accumulate(map(len, found))), into)
-
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    def _keep(self, words: list[bytes], ids: list[int], cuts: list[int], into: dict[bytes, bytes]) -> None:
-        """Note words by the ends of their ids."""
-        data = np.array(ids, "<u4").tobytes()
-        into.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, [0, *cuts], cuts))
+            found = _ids(self.tokenizer, part)
+            new.append((part, np.array(list(chain.from_iterable(found)), "<u4"), np.array(list(map(len, found)), np.int64)))
+        self._keep(new)
+
+    def _keep(self, new: list[tuple[list[str], np.ndarray, np.ndarray]]) -> None:
+        """Note lists of units, their ids and how many each has."""
+        units = [unit.encode() for part, _, _ in new for unit in part]
+        self.known.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units))))
+        self.ids = np.concatenate([self.ids, *(ids for _, ids, _ in new)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, _, sizes in new)])
+        self.held = np.concatenate([self.held, np.full(len(units), self.batch)])
+
+    def _forget(self) -> None:
+        """Keep at most half of the units, those that were held last."""
+        order = np.argsort(self.held, kind="stable")
+        stay = np.zeros(len(order), bool)
+        stay[order[max(0, len(order) - KNOWN_WORDS // 2):]] = True
+        units = sorted((at, unit) for unit, at in self.known.items() if stay[at])
+        at = np.array([at for at, _ in units], np.int64)
+        self.known = {unit: new for new, (_, unit) in enumerate(units)}
+        self.ids, self.sizes = _picked(self.ids, self.sizes, at)
+        self.held = self.held[at]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.older = {}, self.known
-        split = [t.encode().split() for t in texts]
-        self.learn(set(chain.from_iterable(split)).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.sizes) > KNOWN_WORDS:
+            self._forget()
+        self.batch += 1
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        parts, of_forms = self._units(words.dictionary)
+        units = parts.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, units))
+        new = [at is None for at in found]
+        if any(new):
+            self._learn(parts.filter(pa.array(new)))
+            found = [self.known[unit] if at is None else at for unit, at in zip(units, found)]
+        at = np.array(found, np.int64)
+        self.held[at] = self.batch
+        ids, sizes = _picked(self.ids, self.sizes, at[of_forms.ravel()])
+        ids, sizes = _picked(ids, sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy())
+        data = ids.tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        return [data[a:b] for a, b in pairwise(ends.tolist())]
+
+
+def _folds(rules: Any) -> bool:
+    """Whether a normalizer lower-cases and does nothing else but NFC and one blank for white space."""
+    if rules is None:
+        return False
+    own = json.loads(rules.__getstate__())
+    steps = own["normalizers"] if own["type"] == "Sequence" else [own]
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    return {"type": "Lowercase"} in steps and all(s in ({"type": "NFC"}, {"type": "Lowercase"}, blank) for s in steps)
+
+
+def _ids(tokenizer: Any, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _picked(ids: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, as ``sizes`` cuts them, in the order of ``picks``, and the sizes of these."""
+    starts, chosen = np.cumsum(sizes) - sizes, sizes[picks]
+    ends = np.cumsum(chosen)
+    return ids[np.repeat(starts[picks] - ends + chosen, chosen) + np.arange(chosen.sum())], chosen
 
 
 def encoder(path: str) -> WordEncoder:
@@ -139,7 +201,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for batch in batches:
-            for first, texts in by_size(batch["text"].fillna("")):
+            for first, texts in by_size(batch["text"].fillna(""), BATCH_CHARS):
                 rows = []
                 for index, ids in enumerate(encode(texts), first):
                     ids += end

@@ -491,6 +491,39 @@ def test_marks_after_letters_are_encoded_apart(tmp_path):
     assert [np.frombuffer(i, "<u4").tolist() for i in other(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_forms_share_their_units(tmp_path, monkeypatch):
+    """Capitals and marks make no new units to encode and remember; ids stay those of whole texts, by other rules and with little memory too."""
+    from tokenizers import Tokenizer, normalizers
+
+    path, rng = packing.public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    library, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+    plain = ["".join(p) for p in product("bcdf", repeat=5)]
+    encode([" ".join(plain)])
+    held = len(encode.known)
+    forms = " ".join(shape + m for p in plain for shape in (p.capitalize(), p.upper()) for m in ("", ",", "."))
+    assert np.frombuffer(encode([forms])[0], "<u4").tolist() == library.encode(forms, add_special_tokens=False).ids
+    assert len(encode.known) <= held + 3  # the two marks and nothing
+
+    stems = ["".join(rng.choice("aHIKtsreÉßΣİĳǅक़日\u1100\u1161\u212a\u0331\u0307") for _ in range(rng.randrange(1, 7))) for _ in range(2000)]
+    stems += ["H\u0331", "I\u0307", "Don't", "A1", "<|endoftext|>", "<|EndOfText|>", "a\x1cB", "A\x85b", "A\u00a0B", "A\u3000b", "ª", "x" * 5000]
+    texts = ["", " ", "\t\n", " a", "A ", "!", "A."] + [
+        "".join(rng.choice(stems) + rng.choice(["", ",", ".'", "'S", "…", "</w>"]) + rng.choice([" ", "  ", "\n", "\x0b\x0c\r"]) for _ in range(200)) for _ in range(30)]
+    cased = Tokenizer.from_file(path)
+    cased.normalizer = normalizers.NFC()
+    cased.save(str(tmp_path / "cased.json"))
+    lettered = Tokenizer.from_file(path)
+    lettered.add_special_tokens(["HI"])
+    lettered.save(str(tmp_path / "lettered.json"))
+    for rules, file in ((library, path), (cased, str(tmp_path / "cased.json")), (lettered, str(tmp_path / "lettered.json"))):
+        want = [rules.encode(t, add_special_tokens=False).ids for t in texts]
+        for most in (packing.KNOWN_WORDS, 100, 0):
+            monkeypatch.setattr(packing, "KNOWN_WORDS", most)
+            encode = packing.WordEncoder(file)
+            found = [i for at in range(0, len(texts), 5) for i in encode(texts[at:at + 5])]
+            assert [np.frombuffer(i, "<u4").tolist() for i in found + encode(texts)] == want + want
+        assert encode([]) == []
+
+
 def test_new_word_forms_are_scanned_in_step(monkeypatch):
     """Forms that a batch holds for the first time need no Python loop each; only a few very long ones take it."""
     from sentencepiece import SentencePieceProcessor
