@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.functions.text import quoted
 from ledgerlens.session import ensure_checkpoint_dir
@@ -16,6 +18,56 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+#: Has Spark drop the shuffle files of an execution as it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block drop their shuffle files at once; else these stay until the driver collects its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+#: Most slices of a table that is handled a slice at a time, and the rows a slice should have at least.
+SLICES, SLICE_ROWS = 32, 500_000
+
+
+def in_slices(df: DataFrame, key: Column, rows: int = SLICE_ROWS) -> Iterator[DataFrame]:
+    """The table in one to ``SLICES`` parts, one after the other; rows of equal ``key`` are in one part.
+
+    It is staged once, so that what is done with a part shuffles that part alone.  A part is deleted when the next
+    is asked for.  All rows of one key come together, however many they are.
+    """
+    spark, path, mark = df.sparkSession, shared_folder(df.sparkSession, "slices"), "_slice"
+    while mark in map(str.lower, df.columns):
+        mark = f"_{mark}"
+    marked = df.withColumn(mark, F.pmod(F.hash(key), F.lit(SLICES)))
+    fs, where = _filesystem(spark, path)
+    try:
+        with freed_shuffles(spark):
+            marked.write.partitionBy(mark).option("compression", "zstd").parquet(path)
+            held = {r[mark]: r["count"] for r in spark.read.schema(marked.schema).parquet(path).groupBy(mark).count().collect()}
+        parts = min(SLICES, max(1, sum(held.values()) // rows))
+        for part in range(parts):
+            folders = [f"{path}/{mark}={n}" for n in sorted(held) if n % parts == part]
+            if folders:
+                yield spark.read.schema(df.schema).parquet(*folders)
+            elif not held:
+                yield spark.createDataFrame([], df.schema)
+            for folder in folders:
+                fs.delete(_filesystem(spark, folder)[1], True)
+    finally:
+        fs.delete(where, True)
+
+
 def dataset_path(root: str, session: str, dataset: str) -> str:
     return f"{root}/{session}/{dataset}"
 

@@ -96,10 +96,13 @@ def stream(s, d):
 
 
 def tenant_rollup(s, d):
-    metrics = k.daily_metrics(canonical.transactions(raw(s, d), "acme"), ("tenant_id", "transaction_date", "offering_id"))
+    """Daily metrics of a tenant stored by day, some of the days at a time, and read back."""
+    rows = raw(s, d).select("customer_id", "offering_id", "transaction_date", "amount", "cost")
     path = tables.shared_folder(s, "metrics")
-    canonical.write_daily_metrics(metrics, path)
-    return s.read.parquet(path).groupBy("metric_date").agg(
+    for days in tables.in_slices(rows, canonical.transaction_day(rows)):
+        metrics = k.daily_metrics(canonical.transactions(days, "acme"), ("tenant_id", "transaction_date", "offering_id"))
+        canonical.write_daily_metrics(metrics, path)
+    return canonical.read_daily_metrics(s, path).groupBy("metric_date").agg(
         F.count(F.lit(1)).alias("offerings"), F.sum("transaction_count").alias("transactions"), F.round(F.round(F.sum("revenue"), 8), 4).alias("revenue"))
 
 
