@@ -106,15 +106,37 @@ def offerings(df: DataFrame, tenant: str) -> DataFrame:
                           rounded(F.col("unit_cost"), 4).alias("unit_cost"))
 
 
-def write_daily_metrics(metrics: DataFrame, path: str) -> None:
+#: Rows of a day that go to one file, about.
+DAY_ROWS = 1_000_000
+
+
+def _day_name(date: str) -> Column:
+    return F.date_format(date, "yyyy-MM-dd")
+
+
+def files_of_days(txn: DataFrame) -> dict[str, int]:
+    """Files for the busy days, by the rows of transactions: a rollup of a day has no more rows than these."""
+    with freed_shuffles(txn.sparkSession):
+        busy = txn.groupBy(F.coalesce(_day_name("transaction_date"), F.lit("")).alias("day")).count().where(F.col("count") > DAY_ROWS).collect()
+    return {r["day"]: -(-r["count"] // DAY_ROWS) for r in busy}
+
+
+def write_daily_metrics(metrics: DataFrame, path: str, files: dict[str, int] | None = None) -> None:
     """Store the daily rollup by day; a rerun replaces the days it holds and no others.
 
-    Spark rebalances the days by their measured sizes, which spreads a busy day over several files and, unlike
-    ranges, needs no second run of the rollup for a sample of its keys. Digests take half the room in zstd.
+    Range partitioning spreads a busy day over several files, at the cost of a second run of the rollup for a sample
+    of its keys; with ``files`` (see ``files_of_days``) digests of the offerings do.  Digests take half the room in zstd.
     """
-    daily = metrics.withColumn("metric_day", F.date_format("metric_date", "yyyy-MM-dd"))
+    daily = metrics.withColumn("metric_day", _day_name("metric_date"))
+    if files is None:
+        dealt = daily.repartitionByRange("metric_day", "offering_id")
+    elif files:
+        of_day = F.create_map(*[F.lit(x) for item in files.items() for x in item])
+        dealt = daily.repartition("metric_day", F.pmod(F.hash("offering_id"), F.coalesce(of_day[F.coalesce("metric_day", F.lit(""))], F.lit(1))))
+    else:
+        dealt = daily.repartition("metric_day")
     with freed_shuffles(metrics.sparkSession):
-        (daily.hint("rebalance", "metric_day").sortWithinPartitions("metric_day")
+        (dealt.sortWithinPartitions("metric_day")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("metric_day").parquet(path))
 
 

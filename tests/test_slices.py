@@ -57,8 +57,8 @@ def test_rollup_keeps_no_shuffle_files(spark, monkeypatch):
     """A slice at a time the rollup agrees with its SQL, and what one write shuffled is gone before the next."""
     before, left, write = shuffle_files(spark), [], canonical.write_daily_metrics
 
-    def watched(metrics, path):
-        write(metrics, path)
+    def watched(*given):
+        write(*given)
         left.append(left_over(spark, before))
 
     monkeypatch.setattr(canonical, "write_daily_metrics", watched)
@@ -89,13 +89,21 @@ def test_stored_digests_are_packed(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "days").rglob("*.parquet")) < 40_000 * 40
 
 
-def test_a_busy_day_has_several_files(spark, tmp_path):
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(size, "400k")
+@pytest.mark.parametrize("day", ["2024-01-01", None])
+def test_a_busy_day_has_several_files(spark, tmp_path, monkeypatch, day):
+    monkeypatch.setattr(canonical, "DAY_ROWS", 20_000)
+    rows = daily(spark, 60_010).withColumn("metric_date", F.when(F.col("metric_date") > "2024-01-01", F.col("metric_date")).otherwise(F.lit(day).cast("date")))
+    files = canonical.files_of_days(rows.withColumnRenamed("metric_date", "transaction_date"))
+    assert files == {day or "": 3}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        canonical.write_daily_metrics(daily(spark, 60_000).repartition(8), str(tmp_path / "days"))
+        canonical.write_daily_metrics(rows, str(tmp_path / "days"), files)
     finally:
-        spark.conf.unset(size)
-    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "days").iterdir() if d.is_dir()}
-    assert files["metric_day=2024-01-01"] > 2 and files["metric_day=2024-01-02"] == 1
-    assert canonical.read_daily_metrics(spark, str(tmp_path / "days")).count() == 60_000
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    held = {d.name.removeprefix("metric_day="): len(list(d.glob("*.parquet"))) for d in (tmp_path / "days").iterdir() if d.is_dir()}
+    assert held == {day or "__HIVE_DEFAULT_PARTITION__": 3, "2024-01-02": 1}
+    stored = canonical.read_daily_metrics(spark, str(tmp_path / "days"))
+    assert stored.count() == stored.select("offering_id").distinct().count() == 60_010

@@ -100,8 +100,9 @@ def tenant_rollup(s, d):
     rows = raw(s, d).select("customer_id", "offering_id", "transaction_date", "amount", "cost")
     path = tables.shared_folder(s, "metrics")
     for days in tables.in_slices(rows, canonical.transaction_day(rows)):
-        metrics = k.daily_metrics(canonical.transactions(days, "acme"), ("tenant_id", "transaction_date", "offering_id"))
-        canonical.write_daily_metrics(metrics, path)
+        txn = canonical.transactions(days, "acme")
+        metrics = k.daily_metrics(txn, ("tenant_id", "transaction_date", "offering_id"))
+        canonical.write_daily_metrics(metrics, path, canonical.files_of_days(txn))
     return canonical.read_daily_metrics(s, path).groupBy("metric_date").agg(
         F.count(F.lit(1)).alias("offerings"), F.sum("transaction_count").alias("transactions"), F.round(F.round(F.sum("revenue"), 8), 4).alias("revenue"))
 
